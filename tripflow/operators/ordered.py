@@ -27,8 +27,11 @@ class Series:
     time: str = "time_s"
     tie: tuple[str, ...] = ()
     block_s: float = 3600.0
+    block: Column | None = None      # any function of the clock that keeps its order
 
     def with_block(self, df: DataFrame) -> DataFrame:
+        if self.block is not None:
+            return df.withColumn(BLOCK, self.block)
         block = F.floor(F.col(self.time).cast("double") / F.lit(float(self.block_s)))
         return df.withColumn(BLOCK, F.coalesce(block, F.lit(-(2 ** 62))))
 
@@ -80,6 +83,18 @@ def with_neighbours(df: DataFrame, s: Series, cols: list[str], prev: bool = True
     return out.withColumns(added).drop(BLOCK, *[f"_p_{c}" for c in cols], *[f"_n_{c}" for c in cols])
 
 
+def with_last_valid(df: DataFrame, s: Series, value: str, out: str) -> DataFrame:
+    """Latest present value at or before each row of the same key."""
+    blocked = s.with_block(df)
+    rank = F.when(F.col(value).isNotNull(), s.rank_by())
+    ends = blocked.groupBy(*s.block_keys).agg(F.max_by(value, rank).alias("_v"))
+    before = s.across().rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*s.block_keys, F.last("_v", ignorenulls=True).over(before).alias("_carried"))
+    here = F.last(value, ignorenulls=True).over(s.inside().rowsBetween(Window.unboundedPreceding, 0))
+    return (blocked.join(carried, s.block_keys).withColumn(out, F.coalesce(here, "_carried"))
+            .drop("_carried", BLOCK))
+
+
 def with_halo(df: DataFrame, rows: int, before: int = 0, after: int = 0, pos: str = "pos",
               block: str = "_rows") -> DataFrame:
     """Cut positions into blocks of ``rows`` and lend each block its neighbours' border rows.

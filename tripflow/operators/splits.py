@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.operators.ordered import Series, with_last_valid, with_neighbours
+
 
 def sessions(overview: DataFrame, by: tuple[str, ...] = (), trip: str = "trip", day: str = "day",
-             warm: str = "warm_start") -> DataFrame:
+             warm: str = "warm_start", block: Column | None = None) -> DataFrame:
     """Driving session of each trip: a run of warm starts on one day, in trip order.
 
     A session opens on the first trip, on a change of day (an unknown day always changes) and on a
-    cold start.  The overview has one row per trip, so ordering the trips of one vehicle is cheap;
-    pass the vehicle columns as ``by`` to keep vehicles apart.
+    cold start.  Pass the vehicle columns as ``by`` to keep vehicles apart.  ``block`` is an
+    order-keeping function of the trip id that spreads the trips of one vehicle over tasks.
     """
-    keys = list(by)
-    w = Window.partitionBy(*keys).orderBy(trip)
-    opens = F.coalesce((F.lag(day).over(w) != F.col(day)) | ~F.col(warm), F.lit(True))
+    if block is None:
+        number = overview.schema[trip].dataType.typeName() != "string"
+        block = F.floor(F.col(trip) / 100_000) if number else F.substring(trip, 1, 8)
+    s = Series(tuple(by), trip, block=block)
+    near = with_neighbours(overview.select(*by, trip, day, warm), s, [day], following=False)
+    opens = F.coalesce((F.col(f"prev_{day}") != F.col(day)) | ~F.col(warm), F.lit(True))
     label = F.when(opens, F.concat(F.coalesce(F.col(day), F.lit("None")), F.lit("#"), F.col(trip)))
-    marked = overview.select(*keys, trip, day, label.alias("_label"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select(*keys, trip, day, F.last("_label", ignorenulls=True).over(upto).alias("session"))
+    return with_last_valid(near.withColumn("_label", label), s, "_label", "session").select(*by, trip, day, "session")
 
 
 def day_groups(overview: DataFrame, trip: str = "trip", day: str = "day") -> DataFrame:
