@@ -68,9 +68,10 @@ def first_fault(guards: list[Guard], probe: Column | None = None) -> Column:
 
 
 def rate_limit(df: DataFrame, s: Series, proposed: str, dt_s: float, carry: list[str], out: str = "applied_w",
-               max_rate: float = MAX_RATE_W_PER_S, previous: str | None = None, rows: int = 4096) -> DataFrame:
+               max_rate: float = MAX_RATE_W_PER_S, previous: str | None = None,
+               bounds: tuple[float, float] | None = None, rows: int = 4096) -> DataFrame:
     """Slew-limited command along each key, ``dt_s`` apart; the first row passes and anchors."""
-    return slew(df, s, proposed, max_rate * dt_s, out, carry, previous, rows)
+    return slew(df, s, proposed, max_rate * dt_s, out, carry, previous, bounds, rows)
 
 
 def rate_reason(applied: Column, proposed: Column) -> Column:
@@ -103,7 +104,7 @@ def supervise(df: DataFrame, s: Series, primary: str, fallback: str, situation:
     ready = chosen.select("*", clamped.alias("_command"), amend.alias("_amend"), swap.alias("_swap"))
     keep = [s.time, *s.tie, *carry, "_fault", "proposed_w", "_command", "_amend", "_swap"]
     limited = rate_limit(ready, s, "_command", dt_s, list(dict.fromkeys(c for c in keep if c not in s.keys)),
-                         max_rate=max_rate, rows=rows)
+                         max_rate=max_rate, bounds=(0.0, max_w), rows=rows)
     fell_back = F.col("_fault").isNotNull() | F.col("_swap")
     slewed = rate_reason(F.col("applied_w"), F.col("_command"))
     fault_reason = F.coalesce("_fault", F.when(F.col("_swap"), F.lit("non-finite action")))

@@ -22,15 +22,15 @@ def block_mean(df: DataFrame, period_s: float, values: list[str], keys: tuple[st
 
 
 def _lag_sums(max_lag: int):
-    """Lagged products of one block of a centred series; the block ends with lent rows."""
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, own = pdf["x"].to_numpy(), int(pdf["_own"].sum())
-        top = min(max_lag, len(x) - 1)
-        lags = np.arange(0, top + 1)
-        out = [float(x[:min(own, len(x) - k)] @ x[k:k + min(own, len(x) - k)]) for k in lags]
-        return pd.DataFrame({"trip": key[0], "lag": lags, "product": out})
-    return sums
+    def sums(own: pd.Series, values: pd.Series) -> pd.Series:
+        """Products with every lag of the block's own rows; the rows after them are lent."""
+        out = []
+        for n, x in zip(own, values):
+            x = np.asarray(x, float)
+            reach = range(min(max_lag, len(x) - 1) + 1)
+            out.append([float(x[:min(n, len(x) - k)] @ x[k:k + min(n, len(x) - k)]) for k in reach])
+        return pd.Series(out)
+    return F.pandas_udf(sums, "array<double>")
 
 
 def effective_sample_size(df: DataFrame, s: Series, value: str, max_lag: int = 5000,
@@ -45,12 +45,10 @@ def effective_sample_size(df: DataFrame, s: Series, value: str, max_lag: int = 5
     stats = good.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("_mean"),
                                   (F.min("x") == F.max("x")).alias("_flat"))
     centred = (with_position(good, s).join(stats, key)
-               .select(F.col(key).alias("trip"), "pos", (F.col("x") - F.col("_mean")).alias("x"),
-                       (F.col("n") - 1).alias("_top")))
-    blocks = with_halo(centred, block_rows, after=0, before=0) if max_lag == 0 else _lend_ahead(centred, block_rows, max_lag)
-    trip_type = df.schema[key].dataType.simpleString()
-    products = (blocks.groupBy("trip", "_rows")
-                .applyInPandas(_lag_sums(max_lag), f"trip {trip_type}, lag long, product double")
+               .select(F.col(key).alias("trip"), "pos", (F.col("x") - F.col("_mean")).alias("x")))
+    blocks = (with_halo(centred, block_rows, after=max_lag).groupBy("trip", "_rows")
+              .agg(F.count_if("_own").alias("own"), F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")))
+    products = (blocks.select("trip", F.posexplode(_lag_sums(max_lag)("own", "v.x")).alias("lag", "product"))
                 .groupBy("trip", "lag").agg(F.sum("product").alias("product")))
     variance = products.filter("lag = 0").select("trip", F.col("product").alias("_var"))
     w = Window.partitionBy("trip").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,8 +61,3 @@ def effective_sample_size(df: DataFrame, s: Series, value: str, max_lag: int = 5
     return (n.join(rho, "trip", "left")
             .select(F.col("trip").alias(key), "n",
                     (F.col("n") / (1.0 + 2.0 * F.coalesce("_total", F.lit(0.0)))).alias("n_eff")))
-
-
-def _lend_ahead(df: DataFrame, rows: int, ahead: int) -> DataFrame:
-    """Blocks of ``rows`` own rows followed by up to ``ahead`` rows of the next blocks."""
-    return with_halo(df, rows, after=ahead).drop("_top")

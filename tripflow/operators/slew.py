@@ -8,11 +8,9 @@ start to end, and is chained to the blocks before it back to the last one that f
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.operators.ordered import Series, with_position
@@ -51,75 +49,74 @@ def block_map(requests: np.ndarray, step: float, lo: float, hi: float) -> tuple[
     return xs.tolist(), ys.tolist()
 
 
-def _fold(batches, step: float, keys: list[str]):
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        m = _matrix(pdf["requests"].to_list())
-        lo, hi = pdf["lo"].to_numpy(float), pdf["hi"].to_numpy(float)
+def _folder(step: float):
+    def fold(requests: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        m = _matrix(requests.to_list())
+        low, high = lo.to_numpy(float), hi.to_numpy(float)
         for j in range(m.shape[1]):
-            lo, hi = _step_all(lo, m[:, j], step), _step_all(hi, m[:, j], step)
-        forgets = lo == hi
-        maps = [([], []) if f else block_map(np.asarray(r, float), step, a, b) for f, r, a, b in
-                zip(forgets, pdf["requests"], pdf["lo"], pdf["hi"])]
-        yield pdf[[*keys, "_b"]].assign(first=m[:, 0], last=lo, forgets=forgets,
-                                        xs=[x for x, _ in maps], ys=[y for _, y in maps])
+            low, high = _step_all(low, m[:, j], step), _step_all(high, m[:, j], step)
+        base, starts, ends = low.copy(), [[]] * len(low), [[]] * len(low)
+        for i in np.flatnonzero(low != high):
+            xs, ys = block_map(np.asarray(requests.iloc[i], float), step, lo.iloc[i], hi.iloc[i])
+            ramps = [(a, b) for a, b, rise in zip(xs, xs[1:], np.diff(ys)) if rise > 0.5 * (b - a)]
+            base[i], starts[i], ends[i] = ys[0], [a for a, _ in ramps], [b for _, b in ramps]
+        return pd.DataFrame({"base": base, "forgets": low == high, "ramp_from": starts, "ramp_to": ends})
+    return F.pandas_udf(fold, "base double, forgets boolean, ramp_from array<double>, ramp_to array<double>")
+
+
+def _map_state(block: Column, x: Column) -> Column:
+    """End state of a block: its base plus how far the start reaches into each ramp."""
+    ramps = F.arrays_zip(block["ramp_from"].alias("a"), block["ramp_to"].alias("b"))
+    return F.aggregate(ramps, block["base"], lambda acc, r: acc + F.least(F.greatest(x, r["a"]), r["b"]) - r["a"])
 
 
-def _chain(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+def _chain(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Start states of a run of blocks: the first is known, the rest follow through the maps."""
-    pdf = pdf.sort_values("_b")
-    starts, state = [], None
-    for r in pdf.itertuples():
-        state = r.start if state is None else state
-        starts.append(state)
-        state = r.last if r.forgets else float(np.interp(state, r.xs, r.ys))
-    return pdf[[*keys, "_b"]].assign(start=starts)
-
-
-def _run(batches, step: float, keys: list[str]):
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        m, x = _matrix(pdf["requests"].to_list()), pdf["start"].to_numpy(float)
+    members = F.sort_array(F.collect_list(F.struct("_b", "base", "ramp_from", "ramp_to")))
+    run = runs.groupBy(*keys, "_run").agg(members.alias("m"), F.max("start").alias("s"))
+    first = F.struct(F.col("s").alias("x"), F.array().cast("array<double>").alias("seen"))
+    seen = F.aggregate("m", first, lambda acc, r: F.struct(
+        _map_state(r, acc["x"]).alias("x"), F.array_append(acc["seen"], acc["x"]).alias("seen")))["seen"]
+    return (run.select(*keys, F.explode(F.arrays_zip(F.col("m._b").alias("b"), seen.alias("s"))).alias("z"))
+            .select(*keys, F.col("z.b").alias("_b"), F.col("z.s").alias("start")))
+
+
+def _runner(step: float):
+    def run(requests: pd.Series, start: pd.Series) -> pd.Series:
+        m, x = _matrix(requests.to_list()), start.to_numpy(float)
         out = np.empty_like(m)
         for j in range(m.shape[1]):
             x = out[:, j] = _step_all(x, m[:, j], step)
-        yield pdf[[*keys, "_b"]].assign(applied=[out[i, :len(r)].tolist() for i, r in enumerate(pdf["requests"])])
+        return pd.Series([out[i, :len(r)] for i, r in enumerate(requests)])
+    return F.pandas_udf(run, "array<double>")
 
 
 def slew(df: DataFrame, s: Series, request: str, step: float, out: str, carry: list[str],
-         previous: str | None = None, rows: int = 4096) -> DataFrame:
+         previous: str | None = None, bounds: tuple[float, float] | None = None, rows: int = 4096) -> DataFrame:
     """Command after every row of each key, and its ``pos``.
 
     The first row of a key passes and anchors, unless ``previous`` gives the command before it.
-    Requests must be finite.
+    Requests must be finite; ``bounds`` names limits they keep, else those are looked up per key.
     """
     keys = list(s.keys)
-    fields = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
-    head = ", ".join(fields) + ", _b long, "
-    placed = with_position(df.withColumn("_r", F.col(request)), s)
     before = F.col(previous) if previous else F.lit(None).cast("double")
-    packed = F.sort_array(F.collect_list(F.struct("pos", "_r", before.alias("_before"), *carry)))
-    blocks = placed.groupBy(*keys, F.floor(F.col("pos") / rows).alias("_b")).agg(packed.alias("_rows"))
-    blocks = blocks.withColumn("requests", F.col("_rows._r"))
-    # Every state lies between the least and the greatest value it was ever pulled toward.
-    span = blocks.groupBy(*keys).agg(
-        F.min(F.least(F.array_min("requests"), F.array_min("_rows._before"))).alias("lo"),
-        F.max(F.greatest(F.array_max("requests"), F.array_max("_rows._before"))).alias("hi"),
-        F.min(F.when(F.col("_b") == 0, F.col("_rows")[0]["_before"])).alias("_before"))
-    folded = blocks.join(span, keys).select(*keys, "_b", "requests", "lo", "hi").mapInPandas(
-        partial(_fold, step=step, keys=keys),
-        head + "first double, last double, forgets boolean, xs array<double>, ys array<double>")
+    asked = df.withColumns({"_r": F.col(request), "_before": before})
+    packed = F.sort_array(F.collect_list(F.struct("pos", "_r", "_before", *carry)))
+    blocks = (with_position(asked, s).groupBy(*keys, F.floor(F.col("pos") / rows).alias("_b"))
+              .agg(packed.alias("_rows")).withColumn("requests", F.col("_rows._r")))
+    if bounds is None:
+        span = asked.groupBy(*keys).agg(F.min(F.least("_r", "_before")).alias("lo"), F.max(F.greatest("_r", "_before")).alias("hi"))
+        bounded = blocks.join(span, keys)
+    else:
+        bounded = blocks.withColumns({"lo": F.lit(float(bounds[0])), "hi": F.lit(float(bounds[1]))})
+    anchor = F.coalesce(F.col("_rows")[0]["_before"], F.col("_rows")[0]["_r"])
+    folded = bounded.select(*keys, "_b", anchor.alias("anchor"), _folder(step)("requests", "lo", "hi").alias("f"))
     w = Window.partitionBy(*keys).orderBy("_b")
-    known = (F.when(F.col("_b") == 0, F.coalesce("_before", "first"))
-             .when(F.lag("forgets").over(w), F.lag("last").over(w)))
-    runs = (folded.join(span.select(*keys, "_before"), keys).withColumn("start", known)
+    known = F.when(F.col("_b") == 0, F.col("anchor")).when(F.lag("f.forgets").over(w), F.lag("f.base").over(w))
+    runs = (folded.select(*keys, "_b", "f.*", known.alias("start"))
             .withColumn("_run", F.sum(F.col("start").isNotNull().cast("int")).over(w)))
-    starts = runs.groupBy(*keys, "_run").applyInPandas(partial(_chain, keys=keys), head + "start double")
-    done = (blocks.select(*keys, "_b", "requests").join(starts, [*keys, "_b"])
-            .mapInPandas(partial(_run, step=step, keys=keys), head + "applied array<double>"))
-    flat = blocks.select(*keys, "_b", "_rows").join(done, [*keys, "_b"])
-    zipped = F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("applied").alias("a"))).alias("_z")
-    return flat.select(*keys, zipped).select(
+    done = (blocks.join(_chain(runs, keys), [*keys, "_b"])
+            .select(*keys, "_rows", _runner(step)("requests", "start").alias("_applied")))
+    zipped = F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_applied").alias("a"))).alias("_z")
+    return done.select(*keys, zipped).select(
         *keys, F.col("_z.r.pos").alias("pos"), *[F.col(f"_z.r.{c}").alias(c) for c in carry], F.col("_z.a").alias(out))

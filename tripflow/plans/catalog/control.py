@@ -11,7 +11,7 @@ from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples
 LOG = ordered.Series(block_s=WEEK_S)
 DT = 10.0
 #: Rows per scan block; small here so that the short trips of the log cross blocks.
-ROWS = 16
+ROWS = 32
 
 
 def _steps(spark, sf):
