@@ -87,6 +87,13 @@ def run_name_parts(run: Column | str, codes: dict[str, float]) -> list[Column]:
             F.try_element_at(parts, F.lit(3)).alias("bus")]
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Correlation over rows where both are present; NULL, not an error, where one does not vary."""
+    x = F.when(col(b).isNotNull(), col(a))
+    y = F.when(col(a).isNotNull(), col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def skill(model: Column, *baselines: Column) -> Column:
     """Share of the best baseline's error that the model removes; NULL where that error is zero."""
     best = F.least(*baselines) if len(baselines) > 1 else baselines[0]

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str,
-                   margin: float = 0.001, accuracy: int = 20_000) -> DataFrame:
-    """Linear-interpolated quantile per group without gathering the group.
+def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, **kw) -> DataFrame:
+    """Linear-interpolated quantile per group without gathering the group."""
+    return order_statistic(df, keys, value, q, lambda n: (n - 1) * F.lit(float(q)), out, **kw)
+
+
+def order_statistic(df: DataFrame, keys: list[str], value: str, near: float, rank_of: Callable[[Column], Column],
+                    out: str, margin: float = 0.001, accuracy: int = 20_000) -> DataFrame:
+    """Value at the zero-based, possibly fractional rank ``rank_of(n)`` of each group.
+
+    ``rank_of(n)`` must lie within two ranks of ``near * n``.  A rank beyond the last row gives NULL.
 
     A mergeable sketch brackets the quantile; rows below the bracket are only counted and just the
     distinct values inside it are ranked, so a hot group sends a sliver of itself to the ranking.
@@ -19,12 +28,12 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     if not named:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    lo_q, hi_q = max(q - margin, 0.0), min(q + margin, 1.0)
+    lo_q, hi_q = max(near - margin, 0.0), min(near + margin, 1.0)
     bracket = src.groupBy(*keys).agg(
         F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), F.lit(accuracy)).alias("_b"),
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     # The bracket also spans the neighbours of the exact rank in groups too small for the margin.
-    small = F.col("_n") * (margin - 1.0 / accuracy) < 2
+    small = F.col("_n") * (margin - 1.0 / accuracy) < 4
     bracket = bracket.select(
         *keys, "_n",
         F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
@@ -36,7 +45,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("_upto", upto)
-    rank = (F.col("_n") - 1) * F.lit(float(q))
+    rank = rank_of(F.col("_n"))
     lower, upper = F.floor(rank), F.ceil(rank)
     v_at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
     picked = ranked.filter("_v IS NOT NULL").groupBy(*keys).agg(

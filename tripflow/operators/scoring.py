@@ -135,7 +135,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     binned = (df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).join(F.broadcast(span), "_one")   # one row
               .groupBy(F.coalesce(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)), F.lit(0)).alias("bin"))
               .agg(F.count(F.lit(1)).alias("rows")))
-    edges = span.select("lo", width.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    edges = span.select("lo", width.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return (edges.join(binned, "bin", "left")
             .select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("from_value"), F.coalesce("rows", F.lit(0)).alias("rows")))
 

@@ -46,7 +46,7 @@ def first_available(df: DataFrame, choices: tuple[str, ...], out: str, keys: tup
     every = picks.agg(F.bool_and(F.col("_pick").isNotNull()).alias("_every")).withColumn("_one", F.lit(1))
     chosen = F.coalesce(*[F.when(F.col("_pick") == i, F.col(c)) for i, c in enumerate(have)])
     usable = picks.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").drop("_one")   # one row
-    return df.join(usable, list(keys)).withColumn(out, F.when("_every", chosen)).drop("_pick", "_every")
+    return df.join(usable, list(keys)).withColumn(out, F.when(F.col("_every"), chosen)).drop("_pick", "_every")
 
 
 def cut_windows(df: DataFrame, s: Series, channels: list[str], steps: int, stride: int, burn_in: int = 0,

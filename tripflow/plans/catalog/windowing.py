@@ -51,9 +51,9 @@ FILLED_SQL = _cut_sql(STEPS) + f""", near AS (
 
 
 @query("fixed_windows", f"""WITH {_cut_sql(STEPS)}
-SELECT trip, window_id, step, round(start_s, 5) AS start_s, bad, round(y, 6) AS y FROM cut""")
+SELECT trip, window_id, step, round(start_s, 6) AS start_s, bad, round(y, 6) AS y FROM cut""")
 def fixed_windows(spark, sf):
-    return _cut(spark, sf).select("trip", "window_id", "step", F.round("start_s", 5).alias("start_s"), "bad", F.round("y", 6).alias("y"))
+    return _cut(spark, sf).select("trip", "window_id", "step", F.round("start_s", 6).alias("start_s"), "bad", F.round("y", 6).alias("y"))
 
 
 @query("trip_start_windows", f"""WITH {_cut_sql(20, '0')}
@@ -67,9 +67,9 @@ def trip_start_windows(spark, sf):
 
 
 @query("gap_filled_windows", f"""WITH {FILLED_SQL}
-SELECT trip, window_id, step, round(p_heat_w, 5) AS p_heat_w, round(y, 5) AS y, round(speed_ms, 5) AS speed_ms FROM filled""")
+SELECT trip, window_id, step, round(p_heat_w, 8) AS p_heat_w, round(y, 8) AS y, round(speed_ms, 8) AS speed_ms FROM filled""")
 def gap_filled_windows(spark, sf):
-    return _filled(spark, sf).select("trip", "window_id", "step", *[F.round(c, 5).alias(c) for c in ("p_heat_w", "y", "speed_ms")])
+    return _filled(spark, sf).select("trip", "window_id", "step", *[F.round(c, 8).alias(c) for c in ("p_heat_w", "y", "speed_ms")])
 
 
 @query("absent_channel_is_zero", f"""WITH {SAMPLES_SQL}, days AS (
