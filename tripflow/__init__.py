@@ -1 +1,8 @@
 """Sensor-trip analytics on Spark: ingest, audit, window, score and replay fleet telemetry."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

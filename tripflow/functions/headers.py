@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters a header key ignores, and the accepted target names in order.
 DEGREES = "°º�"
@@ -34,7 +35,7 @@ def header_key(c: Column) -> Column:
     return _squeeze(F.translate(c, _KEY_BLANKS, " " * len(_KEY_BLANKS)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compatibility_form(text: pd.Series) -> pd.Series:
     """Unicode compatibility form; only for values that may hold non-ASCII letters."""
     return text.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.functions.headers import header_key_of
+from tripflow.functions.headers import header_key, header_key_of
 from tripflow.functions.scalars import lenient_double
 
 # Two readings agree within this absolute plus relative distance.
@@ -89,3 +89,13 @@ def lost_signals(sets: DataFrame, keys: list[str]) -> DataFrame:
     one = richest.withColumn("_one", F.lit(1))
     return (sets.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
             .select(*keys, "schema_id", F.array_except("_richest", "signals").alias("lost")))
+
+
+def rename_signals(long: DataFrame, names: dict[str, str], header: str = "header", out: str = "signal") -> DataFrame:
+    """Canonical name for every row of a long (header, value) table; unknown headers are dropped.
+
+    ``names`` maps header keys to signals and has the size of a schema.
+    """
+    spark = long.sparkSession
+    table = spark.createDataFrame(list(names.items()), f"_key string, {out} string")
+    return long.withColumn("_key", header_key(F.col(header))).join(F.broadcast(table), "_key").drop("_key")

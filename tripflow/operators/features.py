@@ -124,7 +124,7 @@ def select_features(df: DataFrame, cols: list[str], target: str, top_n: int = TO
 
 def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
     """Exact medians of the training rows, one number per column."""
-    return {c: exact_quantile(train, [], c, 0.5, "m").first()["m"] for c in cols}
+    return {c: row["m"] if (row := exact_quantile(train, [], c, 0.5, "m").first()) else None for c in cols}
 
 
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:

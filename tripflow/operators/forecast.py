@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.operators.ordered import Series, with_halo, with_position
-from tripflow.operators.quantiles import exact_quantile, order_statistic
+from tripflow.operators.quantiles import exact_quantile, exact_quantiles, order_statistics
 from tripflow.operators.scoring import conformal_rank
 
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -38,12 +38,9 @@ def lag_features(df: DataFrame, s: Series, value: str, lags: tuple[int, ...] = (
 def binned_quantiles(fit: DataFrame, keys: list[str], bins: str, label: str = "label", quantiles: dict[str, float] | None = None) -> DataFrame:
     """Empirical quantiles of the label per bin, with those of the key alone as fallback columns."""
     quantiles = QUANTILES if quantiles is None else quantiles
-    out = fit.select(*keys, bins).distinct()
-    for name, q in quantiles.items():
-        fine = exact_quantile(fit, [*keys, bins], label, q, name)
-        coarse = exact_quantile(fit, keys, label, q, f"any_{name}")
-        out = out.join(fine, [*keys, bins], "left").join(coarse, keys, "left")
-    return out
+    fine = exact_quantiles(fit, [*keys, bins], label, quantiles)
+    coarse = exact_quantiles(fit, keys, label, {f"any_{n}": q for n, q in quantiles.items()})
+    return fine.join(coarse, keys)
 
 
 def forecast(rows: DataFrame, table: DataFrame, keys: list[str], bins: str, names: tuple[str, ...] = tuple(QUANTILES)) -> DataFrame:
@@ -65,7 +62,7 @@ def conformal_shift(calibration: DataFrame, keys: list[str], label: str = "label
     NULL where the calibration rows are too few for any finite widening.
     """
     score = calibration.withColumn("_s", F.greatest(F.col(lo) - F.col(label), F.col(label) - F.col(hi)))
-    return order_statistic(score, keys, "_s", 1.0 - miss, lambda n: conformal_rank(n, miss) - 1, "shift")
+    return order_statistics(score, keys, "_s", {"shift": (1.0 - miss, lambda n: conformal_rank(n, miss) - 1)})
 
 
 def widen(df: DataFrame, shift: DataFrame, keys: list[str], lo: str = "p10", hi: str = "p90") -> DataFrame:

@@ -10,44 +10,52 @@ from pyspark.sql import functions as F
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, **kw) -> DataFrame:
     """Linear-interpolated quantile per group without gathering the group."""
-    return order_statistic(df, keys, value, q, lambda n: (n - 1) * F.lit(float(q)), out, **kw)
+    return exact_quantiles(df, keys, value, {out: q}, **kw)
 
 
-def order_statistic(df: DataFrame, keys: list[str], value: str, near: float, rank_of: Callable[[Column], Column],
-                    out: str, margin: float = 0.001, accuracy: int = 20_000) -> DataFrame:
-    """Value at the zero-based, possibly fractional rank ``rank_of(n)`` of each group.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], **kw) -> DataFrame:
+    """Several quantiles of the same groups in the same two passes."""
+    ranks = {name: (q, lambda n, q=q: (n - 1) * F.lit(float(q))) for name, q in quantiles.items()}
+    return order_statistics(df, keys, value, ranks, **kw)
 
-    ``rank_of(n)`` must lie within two ranks of ``near * n``.  A rank beyond the last row gives NULL.
 
-    A mergeable sketch brackets the quantile; rows below the bracket are only counted and just the
+def order_statistics(df: DataFrame, keys: list[str], value: str,
+                     ranks: dict[str, tuple[float, Callable[[Column], Column]]],
+                     margin: float = 0.001, accuracy: int = 20_000) -> DataFrame:
+    """Values at the zero-based, possibly fractional ranks ``rank_of(n)`` of each group.
+
+    ``ranks`` maps an output name to ``(near, rank_of)``; ``rank_of(n)`` must lie within two ranks
+    of ``near * n``.  A rank beyond the last row gives NULL.
+
+    A mergeable sketch brackets each rank.  Rows below a bracket are only counted and just the
     distinct values inside it are ranked, so a hot group sends a sliver of itself to the ranking.
-    The bracket always holds the wanted ranks: the sketch errs by at most n/accuracy ranks, the
-    bracket is ``margin`` of all ranks wide on both sides, and its ends are taken from the data.
+    A bracket always holds the wanted ranks: the sketch errs by at most n/accuracy ranks, the
+    bracket is ``margin`` of all ranks wide on both sides, and groups too small for that are
+    ranked whole.
     """
     named = bool(keys)
     if not named:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    names = list(ranks)
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    lo_q, hi_q = max(near - margin, 0.0), min(near + margin, 1.0)
-    bracket = src.groupBy(*keys).agg(
-        F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), F.lit(accuracy)).alias("_b"),
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # The bracket also spans the neighbours of the exact rank in groups too small for the margin.
+    marks = [m for near, _ in ranks.values() for m in (max(near - margin, 0.0), min(near + margin, 1.0))]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy))
+    sketched = src.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     small = F.col("_n") * (margin - 1.0 / accuracy) < 4
-    bracket = bracket.select(
-        *keys, "_n",
-        F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"))
-    joined = src.join(bracket, keys)
-    slot = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
-    counts = (joined.filter("_v <= _hi")
-              .groupBy(*keys, slot.alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_upto", upto)
-    rank = rank_of(F.col("_n"))
-    lower, upper = F.floor(rank), F.ceil(rank)
-    v_at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
-    picked = ranked.filter("_v IS NOT NULL").groupBy(*keys).agg(
-        v_at(lower).alias("_a"), v_at(upper).alias("_z"), F.first(rank - lower).alias("_f"))
-    return picked.select(*(keys if named else []), (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias(out))
+    spans = F.array(*[F.struct(F.lit(i).alias("w"), F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+                               F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi")) for i in range(len(names))])
+    brackets = sketched.select(*keys, "_n", spans.alias("_s"))
+    wanted = src.join(brackets, keys).select(*keys, "_n", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
+    slot = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))
+    counts = (wanted.groupBy(*keys, F.col("_s.w").alias("_w"), slot.alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
+    w = Window.partitionBy(*keys, "_w").orderBy(F.col("_v").asc_nulls_first())
+    ranked = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.coalesce(*[F.when(F.col("_w") == i, rank_of(F.col("_n"))) for i, (_, rank_of) in enumerate(ranks.values())])
+    at = lambda i, r: F.min(F.when((F.col("_w") == i) & (F.col("_upto") > r), F.col("_v")))
+    ends = [c for i in range(len(names)) for c in (
+        at(i, F.floor(rank)).alias(f"_a{i}"), at(i, F.ceil(rank)).alias(f"_z{i}"),
+        F.max(F.when(F.col("_w") == i, rank - F.floor(rank))).alias(f"_f{i}"))]
+    picked = ranked.groupBy(*keys).agg(*ends)
+    return picked.select(*(keys if named else []), *[
+        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)])

@@ -27,9 +27,9 @@ def _outcomes(spark, sf):
     return outcomes.outcome(s.select("trip", "cabin_c", power), ["trip", "policy"], "cabin_c", "p", 10.0, cold_weight=2.0)
 
 
-@query("policy_outcome", f"WITH {_POL_SQL} SELECT trip, policy, round(energy_wh, 4) AS energy_wh, round(discomfort_kmin, 4) AS discomfort_kmin, round(peak_w, 4) AS peak_w FROM out_")
+@query("policy_outcome", f"WITH {_POL_SQL} SELECT trip, policy, round(energy_wh, 6) AS energy_wh, round(discomfort_kmin, 6) AS discomfort_kmin, round(peak_w, 6) AS peak_w FROM out_")
 def policy_outcome(spark, sf):
-    return _outcomes(spark, sf).select("trip", "policy", *[F.round(c, 4).alias(c) for c in ("energy_wh", "discomfort_kmin", "peak_w")])
+    return _outcomes(spark, sf).select("trip", "policy", *[F.round(c, 6).alias(c) for c in ("energy_wh", "discomfort_kmin", "peak_w")])
 
 
 #: Frontier per supplier: line discounts are the swept points, target is the mean quantity of the supplier.
@@ -137,11 +137,11 @@ def future_label(spark, sf):
 @query("lag_features", f"""WITH {SAMPLES_SQL}
 SELECT trip, seq, round(lag(cabin_c, 1) OVER w, 6) AS lag_1, round(lag(cabin_c, 2) OVER w, 6) AS lag_2,
   round(avg(cabin_c) OVER (PARTITION BY trip ORDER BY time_s ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_3,
-  round(time_s - min(time_s) OVER (PARTITION BY trip), 5) AS elapsed_s FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s)""")
+  round(time_s - min(time_s) OVER (PARTITION BY trip), 6) AS elapsed_s FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s)""")
 def lag_features(spark, sf):
     s = samples(spark, sf).select("trip", "time_s", "seq", "cabin_c")
     out = forecast.lag_features(s, LOG, "cabin_c", rows=32)
-    return out.select("trip", "seq", *[F.round(c, 6).alias(c) for c in ("lag_1", "lag_2", "mean_3")], F.round("elapsed_s", 5).alias("elapsed_s"))
+    return out.select("trip", "seq", *[F.round(c, 6).alias(c) for c in ("lag_1", "lag_2", "mean_3")], F.round("elapsed_s", 6).alias("elapsed_s"))
 
 
 @query("persistence_forecast", f"""WITH {_GRID_SQL}
