@@ -79,13 +79,17 @@ def complete_columns(df: DataFrame, cols: list[str], at_least: float = COLUMN_SH
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Long table (a, b, r) of pairwise correlations over rows where both are present; undefined is NULL."""
-    def r(a: str, b: str) -> Column:
-        v = pearson(a, b)
-        return F.when(~F.isnan(v), v)
-    wide = df.agg(*[r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-                                          for i, (a, b) in enumerate(pairs)])))
+    """Long table (a, b, r) of pairwise correlations over rows where both are present; undefined is NULL.
+
+    Pairs are a dimension of one narrow aggregate, which stays in generated code for any number
+    of pairs; partial sums per pair are all that is shuffled.
+    """
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                               for i, (a, b) in enumerate(pairs)]))
+    found = (df.select(cells).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+             .groupBy("pair").agg(pearson("x", "y").alias("r")))
+    named = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    return named.join(found, "pair", "left").select("a", "b", "r")
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

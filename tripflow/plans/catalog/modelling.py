@@ -268,13 +268,13 @@ def top_mean_correlation(spark, sf):
     return features.top_mean_correlation(m, 3).withColumn("mean_abs_r", F.round("mean_abs_r", 6))
 
 
-_HURDLE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN least(7000.0::DOUBLE, round_even((exp(ln(1 + l_extendedprice / 12)) - 1) / 40, 0) * 40) ELSE 0 END AS predicted_w FROM lineitem"""
+_HURDLE_SQL = """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN least(7000.0::DOUBLE, round_even((exp(ln(1 + (l_extendedprice + 0.001::DOUBLE) / 12)) - 1) / 40, 0) * 40) ELSE 0 END AS predicted_w FROM lineitem"""
 
 
 @query("hurdle_prediction", _HURDLE_SQL)
 def hurdle_prediction(spark, sf):
     li = table(spark, sf, "lineitem")
-    p = features.hurdle(F.col("l_discount") * 10, F.log1p(F.col("l_extendedprice") / 12))
+    p = features.hurdle(F.col("l_discount") * 10, F.log1p((F.col("l_extendedprice") + 0.001) / 12))
     return li.select("l_orderkey", "l_linenumber", p.alias("predicted_w"))
 
 

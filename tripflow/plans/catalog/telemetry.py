@@ -66,11 +66,11 @@ def range_clean_rows(spark, sf):
 
 
 @query("block_mean_resample", f"""WITH {SAMPLES_SQL}
-SELECT trip, floor(time_s / 86400) * 86400.0::DOUBLE AS time_s, round(avg(heat_w), 6) AS heat_w,
-       round(avg(cabin_c), 6) AS cabin_c FROM samples GROUP BY trip, floor(time_s / 86400)""")
+SELECT trip, floor(time_s / 86400) * 86400.0::DOUBLE AS time_s, round(avg(heat_w), 8) AS heat_w,
+       round(avg(cabin_c), 8) AS cabin_c FROM samples GROUP BY trip, floor(time_s / 86400)""")
 def block_mean_resample(spark, sf):
     r = resample.block_mean(samples(spark, sf), 86_400.0, ["heat_w", "cabin_c"])
-    return r.select("trip", "time_s", F.round("heat_w", 6).alias("heat_w"), F.round("cabin_c", 6).alias("cabin_c"))
+    return r.select("trip", "time_s", F.round("heat_w", 8).alias("heat_w"), F.round("cabin_c", 8).alias("cabin_c"))
 
 
 @query("over_limit_top_trips", f"""WITH {SAMPLES_SQL}
