@@ -69,7 +69,8 @@ def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str
 
 def load_trips(spark: SparkSession, path: str, signal: str = "cabin_temp_c") -> DataFrame:
     """Read the store, keep the usable trips, and fail where there are none."""
-    trips = usable_trips(spark.read.parquet(path), signal)
+    every = spark.read.parquet(path)
+    trips = usable_trips(every, signal) if signal in every.columns else every.limit(0)
     if not trips.take(1):
         raise FileNotFoundError(f"no trip with {signal} under {path}")
     return trips
