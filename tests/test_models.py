@@ -295,8 +295,8 @@ def test_labels_skip_gaps_and_intervals_cover(spark):
     rows = spark.createDataFrame(pdf)
     cal, test = rows.filter("label > -100").limit(n // 2), rows
     wide = forecast.widen(test, forecast.conformal_shift(cal, ["h"]), ["h"])
-    c = scoring.coverage(wide, ["h"], "label", "p10_wide", "p90_wide").first()
-    assert c.coverage == pytest.approx(0.8, abs=0.03)
+    c = scoring.coverage(wide, ["h"], "label", {"wide": ("p10_wide", "p90_wide")}).first()
+    assert c.wide_coverage == pytest.approx(0.8, abs=0.03)
 
 
 def test_thinning_and_heads(spark):

@@ -182,8 +182,7 @@ def prediction_table(df: DataFrame, keys: list[str], actual: str, predicted: str
 
 def group_statistics(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Mean, sample deviation and exact median of a value per group."""
-    stats = df.groupBy(key).agg(F.avg(value).alias(f"{out}_mean"), F.stddev_samp(value).alias(f"{out}_sd"))
-    return stats.join(exact_quantile(df, [key], value, 0.5, f"{out}_median"), key, "left")
+    return exact_quantile(df, [key], value, 0.5, f"{out}_median", also={f"{out}_mean": F.avg, f"{out}_sd": F.stddev_samp})
 
 
 def thin(positioned: DataFrame, keys: list[str], at_most: int = 3000, pos: str = "pos") -> DataFrame:

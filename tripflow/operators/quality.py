@@ -35,10 +35,8 @@ def sample_interval(df: DataFrame, s: Series) -> DataFrame:
     """Per key: median sample interval, its spread, and whether it is irregular."""
     dt = (with_neighbours(df.select(*s.keys, s.time, *s.tie), s, [s.time], following=False)
           .select(*s.keys, (F.col(s.time) - F.col(f"prev_{s.time}")).alias("dt")).filter("dt IS NOT NULL"))
-    keys = list(s.keys)
-    spread = dt.groupBy(*keys).agg(F.stddev_pop("dt").alias("dt_sd_s"))
-    return (spread.join(exact_quantile(dt, keys, "dt", 0.5, "dt_median_s"), keys)
-            .withColumn("dt_irregular", F.col("dt_sd_s") > IRREGULAR_SD_S))
+    out = exact_quantile(dt, list(s.keys), "dt", 0.5, "dt_median_s", also={"dt_sd_s": F.stddev_pop})
+    return out.withColumn("dt_irregular", F.col("dt_sd_s") > IRREGULAR_SD_S)
 
 
 def _constant(c: str, keep: Column) -> Column:

@@ -21,11 +21,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
 
 def order_statistics(df: DataFrame, keys: list[str], value: str,
                      ranks: dict[str, tuple[float, Callable[[Column], Column]]],
-                     margin: float = 0.001, accuracy: int = 20_000) -> DataFrame:
+                     margin: float = 0.001, accuracy: int = 20_000, also: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Values at the zero-based, possibly fractional ranks ``rank_of(n)`` of each group.
 
     ``ranks`` maps an output name to ``(near, rank_of)``; ``rank_of(n)`` must lie within two ranks
-    of ``near * n``.  A rank beyond the last row gives NULL.
+    of ``near * n``.  A rank beyond the last row gives NULL.  ``also`` adds plain aggregates of the
+    value, taken in the sketch pass.
 
     A mergeable sketch brackets each rank.  Rows below a bracket are only counted and just the
     distinct values inside it are ranked, so a hot group sends a sliver of itself to the ranking.
@@ -40,15 +41,16 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     src = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     marks = [m for near, _ in ranks.values() for m in (max(near - margin, 0.0), min(near + margin, 1.0))]
     sketch = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy))
-    sketched = src.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    sketched = src.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                      F.struct(F.lit(0), *[f(F.col("_v")).alias(a) for a, f in (also or {}).items()]).alias("_also"))
     small = F.col("_n") * (margin - 1.0 / accuracy) < 4
     spans = F.array(*[F.struct(F.lit(i).alias("w"), F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
                                F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi")) for i in range(len(names))])
-    brackets = sketched.select(*keys, "_n", spans.alias("_s"))
-    wanted = src.join(brackets, keys).select(*keys, "_n", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
+    brackets = sketched.select(*keys, "_n", "_also", spans.alias("_s"))
+    wanted = src.join(brackets, keys).select(*keys, "_n", "_also", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
     slot = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))
     counts = (wanted.groupBy(*keys, F.col("_s.w").alias("_w"), slot.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
+              .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_also").alias("_also")))
     w = Window.partitionBy(*keys, "_w").orderBy(F.col("_v").asc_nulls_first())
     ranked = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rank = F.coalesce(*[F.when(F.col("_w") == i, rank_of(F.col("_n"))) for i, (_, rank_of) in enumerate(ranks.values())])
@@ -56,6 +58,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     ends = [c for i in range(len(names)) for c in (
         at(i, F.floor(rank)).alias(f"_a{i}"), at(i, F.ceil(rank)).alias(f"_z{i}"),
         F.max(F.when(F.col("_w") == i, rank - F.floor(rank))).alias(f"_f{i}"))]
-    picked = ranked.groupBy(*keys).agg(*ends)
+    picked = ranked.groupBy(*keys).agg(F.first("_also").alias("_also"), *ends)
     return picked.select(*(keys if named else []), *[
-        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)])
+        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
+        *[F.col(f"_also.{a}").alias(a) for a in (also or {})])

@@ -53,15 +53,23 @@ def relaxation_rmse(windows: DataFrame, y: str, ambient: str, horizons: list[int
     return rmse_by_horizon(tried, pred - F.col(y), horizons, ("tau_s",), out="exponential")
 
 
+def baseline_rmse(windows: DataFrame, y: str, ambient: str, horizons: list[int], dt_s: float = 1.0,
+                  taus: tuple[float, ...] = RELAXATION_TAUS) -> DataFrame:
+    """Both baselines in one pass: persistence is relaxation that never comes to anything."""
+    every = relaxation_rmse(windows, y, ambient, horizons, dt_s, (*taus, float("inf")))
+    still = F.col("tau_s") == float("inf")
+    return every.groupBy("horizon").agg(F.max(F.when(still, F.col("exponential"))).alias("persistence"),
+                                        F.min(F.when(~still, F.col("exponential"))).alias("exponential"))
+
+
 def best_relaxation(per_tau: DataFrame) -> DataFrame:
     return per_tau.groupBy("horizon").agg(F.min("exponential").alias("exponential"),
                                           F.min_by("tau_s", "exponential").alias("tau_s"))
 
 
-def skill_table(model: DataFrame, persistence: DataFrame, exponential: DataFrame) -> DataFrame:
+def skill_table(model: DataFrame, baselines: DataFrame) -> DataFrame:
     """Horizon, the three errors, and the share of the better baseline's error that is removed."""
-    j = model.join(persistence, "horizon").join(exponential.select("horizon", "exponential"), "horizon")
-    return j.select("horizon", "model", "persistence", "exponential",
+    return model.join(baselines, "horizon").select("horizon", "model", "persistence", "exponential",
                     skill(F.col("model"), F.col("persistence"), F.col("exponential")).alias("skill"))
 
 
@@ -147,9 +155,12 @@ def pinball(actual: Column, predicted: Column, q: float | Column) -> Column:
     return F.greatest(q * e, (q - 1.0) * e)
 
 
-def coverage(df: DataFrame, keys: list[str], actual: str, lo: str, hi: str) -> DataFrame:
-    inside = F.col(actual).between(F.col(lo), F.col(hi))
-    return df.groupBy(*keys).agg(F.avg(inside.cast("int")).alias("coverage"), F.avg(F.col(hi) - F.col(lo)).alias("width"))
+def coverage(df: DataFrame, keys: list[str], actual: str, intervals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Share of rows inside each named interval, and its mean width, in one pass."""
+    y = F.col(actual)
+    parts = [c for name, (lo, hi) in intervals.items() for c in (
+        F.avg(y.between(F.col(lo), F.col(hi)).cast("int")).alias(f"{name}_coverage"), F.avg(F.col(hi) - F.col(lo)).alias(f"{name}_width"))]
+    return df.groupBy(*keys).agg(*parts)
 
 
 def conformal_rank(n: Column, miss: float) -> Column:

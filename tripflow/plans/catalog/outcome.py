@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripflow.operators import forecast, ordered, outcomes, policies, resample, scoring
+from tripflow.plans import evaluation
 from tripflow.plans.registry import query
 from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples, table
 
@@ -171,7 +172,7 @@ _FC_SQL = _GRID_SQL + f""", fine AS (
 def _forecast(spark, sf):
     r = _roles(spark, sf)
     keys = ["fold", "horizon"]
-    t = forecast.binned_quantiles(r.filter("role = 'fit'"), keys, "bin")
+    t = evaluation.fit_forecast(r.filter("role = 'fit'"), keys, "bin")
     return forecast.forecast(r.filter("role <> 'fit'"), t, keys, "bin")
 
 
@@ -199,8 +200,7 @@ def conformal_shift(spark, sf):
 SELECT horizon, round(avg((label BETWEEN p10 AND p90)::INT), 6) AS raw_coverage, round(avg((label BETWEEN p10 - shift AND p90 + shift)::INT), 6) AS coverage,
   round(avg(p90 - p10 + 2 * shift), 5) AS width FROM fc JOIN shift USING (fold, horizon) WHERE role = 'test' GROUP BY 1""")
 def conformal_coverage(spark, sf):
-    f = _forecast(spark, sf)
-    wide = forecast.widen(f.filter("role = 'test'"), forecast.conformal_shift(f.filter("role = 'calibrate'"), ["fold", "horizon"]), ["fold", "horizon"])
-    raw = scoring.coverage(wide, ["horizon"], "label", "p10", "p90").select("horizon", F.round("coverage", 6).alias("raw_coverage"))
-    done = scoring.coverage(wide, ["horizon"], "label", "p10_wide", "p90_wide")
-    return done.select("horizon", F.round("coverage", 6).alias("coverage"), F.round("width", 5).alias("width")).join(raw, "horizon")
+    wide = evaluation.calibrated_forecast(_roles(spark, sf), ["fold", "horizon"], "bin")
+    both = scoring.coverage(wide, ["horizon"], "label", {"raw": ("p10", "p90"), "conformal": ("p10_wide", "p90_wide")})
+    return both.select("horizon", F.round("raw_coverage", 6).alias("raw_coverage"), F.round("conformal_coverage", 6).alias("coverage"),
+                       F.round("conformal_width", 5).alias("width"))

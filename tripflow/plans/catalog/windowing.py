@@ -261,7 +261,7 @@ SELECT fold, arg_min(param_set, loss) AS param_set, round(min(loss), 5) AS train
 FROM scored GROUP BY 1""")
 def parameter_search(spark, sf):
     arrays = _arrays(spark, sf)
-    every = arrays.select("trip").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    every = samples(spark, sf).select("trip").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2))))
     roles = every.withColumn("role", F.when(F.col("trip") % 3 == F.col("fold"), "test").otherwise("train"))
     best = evaluation.search(arrays, roles, _GRID, STEPS, dt_s=DT)
     return best.select("fold", "param_set", F.round("train_loss", 5).alias("train_loss"), F.round("test_rmse", 5).alias("test_rmse"))

@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.operators import outcomes, rollout, scoring, windows
+from tripflow.operators import forecast, outcomes, rollout, scoring, windows
+from tripflow.session import durable
 
 CHANNELS = ["y", *rollout.CHANNELS]
 
@@ -17,8 +18,8 @@ def plant_table(filled: DataFrame, plant: rollout.Plant, horizons: tuple[int, ..
     """Model and baseline errors with skill at every horizon that fits, and at full length."""
     hs = scoring.scored_horizons(horizons, length)
     sums = rollout.rollout_sums(windows.as_arrays(filled, CHANNELS), [plant], hs, dt_s=dt_s)
-    relax = scoring.relaxation_rmse(filled, "y", "amb_temp_c", hs, dt_s if relax_dt_s is None else relax_dt_s)
-    return scoring.skill_table(rollout.rollout_rmse(sums, ()), scoring.persistence_rmse(filled, "y", hs), scoring.best_relaxation(relax))
+    base = scoring.baseline_rmse(filled, "y", "amb_temp_c", hs, dt_s if relax_dt_s is None else relax_dt_s)
+    return scoring.skill_table(rollout.rollout_rmse(sums, ()), base)
 
 
 def search(arrays: DataFrame, roles: DataFrame, grid: list[rollout.Plant], horizon: int, y: str = "y", vent: str | None = None,
@@ -71,3 +72,24 @@ def perturbation_sweep(filled: DataFrame, plant: rollout.Plant, dt_s: float, col
     states = rollout.rollout_states(windows.as_arrays(filled, CHANNELS), rollout.perturbed(plant), dt_s=dt_s)
     j = states.join(filled.select("trip", "window_id", "step", "p_heat_w"), ["trip", "window_id", "step"])
     return outcomes.outcome(j.withColumnRenamed("param_set", "perturbation"), [*keys, "perturbation"], "t_cab", "p_heat_w", dt_s, cold_weight)
+
+
+def fit_forecast(fit: DataFrame, keys: list[str], bins: str, label: str = "label") -> DataFrame:
+    """Quantile table of the fitting rows.
+
+    It has one row per key and bin and everything after it reads it several times, so it is
+    written to the checkpoint folder once instead of being refitted per use.
+    """
+    return durable(forecast.binned_quantiles(fit, keys, bins, label))
+
+
+def calibrated_forecast(rows: DataFrame, keys: list[str], bins: str, label: str = "label", miss: float = 0.2,
+                        role: str = "role") -> DataFrame:
+    """Test rows with raw and conformal intervals; ``role`` says fit, calibrate or test.
+
+    All folds and horizons run in the same jobs, as key columns.
+    """
+    table = fit_forecast(rows.filter(F.col(role) == "fit"), keys, bins, label)
+    calibration = forecast.forecast(rows.filter(F.col(role) == "calibrate"), table, keys, bins)
+    test = forecast.forecast(rows.filter(F.col(role) == "test"), table, keys, bins)
+    return forecast.widen(test, forecast.conformal_shift(calibration, keys, label, miss=miss), keys)
