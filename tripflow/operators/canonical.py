@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tripflow.functions.headers import header_key, header_key_of
 from tripflow.functions.scalars import lenient_double
+from tripflow.operators.ordered import attach
 
 # Two readings agree within this absolute plus relative distance.
 ABS_TOL, REL_TOL = 1e-8, 1e-5
@@ -39,7 +40,7 @@ def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -
         verdict = out.groupBy(*keys).agg(
             *[F.bool_or(disagree(F.col(f"_m_{s}"), F.col(copies[s][level]))).alias(f"_bad{level}_{s}")
               for s in here])
-        out = out.join(verdict, keys)
+        out = attach(out, verdict, keys)
         bad = {s: F.col(f"_bad{level}_{s}") for s in here}
         names = lambda yes: F.array_compact(F.array(
             *[F.when(bad[s] if yes else ~bad[s], F.lit(s)) for s in here]))

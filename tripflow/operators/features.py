@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import clip, finite, hinge, pearson, round_to_step, state_label
+from tripflow.operators.ordered import attach
 from tripflow.operators.quantiles import exact_quantile
 
 # Target limits, activity threshold, completeness, selection and rounding.
@@ -189,7 +190,7 @@ def thin(positioned: DataFrame, keys: list[str], at_most: int = 3000, pos: str =
     """Every k-th row of keys with more than ``at_most`` rows, as for a plot."""
     size = positioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     k = F.when(F.col("_n") > at_most, F.floor(F.col("_n") / at_most)).otherwise(F.lit(1))
-    return positioned.join(size, keys).filter(F.col(pos) % k == 0).drop("_n")
+    return attach(positioned, size, keys).filter(F.col(pos) % k == 0).drop("_n")
 
 
 def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripflow.operators.ordered import Series, with_halo, with_position
+from tripflow.operators.ordered import Series, attach, with_halo, with_position
 from tripflow.operators.quantiles import exact_quantile, exact_quantiles, order_statistics
 from tripflow.operators.scoring import conformal_rank
 
@@ -31,7 +31,7 @@ def lag_features(df: DataFrame, s: Series, value: str, lags: tuple[int, ...] = (
     w = Window.partitionBy(*s.keys, "_rows").orderBy("pos")
     added = {f"lag_{k}": F.lag(value, k).over(w) for k in lags}
     added[f"mean_{mean_of}"] = F.avg(value).over(w.rowsBetween(-(mean_of - 1), 0))
-    return (lent.withColumns(added).filter("_own").drop("_rows", "_own").join(start, list(s.keys))
+    return (attach(lent.withColumns(added).filter("_own").drop("_rows", "_own"), start, list(s.keys))
             .withColumn("elapsed_s", F.col(s.time) - F.col("_t0")).drop("_t0"))
 
 
@@ -47,7 +47,7 @@ def forecast(rows: DataFrame, table: DataFrame, keys: list[str], bins: str, name
     """Quantiles of each row's bin, or of the key where the bin was never seen in fitting."""
     fine = table.select(*keys, bins, *names)
     coarse = table.select(*keys, *[f"any_{n}" for n in names]).distinct()
-    j = rows.join(fine, [*keys, bins], "left").join(coarse, keys, "left")
+    j = attach(attach(rows, fine, [*keys, bins], "left"), coarse, keys, "left")
     return j.withColumns({n: F.coalesce(n, f"any_{n}") for n in names}).drop(*[f"any_{n}" for n in names])
 
 
@@ -66,5 +66,5 @@ def conformal_shift(calibration: DataFrame, keys: list[str], label: str = "label
 
 
 def widen(df: DataFrame, shift: DataFrame, keys: list[str], lo: str = "p10", hi: str = "p90") -> DataFrame:
-    j = df.join(shift, keys, "left")
+    j = attach(df, shift, keys, "left")
     return j.withColumns({f"{lo}_wide": F.col(lo) - F.col("shift"), f"{hi}_wide": F.col(hi) + F.col("shift")})

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = "_block"
 
@@ -51,6 +52,20 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy(BLOCK)
 
 
+def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", by: list[str] | None = None,
+           spread: int = 32) -> DataFrame:
+    """Join rows to a table of one row per key without sending a hot key to one task.
+
+    The table is repeated ``spread`` times and every row picks a copy by a hash of its own values,
+    so a key is spread over that many tasks, and a later aggregate by key starts from partial
+    results.  Where the table is small Spark broadcasts it and nothing is shuffled.
+    """
+    plain = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, T.AtomicType)]
+    salt = F.pmod(F.xxhash64(*(by or plain or [F.lit(0)])), F.lit(spread))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+    return df.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_position(df: DataFrame, s: Series, out: str = "pos") -> DataFrame:
     """Zero-based row position inside each key: rows of earlier blocks plus rank in the block."""
     blocked = s.with_block(df)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.operators.ordered import attach
+
 
 def discomfort(cabin: Column, cold_weight: float, setpoint: float = 22.0, band: float = 1.0) -> Column:
     """Kelvin outside the comfort band; the weight of cold has no default, it is a choice."""
@@ -33,7 +35,7 @@ def head_rows(positioned: DataFrame, n: int, keys: list[str], pos: str = "pos")
     """First n rows of every key that has them, and the keys that are too short."""
     size = positioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     long_enough = size.filter(F.col("rows") >= n).select(*keys)
-    return positioned.filter(F.col(pos) < n).join(long_enough, keys, "left_semi"), size.filter(F.col("rows") < n)
+    return attach(positioned.filter(F.col(pos) < n), long_enough, keys, "left_semi"), size.filter(F.col("rows") < n)
 
 
 def frontier_energy(frontier: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:

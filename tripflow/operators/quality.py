@@ -34,7 +34,7 @@ def range_counts(df: DataFrame, keys: list[str], value: str, limit: float = HEAT
 def sample_interval(df: DataFrame, s: Series) -> DataFrame:
     """Per key: median sample interval, its spread, and whether it is irregular."""
     dt = (with_neighbours(df.select(*s.keys, s.time, *s.tie), s, [s.time], following=False)
-          .select(*s.keys, (F.col(s.time) - F.col(f"prev_{s.time}")).alias("dt")).filter("dt IS NOT NULL"))
+          .select(*s.keys, s.time, (F.col(s.time) - F.col(f"prev_{s.time}")).alias("dt")).filter("dt IS NOT NULL"))
     out = exact_quantile(dt, list(s.keys), "dt", 0.5, "dt_median_s", also={"dt_sd_s": F.stddev_pop})
     return out.withColumn("dt_irregular", F.col("dt_sd_s") > IRREGULAR_SD_S)
 

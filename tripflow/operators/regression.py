@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import finite, kmh_to_ms, pearson
-from tripflow.operators.ordered import Series, gradient
+from tripflow.operators.ordered import Series, attach, gradient
 
 # What counts as steady, heater efficiency, rows a trip needs, and the verdict.
 SETPOINT_C, WARM_MARGIN_C, MAX_RATE_C_S, MIN_POWER_W, MIN_GAP_C = 22.0, 4.0, 0.005, 200.0, 5.0
@@ -27,7 +27,7 @@ def with_steady(df: DataFrame, s: Series, cabin: str = "cabin_temp_c", ambient:
     if any(c not in df.columns for c in need):
         return df.withColumn(out, F.lit(False))
     enough = df.groupBy(*s.keys).agg(((F.count_if(finite(speed_kmh)) >= 2) & (F.count_if(finite(s.time)) >= 2)).alias("_enough"))
-    sloped = gradient(df, s, cabin, "_rate").join(enough, list(s.keys))
+    sloped = attach(gradient(df, s, cabin, "_rate"), enough, list(s.keys))
     real = lambda c: F.when(finite(c), F.col(c))
     test = ((real(cabin) > setpoint - margin) & (F.abs(real("_rate")) < max_rate) & (real(power) > min_power)
             & (real(cabin) - real(ambient) > min_gap) & finite(speed_kmh) & F.col("_enough"))

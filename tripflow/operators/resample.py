@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import finite
-from tripflow.operators.ordered import Series, with_halo, with_position
+from tripflow.operators.ordered import Series, attach, with_halo, with_position
 
 
 def block_mean(df: DataFrame, period_s: float, values: list[str], keys: tuple[str, ...] = ("trip",),
@@ -44,7 +44,7 @@ def effective_sample_size(df: DataFrame, s: Series, value: str, max_lag: int = 5
     good = df.filter(finite(value)).select(key, s.time, *s.tie, F.col(value).cast("double").alias("x"))
     stats = good.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("_mean"),
                                   (F.min("x") == F.max("x")).alias("_flat"))
-    centred = (with_position(good, s).join(stats, key)
+    centred = (attach(with_position(good, s), stats, [key])
                .select(F.col(key).alias("trip"), "pos", (F.col("x") - F.col("_mean")).alias("x")))
     blocks = (with_halo(centred, block_rows, after=max_lag).groupBy("trip", "_rows")
               .agg(F.count_if("_own").alias("own"), F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("v")))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripflow.operators.ordered import Series, with_position
+from tripflow.operators.ordered import Series, attach, with_position
 
 
 def _move(x, request, step):
@@ -106,7 +106,7 @@ def slew(df: DataFrame, s: Series, request: str, step: float, out: str, carry: l
               .agg(packed.alias("_rows")).withColumn("requests", F.col("_rows._r")))
     if bounds is None:
         span = asked.groupBy(*keys).agg(F.min(F.least("_r", "_before")).alias("lo"), F.max(F.greatest("_r", "_before")).alias("hi"))
-        bounded = blocks.join(span, keys)
+        bounded = attach(blocks, span, keys, by=["_b"])
     else:
         bounded = blocks.withColumns({"lo": F.lit(float(bounds[0])), "hi": F.lit(float(bounds[1]))})
     anchor = F.coalesce(F.col("_rows")[0]["_before"], F.col("_rows")[0]["_r"])

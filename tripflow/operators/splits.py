@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripflow.operators.ordered import Series, with_last_valid, with_neighbours
+from tripflow.operators.ordered import Series, attach, with_last_valid, with_neighbours
 
 
 def sessions(overview: DataFrame, by: tuple[str, ...] = (), trip: str = "trip", day: str = "day",
@@ -49,7 +49,7 @@ def group_problems(trips: DataFrame, groups: DataFrame, trip: str = "trip") -> D
 
 def holdout(trips: DataFrame, held: DataFrame, trip: str = "trip") -> tuple[DataFrame, DataFrame]:
     """(development, hold-out) parts of a table by a list of trips."""
-    return trips.join(held, trip, "left_anti"), trips.join(held, trip, "left_semi")
+    return attach(trips, held, [trip], "left_anti"), attach(trips, held, [trip], "left_semi")
 
 
 def cold_trips(trips: DataFrame, ambient: str, below: float = 0.0, trip: str = "trip") -> DataFrame:
@@ -61,24 +61,24 @@ def group_sizes(labels: DataFrame, group: str = "group") -> DataFrame:
     return labels.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def deal_folds(sizes: DataFrame, k: int, group: str = "group", bins: int = 4096) -> DataFrame:
+def deal_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
     """Groups dealt to ``k`` folds in a serpentine, largest first, ties by label.
 
-    The rank of a group is its rank inside a hash-free size bin plus the groups in larger bins, so
-    the ranking is spread over tasks for any number of groups.
+    A group ranks by its place among groups of its size and label prefix, plus the groups before
+    those.  Only the counts per size and prefix are ordered as a whole.
     """
-    size_bin = F.least(F.col("size"), F.lit(bins))
-    binned = sizes.withColumn("_bin", size_bin)
-    counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
-    larger = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_bin", F.coalesce(F.sum("_n").over(larger), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc("size"), group)) - 1 + F.col("_base")
-    ranked = binned.join(base, "_bin").withColumn("_r", rank)
+    binned = sizes.withColumn("_p", F.substring(F.col(group).cast("string"), 1, prefix) if sizes.schema[group].dataType.typeName() == "string"
+                              else F.floor(F.col(group) / 10 ** prefix))
+    counts = binned.groupBy("size", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(F.desc("size"), "_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("size", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("size", "_p").orderBy(group)) - 1 + F.col("_base")
+    ranked = binned.join(base, ["size", "_p"]).withColumn("_r", rank)
     lap, seat = F.floor(F.col("_r") / k), F.col("_r") % k
     return ranked.select(group, "size", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
 
 
-def balance_folds(sizes: DataFrame, k: int, group: str = "group", limit: int = 200_000) -> DataFrame:
+def balance_folds(sizes: DataFrame, k: int, group: str = "group", limit: int = 20_000) -> DataFrame:
     """Greedy balance: each group, largest first, goes to the lightest fold (the lowest on ties).
 
     The rule is sequential over groups, not rows; one group is one small entry.  Beyond ``limit``
@@ -116,14 +116,14 @@ def overlap(roles: DataFrame, what: str) -> DataFrame:
 
 
 def random_group_split(groups: DataFrame, seed: int = 42, test: float = 0.30, final: float = 0.50,
-                       group: str = "group", bins: int = 256) -> DataFrame:
+                       group: str = "group") -> DataFrame:
     """Groups split into train/val/test in a seeded order; shares are rounded up, as 26/6/6 of 38.
 
     Groups are ordered by a hash of seed and label.  Ranks come from counts per hash prefix, so
     no task orders all groups.
     """
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))
-    keyed = groups.select(group).distinct().select(group, h.alias("_h"), F.substring(h, 1, 2 if bins <= 256 else 3).alias("_p"))
+    keyed = groups.select(group).distinct().select(group, h.alias("_h"), F.substring(h, 1, 3).alias("_p"))
     per = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

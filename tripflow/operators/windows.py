@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import kmh_to_ms, missing_if_nan
-from tripflow.operators.ordered import Series, with_position
+from tripflow.operators.ordered import Series, attach, with_position
 
 # Scored length, stride, step and accepted share of missing rows.
 HORIZON_S, STRIDE_S, STEP_S, MAX_GAP = 1200, 300, 1.0, 0.02
@@ -28,7 +28,7 @@ def model_inputs(df: DataFrame, optional: tuple[str, ...] = ("heat_power_req_w",
     heat, ac, amb, speed = optional
     df = df.withColumns({c: F.lit(None).cast("double") for c in optional if c not in df.columns})
     seen = df.groupBy(*keys).agg(*[F.count(missing_if_nan(c)).alias(f"_n_{c}") for c in optional])
-    out = df.join(seen, list(keys))
+    out = attach(df, seen, list(keys))
 
     def channel(c: str) -> Column:
         return F.when(F.col(f"_n_{c}") == 0, F.lit(0.0)).otherwise(missing_if_nan(c))
@@ -46,7 +46,7 @@ def first_available(df: DataFrame, choices: tuple[str, ...], out: str, keys: tup
     every = picks.agg(F.bool_and(F.col("_pick").isNotNull()).alias("_every")).withColumn("_one", F.lit(1))
     chosen = F.coalesce(*[F.when(F.col("_pick") == i, F.col(c)) for i, c in enumerate(have)])
     usable = picks.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").drop("_one")   # one row
-    return df.join(usable, list(keys)).withColumn(out, F.when(F.col("_every"), chosen)).drop("_pick", "_every")
+    return attach(df, usable, list(keys)).withColumn(out, F.when(F.col("_every"), chosen)).drop("_pick", "_every")
 
 
 def cut_windows(df: DataFrame, s: Series, channels: list[str], steps: int, stride: int, burn_in: int = 0,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripflow.functions.scalars import lenient_double, notes_contain, payload_kg, stamp_day
-from tripflow.operators.ordered import first_per_key
+from tripflow.operators.ordered import attach, first_per_key
 
 # Overview headers, the form of a trip id, the note of a warm start.
 OVERVIEW_COLUMNS = {
@@ -64,7 +64,7 @@ def write_trips(df: DataFrame, path: str, key: str = "trip") -> None:
 def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str, ...] = ("trip",)) -> DataFrame:
     """Only trips that carry a signal at all."""
     have = trips.groupBy(*keys).agg(F.count(signal).alias("_n")).filter("_n > 0").select(*keys)
-    return trips.join(have, list(keys), "left_semi")
+    return attach(trips, have, list(keys), "left_semi")
 
 
 def load_trips(spark: SparkSession, path: str, signal: str = "cabin_temp_c") -> DataFrame:
