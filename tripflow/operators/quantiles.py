@@ -41,9 +41,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     if not named:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     names = list(ranks)
-    rest = [F.col(f.name).alias(f"_r{i}") for i, f in enumerate(df.schema.fields)
-            if f.name not in (*keys, value) and isinstance(f.dataType, T.NumericType)]     # tell equal values apart
-    src = df.select(*keys, F.col(value).cast("double").alias("_v"), *rest).filter("_v IS NOT NULL")
+    # Rows of equal value are told apart by their other numbers, so that they spread over tasks.
+    rest = [f.name for f in df.schema.fields if f.name not in (*keys, value) and isinstance(f.dataType, T.NumericType)]
+    src = (df.select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(value, *rest).alias("_h"))
+           .filter("_v IS NOT NULL"))
     marks = [m for near, _ in ranks.values() for m in (max(near - margin, 0.0), min(near + margin, 1.0))]
     sketch = F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), F.lit(accuracy))
     sketched = src.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
@@ -52,7 +53,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     spans = F.array(*[F.struct(F.lit(i).alias("w"), F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
                                F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi")) for i in range(len(names))])
     brackets = sketched.select(*keys, "_n", "_also", spans.alias("_s"))
-    wanted = attach(src, brackets, keys).select(*keys, "_n", "_also", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
+    wanted = attach(src, brackets, keys, by=["_h"]).select(*keys, "_n", "_also", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
     slot = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))
     counts = (wanted.groupBy(*keys, F.col("_s.w").alias("_w"), slot.alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_also").alias("_also")))

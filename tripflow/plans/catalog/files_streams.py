@@ -8,6 +8,7 @@ from tripflow.functions import signals as sig
 from tripflow.operators import ordered
 from tripflow.plans import ingest
 from tripflow.plans.registry import query
+from tripflow.session import scratch
 from tripflow.sources import delimited, store
 from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, samples, telemetry
 from tripflow.streaming import online
@@ -17,7 +18,7 @@ from tripflow.streaming import online
 
 def _write_logs(spark, sf) -> str:
     """The log as delimited files of two dialects, with split, doubled, unknown and empty columns."""
-    root = online.scratch(spark, "logs")
+    root = scratch(spark, "logs")
     s = samples(spark, sf)
     raw = s.select(
         F.col("time_s").alias("Time [s]"), F.when(F.col("channel") != "view", F.col("speed_kmh")).alias("Velocity [km/h]"),
@@ -66,7 +67,7 @@ def ingest_report(spark, sf):
 
 @query("store_roundtrip", f"""WITH {SAMPLES_SQL} SELECT channel, count(*) AS rows, round(sum(cabin_c), 4) AS cabin_c FROM samples WHERE channel <> 'error' GROUP BY channel""")
 def store_roundtrip(spark, sf):
-    path = online.scratch(spark, "store")
+    path = scratch(spark, "store")
     store.write_trips(samples(spark, sf), path, key="channel")
     kept = store.usable_trips(spark.read.parquet(path), "heat_w", ("channel",))
     return kept.groupBy("channel").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("cabin_c"), 4).alias("cabin_c"))
@@ -75,7 +76,7 @@ def store_roundtrip(spark, sf):
 @query("report_roundtrip", f"""WITH {TELEMETRY_SQL} SELECT trip::VARCHAR AS trip, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels, count(*)::VARCHAR AS rows
 FROM telemetry GROUP BY trip""")
 def report_roundtrip(spark, sf):
-    path = online.scratch(spark, "report")
+    path = scratch(spark, "report")
     t = telemetry(spark, sf).groupBy("trip").agg(F.array_sort(F.collect_set("channel")).alias("channels"), F.count(F.lit(1)).alias("rows"),
                                                  F.map_from_arrays(F.collect_set("channel"), F.collect_set("channel")).alias("dropped"))
     store.write_report(t, path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tripflow", cores: int | str = "*", shuffle_partitions: int = 8,
@@ -40,10 +41,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def durable(df):
-    """Cut the lineage of a table several jobs reuse, in storage that survives executor loss."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one run below the shared checkpoint folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that later jobs read several times, where the loss of an executor cannot touch it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from tripflow.operators import guards
 from tripflow.operators.ordered import Series, attach
-from tripflow.session import checkpoint_root
+from tripflow.session import scratch
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -41,11 +40,6 @@ def sessions(stream: DataFrame, gap: str, keys: list[str], delay: str, ts: str =
     return out.select(*keys, F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one run below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Run over all data that is there, into a table of files written exactly once."""
     spark = stream.sparkSession
