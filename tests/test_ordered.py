@@ -40,6 +40,26 @@ def test_position_matches_cumcount(df, log):
     assert (got["pos"].to_numpy() == want).all()
 
 
+@pytest.mark.parametrize("hottest", [1, 10])
+def test_dense_keys_get_shorter_blocks(spark, df, log, hottest):
+    more = df.unionByName(df.filter("trip = 'b'").withColumn("trip", F.lit("b2")))
+    s = ordered.Series(block_s=1e6).fitted(more, rows=20, hottest=hottest)
+    sizes = {r.trip: (r.b, r.m) for r in s.with_block(more).groupBy("trip", ordered.BLOCK).count().groupBy("trip")
+             .agg(F.count("*").alias("b"), F.max("count").alias("m")).collect()}
+    assert sizes["hot"][0] >= 15 and sizes["hot"][1] < 60 and sizes["b"][0] >= 2 and sizes["c"] == (1, 1)
+    got = pdf_of(ordered.with_position(df, s), "trip", "time_s")
+    assert (got["pos"].to_numpy() == log.sort_values(["trip", "time_s"]).groupby("trip").cumcount().to_numpy()).all()
+    assert ordered.Series(block_s=1e6).fitted(more, rows=1000).block is None
+
+
+def test_attach_keeps_every_join_type(spark):
+    d = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2)], "k string, v int")
+    t = spark.createDataFrame([("a", 7), ("b", 8)], "k string, w int")
+    assert ordered.attach(d, t, ["k"]).count() == 51 and ordered.attach(d, t, ["k"], "left").count() == 52
+    assert ordered.attach(d, t, ["k"], "left_semi").count() == 51
+    assert [r.k for r in ordered.attach(d, t, ["k"], "left_anti").collect()] == ["c"]
+
+
 def test_neighbours_keep_missing_values_missing(df, log):
     got = pdf_of(ordered.with_neighbours(df, S, ["x"]), "trip", "time_s")
     ref = log.sort_values(["trip", "time_s"]).groupby("trip")["x"]

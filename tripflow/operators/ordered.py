@@ -7,7 +7,7 @@ from a table with one row per block, small enough to be ordered per trip.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +36,28 @@ class Series:
         block = F.floor(F.col(self.time).cast("double") / F.lit(float(self.block_s)))
         return df.withColumn(BLOCK, F.coalesce(block, F.lit(-(2 ** 62))))
 
+    def fitted(self, df: DataFrame, rows: int = 1_000_000, hottest: int = 1000) -> Series:
+        """Shorter blocks where ``block_s`` would hold more than ``rows`` rows on average.
+
+        One map-side aggregate over key and clock finds the dense keys.  Those that need the
+        shortest blocks get their own length; if there are more than ``hottest``, all others share
+        the shortest length any of them needs.  At most ``hottest + 1`` keys reach the driver.
+        """
+        (key,) = self.keys
+        t = F.col(self.time).cast("double")
+        reach = F.least(F.lit(self.block_s), F.col("_span"))
+        share = reach / F.nullif(F.col("_span"), F.lit(0.0))
+        dense = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), (F.max(t) - F.min(t)).alias("_span"))
+                 .withColumn("_rows", F.col("_n") * share).filter((F.col("_rows") > rows) & (reach > 0))
+                 .withColumn("_length", reach * rows / F.col("_rows"))
+                 .orderBy("_length", key).limit(hottest + 1).collect())
+        if not dense:
+            return self
+        common = self.block_s if len(dense) <= hottest else dense[-1]["_length"]
+        own = [F.lit(v) for r in dense[:hottest] for v in (r[key], r["_length"])]
+        length = F.coalesce(F.try_element_at(F.create_map(*own), F.col(key)), F.lit(common))
+        return replace(self, block=F.coalesce(F.floor(t / length), F.lit(-(2 ** 62))))
+
     @property
     def block_keys(self) -> list[str]:
         return [*self.keys, BLOCK]

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripflow.operators import guards, ordered, policies
+from tripflow.operators import guards, policies
 from tripflow.plans.registry import query
-from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples
+from tripflow.sources.tables import SAMPLES_SQL, log_series, samples
 
-LOG = ordered.Series(block_s=WEEK_S)
 DT = 10.0
-#: Rows per scan block; small here so that the short trips of the log cross blocks.
-ROWS = 32
 
 
 def _steps(spark, sf):
@@ -48,7 +45,7 @@ def thermostat_policy(spark, sf):
 SELECT trip, seq, round(greatest(0.0::DOUBLE, least(7000.0::DOUBLE, 800.0::DOUBLE * e + i)), 5) AS pi_w FROM walk""")
 def pi_policy(spark, sf):
     s = _steps(spark, sf).withColumn("cabin_c", F.coalesce("cabin_c", F.lit(20.0)))
-    out = policies.pi_policy(s, LOG, "cabin_c", ["seq"], DT, rows=ROWS)
+    out = policies.pi_policy(s, log_series(spark, sf), "cabin_c", ["seq"], DT)
     return out.select("trip", "seq", F.round("pi_w", 5).alias("pi_w"))
 
 
@@ -61,7 +58,7 @@ def pi_policy(spark, sf):
 SELECT trip, seq, round(a, 5) AS applied_w, CASE WHEN abs(a - p) >= 1e-6 THEN 'rate limit' END AS reason FROM walk""")
 def rate_limit(spark, sf):
     s = _steps(spark, sf).withColumn("proposed", F.coalesce("proposed", F.lit(0.0)))
-    out = guards.rate_limit(s, LOG, "proposed", DT, ["seq", "proposed"], max_rate=50.0, rows=ROWS)
+    out = guards.rate_limit(s, log_series(spark, sf), "proposed", DT, ["seq", "proposed"], max_rate=50.0)
     return out.select("trip", "seq", F.round("applied_w", 5).alias("applied_w"),
                       guards.rate_reason(F.col("applied_w"), F.col("proposed")).alias("reason"))
 
@@ -78,7 +75,7 @@ def rate_limit(spark, sf):
 SELECT trip, seq, round(q, 5) AS lagged FROM walk""")
 def lag_filter(spark, sf):
     s = _steps(spark, sf).withColumn("proposed", F.coalesce("proposed", F.lit(0.0)))
-    out = policies.lag_filter(s, LOG, "proposed", 45.0, DT, ["seq"], rows=ROWS)
+    out = policies.lag_filter(s, log_series(spark, sf), "proposed", 45.0, DT, ["seq"])
     return out.select("trip", "seq", F.round("lagged", 5).alias("lagged"))
 
 
@@ -125,7 +122,7 @@ _SUPERVISED = f"""{_STEPS}, judged AS (
 
 
 def _supervised(spark, sf):
-    out = guards.supervise(_steps(spark, sf), LOG, "proposed", "backup", _situation(), DT, ["seq"], max_rate=200.0, rows=ROWS)
+    out = guards.supervise(_steps(spark, sf), log_series(spark, sf), "proposed", "backup", _situation(), DT, ["seq"], max_rate=200.0)
     return out.withColumn("reason", _plain())
 
 

@@ -128,7 +128,7 @@ SELECT trip, seq, round(a, 5) AS applied_w, CASE WHEN p <> c THEN 'actuator limi
 def stream_guarded_commands(spark, sf):
     s = _stream(spark, sf).select(F.col("user_id").alias("trip"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("time_s"),
                                   (F.col("value") * 40 - 100).alias("proposed"))
-    out = online.guarded_commands(s, ordered.Series(block_s=WEEK_S), "proposed", 10.0, ["seq"], max_rate=100.0, rows=64)
+    out = online.guarded_commands(s, ordered.Series(block_s=WEEK_S), "proposed", 10.0, ["seq"], max_rate=100.0)
     return out.select("trip", "seq", F.round("applied_w", 5).alias("applied_w"), "reason")
 
 

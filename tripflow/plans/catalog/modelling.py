@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from tripflow.functions.scalars import round_to_step, state_label
 from tripflow.operators import features, ordered, regression, scoring
 from tripflow.plans.registry import query
-from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples, table
+from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
-LOG = ordered.Series(block_s=WEEK_S)
 
 # ---- regression --------------------------------------------------------------------------------
 
@@ -22,7 +21,7 @@ _STEADY = SAMPLES_SQL + """, near AS (
 
 
 def _steady(spark, sf):
-    return regression.with_steady(samples(spark, sf), LOG, "cabin_c", "amb_c", "speed_kmh", "heat_w", setpoint=9.0,
+    return regression.with_steady(samples(spark, sf), log_series(spark, sf), "cabin_c", "amb_c", "speed_kmh", "heat_w", setpoint=9.0,
                                   max_rate=0.0005, min_gap=2.0)
 
 
@@ -302,7 +301,7 @@ def feature_importance(spark, sf):
   SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos, count(*) OVER (PARTITION BY trip) AS n FROM samples)
 SELECT trip, seq FROM p WHERE pos % (CASE WHEN n > 20 THEN n // 20 ELSE 1 END) = 0""")
 def thinned_rows(spark, sf):
-    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s", "seq"), LOG)
+    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s", "seq"), log_series(spark, sf))
     return features.thin(placed, ["trip"], 20).select("trip", "seq")
 
 

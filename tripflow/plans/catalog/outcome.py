@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from tripflow.operators import forecast, ordered, outcomes, policies, resample, scoring
 from tripflow.plans import evaluation
 from tripflow.plans.registry import query
-from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples, table
+from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
-LOG = ordered.Series(block_s=WEEK_S)
 DAY = 86_400.0
 
 # ---- outcomes ----------------------------------------------------------------------------------
@@ -76,7 +75,7 @@ def range_gain(spark, sf):
 @query("head_rows", f"""WITH {SAMPLES_SQL}, p AS (SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY time_s) AS r, count(*) OVER (PARTITION BY trip) AS n FROM samples)
 SELECT trip, max(n) AS rows, CASE WHEN max(n) >= 60 THEN 'scored' ELSE 'skipped' END AS state FROM p WHERE r <= 60 GROUP BY trip""")
 def head_rows(spark, sf):
-    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s"), LOG)
+    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s"), log_series(spark, sf))
     head, short = outcomes.head_rows(placed, 60, ["trip"])
     sizes = placed.groupBy("trip").agg(F.count(F.lit(1)).alias("rows"))
     scored = head.groupBy("trip").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "trip").select("trip", "rows", F.lit("scored").alias("state"))
@@ -141,7 +140,7 @@ SELECT trip, seq, round(lag(cabin_c, 1) OVER w, 6) AS lag_1, round(lag(cabin_c,
   round(time_s - min(time_s) OVER (PARTITION BY trip), 6) AS elapsed_s FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s)""")
 def lag_features(spark, sf):
     s = samples(spark, sf).select("trip", "time_s", "seq", "cabin_c")
-    out = forecast.lag_features(s, LOG, "cabin_c", rows=32)
+    out = forecast.lag_features(s, log_series(spark, sf), "cabin_c")
     return out.select("trip", "seq", *[F.round(c, 6).alias(c) for c in ("lag_1", "lag_2", "mean_3")], F.round("elapsed_s", 6).alias("elapsed_s"))
 
 

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from tripflow.operators import canonical, ordered, quality, resample
 from tripflow.operators.quantiles import exact_quantile
 from tripflow.plans.registry import query
-from tripflow.sources.tables import (OVERVIEW_SQL, SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, overview, samples,
+from tripflow.sources.tables import (OVERVIEW_SQL, SAMPLES_SQL, TELEMETRY_SQL, log_series, overview, samples,
                                      table, telemetry)
 
-LOG = ordered.Series(block_s=WEEK_S)
 SIGNALS = ["heat_w", "cabin_c", "amb_c", "speed_kmh", "ac_w", "volts", "amps"]
 
 
 def _quality(spark, sf):
-    return quality.quality_record(samples(spark, sf), LOG, "heat_w", SIGNALS)
+    return quality.quality_record(samples(spark, sf), log_series(spark, sf), "heat_w", SIGNALS)
 
 
 _PRESENT = "list_filter([" + ", ".join(
@@ -211,7 +210,7 @@ def unit_change(spark, sf):
 SELECT trip, round(stddev_pop(dt), 3) AS dt_sd_s, round(median(dt), 7) AS dt_median_s,
        stddev_pop(dt) > 1e-6 AS dt_irregular FROM d WHERE dt IS NOT NULL GROUP BY trip""")
 def sample_interval(spark, sf):
-    out = quality.sample_interval(telemetry(spark, sf), LOG)
+    out = quality.sample_interval(telemetry(spark, sf), log_series(spark, sf))
     return out.select("trip", F.round("dt_sd_s", 3).alias("dt_sd_s"), F.round("dt_median_s", 7).alias("dt_median_s"),
                       "dt_irregular")
 
@@ -219,7 +218,7 @@ def sample_interval(spark, sf):
 @query("row_position", f"""WITH {TELEMETRY_SQL}
 SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos FROM telemetry""")
 def row_position(spark, sf):
-    return ordered.with_position(telemetry(spark, sf), LOG).select("trip", "seq", "pos")
+    return ordered.with_position(telemetry(spark, sf), log_series(spark, sf)).select("trip", "seq", "pos")
 
 
 @query("signal_gradient", f"""WITH {SAMPLES_SQL}, n AS (
@@ -228,7 +227,7 @@ def row_position(spark, sf):
 SELECT trip, seq, round(1e6 * CASE WHEN hs IS NULL THEN (f1 - f) / hd WHEN hd IS NULL THEN (f - f0) / hs
   ELSE (hs * hs * f1 + (hd * hd - hs * hs) * f - hd * hd * f0) / (hs * hd * (hs + hd)) END, 4) AS micro_rate FROM n""")
 def signal_gradient(spark, sf):
-    g = ordered.gradient(samples(spark, sf).select("trip", "seq", "time_s", "cabin_c"), LOG, "cabin_c", "rate")
+    g = ordered.gradient(samples(spark, sf).select("trip", "seq", "time_s", "cabin_c"), log_series(spark, sf), "cabin_c", "rate")
     return g.select("trip", "seq", F.round(F.col("rate") * 1e6, 4).alias("micro_rate"))
 
 
@@ -250,7 +249,7 @@ def exact_median(spark, sf):
   SELECT r.trip, sum(rho) AS total FROM rho r LEFT JOIN stop s USING (trip) WHERE k0 IS NULL OR k < k0 GROUP BY r.trip)
 SELECT v.trip, n, round(n / (1 + 2 * coalesce(total, 0)), 6) AS n_eff FROM v LEFT JOIN tot USING (trip)""")
 def effective_sample_size(spark, sf):
-    e = resample.effective_sample_size(telemetry(spark, sf), LOG, "value", max_lag=16)
+    e = resample.effective_sample_size(telemetry(spark, sf), log_series(spark, sf), "value", max_lag=16)
     return e.withColumn("n_eff", F.round("n_eff", 6))
 
 

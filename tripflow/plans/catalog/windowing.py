@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import duct_temperature, kmh_to_ms
-from tripflow.operators import ordered, rollout, scoring, windows
+from tripflow.operators import rollout, scoring, windows
 from tripflow.plans import evaluation
 from tripflow.plans.registry import query
-from tripflow.sources.tables import SAMPLES_SQL, WEEK_S, samples, table
+from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
-LOG = ordered.Series(block_s=WEEK_S)
 CHANNELS = ["y", *rollout.CHANNELS]
 STEPS, STRIDE, GAP = 16, 4, 0.2
 
@@ -22,7 +21,7 @@ def _inputs(spark, sf):
 
 
 def _cut(spark, sf, **kw):
-    return windows.cut_windows(_inputs(spark, sf), LOG, CHANNELS, STEPS, STRIDE, max_gap=GAP, **kw)
+    return windows.cut_windows(_inputs(spark, sf), log_series(spark, sf), CHANNELS, STEPS, STRIDE, max_gap=GAP, **kw)
 
 
 def _filled(spark, sf):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripflow.operators.ordered import Series
+
 #: Zero of the log clock; a literal, so that seconds need no pass over the data.
 CLOCK_ZERO = "2024-01-01 00:00:00"
 #: One week of log: the time block the ordered operators use on this sparse log.
@@ -52,6 +54,11 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_totalprice") / 20000.0 - 5.0).alias("amb_start_c"))
 
 
+def log_series(spark: SparkSession, sf_dir: str) -> Series:
+    """Order of the log: weekly blocks, shorter for trips that are dense."""
+    return Series(block_s=WEEK_S).fitted(telemetry(spark, sf_dir))
+
+
 #: The same views for the SQL side.
 TELEMETRY_SQL = f"""telemetry AS (
   SELECT user_id AS trip, date_diff('microsecond', TIMESTAMP '{CLOCK_ZERO}', ts)::DOUBLE / 1e6 AS time_s,

@@ -78,7 +78,7 @@ def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, c
             known = spark.read.schema(last_schema).parquet(f"{root}/last/batch={i - 1}")
         else:
             known = spark.createDataFrame([], last_schema)
-        out = guards.rate_limit(attach(safe, known, keys, "left"), s, "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, proposed, "_cmd"])),
+        out = guards.rate_limit(attach(safe, known, keys, "left"), s.fitted(safe), "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, proposed, "_cmd"])),
                                 max_rate=max_rate, previous="_last", bounds=(0.0, max_w), rows=rows)
         reason = F.coalesce(F.when(~F.coalesce(F.col(proposed) == F.col("_cmd"), F.lit(False)), clamp(F.col(proposed))["reason"]),
                             guards.rate_reason(F.col("applied_w"), F.col("_cmd")))
