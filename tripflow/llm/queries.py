@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import exact_dedup
+from tripflow.llm import chat, exact_dedup, line_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,53 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
     FROM t WINDOW w AS (PARTITION BY t)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest_col="text_sha256")
+
+
+@query("op5_interleaved_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sharding.interleaved(table(spark, sf_dir, "documents"), 40)
+    return d.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query("op6_line_dedup", r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM d),
+    nb AS (SELECT doc_id, i, trim(x, ' ' || chr(9) || chr(13)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j,
+                  count(*) OVER (PARTITION BY doc_id) AS n
+           FROM l WHERE trim(x, ' ' || chr(9) || chr(13)) <> ''),
+    w AS (SELECT doc_id, j, n, [i, lead(i) OVER d, lead(i, 2) OVER d] AS covers, [x, lead(x) OVER d, lead(x, 2) OVER d] AS key
+          FROM nb WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    o AS (SELECT doc_id, covers, row_number() OVER (PARTITION BY key ORDER BY doc_id, j) AS r FROM w WHERE j <= n - 2 OR (n < 3 AND j = 1)),
+    g AS (SELECT doc_id, list_distinct(flatten(list(covers))) AS gone FROM o WHERE r > 1 GROUP BY doc_id)
+    SELECT d.doc_id, len(d.lines) AS n_lines, coalesce(len(g.gone), 0) AS n_removed,
+           array_to_string([x FOR x, i IN d.lines IF NOT coalesce(list_contains(g.gone, i - 1), false)], chr(10)) AS text
+    FROM d LEFT JOIN g USING (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query("op7_chat_formatting", f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           sum(29 + length(replace(replace(role, '\\', '\\b'), '<', '\\l')) + length(replace(replace(text, '\\', '\\b'), '<', '\\l')))::BIGINT AS formatted_chars
+    FROM c GROUP BY conv_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.sql(f"SELECT -7L AS conv_id, turn, role, '{CONTROL}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"))
+    each = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    events = rows.withColumns({"message": F.row_number().over(each), "seq": F.lit(0), "kind": F.lit("message")})
+    r = chat.render(chat.fold(events))
+    turns = F.array_join(F.transform(chat.parsed(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    r = r.withColumn("learned", chat.masked(F.col("formatted"), F.col("loss_spans")))
+    return r.select(F.col("conv").alias("conv_id"), F.size(chat.parsed(F.col("formatted"))).cast("long").alias("n_turns"),
+                    F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"),
+                    F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
