@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import chat, exact_dedup, line_dedup, sharding
+from tripflow.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("conv").alias("conv_id"), F.size(chat.parsed(F.col("formatted"))).cast("long").alias("n_turns"),
                     F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"),
                     F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
