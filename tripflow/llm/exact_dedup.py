@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     groups = (rows.filter("__full IS NOT NULL").groupBy("__full")
               .agg(F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    groups = durable(groups, "dedup-groups")  # a table of its own, so that AQE can split a hot group in the join
     again = rows.filter("__full IS NOT NULL").join(groups, "__full").select("__id", "__digest", "keep_id", "group_size")
     alone = rows.filter("__full IS NULL").select("__id", "__digest", F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = again.unionByName(alone).withColumn("kept", F.col("__id").eqNullSafe(F.col("keep_id")))
