@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import bpe, chat, exact_dedup, line_dedup, packing, sharding
+from tripflow.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    model = langid.learn(d.select("doc_id", "text", "lang"))
+    rows = d.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text")
+    return langid.predicted(rows, model).drop("text")
