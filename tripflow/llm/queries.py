@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import bpe, chat, exact_dedup, langid, line_dedup, packing, sharding
+from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(d.select("doc_id", "text", "lang"))
     rows = d.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text")
     return langid.predicted(rows, model).drop("text")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
