@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, sharding
+from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_extraction")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op2_top_k", """
+    WITH e AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a * c.v[i] FOR a, i IN q.v])::BIGINT AS score
+          FROM e AS q JOIN e AS c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(e, e.filter("vec_id % 100 = 0"), 10)
