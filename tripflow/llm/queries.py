@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, sharding, topk
+from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, partenum, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(e, e.filter("vec_id % 100 = 0"), 10)
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

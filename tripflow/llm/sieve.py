@@ -32,3 +32,15 @@ def mark(df: DataFrame, sieve: DataFrame, name: str, *key: Column) -> DataFrame:
     byte = F.expr(f"substring(__bitmap, (__slot & {(1 << PAGE) - 1}) div 8 + 1, 1)")
     bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(__slot & 7 as int))")) != 0
     return d.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
+
+
+def only(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is in ``keys``; only rows that pass the sieve reach the join."""
+    return mark(df, build(keys, col), "__hit", F.col(col)).filter("__hit").drop("__hit").join(keys, col, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is not in ``keys``; rows that miss the sieve need no join."""
+    d = mark(df, build(keys, col), "__hit", F.col(col))
+    rest = d.filter("__hit").join(keys, col, "left_anti").select(*d.columns)
+    return d.filter("NOT __hit").unionByName(rest).drop("__hit")
