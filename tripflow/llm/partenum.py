@@ -11,9 +11,10 @@
    Empty projections say nothing; a set leaves them out if so few of its groups are near empty that a shared
    signature that is not empty remains certain for every partner, and emits them otherwise.
 4. Within a signature's bucket not all pairs are formed. The member with the largest shared part of its set is the hub, and
-   members are checked against it; after the links are contracted to components, buckets that still hold several
-   components get the remaining pairs between different components checked. Pairs inside a component are redundant, all
-   others in a bucket are checked exactly, so no link between components is lost.
+   members are checked against it. After the links are contracted to components, a similar pair that is still apart has a
+   member outside its hub's component; those members are checked against all others of their buckets that share one of
+   the rarest quarter of their elements, as similar sets do. Pairs inside a component are redundant, so no link between
+   components is lost.
 
 Elements that many documents of a batch share are counted there and sent on as one row, so frequent shingles are
 aggregated before they are shuffled; joins on classes and signatures have a table on either side, so AQE can split them.
@@ -40,7 +41,7 @@ from tripflow.llm.components import components
 from tripflow.session import durable
 
 WORDS = 5
-MORE = 0.06  # of a set's size: elements beyond the first quarter that the first filter looks at
+MORE = 0.12  # of a set's size: elements beyond the first quarter that the first filter looks at
 PARTS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -188,54 +189,93 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return rows.groupBy("c").agg(F.sum(F.abs("n")).cast("bigint").alias("n"))
 
 
-def _signed(sets: DataFrame) -> DataFrame:
-    """(sig, c, size, n): one row per signature."""
+def _stars(sets: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (x, hub): the members of each signature's bucket with its hub, the member of least ``v``.
+
+    A bucket with several members in one Arrow batch has a hub there, and only that hub goes on to the corpus-wide bucket.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
+            names, lists = batch.column(0).to_numpy(), batch.column(1)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             signed = [np.unique(signatures(values[a:b])) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(signed)], names=["c", "size", "n", "sigs"])
-
-    rows = sets.select("c", "size", "n", "set").mapInArrow(run, "c bigint, size bigint, n bigint, sigs array<bigint>")
-    return rows.select(F.explode("sigs").alias("sig"), "c", "size", "n")
-
-
-# a pair can only reach 0.75 if both shared parts hold the intersection that its sizes ask for
-POSSIBLE = "3 * (a.size + b.size) <= 7 * least(a.n, b.n)"
+            v, sig = np.repeat(names, [len(s) for s in signed]), np.concatenate([*signed, np.zeros(0, np.int64)])
+            order = np.lexsort((v, sig))
+            v, sig = v[order], sig[order]
+            leads = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, bool)
+            hub = v[leads][np.cumsum(leads) - 1]
+            local = np.unique(np.stack([v[~leads], hub[~leads]], 1), axis=0)
+            member = np.concatenate([v[leads], local[:, 0]])
+            known = pa.array(np.concatenate([v[leads], local[:, 1]]), mask=np.arange(len(member)) < leads.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[leads], local[:, 0]])), pa.array(member), known], names=["sig", "x", "hub"])
+
+    rows = sets.select("v", "set").mapInArrow(run, "sig bigint, x bigint, hub bigint")
+    to_here = Window.partitionBy("sig", F.col("hub").isNull()).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("first", F.first("x").over(to_here))
+    return rows.select("x", F.coalesce("hub", "first").alias("hub")).filter("x <> hub").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose sets have a Jaccard of 0.75 or more."""
-    p = pairs.join(sets.select(F.col("c").alias("x"), F.col("set").alias("x_set")), "x")
-    p = p.join(sets.select(F.col("c").alias("y"), F.col("set").alias("y_set")), "y")
+    def side(col: str, *attributes: str) -> DataFrame:
+        return sets.select(F.col("v").alias(col), *[F.col(a).alias(f"{col}_{a}") for a in attributes])
+
+    # the intersection that the sizes ask for must fit into what either set shares with anything
+    p = pairs.join(side("x", "size", "n"), "x").join(side("y", "size", "n"), "y")
+    p = p.filter("3 * (x_size + y_size) <= 7 * least(x_n, y_n)").select("x", "y")
+    p = p.join(side("x", "set"), "x").join(side("y", "set"), "y")
     both = F.size(F.array_intersect("x_set", "y_set"))
     either = F.size("x_set") + F.size("y_set") - both
     return p.withColumn("hit", 100 * both >= 75 * either).filter("hit").select("x", "y")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """Links (x, y) that connect all similar sets; ``sets`` has c, size, n (shared elements) and set, one row per c."""
-    m = durable(_signed(sets), "jaccard-signatures")
-    # the hub of a bucket: the largest part of its set is shared, so copies of it are the likeliest to be near it
-    member = F.struct((F.col("n") * -1.0 / F.col("size")).alias("rank"), "c", "size", "n")
-    hubs = m.groupBy("sig").agg(F.min(member).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    hubs = durable(hubs.select("sig", "hub.c", "hub.size", "hub.n"), "jaccard-hubs")
-    star = m.alias("a").join(hubs.alias("b"), "sig").filter(f"a.c <> b.c AND {POSSIBLE}")
-    star = durable(star.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct(), "jaccard-pairs")
-    first = durable(_verified(star, sets), "jaccard-links")
-
-    label = components(first).withColumnsRenamed({"node": "c", "root": "comp"})
-    label = durable(label, "jaccard-labels")
-    in_bucket = m.join(hubs.select("sig"), "sig", "left_semi").join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    hub_comp = hubs.select("sig", "c").join(label, "c", "left").select("sig", F.coalesce("comp", "c").alias("hub_comp"))
-    in_bucket = durable(in_bucket.join(hub_comp, "sig"), "jaccard-buckets")
-    apart = durable(in_bucket.filter("comp <> hub_comp").drop("hub_comp"), "jaccard-apart")
-    mixed_ = in_bucket.join(apart.select("sig").distinct(), "sig", "left_semi")
-    rest = apart.alias("a").join(mixed_.alias("b"), "sig").filter(f"a.comp <> b.comp AND {POSSIBLE}")
-    rest = rest.select(F.least("a.c", "b.c").alias("x"), F.greatest("a.c", "b.c").alias("y")).distinct()
-    rest = durable(rest.join(star, ["x", "y"], "left_anti"), "jaccard-pairs")
-    return first.unionByName(_verified(rest, sets))
+def _open(stars: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that are not in the component of their bucket's hub, and all members of such buckets (column v)."""
+    comp = [label.select(F.col("v").alias(c), F.col("comp").alias(f"{c}_comp")) for c in ("x", "hub")]
+    seen = stars.join(comp[0], "x", "left").join(comp[1], "hub", "left")
+    seen = durable(seen.filter("coalesce(x_comp, x) <> coalesce(hub_comp, hub)").select("x", "hub"), "jaccard-open")
+
+    def members(hubs: DataFrame) -> DataFrame:
+        return stars.join(hubs.select(F.col("v").alias("hub")), "hub", "left_semi").select(F.col("x").alias("v"))
+
+    apart = seen.select(F.col("x").alias("v")).distinct()
+    # an open member may be a batch's hub, whose members then are open too
+    apart = durable(apart.union(members(apart)).distinct(), "jaccard-apart")
+    hubs = seen.select(F.col("hub").alias("v"))
+    hubs = durable(hubs.union(stars.join(hubs.select(F.col("v").alias("x")), "x", "left_semi").select("hub")).distinct(), "jaccard-hubs")
+    below = durable(members(hubs).union(hubs).distinct(), "jaccard-members")
+    return apart, durable(below.union(members(below)).union(apart).distinct(), "jaccard-members")
+
+
+def _rest(stars: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, y) still to check: one is open, they lie in different components and share one of the rarest quarter of
+    their elements (by count among the members of open buckets), as similar sets do."""
+    apart, among = _open(stars, label)
+    e = sets.join(among, "v", "left_semi").select("v", "size", F.explode("set").alias("h"))
+    often = e.groupBy("h").count().filter("count > 1")
+    e = e.join(durable(often, "jaccard-often"), "h")
+    mine = Window.partitionBy("v")
+    place = F.row_number().over(mine.orderBy("count", "h")) + F.col("size") - F.count(F.lit(1)).over(mine)
+    e = e.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("size") / 4) + 1)
+    e = e.join(label, "v", "left").select("h", "v", "size", "place", F.coalesce("comp", "v").alias("comp"))
+    e = durable(e, "jaccard-rare")
+    a, b = e.join(apart, "v", "left_semi").alias("a"), e.alias("b")
+    # the rarest common element and what follows it must hold the intersection that the sizes ask for
+    room = "3 * (a.size + b.size) <= 7 * (1 + least(a.size - a.place, b.size - b.place))"
+    met = a.join(b, "h").filter(f"a.comp <> b.comp AND {room}")
+    return met.select(F.least("a.v", "b.v").alias("x"), F.greatest("a.v", "b.v").alias("y")).distinct()
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """``v`` and ``comp``: the components of all sets that have a similar one. ``sets``: v, size, n (shared elements), set."""
+    stars = durable(_stars(sets), "jaccard-stars")
+    first = durable(_verified(stars.select("x", F.col("hub").alias("y")), sets), "jaccard-links")
+    label = durable(components(first).select(F.col("node").alias("v"), F.col("root").alias("comp")), "jaccard-labels")
+    tested = stars.select(F.least("x", "hub").alias("x"), F.greatest("x", "hub").alias("y"))
+    rest = durable(_rest(stars, label, sets).join(tested, ["x", "y"], "left_anti"), "jaccard-rest")
+    more_ = _verified(rest, sets)
+    both = label.select(F.col("v").alias("x"), F.col("comp").alias("y")).unionByName(more_)
+    return components(both).select(F.col("node").alias("v"), F.col("root").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,12 +289,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     texts = sieve.only(rows.select("key", "text"), alive, "key").dropDuplicates(["key"])
     whole = durable(_sets(texts.select("text"), whole=True), "jaccard-sets")
-    sets = durable(whole.join(shared_counts(whole), "c").filter("4 * n >= 3 * size"), "jaccard-sets")
-
-    label = durable(components(links(sets)), "jaccard-labels")
-    known = label.join(classes.select(F.col("c").alias("node"), "id"), "node")
-    least = durable(known.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-components")
-    of_class = classes.join(label.join(least, "root").select(F.col("node").alias("c"), "component_id"), "c", "left")
+    sets = whole.join(shared_counts(whole), "c").filter("4 * n >= 3 * size")
+    # from here on sets go by a number whose order prefers those of which the largest part is shared: copies of them are near
+    rank = F.floor((F.col("size") - F.col("n")) * 1000 / F.col("size")).cast("long")
+    sets = durable(sets.withColumn("v", F.shiftleft(rank, 53) + F.monotonically_increasing_id()), "jaccard-sets")
+
+    label = durable(similar(sets).join(sets.select("v", "c"), "v").join(classes.select("c", "id"), "c"), "jaccard-labels")
+    least = durable(label.groupBy("comp").agg(F.min("id").alias("component_id")), "jaccard-components")
+    of_class = classes.join(label.join(least, "comp").select("c", "component_id"), "c", "left")
     of_class = durable(of_class.select("c", F.coalesce("component_id", "id").alias("component_id")), "jaccard-components")
     linked = heads.filter("c IS NOT NULL").join(of_class, "c").select("id", F.col("size").alias("n_shingles"), "component_id")
     empty = heads.filter("c IS NULL").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
