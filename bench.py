@@ -18,7 +18,7 @@ from tripflow.session import build_session  # noqa: E402
 
 HEADLINE = ("trip_quality", "range_clean", "block_mean_resample", "over_limit_top_trips", "schema_variants", "merge_agreeing_columns",
             "row_position", "signal_gradient", "effective_sample_size", "driving_sessions", "group_folds_dealt", "group_split_70_15_15",
-            "gap_filled_windows", "skill_by_horizon", "rollout_score", "parameter_search", "pooled_ols", "fixed_effects_ols",
+            "gap_filled_windows", "skill_by_horizon", "window_score", "forecast_skill", "pooled_ols", "fixed_effects_ols",
             "regression_metrics", "confusion_matrix", "select_features", "conformal_coverage", "policy_outcome", "iso_target_lookup",
             "pi_policy", "rate_limit", "takeover_log", "lag_filter", "delimited_scan", "stream_resample")
 

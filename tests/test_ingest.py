@@ -35,7 +35,6 @@ def test_header_keys():
     assert headers.header_key_of("﻿Battery Temperature [°C]") == "battery temperature c"
     assert headers.header_key_of("Battery Temperature [�C]") == "battery temperature c"
     assert headers.plain_key_of("max. SoC [%)") == "max state of charge %"
-    assert headers.numbered_names(["A [x]", "a x", "B", "A-x"]) == ["a x", "a x__dup2", "b", "a x__dup3"]
 
 
 def test_header_keys_as_columns_agree_with_names(spark):
@@ -58,11 +57,17 @@ def test_vocabulary_is_complete_and_tiers_are_honest():
         sig.key_map([sig.Signal("a", None, "X [y]"), sig.Signal("b", None, "x (y)")])
 
 
-def test_target_search():
-    assert headers.find_target(["Heating Power CAN [kW]", "Requested Heating Power [W]"]) == "Requested Heating Power [W]"
-    assert headers.find_target(["x", "Total Power of Seat Heating"]) == "Total Power of Seat Heating"
-    with pytest.raises(ValueError):
-        headers.find_target(["x"])
+def test_duplicates_and_targets(spark):
+    d = spark.createDataFrame([("f", i, n) for i, n in enumerate(["A [x]", "a x", "B", "A-x"])], "file string, at int, name string")
+    got = headers.number_duplicates(d.withColumn("k", headers.plain_key(F.col("name"))), ["file"], "k", "at", "unique").orderBy("at").collect()
+    assert [r.unique for r in got] == ["a x", "a x__dup2", "b", "a x__dup3"]
+    t = spark.createDataFrame([(n,) for n in ("Heating Power CAN [kW]", "Requested Heating Power [W]", "Total Power of Seat Heating", "x")], "n string")
+    rank = {r.n: r.r for r in t.select("n", headers.target_rank(headers.plain_key(F.col("n"))).alias("r")).collect()}
+    assert rank["x"] is None and rank["Requested Heating Power [W]"] < rank["Total Power of Seat Heating"]
+    assert rank["Requested Heating Power [W]"] < rank["Heating Power CAN [kW]"]
+
+
+def test_leaky_names():
     assert headers.is_leaky_name("Heater Signal") and not headers.is_leaky_name("Velocity [km/h]")
 
 

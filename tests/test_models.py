@@ -1,4 +1,4 @@
-"""Windows, rollouts, regression, folds, guards, forecasts: invariants and analytic results."""
+"""Windows, regression, folds, guards, forecasts: invariants and analytic results."""
 
 import math
 
@@ -7,12 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.operators import features, forecast, guards, outcomes, regression, rollout, scoring, splits, windows
+from tripflow.operators import features, forecast, guards, outcomes, parameters, regression, scoring, splits, windows
 from tripflow.operators.ordered import Series
-from tripflow.plans import evaluation
 
 S = Series(block_s=300.0)
-CH = ["y", *rollout.CHANNELS]
+CH = ["y", "p_heat_w", "p_ac_w", "amb_temp_c", "speed_ms"]
 
 
 def trip(name, n, seed=0):
@@ -70,73 +69,21 @@ def test_first_available_needs_every_trip(spark):
     assert {r.x for r in windows.first_available(more, ("u", "v"), "x").collect()} == {None}
 
 
-PLANT = rollout.Plant(ua1=0.0, tau_h=45.0, name="true")
-
-
-def simulated(spark, plant=PLANT, n=4, steps=200):
-    rng = np.random.default_rng(7)
-    rows = []
-    for i in range(n):
-        heat = np.repeat(rng.uniform(0, 6000, steps // 20), 20)
-        rows.append((f"t{i}", 0, 0.0, [float(5 + i)] * steps, heat.tolist(), [0.0] * steps, [float(i)] * steps, [10.0] * steps))
-    d = spark.createDataFrame(rows, "trip string, window_id long, start_s double, y array<double>, p_heat_w array<double>, "
-                                    "p_ac_w array<double>, amb_temp_c array<double>, speed_ms array<double>")
-    states = rollout.rollout_states(d, [plant])
-    y = states.groupBy("trip", "window_id").agg(F.sort_array(F.collect_list(F.struct("step", "t_cab"))).alias("r"))
-    return d.drop("y").join(y.select("trip", "window_id", F.col("r.t_cab").alias("y")), ["trip", "window_id"]), states
-
-
-def test_true_parameters_reproduce_the_measurement(spark):
-    d, _ = simulated(spark)
-    near = PLANT.scaled("off", {"c_cab": 1.5})
-    out = {(r.param_set, r.horizon): r.model for r in rollout.rollout_rmse(rollout.rollout_sums(d, [PLANT, near], [60, 200])).collect()}
-    assert out[("true", 200)] < 1e-9 and out[("off", 200)] > out[("off", 60)] > 0.01
-
-
-def test_energy_is_conserved(spark):
-    d, states = simulated(spark)
-    long = d.select("trip", "window_id", F.posexplode(F.arrays_zip(*rollout.CHANNELS)).alias("step", "z")).select("trip", "window_id", "step", "z.*")
-    b = rollout.energy_balance(states, long, PLANT).first()
-    assert b.max_rel_error < 0.01
-
-
-def test_first_order_response(spark):
-    """Without heat and mass exchange the cabin relaxes to ambient with C/UA."""
-    p = rollout.Plant(ua1=0.0, ua_mass=1e-9, name="rc")
-    rows = [("a", 0, 0.0, [20.0] * 600, [0.0] * 600, [0.0] * 600, [0.0] * 600, [0.0] * 600)]
-    d = spark.createDataFrame(rows, "trip string, window_id long, start_s double, y array<double>, p_heat_w array<double>, "
-                                    "p_ac_w array<double>, amb_temp_c array<double>, speed_ms array<double>")
-    last = rollout.rollout_states(d, [p]).filter("step = 599").first()
-    assert last.t_cab == pytest.approx(20.0 * math.exp(-599 * p.ua0 / p.c_cab), rel=1e-6)
-
-
-def test_history_settles_the_heater_and_lags_the_interior(spark):
-    y = [10.0] * 450 + [25.0] * 451
-    rows = [("a", 0, 0.0, y, [6000.0] * 901, [0.0] * 901, [0.0] * 901, [0.0] * 901)]
-    d = spark.createDataFrame(rows, "trip string, window_id long, start_s double, y array<double>, p_heat_w array<double>, "
-                                    "p_ac_w array<double>, amb_temp_c array<double>, speed_ms array<double>")
-    r = rollout.rollout_states(d, [PLANT], burn_in=900).filter("step = 0").first()
-    assert r.t_cab == 25.0 and 10 < r.t_mass < 25 and r.q_del == pytest.approx(PLANT.eta * 6000, rel=1e-6)
-
-
-def test_search_finds_the_truth_in_every_fold(spark):
-    d, _ = simulated(spark)
-    roles = spark.createDataFrame([(f, f"t{i}", "test" if i % 2 == f else "train") for f in range(2) for i in range(4)], "fold int, trip string, role string")
-    grid = [PLANT.scaled(f"c{c}", {"c_cab": c}) for c in (0.5, 1.0, 2.0)]
-    got = evaluation.search(d, roles, grid, 200).collect()
-    assert {r.param_set for r in got} == {"c1.0"} and max(r.test_rmse for r in got) < 1e-6
-    best = evaluation.search_rounds({200: d}, roles, PLANT.scaled("start", {"c_cab": 2.0}), ("c_cab",), factors=(2.0, 1.2)).collect()
-    assert all("c_cab*0.5" in r.param_set for r in best)
+def test_history_mean_weights_by_age(spark):
+    rows = [("a", 0, i, None if i == 3 else float(i)) for i in range(6)] + [("b", 0, i, None) for i in range(6)]
+    got = {r.trip: r for r in windows.history_mean(spark.createDataFrame(rows, "trip string, window_id long, step int, y double"), "y", 4, 2.0, 1.0).collect()}
+    w = np.exp((np.arange(3) - 3) / 2.0)
+    assert got["a"].last_value == 2.0 and got["a"].weighted_mean == pytest.approx((w * np.arange(3)).sum() / w.sum())
+    assert got["b"].last_value is None and got["b"].weighted_mean is None
 
 
 def test_parameter_tables(spark):
     d = spark.createDataFrame([("ok", 1e5, 55.0), ("bad", 900.0, float("nan"))], "s string, c_cab double, ua0 double")
-    long = rollout.long_parameters(d, ["s"], ["c_cab", "ua0"])
-    assert {(r.s, r.name) for r in rollout.implausible(long).collect()} == {("bad", "c_cab"), ("bad", "ua0")}
-    pen = {r.s: r.penalty for r in rollout.plausibility_penalty(long.filter("name = 'c_cab'"), ["s"]).collect()}
+    long = parameters.long_parameters(d, ["s"], ["c_cab", "ua0"])
+    assert {(r.s, r.name) for r in parameters.implausible(long).collect()} == {("bad", "c_cab"), ("bad", "ua0")}
+    pen = {r.s: r.penalty for r in parameters.plausibility_penalty(long.filter("name = 'c_cab'"), ["s"]).collect()}
     assert pen["ok"] == 0 and pen["bad"] == pytest.approx(math.log(2e4 / 900) ** 2)
-    assert rollout.penalty_of(rollout.Plant()) == 0
-    assert {r.name: r.stuck for r in rollout.movement(long.filter("s = 'ok'")).collect()} == {"c_cab": True, "ua0": True}
+    assert {r.name: r.stuck for r in parameters.movement(long.filter("s = 'ok'")).collect()} == {"c_cab": True, "ua0": True}
 
 
 def test_long_time_constant_equals_persistence(spark):
@@ -185,7 +132,7 @@ def test_constant_speed_gives_no_correlation_and_no_error(spark):
 def test_folds_are_disjoint_and_balanced(spark):
     labels = spark.createDataFrame([(i, f"d{i % 17}") for i in range(200)], "trip int, group string")
     sizes = splits.group_sizes(labels)
-    for folds in (splits.deal_folds(sizes, 5), splits.balance_folds(sizes, 5), splits.balance_folds(sizes, 5, limit=3)):
+    for folds in (splits.deal_folds(sizes, 5), splits.balance_folds(sizes, 5)):
         roles = splits.fold_roles(labels, folds, 5)
         assert splits.overlap(roles, "trip").count() == 0 and splits.overlap(roles, "group").count() == 0
         assert folds.count() == 17 and roles.filter("role = 'test'").count() == 200
@@ -193,6 +140,30 @@ def test_folds_are_disjoint_and_balanced(spark):
         assert max(load) - min(load) <= 13
 
 
+def greedy(sizes, k):
+    loads, out = [0] * k, {}
+    for g, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        f = loads.index(min(loads))
+        out[g], loads[f] = f, loads[f] + n
+    return out
+
+
+@pytest.mark.parametrize("k,n", [(5, 25_000), (3, 40), (1, 7), (7, 3)])
+def test_greedy_folds_equal_the_plain_loop_at_any_number_of_groups(spark, k, n):
+    rng = np.random.default_rng(n)
+    sizes = [(f"g{i:06d}", int(s)) for i, s in enumerate(rng.choice([1, 2, 3, 5, 8, 40, 41, 1000], n, p=[.4, .2, .1, .1, .1, .05, .04, .01]))]
+    d = spark.createDataFrame(pd.DataFrame(sizes, columns=["group", "size"]))
+    got = {r.group: r.fold for r in splits.balance_folds(d, k).collect()}
+    assert got == greedy(sizes, k)
+
+
+def test_missing_cabin_is_no_comfort(spark):
+    d = spark.createDataFrame([("a", None, 1.0), ("a", 10.0, 1.0), ("b", None, 5.0), ("c", float("nan"), 5.0)], "trip string, cab double, p double")
+    got = {r.trip: r for r in outcomes.outcome(d, ["trip"], "cab", "p", 60.0, cold_weight=1.0).collect()}
+    assert got["a"].discomfort_kmin == 11.0 and got["a"].scored_rows == 1
+    assert got["b"].discomfort_kmin is None and got["c"].discomfort_kmin is None and got["c"].scored_rows == 0
+
+
 def test_group_labels_are_checked(spark):
     trips = spark.createDataFrame([("a",), ("b",)], "trip string")
     good = spark.createDataFrame([("a", "g"), ("b", "h")], "trip string, group string")

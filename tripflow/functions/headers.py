@@ -60,20 +60,8 @@ def plain_key_of(name: str) -> str:
     return " ".join(blanked.replace("soc", " state of charge ").split())
 
 
-def numbered_names(names: list[str]) -> list[str]:
-    """Unique column names of one header: the n-th repeat of a key gets ``__dup<n>``."""
-    seen: dict[str, int] = {}
-    for key in (keys := [plain_key_of(n) for n in names]):
-        seen[key] = 0
-    out = []
-    for key in keys:
-        seen[key] += 1
-        out.append(key if seen[key] == 1 else f"{key}__dup{seen[key]}")
-    return out
-
-
 def number_duplicates(df: DataFrame, keys: list[str], name: str, order: str, out: str) -> DataFrame:
-    """Long form of :func:`numbered_names`: one row per header field, numbered inside each file.
+    """Unique column names, one row per header field: the n-th repeat of a name in a file gets ``__dup<n>``.
 
     A header is bounded by the width of one file, so the window is too.
     """
@@ -88,18 +76,6 @@ def target_rank(key: Column) -> Column:
     return F.when(exact > 0, exact).when(loose, F.lit(len(TARGET_KEYS) + 1).cast("long"))
 
 
-def find_target(names: list[str]) -> str:
-    """The target among the columns of one file."""
-    keys = [plain_key_of(n) for n in names]
-    for wanted in TARGET_KEYS:
-        if wanted in keys:
-            return names[keys.index(wanted)]
-    for name, key in zip(names, keys):
-        if "heating" in key and "power" in key:
-            return name
-    raise ValueError("no heating power target among the columns")
-
-
 def is_leaky(key: Column) -> Column:
     """Does a header key name a channel that gives the answer away?"""
     return key.rlike("|".join(re.escape(k) for k in LEAKAGE_KEYS))

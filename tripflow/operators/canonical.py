@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.functions.headers import header_key, header_key_of
-from tripflow.functions.scalars import lenient_double
+from tripflow.functions.scalars import lenient_double, missing_if_nan
 from tripflow.operators.ordered import attach
 
 # Two readings agree within this absolute plus relative distance.
@@ -16,8 +16,10 @@ ABS_TOL, REL_TOL = 1e-8, 1e-5
 
 
 def disagree(a: Column, b: Column) -> Column:
-    """Both present and apart by more than the tolerance (relative to the second)."""
-    return F.coalesce(F.abs(a - b) > ABS_TOL + REL_TOL * F.abs(b), F.lit(False))
+    """Both present and apart by more than the tolerance (relative to the second); NaN counts as missing, equal values agree."""
+    a, b = missing_if_nan(a), missing_if_nan(b)
+    apart = F.when(a == b, F.lit(False)).when(F.abs(b) == float("inf"), F.lit(True)).otherwise(F.abs(a - b) > ABS_TOL + REL_TOL * F.abs(b))
+    return F.coalesce(apart, F.lit(False))
 
 
 def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -> DataFrame:
@@ -25,9 +27,10 @@ def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -
 
     ``copies`` maps a signal to its columns in file order.  A copy that disagrees stays apart as
     ``<signal>__2``; a further one that disagrees too is only recorded.  The verdict is one row per
-    key, so merging costs a map-side aggregate and a join, never a gathered trip.  Adds ``merged``
+    key, so merging costs a map-side aggregate and a join, never a gathered trip.  NaN is missing.  Adds ``merged``
     and ``conflicting`` (arrays of signal names, one entry per copy after the first).
     """
+    df = df.withColumns({c: missing_if_nan(F.col(c)) for cols in copies.values() for c in cols})
     depth = max((len(c) for c in copies.values()), default=1)
     firsts = {s: F.col(cols[0]) for s, cols in copies.items()}
     out = df.withColumns({f"_m_{s}": c for s, c in firsts.items()}

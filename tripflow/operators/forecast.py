@@ -56,6 +56,14 @@ def warmup_curve(train: DataFrame, keys: list[str], bucket: str, value: str) ->
     return exact_quantile(train, [*keys, bucket], value, 0.5, "curve")
 
 
+def skill(rows: DataFrame, keys: list[str], label: str, model: str, baselines: dict[str, str]) -> DataFrame:
+    """Mean absolute errors of a forecast and of named baselines on the same rows, and the share of the best baseline's that is saved."""
+    error = lambda c: F.avg(F.abs(F.col(label) - F.col(c)))
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), error(model).alias("model"), *[error(c).alias(n) for n, c in baselines.items()])
+    best = F.least(*baselines) if len(baselines) > 1 else F.col(*baselines)
+    return out.withColumn("skill", 1 - F.col("model") / F.nullif(best, F.lit(0.0)))
+
+
 def conformal_shift(calibration: DataFrame, keys: list[str], label: str = "label", lo: str = "p10", hi: str = "p90", miss: float = 0.2) -> DataFrame:
     """How far intervals must widen so that held-out trips are covered, with the finite-sample rank.
 

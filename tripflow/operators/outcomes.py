@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.functions.scalars import missing_if_nan
 from tripflow.operators.ordered import attach
 
 
 def discomfort(cabin: Column, cold_weight: float, setpoint: float = 22.0, band: float = 1.0) -> Column:
-    """Kelvin outside the comfort band; the weight of cold has no default, it is a choice."""
+    """Kelvin outside the comfort band; the weight of cold has no default, it is a choice.  NULL without a measurement."""
     cold = F.greatest(F.lit(0.0), F.lit(setpoint - band) - cabin)
     warm = F.greatest(F.lit(0.0), cabin - F.lit(setpoint + band))
-    return cold_weight * cold + warm
+    return F.when(missing_if_nan(cabin).isNotNull(), cold_weight * cold + warm)
 
 
 def outcome(df: DataFrame, keys: list[str], cabin: str, power: str, dt_s: float, cold_weight: float,
             setpoint: float = 22.0, band: float = 1.0) -> DataFrame:
-    """Energy in Wh, discomfort in kelvin minutes and peak power per key."""
+    """Energy in Wh, discomfort in kelvin minutes, peak power and measured rows per key.
+
+    Rows without a cabin temperature add no discomfort; ``scored_rows`` says how many have one, and without any the
+    discomfort is NULL.
+    """
     return df.groupBy(*keys).agg(
         (F.sum(power) * (dt_s / 3600.0)).alias("energy_wh"),
         (F.sum(discomfort(F.col(cabin), cold_weight, setpoint, band)) * (dt_s / 60.0)).alias("discomfort_kmin"),
-        F.max(power).alias("peak_w"))
+        F.max(power).alias("peak_w"), F.count(missing_if_nan(F.col(cabin))).alias("scored_rows"))
 
 
 def consumption_wh(df: DataFrame, keys: list[str], volts: str, amps: str) -> DataFrame:
@@ -33,7 +38,7 @@ def consumption_wh(df: DataFrame, keys: list[str], volts: str, amps: str) -> Dat
 
 def head_rows(positioned: DataFrame, n: int, keys: list[str], pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """First n rows of every key that has them, and the keys that are too short."""
-    size = positioned.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    size = positioned.groupBy(*keys).agg((F.max(pos) + 1).alias("rows"))
     long_enough = size.filter(F.col("rows") >= n).select(*keys)
     return attach(positioned.filter(F.col(pos) < n), long_enough, keys, "left_semi"), size.filter(F.col("rows") < n)
 

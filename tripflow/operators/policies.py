@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.functions.scalars import clip
+from tripflow.functions.scalars import clip, missing_if_nan
 from tripflow.operators.ordered import Series, with_neighbours, with_position
 from tripflow.operators.scan import CLAMPED_SUM, LINEAR, scan
 
@@ -33,13 +33,17 @@ def with_policies(df: DataFrame, **policies: Column) -> DataFrame:
 def pi_policy(df: DataFrame, s: Series, cabin: str, carry: list[str], dt_s: float, out: str = "pi_w",
               setpoint: float = SETPOINT_C, kp: float = KP_W_PER_K, ki: float = KI_W_PER_KS,
               i_max: float = INTEGRAL_MAX_W, max_w: float = MAX_W, rows: int = 512, levels: int = 2) -> DataFrame:
-    """Proportional-integral command along each trip, the integral kept inside its limits."""
+    """Proportional-integral command along each trip, the integral kept inside its limits.
+
+    A row without a cabin temperature leaves the integral as it is and has no command of its own (NULL).
+    """
     error = setpoint - F.col("_t")
-    placed = with_position(df, s).withColumn("_t", F.col(cabin))
+    placed = with_position(df, s).withColumn("_t", missing_if_nan(F.col(cabin)))
     carry_all = list(dict.fromkeys([*carry, "_t"]))
-    stepped = scan(placed, list(s.keys), "pos", CLAMPED_SUM, (error * (ki * dt_s), F.lit(-i_max), F.lit(i_max)),
+    stepped = scan(placed, list(s.keys), "pos", CLAMPED_SUM, (F.coalesce(error * (ki * dt_s), F.lit(0.0)), F.lit(-i_max), F.lit(i_max)),
                    0.0, "_i", carry_all, rows, levels)
-    return stepped.withColumn(out, clip(kp * error + F.col("_i"), 0.0, max_w)).drop("_t", "_i", "pos")
+    command = F.when(F.col("_t").isNotNull(), clip(kp * error + F.col("_i"), 0.0, max_w))
+    return stepped.withColumn(out, command).drop("_t", "_i", "pos")
 
 
 def lag_filter(df: DataFrame, s: Series, value: str, tau_s: float, dt_s: float, carry: list[str],
@@ -47,7 +51,8 @@ def lag_filter(df: DataFrame, s: Series, value: str, tau_s: float, dt_s: float,
     """First-order lag of ``gain * value`` on an even grid, settled on the first sample.
 
     One fourth-order step with a linearly interpolated input is a linear map of the state, so the
-    filter is a scan of linear maps.
+    filter is a scan of linear maps.  A row without an input, or right after one, leaves the state as it is; before the
+    first input the state is zero.
     """
     z = dt_s / tau_s
     decay = 1 - z + z ** 2 / 2 - z ** 3 / 6 + z ** 4 / 24
@@ -59,5 +64,6 @@ def lag_filter(df: DataFrame, s: Series, value: str, tau_s: float, dt_s: float,
     u0, u1 = F.col("prev__u"), F.col("_u")
     first = F.col("pos") == 0
     offset = F.when(first, u1).otherwise(w0 * u0 + wm * (u0 + u1) / 2 + w1 * u1)
-    return scan(placed, list(s.keys), "pos", LINEAR, (F.when(first, 0.0).otherwise(decay), offset),
+    slope = F.when(offset.isNull(), 1.0).when(first, 0.0).otherwise(decay)
+    return scan(placed, list(s.keys), "pos", LINEAR, (slope, F.coalesce(offset, F.lit(0.0))),
                 0.0, out, carry, rows, levels)

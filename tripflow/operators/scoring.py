@@ -67,6 +67,16 @@ def best_relaxation(per_tau: DataFrame) -> DataFrame:
                                           F.min_by("tau_s", "exponential").alias("tau_s"))
 
 
+def window_scores(windows: DataFrame, error: Column, horizons: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Error of given predictions (column ``model``) and windows scored, per key and horizon.
+
+    ``windows`` holds one row per window and step; which model made the prediction is a key column or nothing at all.
+    """
+    scored = rmse_by_horizon(windows, error, horizons, keys, out="model")
+    n = windows.filter("step = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"))
+    return scored.join(n, list(keys)) if keys else scored.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").drop("_one")   # one row
+
+
 def skill_table(model: DataFrame, baselines: DataFrame) -> DataFrame:
     """Horizon, the three errors, and the share of the better baseline's error that is removed."""
     return model.join(baselines, "horizon").select("horizon", "model", "persistence", "exponential",

@@ -61,45 +61,66 @@ def group_sizes(labels: DataFrame, group: str = "group") -> DataFrame:
     return labels.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def deal_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
-    """Groups dealt to ``k`` folds in a serpentine, largest first, ties by label.
+def _ranked(sizes: DataFrame, group: str, prefix: int) -> DataFrame:
+    """Groups with their place ``_r`` (from 0) among the groups of their size, by label.
 
-    A group ranks by its place among groups of its size and label prefix, plus the groups before
-    those.  Only the counts per size and prefix are ordered as a whole.
+    A place is the count of the label prefixes before it plus the place within the prefix, so only counts are ordered as a whole.
     """
     binned = sizes.withColumn("_p", F.substring(F.col(group).cast("string"), 1, prefix) if sizes.schema[group].dataType.typeName() == "string"
                               else F.floor(F.col(group) / 10 ** prefix))
     counts = binned.groupBy("size", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.desc("size"), "_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("size", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("size", "_p").orderBy(group)) - 1 + F.col("_base")
-    ranked = binned.join(base, ["size", "_p"]).withColumn("_r", rank)
+    before = Window.partitionBy("size").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("size", F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    near = binned.join(base.withColumnRenamed("size", "_s"), (F.col("size") == F.col("_s")) & F.col("_p").eqNullSafe(F.col("_q")))
+    place = F.row_number().over(Window.partitionBy("size", "_p").orderBy(group)) - 1 + F.col("_base")
+    return near.withColumn("_r", place).select(group, "size", "_r")
+
+
+def deal_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
+    """Groups dealt to ``k`` folds in a serpentine, largest first, ties by label."""
+    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).select("size", F.coalesce(F.sum("_n").over(larger), F.lit(0)).alias("_base"))
+    ranked = _ranked(sizes, group, prefix).join(base, "size").withColumn("_r", F.col("_r") + F.col("_base"))
     lap, seat = F.floor(F.col("_r") / k), F.col("_r") % k
     return ranked.select(group, "size", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
 
 
-def balance_folds(sizes: DataFrame, k: int, group: str = "group", limit: int = 20_000) -> DataFrame:
-    """Greedy balance: each group, largest first, goes to the lightest fold (the lowest on ties).
+def greedy_steps(counts: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Where greedy balance puts the groups of each size: (size, place of the first, folds taken in turn from there).
 
-    The rule is sequential over groups, not rows; one group is one small entry.  Beyond ``limit``
-    groups the deal of :func:`deal_folds` is used, which differs by at most one group per lap.
+    ``counts`` has the number of groups per size.  While groups of one size are placed, the next one dropped on a fold finds
+    it at load + j * size for j = 0, 1, ...; the lightest fold first means these levels in ascending order, ties by fold.  So
+    folds take turns in the order of load modulo size, and a heavier fold joins once the others have come up to it.
     """
-    if sizes.limit(limit + 1).count() > limit:
-        return deal_folds(sizes, k, group)
-    label = sizes.schema[group].dataType.simpleString()
-    state = f"struct<loads:array<bigint>,out:array<struct<g:{label},n:bigint,fold:int>>>"
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.col(group).alias("g"))))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"), F.array().alias("out")).cast(state)
-
-    def place(acc: Column, x: Column) -> Column:
-        fold = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
-        n = -x["s"]
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i == fold, v + n).otherwise(v))
-        return F.struct(loads.alias("loads"), F.array_append(acc["out"], F.struct(
-            x["g"].alias("g"), n.alias("n"), fold.alias("fold"))).alias("out")).cast(state)
-
-    placed = sizes.agg(ordered.alias("a")).select(F.aggregate("a", start, place)["out"].alias("out"))
-    return placed.select(F.inline("out")).select(F.col("g").alias(group), F.col("n").alias("size"), "fold")
+    loads, steps = [0] * k, []
+    for size, groups in sorted(counts, reverse=True):
+        lap, placed = min(x // size for x in loads), 0
+        taken = [0] * k
+        while placed < groups:
+            turn = sorted((f for f in range(k) if loads[f] // size <= lap), key=lambda f: (loads[f] % size, f))
+            joins = min((loads[f] // size for f in range(k) if loads[f] // size > lap), default=None)
+            n = groups - placed if joins is None else min(groups - placed, (joins - lap) * len(turn))
+            steps.append((size, placed, turn))
+            for at, f in enumerate(turn):
+                taken[f] += n // len(turn) + (at < n % len(turn))
+            placed, lap = placed + n, joins
+        loads = [x + size * t for x, t in zip(loads, taken)]
+    return steps
+
+
+def balance_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
+    """Greedy balance: each group, largest first and by label, goes to the lightest fold (the lowest on ties).
+
+    Exact for any number of groups.  Only the distinct sizes are walked one after the other (on the driver, at most about
+    the square root of twice the rows); the groups of one size are placed by arithmetic on their rank.
+    """
+    counts = [(r["size"], r["count"]) for r in sizes.groupBy("size").count().toLocalIterator()]
+    steps = sizes.sparkSession.createDataFrame(greedy_steps(counts, k), "_s long, _first long, _turn array<int>")
+    until = F.lead("_first").over(Window.partitionBy("_s").orderBy("_first"))
+    steps = steps.withColumn("_until", F.coalesce(until, F.lit(2 ** 62)))
+    at = (F.col("size") == F.col("_s")) & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_until"))
+    placed = _ranked(sizes, group, prefix).join(steps, at)
+    return placed.select(group, "size", F.get("_turn", ((F.col("_r") - F.col("_first")) % F.size("_turn")).cast("int")).alias("fold"))
 
 
 def fold_roles(labels: DataFrame, folds: DataFrame, k: int, trip: str = "trip", group: str = "group") -> DataFrame:
@@ -111,8 +132,8 @@ def fold_roles(labels: DataFrame, folds: DataFrame, k: int, trip: str = "trip",
 
 def overlap(roles: DataFrame, what: str) -> DataFrame:
     """Trips or groups that are both train and test in one fold; a sound fold table gives none."""
-    side = lambda r: roles.filter(F.col("role") == r).select("fold", what)
-    return side("train").intersect(side("test"))
+    both = roles.groupBy("fold", what).agg(F.bool_or(F.col("role") == "train").alias("_a"), F.bool_or(F.col("role") == "test").alias("_b"))
+    return both.filter("_a AND _b").select("fold", what)
 
 
 def random_group_split(groups: DataFrame, seed: int = 42, test: float = 0.30, final: float = 0.50,

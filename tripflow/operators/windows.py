@@ -123,6 +123,18 @@ def as_arrays(windows: DataFrame, channels: list[str], keys: tuple[str, ...] = (
             .select(*keys, "window_id", "start_s", *[F.col(f"_r.{c}").alias(c) for c in channels]))
 
 
+def history_mean(windows: DataFrame, value: str, steps: int, tau_s: float, dt_s: float, keys: tuple[str, ...] = ("trip",)) -> DataFrame:
+    """Per window the last of its first ``steps`` values, and their mean weighted down by age with a time constant.
+
+    Missing values carry no weight; a window without any gives NULL.
+    """
+    past = windows.filter(F.col("step") < steps)
+    seen = F.col(value).isNotNull()
+    weight = F.when(seen, F.exp((F.col("step") - (steps - 1)) * (dt_s / tau_s)))
+    return past.groupBy(*keys, "window_id").agg(
+        F.max_by(value, F.when(seen, F.col("step"))).alias("last_value"), (F.sum(weight * F.col(value)) / F.sum(weight)).alias("weighted_mean"))
+
+
 def unexcited(windows: DataFrame, ac: str = "p_ac_w", speed: str = "speed_ms", ac_w: float = 50.0,
               min_share: float = 0.02, speed_ms: float = 20.0, min_fast: float = 0.15,
               keys: tuple[str, ...] = ("trip",)) -> DataFrame:

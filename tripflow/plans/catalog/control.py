@@ -24,7 +24,7 @@ _STEPS = SAMPLES_SQL + """, steps AS (
   SELECT trip, time_s, seq, speed_kmh / 3.6::DOUBLE AS speed_ms, amb_c, CASE WHEN channel <> 'view' THEN cabin_c END AS cabin_c,
          CASE WHEN channel <> 'error' THEN heat_w * 2.0::DOUBLE - 100.0::DOUBLE END AS proposed,
          CASE WHEN channel = 'view' THEN 0.0::DOUBLE ELSE amps * 10.0::DOUBLE END AS backup,
-         row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos FROM samples)"""
+         row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) - 1 AS pos FROM samples)"""
 
 
 @query("thermostat_policy", f"""WITH {_STEPS}
@@ -35,17 +35,16 @@ def thermostat_policy(spark, sf):
 
 
 @query("pi_policy", f"""WITH RECURSIVE {_STEPS}, walk AS (
-  SELECT trip, seq, pos, 22.0::DOUBLE - coalesce(cabin_c, 20.0::DOUBLE) AS e,
-         greatest(-4000.0::DOUBLE, least(4000.0::DOUBLE, (22.0::DOUBLE - coalesce(cabin_c, 20.0::DOUBLE)) * 40.0::DOUBLE)) AS i
+  SELECT trip, seq, pos, 22.0::DOUBLE - cabin_c AS e,
+         greatest(-4000.0::DOUBLE, least(4000.0::DOUBLE, coalesce((22.0::DOUBLE - cabin_c) * 40.0::DOUBLE, 0))) AS i
   FROM steps WHERE pos = 0
   UNION ALL
-  SELECT s.trip, s.seq, s.pos, 22.0::DOUBLE - coalesce(s.cabin_c, 20.0::DOUBLE),
-         greatest(-4000.0::DOUBLE, least(4000.0::DOUBLE, w.i + (22.0::DOUBLE - coalesce(s.cabin_c, 20.0::DOUBLE)) * 40.0::DOUBLE))
+  SELECT s.trip, s.seq, s.pos, 22.0::DOUBLE - s.cabin_c,
+         greatest(-4000.0::DOUBLE, least(4000.0::DOUBLE, w.i + coalesce((22.0::DOUBLE - s.cabin_c) * 40.0::DOUBLE, 0)))
   FROM walk w JOIN steps s ON s.trip = w.trip AND s.pos = w.pos + 1)
-SELECT trip, seq, round(greatest(0.0::DOUBLE, least(7000.0::DOUBLE, 800.0::DOUBLE * e + i)), 5) AS pi_w FROM walk""")
+SELECT trip, seq, round(CASE WHEN e IS NOT NULL THEN greatest(0.0::DOUBLE, least(7000.0::DOUBLE, 800.0::DOUBLE * e + i)) END, 5) AS pi_w FROM walk""")
 def pi_policy(spark, sf):
-    s = _steps(spark, sf).withColumn("cabin_c", F.coalesce("cabin_c", F.lit(20.0)))
-    out = policies.pi_policy(s, log_series(spark, sf), "cabin_c", ["seq"], DT)
+    out = policies.pi_policy(_steps(spark, sf), log_series(spark, sf), "cabin_c", ["seq"], DT)
     return out.select("trip", "seq", F.round("pi_w", 5).alias("pi_w"))
 
 

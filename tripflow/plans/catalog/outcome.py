@@ -13,23 +13,24 @@ DAY = 86_400.0
 
 # ---- outcomes ----------------------------------------------------------------------------------
 
-_POL_SQL = SAMPLES_SQL + """, pol AS (
-  SELECT trip, 'recorded' AS policy, cabin_c, coalesce(heat_w, 0) AS p FROM samples
-  UNION ALL SELECT trip, 'thermostat', cabin_c, CASE WHEN cabin_c < 21 THEN 7000.0::DOUBLE ELSE 0 END FROM samples), out_ AS (
-  SELECT trip, policy, sum(p) * 10 / 3600 AS energy_wh, sum(2.0::DOUBLE * greatest(0.0::DOUBLE, 21 - cabin_c) + greatest(0.0::DOUBLE, cabin_c - 23)) * 10 / 60 AS discomfort_kmin,
+_POL_SQL = SAMPLES_SQL + """, gappy AS (SELECT trip, heat_w, CASE WHEN channel <> 'view' THEN cabin_c END AS cabin_c FROM samples), pol AS (
+  SELECT trip, 'recorded' AS policy, cabin_c, coalesce(heat_w, 0) AS p FROM gappy
+  UNION ALL SELECT trip, 'thermostat', cabin_c, CASE WHEN cabin_c < 21 THEN 7000.0::DOUBLE ELSE 0 END FROM gappy), out_ AS (
+  SELECT trip, policy, sum(p) * 10 / 3600 AS energy_wh, count(cabin_c) AS scored_rows,
+         sum(CASE WHEN cabin_c IS NOT NULL THEN 2.0::DOUBLE * greatest(0.0::DOUBLE, 21 - cabin_c) + greatest(0.0::DOUBLE, cabin_c - 23) END) * 10 / 60 AS discomfort_kmin,
          max(p) AS peak_w FROM pol GROUP BY 1, 2)"""
 
 
 def _outcomes(spark, sf):
-    s = samples(spark, sf)
+    s = samples(spark, sf).withColumn("cabin_c", F.when(F.col("channel") != "view", F.col("cabin_c")))
     power = F.inline(F.array(F.struct(F.lit("recorded").alias("policy"), F.coalesce(policies.recorded(), F.lit(0.0)).alias("p")),
                              F.struct(F.lit("thermostat").alias("policy"), policies.thermostat().alias("p"))))
     return outcomes.outcome(s.select("trip", "cabin_c", power), ["trip", "policy"], "cabin_c", "p", 10.0, cold_weight=2.0)
 
 
-@query("policy_outcome", f"WITH {_POL_SQL} SELECT trip, policy, round(energy_wh, 6) AS energy_wh, round(discomfort_kmin, 6) AS discomfort_kmin, round(peak_w, 6) AS peak_w FROM out_")
+@query("policy_outcome", f"WITH {_POL_SQL} SELECT trip, policy, round(energy_wh, 6) AS energy_wh, round(discomfort_kmin, 6) AS discomfort_kmin, round(peak_w, 6) AS peak_w, scored_rows FROM out_")
 def policy_outcome(spark, sf):
-    return _outcomes(spark, sf).select("trip", "policy", *[F.round(c, 6).alias(c) for c in ("energy_wh", "discomfort_kmin", "peak_w")])
+    return _outcomes(spark, sf).select("trip", "policy", *[F.round(c, 6).alias(c) for c in ("energy_wh", "discomfort_kmin", "peak_w")], "scored_rows")
 
 
 #: Frontier per supplier: line discounts are the swept points, target is the mean quantity of the supplier.
@@ -72,14 +73,14 @@ def range_gain(spark, sf):
     return s.select("trip", F.round(gain, 6).alias("gain_km"))
 
 
-@query("head_rows", f"""WITH {SAMPLES_SQL}, p AS (SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY time_s) AS r, count(*) OVER (PARTITION BY trip) AS n FROM samples)
-SELECT trip, max(n) AS rows, CASE WHEN max(n) >= 60 THEN 'scored' ELSE 'skipped' END AS state FROM p WHERE r <= 60 GROUP BY trip""")
+@query("head_rows", f"""WITH {SAMPLES_SQL}, p AS (SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) AS r, count(*) OVER (PARTITION BY trip) AS n FROM samples)
+SELECT trip, max(n) AS rows, count(*) FILTER (WHERE n >= 60) AS scored FROM p WHERE r <= 60 GROUP BY trip""")
 def head_rows(spark, sf):
-    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s"), log_series(spark, sf))
+    placed = ordered.with_position(samples(spark, sf).select("trip", "time_s", "seq"), log_series(spark, sf))
     head, short = outcomes.head_rows(placed, 60, ["trip"])
-    sizes = placed.groupBy("trip").agg(F.count(F.lit(1)).alias("rows"))
-    scored = head.groupBy("trip").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "trip").select("trip", "rows", F.lit("scored").alias("state"))
-    return scored.unionByName(short.select("trip", "rows", F.lit("skipped").alias("state")))
+    sizes = placed.groupBy("trip").agg((F.max("pos") + 1).alias("rows"))
+    scored = head.groupBy("trip").agg(F.count(F.lit(1)).alias("scored")).join(sizes, "trip").select("trip", "rows", "scored")
+    return scored.unionByName(short.select("trip", "rows", F.lit(0).cast("bigint").alias("scored")))
 
 
 @query("consumption", f"""WITH {SAMPLES_SQL} SELECT trip, round(sum(abs(volts * amps)) / 3600, 6) AS consumption_wh FROM samples GROUP BY trip""")
@@ -151,11 +152,24 @@ def persistence_forecast(spark, sf):
     return lab.groupBy("horizon").agg(F.round(F.avg(scoring.pinball(F.col("label"), F.col("p"), 0.5)), 6).alias("pinball"))
 
 
-@query("warmup_curve", f"""WITH {_GRID_SQL}, g AS (SELECT grid.*, f.fold FROM grid CROSS JOIN (VALUES (0), (1), (2)) f(fold) WHERE trip % 3 <> f.fold)
-SELECT fold, day, round(median(p), 6) AS curve FROM g GROUP BY 1, 2""")
+_STARTED_SQL = """started AS (SELECT trip, day, day - day0 AS elapsed, p FROM grid), curve AS (
+  SELECT f.fold, elapsed, median(p) AS curve FROM started CROSS JOIN (VALUES (0), (1), (2)) f(fold) WHERE trip % 3 <> f.fold GROUP BY 1, 2)"""
+
+
+def _elapsed(spark, sf):
+    """The daily grid with the days since the trip began."""
+    g = _grid(spark, sf)
+    return ordered.attach(g, g.groupBy("trip").agg(F.min("day").alias("day0")), ["trip"]).withColumn("elapsed", F.col("day") - F.col("day0"))
+
+
+def _curve(spark, sf):
+    every = _elapsed(spark, sf).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).filter("trip % 3 <> fold")
+    return forecast.warmup_curve(every, ["fold"], "elapsed", "p")
+
+
+@query("warmup_curve", f"WITH {_GRID_SQL}, {_STARTED_SQL} SELECT fold, elapsed, round(curve, 6) AS curve FROM curve")
 def warmup_curve(spark, sf):
-    g = _grid(spark, sf).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).filter("trip % 3 <> fold")
-    return forecast.warmup_curve(g, ["fold"], "day", "p").withColumn("curve", F.round("curve", 6))
+    return _curve(spark, sf).withColumn("curve", F.round("curve", 6))
 
 
 _Q = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -203,3 +217,16 @@ def conformal_coverage(spark, sf):
     both = scoring.coverage(wide, ["horizon"], "label", {"raw": ("p10", "p90"), "conformal": ("p10_wide", "p90_wide")})
     return both.select("horizon", F.round("raw_coverage", 6).alias("raw_coverage"), F.round("conformal_coverage", 6).alias("coverage"),
                        F.round("conformal_width", 5).alias("width"))
+
+
+@query("forecast_skill", f"""WITH {_FC_SQL}, {_STARTED_SQL}, scored AS (
+  SELECT t.horizon, abs(label - p50) AS model, abs(label - t.p) AS persistence, abs(label - c.curve) AS warmup
+  FROM fc t JOIN started s USING (trip, day) JOIN curve c ON c.fold = t.fold AND c.elapsed = s.elapsed + t.horizon WHERE t.role = 'test')
+SELECT horizon, count(*) AS rows, round(avg(model), 5) AS model, round(avg(persistence), 5) AS persistence, round(avg(warmup), 5) AS warmup,
+  round(1 - avg(model) / least(avg(persistence), avg(warmup)), 5) AS skill FROM scored GROUP BY 1""")
+def forecast_skill(spark, sf):
+    """Median forecast against the better of persistence and the warm-up curve, on test trips; both learned on training trips."""
+    test = _forecast(spark, sf).filter("role = 'test'").join(_elapsed(spark, sf).select("trip", "day", "elapsed"), ["trip", "day"])
+    test = test.withColumn("elapsed", F.col("elapsed") + F.col("horizon"))
+    skill = forecast.skill(ordered.attach(test, _curve(spark, sf), ["fold", "elapsed"]), ["horizon"], "label", "p50", {"persistence": "p", "warmup": "curve"})
+    return skill.select("horizon", "rows", *[F.round(c, 5).alias(c) for c in ("model", "persistence", "warmup", "skill")])

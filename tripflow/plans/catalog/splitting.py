@@ -43,36 +43,38 @@ def group_folds_dealt(spark, sf):
     return splits.deal_folds(splits.group_sizes(splits.day_groups(overview(spark, sf))), 5)
 
 
-@query("group_folds_balanced", f"""WITH RECURSIVE {_SIZES}, o AS (
+_WALK = _SIZES + """, o AS (
   SELECT g, size, row_number() OVER (ORDER BY size DESC, g) AS r FROM sizes), walk AS (
   SELECT 0::BIGINT AS r, NULL::VARCHAR AS g, 0::BIGINT AS size, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads
   UNION ALL
   SELECT o.r, o.g, o.size, (list_position(w.loads, list_min(w.loads)) - 1)::INT,
          list_transform(w.loads, lambda v, i: CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN v + o.size ELSE v END)
-  FROM walk w JOIN o ON o.r = w.r + 1)
+  FROM walk w JOIN o ON o.r = w.r + 1)"""
+
+
+@query("group_folds_balanced", f"""WITH RECURSIVE {_WALK}
 SELECT g AS "group", size, fold FROM walk WHERE r > 0""")
 def group_folds_balanced(spark, sf):
     return splits.balance_folds(splits.group_sizes(splits.day_groups(overview(spark, sf))), 5)
 
 
-_DEALT = _SIZES + """, r AS (SELECT g, row_number() OVER (ORDER BY size DESC, g) - 1 AS r FROM sizes), homes AS (
-  SELECT g, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS home FROM r), roles AS (
-  SELECT f.fold::INT AS fold, o.trip, o.day AS grp, CASE WHEN f.fold = h.home THEN 'test' ELSE 'train' END AS role
-  FROM overview o JOIN homes h ON h.g = o.day CROSS JOIN (VALUES (0), (1), (2), (3), (4)) f(fold))"""
+_ROLES = _WALK + """, roles AS (
+  SELECT f.fold::INT AS fold, o.trip, o.day AS grp, CASE WHEN f.fold = h.fold THEN 'test' ELSE 'train' END AS role
+  FROM overview o JOIN walk h ON h.g = o.day CROSS JOIN (VALUES (0), (1), (2), (3), (4)) f(fold))"""
 
 
 def _roles(spark, sf):
     labels = splits.day_groups(overview(spark, sf))
-    return splits.fold_roles(labels, splits.deal_folds(splits.group_sizes(labels), 5), 5)
+    return splits.fold_roles(labels, splits.balance_folds(splits.group_sizes(labels), 5), 5)
 
 
-@query("fold_roles", f"WITH {_DEALT} SELECT fold, role, count(*) AS trips, count(DISTINCT grp) AS groups FROM roles GROUP BY 1, 2")
+@query("fold_roles", f"WITH RECURSIVE {_ROLES} SELECT fold, role, count(*) AS trips, count(DISTINCT grp) AS groups FROM roles GROUP BY 1, 2")
 def fold_roles(spark, sf):
     return _roles(spark, sf).groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("trips"), F.count_distinct("group").alias("groups"))
 
 
-@query("fold_overlap", f"""WITH {_DEALT}
+@query("fold_overlap", f"""WITH RECURSIVE {_ROLES}
 SELECT 'trips' AS what, count(*) AS shared FROM (SELECT fold, trip FROM roles WHERE role = 'train' INTERSECT
   SELECT fold, trip FROM roles WHERE role = 'test')
 UNION ALL SELECT 'groups', count(*) FROM (SELECT fold, grp FROM roles WHERE role = 'train' INTERSECT
@@ -93,7 +95,7 @@ def holdout_partition(spark, sf):
     return mark(dev, "dev").unionByName(mark(cold, "cold"))
 
 
-@query("selected_trips", f"""WITH {_DEALT}, keep AS (SELECT trip FROM roles WHERE fold = 0 AND role = 'test')
+@query("selected_trips", f"""WITH RECURSIVE {_ROLES}, keep AS (SELECT trip FROM roles WHERE fold = 0 AND role = 'test')
 SELECT trip, day FROM overview WHERE trip IN (SELECT trip FROM keep)""")
 def selected_trips(spark, sf):
     keep = _roles(spark, sf).filter("fold = 0 AND role = 'test'").select("trip")

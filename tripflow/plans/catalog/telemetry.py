@@ -133,29 +133,37 @@ def lost_signals(spark, sf):
     return lost.withColumn("lost", F.concat_ws(",", F.array_sort("lost")))
 
 
-_COPIES_SQL = TELEMETRY_SQL + """, copies AS (
-  SELECT trip, seq, CASE WHEN channel <> 'view' THEN value END AS a,
-         CASE WHEN channel <> 'click' THEN CASE WHEN trip % 3 = 0 AND channel = 'error' THEN value + 1 ELSE value END END AS b
-  FROM telemetry), verdict AS (
-  SELECT trip, coalesce(bool_or(abs(a - b) > 1e-8 + 1e-5 * abs(b)), false) AS bad FROM copies GROUP BY trip)"""
-
-
-@query("merge_agreeing_columns", f"""WITH {_COPIES_SQL}
-SELECT trip, seq, CASE WHEN bad THEN a ELSE coalesce(a, b) END AS x, CASE WHEN bad THEN b END AS x__2,
-       CASE WHEN bad THEN '' ELSE 'x' END AS merged, CASE WHEN bad THEN 'x' ELSE '' END AS conflicting
-FROM copies JOIN verdict USING (trip)""")
+#: Three copies of one channel with gaps, undefined and infinite readings; some trips disagree on the second or third copy.
+_APART = "coalesce(bool_or(CASE WHEN {0} = {1} THEN false WHEN isinf({1}) THEN true ELSE abs({0} - {1}) > 1e-8 + 1e-5 * abs({1}) END), false)"
+_COPIES_SQL = TELEMETRY_SQL + f""", copies AS (
+  SELECT trip, seq, CASE WHEN seq % 13 = 0 THEN 'inf'::DOUBLE WHEN seq % 11 = 0 THEN NULL WHEN channel <> 'view' THEN value END AS a,
+         CASE WHEN seq % 13 = 0 THEN 'inf'::DOUBLE WHEN channel <> 'click' THEN CASE WHEN trip % 3 = 0 AND channel = 'error' THEN value + 1 ELSE value END END AS b,
+         CASE WHEN seq % 13 = 0 THEN NULL WHEN trip % 5 = 0 AND channel = 'error' THEN value + 2 ELSE value END AS c
+  FROM telemetry), second AS (
+  SELECT trip, {_APART.format("a", "b")} AS bad1 FROM copies GROUP BY trip), two AS (
+  SELECT *, CASE WHEN bad1 THEN a ELSE coalesce(a, b) END AS m FROM copies JOIN second USING (trip)), third AS (
+  SELECT trip, {_APART.format("m", "c")} AS bad2 FROM two GROUP BY trip), merged_ AS (
+  SELECT trip, seq, CASE WHEN bad2 THEN m ELSE coalesce(m, c) END AS x, CASE WHEN bad1 THEN b WHEN bad2 THEN c END AS x__2,
+         concat_ws(',', CASE WHEN NOT bad1 THEN 'x' END, CASE WHEN NOT bad2 THEN 'x' END) AS merged,
+         concat_ws(',', CASE WHEN bad1 THEN 'x' END, CASE WHEN bad2 THEN 'x' END) AS conflicting FROM two JOIN third USING (trip))"""
+
+
+@query("merge_agreeing_columns", f"WITH {_COPIES_SQL} SELECT trip, seq, x, x__2, merged, conflicting FROM merged_")
 def merge_agreeing_columns(spark, sf):
     t = telemetry(spark, sf)
-    shifted = F.when((F.col("trip") % 3 == 0) & (F.col("channel") == "error"), F.col("value") + 1).otherwise(F.col("value"))
-    copies = t.select("trip", "seq", F.when(F.col("channel") != "view", F.col("value")).alias("a"),
-                      F.when(F.col("channel") != "click", shifted).alias("b"))
-    out = canonical.merge_copies(copies, ["trip"], {"x": ["a", "b"]})
+    v, endless = F.col("value"), F.col("seq") % 13 == 0
+    odd = lambda k, d: F.when((F.col("trip") % k == 0) & (F.col("channel") == "error"), v + d).otherwise(v)
+    a = F.when(endless, float("inf")).when(F.col("seq") % 11 == 0, float("nan")).when(F.col("channel") != "view", v)
+    b = F.when(endless, float("inf")).when(F.col("channel") != "click", odd(3, 1))
+    copies = t.select("trip", "seq", a.alias("a"), b.alias("b"), F.when(~endless, odd(5, 2)).alias("c"))
+    out = canonical.merge_copies(copies, ["trip"], {"x": ["a", "b", "c"]})
     return out.withColumns({c: F.concat_ws(",", c) for c in ("merged", "conflicting")})
 
 
 @query("label_frequency", f"""WITH {_COPIES_SQL}
-SELECT 'merged' AS kind, 'x' AS label, count(*) AS trips FROM verdict WHERE NOT bad HAVING count(*) > 0
-UNION ALL SELECT 'conflicting', 'x', count(*) FROM verdict WHERE bad HAVING count(*) > 0""")
+SELECT kind, label, count(*) AS trips FROM (
+  SELECT DISTINCT trip, 'merged' AS kind, merged AS label FROM merged_ UNION ALL SELECT DISTINCT trip, 'conflicting', conflicting FROM merged_)
+WHERE label <> '' GROUP BY 1, 2""")
 def label_frequency(spark, sf):
     rows = merge_agreeing_columns(spark, sf)
     per_trip = rows.groupBy("trip").agg(F.first("merged").alias("merged"), F.first("conflicting").alias("conflicting"))

@@ -1,16 +1,16 @@
-"""Queries over fixed windows of the log: cutting, filling, baselines, rollouts, search."""
+"""Queries over fixed windows of the log: cutting, filling, baselines, given predictions; parameter tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import duct_temperature, kmh_to_ms
-from tripflow.operators import rollout, scoring, windows
-from tripflow.plans import evaluation
+from tripflow.operators import parameters, scoring, windows
 from tripflow.plans.registry import query
 from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
-CHANNELS = ["y", *rollout.CHANNELS]
+CHANNELS = ["y", "p_heat_w", "p_ac_w", "amb_temp_c", "speed_ms"]
 STEPS, STRIDE, GAP = 16, 4, 0.2
 
 
@@ -125,157 +125,87 @@ def relaxation_rmse(spark, sf):
     return r.withColumns({"exponential": F.round("exponential", 6), "tau_s": F.round("tau_s", 4)})
 
 
-# ---- rollouts ----------------------------------------------------------------------------------
+# ---- given predictions over windows ----------------------------------------------------------------
 
-DT = 10.0
-PLANT = rollout.Plant(ua1=1.0, tau_h=45.0, name="nominal")
+#: A prediction that comes with the windows: the mean of the three values before (the value itself at the start).
+_PRED = FILLED_SQL + """, pred AS (
+  SELECT *, coalesce(avg(y) OVER (PARTITION BY trip, window_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), y) AS t FROM filled)"""
 
 
-def _flow_sql(t, m, q, u, p):
-    heat, ac, amb, speed = u
-    mass = f"({p.ua_mass}::DOUBLE * ({t} - {m}))"
-    return (f"({q} - {p.cop_ac}::DOUBLE * {ac} + {p.aux_w}::DOUBLE + ({p.ua0}::DOUBLE + {p.ua1}::DOUBLE * {speed}) * ({amb} - {t}) - {mass}) / {p.c_cab}::DOUBLE",
-            f"{mass} / {p.c_mass}::DOUBLE", f"({p.eta}::DOUBLE * {heat} - {q}) / {p.tau_h}::DOUBLE")
+def _predicted(spark, sf):
+    before = Window.partitionBy("trip", "window_id").orderBy("step").rowsBetween(-3, -1)
+    return _filled(spark, sf).withColumn("t", F.coalesce(F.avg("y").over(before), "y"))
 
 
-def rollout_sql(p: rollout.Plant, name: str = "walk", source: str = "filled") -> str:
-    """Recursive CTE of the same heat balance, one fourth-order step per level."""
-    cols = ["p_heat_w", "p_ac_w", "amb_temp_c", "speed_ms"]
-    u0, u1 = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
-    um = [f"((a{i} + b{i}) / 2)" for i in range(4)]
-    inner = (f"SELECT w.trip, w.window_id, f.step, f.y, w.t, w.m, w.q, {', '.join(f'w.{c} AS a{i}, f.{c} AS b{i}' for i, c in enumerate(cols))} "
-             f"FROM {name} w JOIN {source} f ON f.trip = w.trip AND f.window_id = w.window_id AND f.step = w.step + 1")
-    for j, (u, back) in enumerate(((u0, 0.0), (um, DT / 2), (um, DT / 2), (u1, DT)), 1):
-        at = ["t", "m", "q"] if j == 1 else [f"({v} + {back}::DOUBLE * {v}{j - 1})" for v in "tmq"]
-        k = _flow_sql(*at, u, p)
-        inner = f"SELECT *, {k[0]} AS t{j}, {k[1]} AS m{j}, {k[2]} AS q{j} FROM ({inner})"
-    nxt = ", ".join(f"{v} + {DT}::DOUBLE / 6 * ({v}1 + 2 * {v}2 + 2 * {v}3 + {v}4)" for v in "tmq")
-    return f"""{name} AS (
-  SELECT trip, window_id, step, y, y AS t, y AS m, {p.eta}::DOUBLE * p_heat_w AS q, {', '.join(cols)} FROM {source} WHERE step = 0
-  UNION ALL SELECT trip, window_id, step, y, {nxt}, b0, b1, b2, b3 FROM ({inner}))"""
+_ERROR = F.col("t") - F.col("y")
 
 
-def _arrays(spark, sf):
-    return windows.as_arrays(_filled(spark, sf), CHANNELS)
-
-
-_ROLL = f"WITH RECURSIVE {FILLED_SQL}, {rollout_sql(PLANT)}"
-
-
-@query("rollout_states", f"""{_ROLL}
-SELECT trip, window_id, step, round(t, 5) AS t_cab, round(m, 5) AS t_mass, round(q, 4) AS q_del,
-  round(t + q / 70.0::DOUBLE, 4) AS duct_c FROM walk""")
-def rollout_states(spark, sf):
-    st = rollout.rollout_states(_arrays(spark, sf), [PLANT], dt_s=DT)
-    return st.select("trip", "window_id", "step", F.round("t_cab", 5).alias("t_cab"), F.round("t_mass", 5).alias("t_mass"),
-                     F.round("q_del", 4).alias("q_del"),
-                     F.round(duct_temperature("t_cab", "q_del", F.lit(PLANT.mdot_cp)), 4).alias("duct_c"))
+@query("window_score", f"""WITH {_PRED}
+SELECT h.horizon::INT AS horizon, round(sqrt(avg((t - y) ** 2)), 6) AS model, count(DISTINCT (trip, window_id)) AS windows
+FROM pred JOIN (VALUES {_HV}) h(horizon) ON step < h.horizon GROUP BY 1""")
+def window_score(spark, sf):
+    return scoring.window_scores(_predicted(spark, sf), _ERROR, _H).withColumn("model", F.round("model", 6))
 
 
-@query("rollout_score", f"""{_ROLL}
-SELECT h.horizon::INT AS horizon, round(sqrt(avg((t - y) ** 2)), 6) AS model, count(DISTINCT (trip, window_id)) AS windows
-FROM walk JOIN (VALUES {_HV}) h(horizon) ON step < h.horizon GROUP BY 1""")
-def rollout_score(spark, sf):
-    sums = rollout.rollout_sums(_arrays(spark, sf), [PLANT], _H, dt_s=DT)
-    return rollout.rollout_rmse(sums, ()).withColumn("model", F.round("model", 6))
+@query("duct_temperature", f"WITH {_PRED} SELECT trip, window_id, step, round(t + p_heat_w / 70.0::DOUBLE, 5) AS duct_c FROM pred")
+def duct_temperatures(spark, sf):
+    duct = duct_temperature("t", "p_heat_w", F.lit(70.0))
+    return _predicted(spark, sf).select("trip", "window_id", "step", F.round(duct, 5).alias("duct_c"))
 
 
-@query("rollout_huber", f"""{_ROLL}
+@query("window_huber", f"""WITH {_PRED}
 SELECT round(avg(CASE WHEN abs(t - y) <= 1 THEN (t - y) ** 2 / 2 ELSE abs(t - y) - 0.5::DOUBLE END)
   + 0.3::DOUBLE * avg(CASE WHEN abs(v) <= 1 THEN v ** 2 / 2 ELSE abs(v) - 0.5::DOUBLE END), 6) AS loss
-FROM (SELECT t, y, t + q / 70.0::DOUBLE - (y + 30) AS v FROM walk)""")
-def rollout_huber(spark, sf):
-    arrays = _arrays(spark, sf).withColumn("duct", F.transform("y", lambda v: v + 30))
-    sums = rollout.rollout_sums(arrays, [PLANT], [STEPS], vent="duct", dt_s=DT)
-    return sums.agg(F.round(F.sum("huber") / F.sum("steps") + scoring.VENT_WEIGHT * F.sum("vent_huber") / F.sum("steps"), 6).alias("loss"))
+FROM (SELECT t, y, t + p_heat_w / 70.0::DOUBLE - (y + 30) AS v FROM pred)""")
+def window_huber(spark, sf):
+    duct = duct_temperature("t", "p_heat_w", F.lit(70.0)) - (F.col("y") + 30)
+    loss = F.avg(scoring.huber(_ERROR)) + scoring.VENT_WEIGHT * F.avg(scoring.huber(duct))
+    return _predicted(spark, sf).agg(F.round(loss, 6).alias("loss"))
 
 
-@query("per_trip_rmse", f"""{_ROLL}
-SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model FROM walk WHERE step < 8 GROUP BY 1""")
+@query("per_trip_rmse", f"""WITH {_PRED}
+SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model, round(avg(abs(t - y)) FILTER (WHERE p_heat_w > 120), 6) AS active_mae
+FROM pred WHERE step < 8 GROUP BY 1""")
 def per_trip_rmse(spark, sf):
-    sums = rollout.rollout_sums(_arrays(spark, sf), [PLANT], [8], dt_s=DT)
-    return rollout.rollout_rmse(sums, ("trip",)).select("trip", F.round("model", 6).alias("model"))
+    p = _predicted(spark, sf).filter("step < 8")
+    active = F.avg(F.when(F.col("p_heat_w") > scoring.ACTIVE_W, F.abs(_ERROR)))
+    scored = scoring.rmse_by_horizon(p, _ERROR, [8], ("trip",), out="model").select("trip", F.round("model", 6).alias("model"))
+    return scored.join(p.groupBy("trip").agg(F.round(active, 6).alias("active_mae")), "trip")
 
 
-@query("worst_trips", f"""{_ROLL}
-SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model FROM walk WHERE step < 8 GROUP BY 1 ORDER BY model DESC, trip LIMIT 8""")
+@query("worst_trips", f"""WITH {_PRED}
+SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model FROM pred WHERE step < 8 GROUP BY 1 ORDER BY model DESC, trip LIMIT 8""")
 def worst_trips(spark, sf):
-    return per_trip_rmse(spark, sf).orderBy(F.desc("model"), "trip").limit(8)
+    scored = scoring.rmse_by_horizon(_predicted(spark, sf), _ERROR, [8], ("trip",), out="model")
+    return scored.select("trip", F.round("model", 6).alias("model")).orderBy(F.desc("model"), "trip").limit(8)
 
 
-@query("skill_by_horizon", f"""WITH RECURSIVE {_BASE}, {rollout_sql(PLANT)}, mod AS (
-  SELECT h.horizon::INT AS horizon, sqrt(avg((t - y) ** 2)) AS model FROM walk JOIN (VALUES {_HV}) h(horizon) ON step < h.horizon GROUP BY 1)
+@query("skill_by_horizon", f"""WITH {_BASE}, pred AS (
+  SELECT *, coalesce(avg(y) OVER (PARTITION BY trip, window_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), y) AS t FROM filled), mod AS (
+  SELECT h.horizon::INT AS horizon, sqrt(avg((t - y) ** 2)) AS model FROM pred JOIN (VALUES {_HV}) h(horizon) ON step < h.horizon GROUP BY 1)
 SELECT horizon, round(model, 6) AS model, round(persistence, 6) AS persistence, round(exponential, 6) AS exponential,
   round(1 - model / least(persistence, exponential), 6) AS skill FROM mod JOIN pers USING (horizon) JOIN best USING (horizon)""")
 def skill_by_horizon(spark, sf):
-    t = evaluation.plant_table(_filled(spark, sf), PLANT, (4, 8, 1200), STEPS, DT, relax_dt_s=60.0)
+    p = _predicted(spark, sf)
+    t = scoring.skill_table(scoring.rmse_by_horizon(p, _ERROR, _H, out="model"), scoring.baseline_rmse(p, "y", "amb_temp_c", _H, 60.0))
     return t.withColumns({c: F.round(c, 6) for c in ("model", "persistence", "exponential", "skill")})
 
 
-@query("energy_balance", f"""{_ROLL}, ends AS (
-  SELECT trip, window_id, sum(fl) - (arg_min(fl, step) + arg_max(fl, step)) / 2 AS net,
-    {PLANT.c_cab}::DOUBLE * (arg_max(t, step) - arg_min(t, step)) + {PLANT.c_mass}::DOUBLE * (arg_max(m, step) - arg_min(m, step)) AS stored
-  FROM (SELECT *, q - 2.0::DOUBLE * p_ac_w + (55.0::DOUBLE + 1.0::DOUBLE * speed_ms) * (amb_temp_c - t) AS fl FROM walk) GROUP BY 1, 2)
-SELECT round(max(abs(net * 10 - stored) / greatest(abs(stored), 1)), 4) AS max_rel_error,
-  round(avg(abs(net * 10 - stored) / greatest(abs(stored), 1)), 5) AS mean_rel_error FROM ends""")
-def energy_balance(spark, sf):
-    w = _filled(spark, sf)
-    st = rollout.rollout_states(windows.as_arrays(w, CHANNELS), [PLANT], dt_s=DT)
-    b = rollout.energy_balance(st, w, PLANT, dt_s=DT)
-    return b.select(F.round("max_rel_error", 4).alias("max_rel_error"), F.round("mean_rel_error", 5).alias("mean_rel_error"))
-
-
-@query("history_state", f"""WITH RECURSIVE {FILLED_SQL}, h AS (SELECT * FROM filled WHERE step < 8), e AS (
-  SELECT trip, window_id, arg_max(y, step) AS t_cab, sum(exp(-(7 - step) * 10.0::DOUBLE / 1800) * y) / sum(exp(-(7 - step) * 10.0::DOUBLE / 1800)) AS t_mass
-  FROM h GROUP BY 1, 2), {rollout_sql(PLANT, 'walk', 'h')}
-SELECT e.trip, e.window_id, round(t_cab, 5) AS t_cab, round(t_mass, 5) AS t_mass, round(w.q, 4) AS q_del
-FROM e JOIN walk w ON w.trip = e.trip AND w.window_id = e.window_id AND w.step = 7""")
+@query("history_state", f"""WITH {FILLED_SQL}
+SELECT trip, window_id, round(arg_max(y, step), 5) AS last_value,
+  round(sum(exp((step - 7) * 10.0::DOUBLE / 1800) * y) / sum(exp((step - 7) * 10.0::DOUBLE / 1800)), 5) AS weighted_mean
+FROM filled WHERE step < 8 GROUP BY 1, 2""")
 def history_state(spark, sf):
-    st = rollout.rollout_states(_arrays(spark, sf), [PLANT], burn_in=8, dt_s=DT).filter("step = 0")
-    return st.select("trip", "window_id", F.round("t_cab", 5).alias("t_cab"), F.round("t_mass", 5).alias("t_mass"), F.round("q_del", 4).alias("q_del"))
-
-
-_PLANTS = rollout.perturbed(PLANT)
-
-
-@query("perturbation_sweep", f"""WITH RECURSIVE {FILLED_SQL}, {', '.join(rollout_sql(p, f'walk{i}') for i, p in enumerate(_PLANTS))}, every AS (
-  {' UNION ALL '.join(f"SELECT '{p.name}' AS perturbation, * FROM walk{i}" for i, p in enumerate(_PLANTS))})
-SELECT perturbation, round(sum(p_heat_w) * 10 / 3600, 3) AS energy_wh,
-  round(sum(2.0::DOUBLE * greatest(0.0::DOUBLE, 21 - t) + greatest(0.0::DOUBLE, t - 23)) * 10 / 60, 3) AS discomfort_kmin,
-  round(max(p_heat_w), 3) AS peak_w FROM every GROUP BY 1""")
-def perturbation_sweep(spark, sf):
-    out = evaluation.perturbation_sweep(_filled(spark, sf), PLANT, DT, cold_weight=2.0, keys=())
-    return out.select("perturbation", *[F.round(c, 3).alias(c) for c in ("energy_wh", "discomfort_kmin", "peak_w")])
-
-
-_GRID = [PLANT.scaled(f"c{c}u{u}", {"c_cab": c, "ua0": u}) for c in (0.5, 1.0, 2.0) for u in (0.5, 2.0)]
-
-
-@query("parameter_search", f"""WITH RECURSIVE {FILLED_SQL}, {', '.join(rollout_sql(p, f'walk{i}') for i, p in enumerate(_GRID))}, every AS (
-  {' UNION ALL '.join(f"SELECT '{p.name}' AS param_set, {rollout.penalty_of(p)!r}::DOUBLE AS penalty, * FROM walk{i}" for i, p in enumerate(_GRID))}), scored AS (
-  SELECT f.fold::INT AS fold, param_set, avg(CASE WHEN trip % 3 <> f.fold THEN CASE WHEN abs(t - y) <= 1 THEN (t - y) ** 2 / 2 ELSE abs(t - y) - 0.5::DOUBLE END END)
-      + 0.05::DOUBLE * any_value(penalty) AS loss, sqrt(avg(CASE WHEN trip % 3 = f.fold THEN (t - y) ** 2 END)) AS test_rmse
-  FROM every CROSS JOIN (VALUES (0), (1), (2)) f(fold) GROUP BY 1, 2)
-SELECT fold, arg_min(param_set, loss) AS param_set, round(min(loss), 5) AS train_loss, round(arg_min(test_rmse, loss), 5) AS test_rmse
-FROM scored GROUP BY 1""")
-def parameter_search(spark, sf):
-    arrays = _arrays(spark, sf)
-    every = samples(spark, sf).select("trip").distinct().withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    roles = every.withColumn("role", F.when(F.col("trip") % 3 == F.col("fold"), "test").otherwise("train"))
-    best = evaluation.search(arrays, roles, _GRID, STEPS, dt_s=DT)
-    return best.select("fold", "param_set", F.round("train_loss", 5).alias("train_loss"), F.round("test_rmse", 5).alias("test_rmse"))
+    h = windows.history_mean(_filled(spark, sf), "y", 8, 1800.0, 10.0)
+    return h.withColumns({c: F.round(c, 5) for c in ("last_value", "weighted_mean")})
 
 
-@query("fold_spread", f"""WITH RECURSIVE {FILLED_SQL}, {rollout_sql(PLANT)}, f AS (
-  SELECT trip % 5 AS fold, sqrt(avg((t - y) ** 2)) AS rmse, avg(t - y) AS bias FROM walk GROUP BY 1)
+@query("fold_spread", f"""WITH {_PRED}, f AS (
+  SELECT trip % 5 AS fold, sqrt(avg((t - y) ** 2)) AS rmse, avg(t - y) AS bias FROM pred GROUP BY 1)
 SELECT 'rmse' AS metric, round(avg(rmse), 5) AS mean, round(stddev_samp(rmse), 5) AS sd, count(rmse) AS folds FROM f
 UNION ALL SELECT 'bias', round(avg(bias), 5), round(stddev_samp(bias), 5), count(bias) FROM f""")
 def fold_spread(spark, sf):
-    w = _filled(spark, sf)
-    st = rollout.rollout_states(windows.as_arrays(w, CHANNELS), [PLANT], dt_s=DT)
-    j = st.join(w.select("trip", "window_id", "step", "y"), ["trip", "window_id", "step"])
-    e = F.col("t_cab") - F.col("y")
-    per = j.groupBy((F.col("trip") % 5).alias("fold")).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
+    per = _predicted(spark, sf).groupBy((F.col("trip") % 5).alias("fold")).agg(F.sqrt(F.avg(_ERROR * _ERROR)).alias("rmse"), F.avg(_ERROR).alias("bias"))
     out = scoring.spread_over_folds(per, ["rmse", "bias"])
     return out.select("metric", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), "folds")
 
@@ -293,27 +223,27 @@ def _sets(spark, sf):
     p = table(spark, sf, "part")
     wide = p.select(F.col("p_partkey").alias("set_id"), (F.col("p_retailprice") * 20).alias("c_cab"), (F.col("p_size") * 5.0).alias("ua0"),
                     (F.col("p_size") / 25.0).alias("eta"), (F.col("p_retailprice") / 5).alias("tau_mass"))
-    return wide, rollout.long_parameters(wide, ["set_id"], ["c_cab", "ua0", "eta", "tau_mass"])
+    return wide, parameters.long_parameters(wide, ["set_id"], ["c_cab", "ua0", "eta", "tau_mass"])
 
 
 @query("implausible_parameters", f"WITH {_SETS_SQL} SELECT set_id, name, round(value, 6) AS value FROM long WHERE NOT (value BETWEEN lo AND hi)")
 def implausible_parameters(spark, sf):
-    return rollout.implausible(_sets(spark, sf)[1]).select("set_id", "name", F.round("value", 6).alias("value"))
+    return parameters.implausible(_sets(spark, sf)[1]).select("set_id", "name", F.round("value", 6).alias("value"))
 
 
 @query("plausibility_penalty", f"""WITH {_SETS_SQL}
 SELECT set_id, round(sum(greatest(ln(lo) - ln(value), 0) ** 2 + greatest(ln(value) - ln(hi), 0) ** 2), 6) AS penalty FROM long GROUP BY 1""")
 def plausibility_penalty(spark, sf):
-    return rollout.plausibility_penalty(_sets(spark, sf)[1], ["set_id"]).withColumn("penalty", F.round("penalty", 6))
+    return parameters.plausibility_penalty(_sets(spark, sf)[1], ["set_id"]).withColumn("penalty", F.round("penalty", 6))
 
 
 @query("parameter_movement", f"""WITH {_SETS_SQL}
 SELECT set_id, name, round(abs(value - v0) / v0, 6) AS moved, abs(value - v0) / v0 < 0.05 AS stuck FROM long""")
 def parameter_movement(spark, sf):
-    return rollout.movement(_sets(spark, sf)[1]).select("set_id", "name", F.round("moved", 6).alias("moved"), "stuck")
+    return parameters.movement(_sets(spark, sf)[1]).select("set_id", "name", F.round("moved", 6).alias("moved"), "stuck")
 
 
 @query("holding_power", f"WITH {_SETS_SQL} SELECT set_id, round((ua0 + 2.0::DOUBLE * 10) * 22 / greatest(eta, 1e-6), 4) AS power_w FROM sets")
 def holding_power(spark, sf):
     wide, _ = _sets(spark, sf)
-    return wide.select("set_id", F.round(rollout.holding_power(F.col("ua0"), F.lit(2.0), F.col("eta"), speed_ms=10.0), 4).alias("power_w"))
+    return wide.select("set_id", F.round(parameters.holding_power(F.col("ua0"), F.lit(2.0), F.col("eta"), speed_ms=10.0), 4).alias("power_w"))

@@ -1,78 +1,13 @@
-"""Whole evaluations: skill tables, cross-validated parameter search, perturbation sweeps."""
+"""Whole evaluations of calibrated forecasts."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.operators import forecast, outcomes, rollout, scoring, windows
+from tripflow.operators import forecast
 from tripflow.session import durable
 
-CHANNELS = ["y", *rollout.CHANNELS]
-
-
-def plant_table(filled: DataFrame, plant: rollout.Plant, horizons: tuple[int, ...], length: int, dt_s: float = 1.0,
-                relax_dt_s: float | None = None) -> DataFrame:
-    """Model and baseline errors with skill at every horizon that fits, and at full length."""
-    hs = scoring.scored_horizons(horizons, length)
-    sums = rollout.rollout_sums(windows.as_arrays(filled, CHANNELS), [plant], hs, dt_s=dt_s)
-    base = scoring.baseline_rmse(filled, "y", "amb_temp_c", hs, dt_s if relax_dt_s is None else relax_dt_s)
-    return scoring.skill_table(rollout.rollout_rmse(sums, ()), base)
-
-
-def search(arrays: DataFrame, roles: DataFrame, grid: list[rollout.Plant], horizon: int, y: str = "y", vent: str | None = None,
-           dt_s: float = 1.0, vent_weight: float = scoring.VENT_WEIGHT, range_weight: float = scoring.RANGE_WEIGHT) -> DataFrame:
-    """Best parameter set per fold by training loss, with its test error.
-
-    The fold is a column: every window is rolled out once for the whole grid, whatever the number
-    of folds, and only sums per trip meet the fold table.
-    """
-    sums = rollout.rollout_sums(arrays, grid, [horizon], y, vent, dt_s=dt_s)
-    per_trip = sums.groupBy("trip", "param_set").agg(*[F.sum(c).alias(c) for c in ("steps", "sse", "huber", "vent_huber")])
-    penalty = F.coalesce(*[F.when(F.col("param_set") == p.name, F.lit(rollout.penalty_of(p))) for p in grid])
-    train = F.col("role") == "train"
-    part = lambda c, on: F.sum(F.when(on, F.col(c)))
-    loss = part("huber", train) / part("steps", train)
-    if vent:
-        loss = loss + vent_weight * part("vent_huber", train) / part("steps", train)
-    per_fold = per_trip.join(roles, "trip").groupBy("fold", "param_set").agg(
-        loss.alias("_fit"), F.sqrt(part("sse", ~train) / part("steps", ~train)).alias("test_rmse"))
-    scored = per_fold.withColumn("train_loss", F.col("_fit") + range_weight * penalty)
-    best = F.min(F.struct("train_loss", "param_set", "test_rmse")).alias("b")
-    return scored.groupBy("fold").agg(best).select("fold", "b.*")
-
-
-def refine(grid: list[rollout.Plant], best: rollout.Plant, names: tuple[str, ...], factor: float) -> list[rollout.Plant]:
-    """Finer sets around a winner, one step up and down per name; frozen names are left out by the caller."""
-    near = [best] + [best.scaled(f"{best.name}|{n}*{f:.4g}", {n: f}) for n in names for f in (factor, 1 / factor)]
-    return [replace(p, name=p.name) for p in near]
-
-
-def search_rounds(arrays_by_horizon: dict[int, DataFrame], roles: DataFrame, start: rollout.Plant, names: tuple[str, ...],
-                  factors: tuple[float, ...] = (2.0, 1.4, 1.2), **kw) -> DataFrame:
-    """Coarse to fine and short to long: each round searches around the set the earlier one chose.
-
-    What reaches the driver between rounds is one name: the set chosen by most folds.
-    """
-    grid, result = [start], None
-    rounds = list(zip(factors, sorted(arrays_by_horizon.items()) * len(factors)))
-    for factor, (horizon, arrays) in rounds:
-        grid = refine(grid, grid[0], names, factor)
-        result = search(arrays, roles, grid, horizon, **kw)
-        votes = result.groupBy("param_set").count().orderBy(F.desc("count"), "param_set").first()
-        winner = next(p for p in grid if p.name == votes["param_set"])
-        grid = [winner]
-    return result
-
-
-def perturbation_sweep(filled: DataFrame, plant: rollout.Plant, dt_s: float, cold_weight: float, keys: tuple[str, ...] = ("trip",)) -> DataFrame:
-    """Energy and discomfort of the recorded heater trace under every perturbed parameter set."""
-    states = rollout.rollout_states(windows.as_arrays(filled, CHANNELS), rollout.perturbed(plant), dt_s=dt_s)
-    j = states.join(filled.select("trip", "window_id", "step", "p_heat_w"), ["trip", "window_id", "step"])
-    return outcomes.outcome(j.withColumnRenamed("param_set", "perturbation"), [*keys, "perturbation"], "t_cab", "p_heat_w", dt_s, cold_weight)
-
 
 def fit_forecast(fit: DataFrame, keys: list[str], bins: str, label: str = "label") -> DataFrame:
     """Quantile table of the fitting rows.
