@@ -1,9 +1,10 @@
 """BPE with word ends, encoded and decoded without a tokenizer library.
 
-A word keeps its part boundaries and the rank of every adjacent pair in one contiguous list; the minimum is scanned for,
-its boundary deleted and the two neighbouring ranks refreshed, until no pair has a rank. Words longer than ``SHORT`` parts
-use a heap over the same ranks, which makes the same merges without the quadratic scan. Words recur, so each task keeps a
-bounded memo of encoded words.
+A word keeps its parts and the ranks of adjacent pairs in one contiguous row: the minimum of the row is scanned for, its
+boundary deleted and the two neighbouring ranks refreshed, until no pair of the row has a rank. Rows of words of one
+length stand below each other in a matrix, so a step merges one pair in each of up to ``ROWS`` words at once. Words longer
+than ``SHORT`` bytes use a heap over the same ranks, which makes the same merges without the quadratic scan. Words recur,
+so each task keeps a bounded memo of encoded words and of the stretches between white space.
 
 The vocabulary file is read from a path where the tasks run. It must be a BPE over byte letters with an end-of-word suffix
 and the splitting rule below; anything else is refused.
@@ -23,12 +24,14 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-SHORT, MEMO_CHUNKS, NO_RANK = 64, 1 << 18, 1 << 60
+SHORT, ROWS, MEMO_ENTRIES, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 19, 1 << 22, (1 << 31) - 1, "A"
 
 # Fixed values of the file format: white space of the splitting rule, the rule itself, and the letters that stand for bytes.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,109 +51,159 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        made = self.make(chunk)
-        if len(chunk) <= SHORT:
-            self[chunk] = made
-        return made
-
-
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         normal = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or split[0]["pattern"]["Regex"] != RULE or normal != ["NFC", "Replace", "Lowercase"] or spec["decoder"]:
+        if model["type"] != "BPE" or split[0]["pattern"]["Regex"] != RULE or normal != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or len(model["vocab"]) >= 1 << 16:
             raise ValueError("this file needs another splitting or joining rule")
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
-        self.letters = byte_letters()
+        pairs = [(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]]
+        self.rank = {a << 16 | b: rank for rank, (a, b, _) in enumerate(pairs)}
+        self.made = np.array([c for _, _, c in pairs], np.uint32)  # by rank
+        letters = byte_letters()
+        self.inner = np.array([self.vocab[x] for x in letters], np.uint32)  # of a byte, within a word and at its end
+        self.final = np.array([self.vocab[x + self.suffix] for x in letters], np.uint32)
+        keys = np.fromiter(self.rank, np.uint32, len(self.rank))
+        order = np.argsort(keys)
+        self.keys, self.ranks_of = np.append(keys[order], np.uint32(0xFFFFFFFF)), np.append(order, NO_RANK).astype(np.int32)
         self.find = regex.compile(RULE.replace(r"\s", SPACE)).findall
+        self.find_marked = regex.compile(RULE.replace(r"\s", SPACE) + "|\n").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-        self.memo = _Memo(self._words)
-
-    def _rank(self, a: int, b: int) -> int:
-        return self.merges.get((a, b), (NO_RANK, 0))[0]
-
-    def word_ids(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.suffix
-        ids = [self.vocab[x] for x in letters]
-        if len(ids) > SHORT:
-            return self._long(ids)
-        ranks = [self._rank(a, b) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == NO_RANK:
-                break
-            at = ranks.index(low)
-            ids[at] = self.merges[ids[at], ids[at + 1]][1]
-            del ids[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = self._rank(ids[at - 1], ids[at])
-            if at < len(ranks):
-                ranks[at] = self._rank(ids[at], ids[at + 1])
-        return ids
+        self.memo: dict[str, bytes] = {}
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << np.uint32(16) | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks_of[at], np.int32(NO_RANK))
+
+    def _equal_lengths(self, words: list[str], raw: bytes, n: int, out: dict[str, bytes]) -> None:
+        """Encode words of ``n`` bytes each, whose bytes stand one after the other in ``raw``."""
+        letters = np.frombuffer(raw, np.uint8).reshape(-1, n)
+        ids = self.inner[letters]
+        ids[:, -1] = self.final[letters[:, -1]]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        which = np.arange(len(words))
+        while len(which):
+            if ids.shape[1] > 1:
+                at = ranks.argmin(1)
+                low = ranks[np.arange(len(at)), at]
+                done = low == NO_RANK
+            else:
+                done = np.ones(len(which), bool)
+            if done.any():
+                width, bytes_ = 4 * ids.shape[1], ids[done].astype("<u4").tobytes()
+                for k, w in enumerate(which[done].tolist()):
+                    out[words[w]] = bytes_[k * width:(k + 1) * width]
+                go = ~done
+                which, ids, ranks = which[go], ids[go], ranks[go]
+                if not len(which):
+                    return
+                at, low = at[go], low[go]
+            rows, n_ids = np.arange(len(which)), ids.shape[1]
+            new = self.made[low]
+            ids[rows, at] = new
+            col = np.arange(n_ids - 1)
+            ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
+            ranks = np.take_along_axis(ranks, col[:-1] + (col[:-1] >= at[:, None]), 1)
+            has = at > 0
+            ranks[rows[has], at[has] - 1] = self._ranks(ids[rows[has], at[has] - 1], new[has])
+            has = at < n_ids - 2
+            ranks[rows[has], at[has]] = self._ranks(new[has], ids[rows[has], at[has] + 1])
+
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        by_length: dict[int, tuple[list[str], list[bytes]]] = {}
+        for w in words:
+            raw = w.encode("utf-8")
+            if len(raw) > SHORT:
+                letters = np.frombuffer(raw, np.uint8)
+                out[w] = packed(self._long([*self.inner[letters[:-1]].tolist(), int(self.final[letters[-1]])]))
+            else:
+                if (group := by_length.get(len(raw))) is None:
+                    group = by_length[len(raw)] = [], []
+                group[0].append(w)
+                group[1].append(raw)
+        for n, (group, raws) in by_length.items():
+            for k in range(0, len(group), ROWS):
+                self._equal_lengths(group[k:k + ROWS], b"".join(raws[k:k + ROWS]), n, out)
+        return out
 
     def _long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self._rank(ids[i], ids[i + 1])) != NO_RANK]
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get(ids[i] << 16 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            low, i = heapq.heappop(heap)
             j = right[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] < 0 or j >= n or self.rank.get(ids[i] << 16 | ids[j]) != low:
                 continue  # one of the two parts has been merged since
-            ids[i], ids[j], right[i] = self.merges[a, b][1], -1, right[j]
+            ids[i], ids[j], right[i] = int(self.made[low]), -1, right[j]
             if right[j] < n:
                 left[right[j]] = i
             for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y < n and (r := self._rank(ids[x], ids[y])) != NO_RANK:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
+                if x >= 0 and y < n and (r := self.rank.get(ids[x] << 16 | ids[y])) is not None:
+                    heapq.heappush(heap, (r, x))
         return [x for x in ids if x >= 0]
 
-    def _words(self, text: str) -> tuple[bytes, str]:
-        words = [self.word_ids(w) for w in self.find(text)]
-        return packed(i for w in words for i in w), " ".join(self.tokens[i] for w in words for i in w)
-
-    def _chunks(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """Of each stretch of text; words never cross white space, so stretches between white space are kept in the memo."""
+    def _chunks(self, text: str) -> list[str]:
+        """The keys of a text's stretches: words never cross white space. Lower-cased keys hold no capital, which marks added tokens."""
+        out = []
         for k, part in enumerate(self.cut(text) if self.cut and "<" in text else [text]):
             if k % 2:
-                yield packed([self.added[part]]), part
+                self.memo[ADDED + part] = packed([self.added[part]])
+                out.append(ADDED + part)
                 continue
             part = part if part.isascii() else unicodedata.normalize("NFC", part)
             # letter by letter where the whole-string rule would look at a sigma's neighbours
             part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            if NO_SPACE.search(part):
-                yield self._words(part)
+            out += self.find(part) if NO_SPACE.search(part) else part.split()
+        return out
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers; texts are taken ``GROUP`` characters at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self._chunks(text or ""))
+            size += len(text or "")
+            if size >= GROUP:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
+        memo, chunks = self.memo, [*chain.from_iterable(group)]
+        ids = [*map(memo.get, chunks)]
+        new = [k for k, known in enumerate(ids) if known is None]
+        unknown = [*{chunks[k] for k in new}]
+        found = self.find_marked("\n".join([*unknown, ""]))
+        words, parts, at = self._learn(set(found) - {"\n"}), [], 0
+        for w in found:
+            if w == "\n":
+                memo[unknown[at]] = parts[0] if len(parts) == 1 else b"".join(parts)
+                parts, at = [], at + 1
             else:
-                yield from map(self.memo.__getitem__, part.split())
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
+                parts.append(words[w])
+        for k in new:
+            ids[k] = memo[chunks[k]]
+        at = 0
+        for chunks in group:
+            yield b"".join(ids[at:at + len(chunks)])
+            at += len(chunks)
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
 
     def encode(self, text: str | None) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        return b"".join([c[0] for c in self._chunks(text or "")])
-
-    def encode_decode(self, text: str | None) -> tuple[bytes, str]:
-        chunks = [c for c in self._chunks(text or "") if c[0]]
-        return b"".join([c[0] for c in chunks]), " ".join([c[1] for c in chunks])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join([self.tokens[i] for i in ids])
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -174,13 +227,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         bpe = load(path)
         for batch in batches:
             n, raw, said, all_ids = [], [], [], []
-            for text in batch.column(1):
-                ids, words = bpe.encode_decode(text.as_py())
-                n.append(len(ids) // 4)
+            for ids in bpe.encode_all(text.as_py() for text in batch.column(1)):
+                numbers = np.frombuffer(ids, "<u4").tolist()
+                n.append(len(numbers))
                 raw.append(hashlib.sha256(ids).hexdigest())
-                said.append(hashlib.sha256(words.encode("utf-8")).hexdigest())
+                said.append(hashlib.sha256(bpe.decode(numbers).encode("utf-8")).hexdigest())
                 if keep_ids:
-                    all_ids.append(list(memoryview(ids).cast("I")))
+                    all_ids.append(numbers)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(raw, pa.string()), pa.array(said, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

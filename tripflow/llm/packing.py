@@ -95,8 +95,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         block, tokens, id_type = [], 0, None
         for batch in batches:
             id_type = batch.column(0).type
-            for key, text in zip(batch.column(0), batch.column(1)):
-                ids = encoder.encode(text.as_py()) + end
+            texts = encoder.encode_all(text.as_py() for text in batch.column(1))
+            for key, ids in zip(batch.column(0), texts):
+                ids += end
                 if block and tokens + len(ids) // 4 > block_tokens:
                     out, first = flush(block, first, id_type)
                     yield out
