@@ -128,6 +128,21 @@ def test_extra_field_classes(spark):
     assert got == ["trailing_empty", "unmapped", "stray", "unmapped", "unmapped", "stray"]
 
 
+def test_any_number_of_extra_fields_is_counted(spark, tmp_path):
+    rows = ["1,2,3", "1,2,3,4,5,6,7,8,9,10", '1,2,3,"a,b",5,6,7,8,9,10,11']
+    write(tmp_path / "TripB09.csv", "\n".join(["Time [s],Ambient Temperature [°C],Requested Heating Power [W]", *rows]) + "\n")
+    _, extras = ingest.read_logs(spark, str(tmp_path))
+    got = {r.position: (r.header, r.present) for r in extras.collect()}
+    assert got == {p: (f"Unnamed: {p}", 1 if p in (3, 10) else 2) for p in range(3, 11)}
+
+
+def test_a_long_header_is_read_whole(spark, tmp_path):
+    names = ["Time [s]", *(f"Channel {i} " + "x" * 300 for i in range(1200)), "Requested Heating Power [W]"]
+    write(tmp_path / "TripB10.csv", ",".join(names) + "\n" + ",".join(["1"] * len(names)) + "\n")
+    (v,) = delimited.variants(spark, str(tmp_path))
+    assert v.names == [n.strip() for n in names]
+
+
 def test_three_copies_of_a_signal(spark):
     d = spark.createDataFrame([("t", 1.0, 9.0, 1.0), ("t", None, 2.0, 7.0), ("u", 1.0, None, 8.0), ("u", 2.0, 2.0, 8.0)],
                               "trip string, a double, b double, c double")

@@ -102,4 +102,4 @@ def rename_signals(long: DataFrame, names: dict[str, str], header: str = "header
     """
     spark = long.sparkSession
     table = spark.createDataFrame(list(names.items()), f"_key string, {out} string")
-    return long.withColumn("_key", header_key(F.col(header))).join(F.broadcast(table), "_key").drop("_key")
+    return long.withColumn("_key", header_key(F.col(header))).join(table, "_key").drop("_key")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -12,21 +15,21 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripflow.functions.scalars import clip, finite, hinge, pearson, round_to_step, state_label
+from tripflow.functions.scalars import clip, finite, hinge, missing_if_nan, round_to_step, state_label
 from tripflow.operators.ordered import attach
 from tripflow.operators.quantiles import exact_quantile
 
 # Target limits, activity threshold, completeness, selection and rounding.
 CLIP_W, ACTIVE_W, STEP_W, PROBABILITY = (0.0, 7000.0), 120.0, 40.0, 0.5
 ROW_SHARE, COLUMN_SHARE, TOP_N, MAX_CORR = 0.05, 0.10, 40, 0.993
-# Derived differences as "name | minuend | subtrahend".
-DIFFERENCES = """
-f_cabin_ambient_dt | cabin temperature sensor c      | ambient temperature c
-f_coolant_req_dt   | requested coolant temperature c | coolant temperature heatercore c
-f_hx_inlet_dt      | heat exchanger temperature c    | coolant temperature inlet c
-f_batt_ambient_dt  | battery temperature c           | ambient temperature c
-f_cabin_coolant_dt | requested coolant temperature c | cabin temperature sensor c
-"""
+# Derived differences as (name, minuend, subtrahend).
+DIFFERENCES = (
+    ("f_cabin_ambient_dt", "cabin temperature sensor c", "ambient temperature c"),
+    ("f_coolant_req_dt", "requested coolant temperature c", "coolant temperature heatercore c"),
+    ("f_hx_inlet_dt", "heat exchanger temperature c", "coolant temperature inlet c"),
+    ("f_batt_ambient_dt", "battery temperature c", "ambient temperature c"),
+    ("f_cabin_coolant_dt", "requested coolant temperature c", "cabin temperature sensor c"),
+)
 WARM_BELOW_C, BATTERY_COLD_BELOW_C, MOVING_KMH = 20.0, 15.0, 1.0
 
 
@@ -47,8 +50,7 @@ def derived_features(df: DataFrame, names: dict[str, str] | None = None) -> Data
     new: dict[str, Column] = {}
     if have("battery voltage v", "battery current a"):
         new["f_battery_power_w"] = c("battery voltage v") * c("battery current a")
-    for line in DIFFERENCES.strip().splitlines():
-        name, a, b = (p.strip() for p in line.split("|"))
+    for name, a, b in DIFFERENCES:
         if have(a, b):
             new[name] = c(a) - c(b)
     if have("velocity km h"):
@@ -79,57 +81,73 @@ def complete_columns(df: DataFrame, cols: list[str], at_least: float = COLUMN_SH
     return [r.feature for r in column_shares(df, cols).filter(F.col("share") >= at_least).collect()]    # one row per column
 
 
-def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Long table (a, b, r) of pairwise correlations over rows where both are present; undefined is NULL.
+def _moments(df: DataFrame, cols: list[str], shift: list[float]) -> np.ndarray:
+    """Over all pairs of columns where both are present: counts, sums and products, as five k x k tables, in one pass.
 
-    Pairs are a dimension of one narrow aggregate, which stays in generated code for any number
-    of pairs; partial sums per pair are all that is shuffled.
+    Every task adds up its rows with matrix products; k * k numbers per task are all that leaves it.
     """
-    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                               for i, (a, b) in enumerate(pairs)]))
-    found = (df.select(cells).filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-             .groupBy("pair").agg(pearson("x", "y").alias("r")))
-    named = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    return named.join(found, "pair", "left").select("a", "b", "r")
+    k = len(cols)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((5, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) - shift
+            here = np.isfinite(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["m"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(add_up, "m array<double>")
+    cells = parts.select(F.posexplode("m").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(5 * k * k)
+    for r in cells.collect():       # five numbers per pair of columns
+        out[r.i] = r.v
+    return out.reshape(5, k, k)
+
+
+def correlation_values(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, dict[str, bool]]:
+    """Pairwise-complete correlations of columns (NaN where undefined), and which columns vary."""
+    first = df.agg(*[F.avg(missing_if_nan(F.col(c).cast("double"))).alias(f"a{i}") for i, c in enumerate(cols)],
+                   *[(F.min(missing_if_nan(F.col(c).cast("double"))) < F.max(missing_if_nan(F.col(c).cast("double")))).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    n, sx, sy, sxx, sxy = _moments(df, cols, [first[f"a{i}"] or 0.0 for i in range(len(cols))])
+    with np.errstate(all="ignore"):
+        cov, vx = sxy - sx * sy / n, sxx - sx * sx / n
+        vy = vx.T
+        flat = (vx <= 1e-12 * sxx) | (vy <= 1e-12 * sxx.T)
+        r = np.where(flat | (n < 2), np.nan, cov / np.sqrt(vx * vy))
+    return np.clip(r, -1.0, 1.0), {c: bool(first[f"v{i}"]) for i, c in enumerate(cols)}
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All ordered pairs; each is computed once, the diagonal is 1 where the column varies."""
-    half = correlations(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]])
-    return half.unionByName(half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    """All ordered pairs (a, b, r) over rows where both are present; undefined is NULL."""
+    r, _ = correlation_values(df, cols)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def top_mean_correlation(matrix: DataFrame, n: int = 15) -> DataFrame:
     return (matrix.groupBy("a").agg(F.avg(F.abs("r")).alias("mean_abs_r")).orderBy(F.desc("mean_abs_r"), "a").limit(n))
 
 
-def target_correlations(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """Absolute correlation of every varying feature with the target; undefined counts as zero."""
-    varies = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols])
-    flags = varies.select(F.inline(F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("varies")) for c in cols])))
-    return (correlations(df, [(c, target) for c in cols]).join(flags.filter("varies"), "a")
-            .select(F.col("a").alias("feature"), F.coalesce(F.abs("r"), F.lit(0.0)).alias("abs_r")))
-
-
 def select_features(df: DataFrame, cols: list[str], target: str, top_n: int = TOP_N, max_corr: float = MAX_CORR) -> DataFrame:
-    """Top features by correlation with the target, marked ``kept`` unless an earlier one says the same.
+    """Top varying features by absolute correlation with the target (undefined counts as zero), marked ``kept`` unless an
+    earlier one says the same.
 
-    The candidates reach the driver as column names only; rows never do.
+    One pass over the rows gives all correlations; what reaches the driver is one number per pair of columns.
     """
-    ranked = target_correlations(df, cols, target).orderBy(F.desc("abs_r"), "feature").limit(top_n)
-    top = [r.feature for r in ranked.collect()]
-    order = F.coalesce(*[F.when(F.col("feature") == c, F.lit(i)) for i, c in enumerate(top)])
-    pairs = [(a, b) for i, a in enumerate(top) for b in top[i + 1:]]
-    if not pairs:
-        return ranked.select("feature", "abs_r", order.alias("rank"), F.lit(True).alias("kept"))
-    twins = correlations(df, pairs).filter(F.abs("r") > max_corr).select(F.col("b").alias("feature")).distinct()
-    return (ranked.withColumn("rank", order).join(twins.withColumn("_twin", F.lit(True)), "feature", "left")
-            .select("feature", "abs_r", "rank", F.col("_twin").isNull().alias("kept")))
+    r, varies = correlation_values(df, [*cols, target])
+    strength = {c: 0.0 if np.isnan(r[i, -1]) else float(abs(r[i, -1])) for i, c in enumerate(cols) if varies[c]}
+    top = sorted(strength, key=lambda c: (-strength[c], c))[:top_n]
+    at = {c: i for i, c in enumerate(cols)}
+    rows = [(c, strength[c], rank, not any(abs(r[at[c], at[e]]) > max_corr for e in top[:rank])) for rank, c in enumerate(top)]
+    return df.sparkSession.createDataFrame(rows, "feature string, abs_r double, rank int, kept boolean")
 
 
 def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float]:
-    """Exact medians of the training rows, one number per column."""
-    return {c: row["m"] if (row := exact_quantile(train, [], c, 0.5, "m").first()) else None for c in cols}
+    """Exact medians of the training rows for all columns in the same passes; one number per column."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
+    found = {r["column"]: r["m"] for r in exact_quantile(train.select(cells), ["column"], "value", 0.5, "m").collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
@@ -196,7 +214,7 @@ def thin(positioned: DataFrame, keys: list[str], at_most: int = 3000, pos: str =
 def first_keys(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the first n distinct keys."""
     keep = df.select(key).distinct().orderBy(key).limit(n)
-    return df.join(F.broadcast(keep), key, "left_semi")     # n keys
+    return df.join(keep, key, "left_semi")
 
 
 def best_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

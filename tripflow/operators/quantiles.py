@@ -63,8 +63,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     at = lambda i, r: F.min(F.when((F.col("_w") == i) & (F.col("_upto") > r), F.col("_v")))
     ends = [c for i in range(len(names)) for c in (
         at(i, F.floor(rank)).alias(f"_a{i}"), at(i, F.ceil(rank)).alias(f"_z{i}"),
-        F.max(F.when(F.col("_w") == i, rank - F.floor(rank))).alias(f"_f{i}"))]
+        F.max(F.when(F.col("_w") == i, rank - F.floor(rank))).alias(f"_f{i}"),
+        (at(i, F.floor(rank)).isNull() & F.max(F.when(F.col("_w") == i, F.floor(rank) < F.col("_n")))).alias(f"_m{i}"))]
     picked = ranked.groupBy(*keys).agg(F.first("_also").alias("_also"), *ends)
+    lost = F.raise_error("a quantile bracket missed its rank").cast("double")
+    inside = lambda i: F.when(F.col(f"_m{i}"), lost).otherwise(F.col(f"_a{i}"))
     return picked.select(*(keys if named else []), *[
-        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
+        (inside(i) + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
         *[F.col(f"_also.{a}").alias(a) for a in (also or {})])

@@ -254,16 +254,20 @@ def select_features(spark, sf):
     return features.select_features(_feat(spark, sf), _FEATURES, "target_w", top_n=6).withColumn("abs_r", F.round("abs_r", 6))
 
 
+def _r_sql(a: str, b: str) -> str:
+    return f"CASE WHEN NOT isnan(corr({a}, {b})) THEN corr({a}, {b}) END"
+
+
 @query("correlation_matrix", f"WITH {_FEAT_SQL} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM feat" for a in _FEATURES[:6] for b in _FEATURES[:6]))
+    f"SELECT '{a}' AS a, '{b}' AS b, round({_r_sql(a, b)}, 6) AS r FROM feat" for a in _FEATURES for b in _FEATURES))
 def correlation_matrix(spark, sf):
-    return features.correlation_matrix(_feat(spark, sf), _FEATURES[:6]).withColumn("r", F.round("r", 6))
+    return features.correlation_matrix(_feat(spark, sf), _FEATURES).withColumn("r", F.round("r", 6))
 
 
-@query("top_mean_correlation", f"""WITH {_FEAT_SQL}, m AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, abs(corr({a}, {b})) AS r FROM feat" for a in _FEATURES[:6] for b in _FEATURES[:6])})
-SELECT a, round(avg(r), 6) AS mean_abs_r FROM m GROUP BY a ORDER BY mean_abs_r DESC, a LIMIT 3""")
+@query("top_mean_correlation", f"""WITH {_FEAT_SQL}, m AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, abs({_r_sql(a, b)}) AS r FROM feat" for a in _FEATURES for b in _FEATURES)})
+SELECT a, round(avg(r), 6) AS mean_abs_r FROM m GROUP BY a ORDER BY mean_abs_r DESC NULLS LAST, a LIMIT 3""")
 def top_mean_correlation(spark, sf):
-    m = features.correlation_matrix(_feat(spark, sf), _FEATURES[:6])
+    m = features.correlation_matrix(_feat(spark, sf), _FEATURES)
     return features.top_mean_correlation(m, 3).withColumn("mean_abs_r", F.round("mean_abs_r", 6))
 
 
@@ -278,23 +282,32 @@ def hurdle_prediction(spark, sf):
 
 
 def _two_stage(spark, sf):
-    df = features.clean_target(_feat(spark, sf).withColumn("target_w", F.col("target_w") / 12 - 800))
+    df = features.clean_target(_feat(spark, sf).withColumn("target_w", F.col("qty") * 150 - 800))
     cols = ["qty", "disc", "tax", "size", "list"]
     models = features.fit_two_stage(df.filter("split <> 'R'").withColumn("stop", F.col("split") == "A"), cols, rounds=5, depth=4, validation="stop")
     return df, cols, models
 
 
-@query("two_stage_model")
+@query("two_stage_model", f"""WITH {_FEAT_SQL}, t AS (SELECT split, CASE WHEN least(greatest(qty * 150 - 800, 0), 7000) <= 120 THEN 0 ELSE 1 END AS on_ FROM feat)
+SELECT split, count(*) AS rows, sum(on_)::BIGINT AS active_rows, true AS on_grid, true AS better_than_mean FROM t GROUP BY 1""")
 def two_stage_model(spark, sf):
+    """Facts that SQL can state of a fitted model: rows, active rows, predictions on their grid, errors below the mean's."""
     df, _, models = _two_stage(spark, sf)
-    pred = features.predict_two_stage(models, df)
-    return scoring.regression_metrics(pred, ["split"], "target_w", "predicted_w")
+    p = features.predict_two_stage(models, df)
+    grid = F.bool_and(p.predicted_w.between(0, 7000) & (F.abs(p.predicted_w - F.round(p.predicted_w / 40) * 40) < 1e-6) | (p.predicted_w == 7000))
+    m = scoring.regression_metrics(p, ["split"], "target_w", "predicted_w").select("split", "rows", "active_rows", "mae")
+    means = p.groupBy("split").agg(F.avg("target_w").alias("mean"), grid.alias("on_grid"))
+    naive = p.join(means, "split").groupBy("split", "on_grid").agg(F.avg(F.abs(F.col("target_w") - F.col("mean"))).alias("naive"))
+    return m.join(naive, "split").select("split", "rows", "active_rows", "on_grid", (F.col("mae") < F.col("naive")).alias("better_than_mean"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"""WITH {_FEAT_SQL} SELECT unnest(['classifier', 'regressor']) AS stage, 5 AS features, 1.0::DOUBLE AS total, true AS in_range
+FROM (SELECT count(*) AS n FROM feat) WHERE n > 0""")
 def feature_importance(spark, sf):
     _, cols, models = _two_stage(spark, sf)
-    return features.importances(models, cols, spark)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("v")) for c in ("classifier", "regressor")]))
+    return features.importances(models, cols, spark).select(each).groupBy("stage").agg(
+        F.count("v").cast("int").alias("features"), F.round(F.sum("v"), 6).alias("total"), F.bool_and(F.col("v").between(0, 1)).alias("in_range"))
 
 
 @query("thinned_rows", f"""WITH {SAMPLES_SQL}, p AS (

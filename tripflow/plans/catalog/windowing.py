@@ -137,14 +137,15 @@ def _predicted(spark, sf):
     return _filled(spark, sf).withColumn("t", F.coalesce(F.avg("y").over(before), "y"))
 
 
-_ERROR = F.col("t") - F.col("y")
+def _error():
+    return F.col("t") - F.col("y")
 
 
 @query("window_score", f"""WITH {_PRED}
 SELECT h.horizon::INT AS horizon, round(sqrt(avg((t - y) ** 2)), 6) AS model, count(DISTINCT (trip, window_id)) AS windows
 FROM pred JOIN (VALUES {_HV}) h(horizon) ON step < h.horizon GROUP BY 1""")
 def window_score(spark, sf):
-    return scoring.window_scores(_predicted(spark, sf), _ERROR, _H).withColumn("model", F.round("model", 6))
+    return scoring.window_scores(_predicted(spark, sf), _error(), _H).withColumn("model", F.round("model", 6))
 
 
 @query("duct_temperature", f"WITH {_PRED} SELECT trip, window_id, step, round(t + p_heat_w / 70.0::DOUBLE, 5) AS duct_c FROM pred")
@@ -159,7 +160,7 @@ SELECT round(avg(CASE WHEN abs(t - y) <= 1 THEN (t - y) ** 2 / 2 ELSE abs(t - y)
 FROM (SELECT t, y, t + p_heat_w / 70.0::DOUBLE - (y + 30) AS v FROM pred)""")
 def window_huber(spark, sf):
     duct = duct_temperature("t", "p_heat_w", F.lit(70.0)) - (F.col("y") + 30)
-    loss = F.avg(scoring.huber(_ERROR)) + scoring.VENT_WEIGHT * F.avg(scoring.huber(duct))
+    loss = F.avg(scoring.huber(_error())) + scoring.VENT_WEIGHT * F.avg(scoring.huber(duct))
     return _predicted(spark, sf).agg(F.round(loss, 6).alias("loss"))
 
 
@@ -168,15 +169,15 @@ SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model, round(avg(abs(t - y)) F
 FROM pred WHERE step < 8 GROUP BY 1""")
 def per_trip_rmse(spark, sf):
     p = _predicted(spark, sf).filter("step < 8")
-    active = F.avg(F.when(F.col("p_heat_w") > scoring.ACTIVE_W, F.abs(_ERROR)))
-    scored = scoring.rmse_by_horizon(p, _ERROR, [8], ("trip",), out="model").select("trip", F.round("model", 6).alias("model"))
+    active = F.avg(F.when(F.col("p_heat_w") > scoring.ACTIVE_W, F.abs(_error())))
+    scored = scoring.rmse_by_horizon(p, _error(), [8], ("trip",), out="model").select("trip", F.round("model", 6).alias("model"))
     return scored.join(p.groupBy("trip").agg(F.round(active, 6).alias("active_mae")), "trip")
 
 
 @query("worst_trips", f"""WITH {_PRED}
 SELECT trip, round(sqrt(avg((t - y) ** 2)), 6) AS model FROM pred WHERE step < 8 GROUP BY 1 ORDER BY model DESC, trip LIMIT 8""")
 def worst_trips(spark, sf):
-    scored = scoring.rmse_by_horizon(_predicted(spark, sf), _ERROR, [8], ("trip",), out="model")
+    scored = scoring.rmse_by_horizon(_predicted(spark, sf), _error(), [8], ("trip",), out="model")
     return scored.select("trip", F.round("model", 6).alias("model")).orderBy(F.desc("model"), "trip").limit(8)
 
 
@@ -187,7 +188,7 @@ SELECT horizon, round(model, 6) AS model, round(persistence, 6) AS persistence,
   round(1 - model / least(persistence, exponential), 6) AS skill FROM mod JOIN pers USING (horizon) JOIN best USING (horizon)""")
 def skill_by_horizon(spark, sf):
     p = _predicted(spark, sf)
-    t = scoring.skill_table(scoring.rmse_by_horizon(p, _ERROR, _H, out="model"), scoring.baseline_rmse(p, "y", "amb_temp_c", _H, 60.0))
+    t = scoring.skill_table(scoring.rmse_by_horizon(p, _error(), _H, out="model"), scoring.baseline_rmse(p, "y", "amb_temp_c", _H, 60.0))
     return t.withColumns({c: F.round(c, 6) for c in ("model", "persistence", "exponential", "skill")})
 
 
@@ -205,7 +206,7 @@ def history_state(spark, sf):
 SELECT 'rmse' AS metric, round(avg(rmse), 5) AS mean, round(stddev_samp(rmse), 5) AS sd, count(rmse) AS folds FROM f
 UNION ALL SELECT 'bias', round(avg(bias), 5), round(stddev_samp(bias), 5), count(bias) FROM f""")
 def fold_spread(spark, sf):
-    per = _predicted(spark, sf).groupBy((F.col("trip") % 5).alias("fold")).agg(F.sqrt(F.avg(_ERROR * _ERROR)).alias("rmse"), F.avg(_ERROR).alias("bias"))
+    per = _predicted(spark, sf).groupBy((F.col("trip") % 5).alias("fold")).agg(F.sqrt(F.avg(_error() * _error())).alias("rmse"), F.avg(_error()).alias("bias"))
     out = scoring.spread_over_folds(per, ["rmse", "bias"])
     return out.select("metric", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), "folds")
 

@@ -17,10 +17,9 @@ from tripflow.functions.scalars import lenient_double
 # Separators in the order they are tried; a header without a name.
 SEPARATORS = (";", ",")
 PLACEHOLDER = re.compile(r"\s*(unnamed:\s*\d+)?\s*", re.IGNORECASE)
-#: Columns read beyond the header, so that lines with extra fields are seen and counted.
+#: Columns parsed beyond the header; a line with still more fields is kept whole and its rest is counted from the text.
 OVERFLOW = 4
 HEAD_BYTES = 1 << 18
-MAX_VARIANTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +51,10 @@ def _read_heads(n_lines: int):
             for path in batch["path"]:
                 where, name = fs.FileSystem.from_uri(path)
                 with where.open_input_stream(name) as f:
-                    text, encoding = _decode(f.read(HEAD_BYTES))
+                    raw = b""
+                    while raw.count(b"\n") < n_lines and (more := f.read(HEAD_BYTES)):
+                        raw += more
+                text, encoding = _decode(raw)
                 lines = text.splitlines()[:n_lines]
                 sep = next((s for s in SEPARATORS if lines and s in lines[-1]), None)
                 rows.append((path, sep, encoding, lines))
@@ -80,8 +82,6 @@ def variants(spark: SparkSession, folder: str, pattern: str = "*.csv", header_li
         groups[(r.sep, r.encoding, tuple(r.heads))].append(r.path)
     if not groups:
         raise FileNotFoundError(f"no readable {pattern} under {folder}")
-    if len(groups) > MAX_VARIANTS:
-        raise ValueError(f"{len(groups)} different headers under {folder}; is this one corpus?")
     return [Variant(*k, tuple(sorted(v))) for k, v in sorted(groups.items())]
 
 
@@ -97,6 +97,22 @@ def read_fields(spark: SparkSession, v: Variant) -> DataFrame:
     return raw.select(stem.alias("trip"), *[f"c{i}" for i in range(width)])
 
 
+def further_fields(spark: SparkSession, v: Variant) -> DataFrame:
+    """Fields beyond the parsed columns of a variant, of any number: ``trip``, ``position``, ``value``."""
+    width = len(v.names) + OVERFLOW
+    schema = ", ".join([*(f"c{i} string" for i in range(width)), "_line string"])
+    raw = (spark.read.schema(schema).option("sep", v.sep).option("encoding", v.encoding).option("header", "true").option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_line").option("columnPruning", "false").csv(list(v.paths)))
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    # Spark refuses a scan of the whole-line column alone, so a field goes along
+    whole = F.concat_ws("", "_line", F.substring(F.coalesce("c0", F.lit("")), 1, 0))
+    long = raw.filter("_line IS NOT NULL").select(stem.alias("trip"), whole.alias("_line"))
+    # separators inside quotes do not cut a field
+    parts = F.split("_line", re.escape(v.sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return (long.select("trip", F.posexplode(parts).alias("position", "value")).filter(F.col("position") >= width)
+            .withColumn("value", F.trim("value")))
+
+
 def file_stem(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
 
@@ -128,7 +144,10 @@ def extra_fields(spark: SparkSession, v: Variant, mapping: dict[str, str]) -> Da
         F.lit(0).cast("long").alias("present")).filter("false")
     # Overflow columns nobody wrote to are not part of the file.
     real = (F.col("position") < len(v.names)) | (F.col("present") > 0)
-    return long.filter(real).withColumn(
+    beyond = (further_fields(spark, v).groupBy("trip", "position").agg(F.count(lenient_double("value")).alias("present")).filter("present > 0")
+              .join(counts.select("trip", "rows"), "trip"))
+    beyond = beyond.select("trip", "rows", F.concat(F.lit("Unnamed: "), "position").alias("header"), "position", "present")
+    return long.filter(real).unionByName(beyond).withColumn(
         "kind", extra_class(is_placeholder(F.col("header")), F.col("present"), F.col("rows")))
 
 
@@ -136,7 +155,7 @@ def load_report(spark: SparkSession, folder: str, pattern: str = "*.csv", min_ro
     """Per file: separator, encoding, data rows, and why it is rejected (unreadable or too short)."""
     heads = probe(spark, folder, pattern).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
     lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
-             .filter(F.trim("value") != "").groupBy(F.col("_metadata.file_name").alias("file"))
+             .filter(F.regexp_replace("value", r'[\s;,"]', "") != "").groupBy(F.col("_metadata.file_name").alias("file"))
              .agg((F.count(F.lit(1)) - 1).alias("rows")))
     error = (F.when(F.col("sep").isNull(), F.lit("unreadable"))
              .when(F.coalesce("rows", F.lit(0)) < min_rows, F.lit("too few rows")))

@@ -23,7 +23,7 @@ def _run(spark: SparkSession, v: Variant, mapping: dict[str, str], scale: dict[s
         if signal:
             picked.setdefault(signal, i)       # the first of repeated names wins
     text = F.concat_ws(v.sep, *[c for c in fields.columns if c != "trip"])
-    heads = [v.sep.join(p.strip() for p in h.split(v.sep) if p.strip()) for h in v.heads]
+    heads = [v.sep.join(p for q in h.split(v.sep) if (p := q.strip().strip('"'))) for h in v.heads]
     body = fields.filter(~text.isin(heads))
     out = body.select(F.col("trip").alias("run"),
                       *[lenient_double(f"c{i}").alias(s) for s, i in picked.items()])

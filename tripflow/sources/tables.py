@@ -55,8 +55,8 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_series(spark: SparkSession, sf_dir: str) -> Series:
-    """Order of the log: weekly blocks, shorter for trips that are dense."""
-    return Series(block_s=WEEK_S).fitted(telemetry(spark, sf_dir))
+    """Order of the log by clock and event number: weekly blocks, shorter for trips that are dense."""
+    return Series(tie=("seq",), block_s=WEEK_S).fitted(telemetry(spark, sf_dir))
 
 
 #: The same views for the SQL side.
