@@ -80,13 +80,13 @@ def rate_reason(applied: Column, proposed: Column) -> Column:
 
 def supervise(df: DataFrame, s: Series, primary: str, fallback: str, situation: list[Guard], dt_s: float,
               carry: list[str], max_w: float = MAX_W, max_rate: float = MAX_RATE_W_PER_S,
-              rows: int = 4096) -> DataFrame:
+              rows: int = 4096, previous: str | None = None) -> DataFrame:
     """Run every command through the guards.
 
     The first fault in the situation hands the step to the fallback; a primary that is no number
     does so too.  Every command is then clamped and slew-limited.  Adds ``proposed_w``,
     ``applied_w``, ``fell_back`` and ``reason`` (a fault before an amendment, NULL if unchanged).
-    The slew limit keeps one state per step.
+    The slew limit keeps one state per step; ``previous`` names a column with the key's command before its first row.
     """
     fault = first_fault(situation)
     source = F.when(fault.isNotNull(), F.col(fallback)).otherwise(F.col(primary))
@@ -95,7 +95,7 @@ def supervise(df: DataFrame, s: Series, primary: str, fallback: str, situation:
     chosen = df.select(
         *s.keys, s.time, *s.tie, *[c for c in carry if c not in (s.time, *s.keys, *s.tie)],
         fault.alias("_fault"), source.alias("proposed_w"), no_number.alias("_nan"),
-        F.col(fallback).alias("_fallback"))
+        F.col(fallback).alias("_fallback"), *([previous] if previous else []))
     # A faulty primary is replaced in the same step by the clipped fallback.
     swap = F.col("_nan") & F.col("_fault").isNull()
     clamped = F.when(swap, F.coalesce(clip("_fallback", 0.0, max_w), F.lit(0.0))).otherwise(clamp(F.col("proposed_w"))["value"])
@@ -104,7 +104,7 @@ def supervise(df: DataFrame, s: Series, primary: str, fallback: str, situation:
     ready = chosen.select("*", clamped.alias("_command"), amend.alias("_amend"), swap.alias("_swap"))
     keep = [s.time, *s.tie, *carry, "_fault", "proposed_w", "_command", "_amend", "_swap"]
     limited = rate_limit(ready, s, "_command", dt_s, list(dict.fromkeys(c for c in keep if c not in s.keys)),
-                         max_rate=max_rate, bounds=(0.0, max_w), rows=rows)
+                         max_rate=max_rate, previous=previous, bounds=(0.0, max_w), rows=rows)
     fell_back = F.col("_fault").isNotNull() | F.col("_swap")
     slewed = rate_reason(F.col("applied_w"), F.col("_command"))
     fault_reason = F.coalesce("_fault", F.when(F.col("_swap"), F.lit("non-finite action")))

@@ -8,12 +8,15 @@ from tripflow.operators import guards, policies
 from tripflow.plans.registry import query
 from tripflow.sources.tables import SAMPLES_SQL, log_series, samples
 
-DT = 10.0
+DT, MAX_RATE = 10.0, 200.0
 
 
 def _steps(spark, sf):
+    return steps_of(samples(spark, sf))
+
+
+def steps_of(s):
     """Samples with gaps in the cabin sensor and commands far outside the heater's range."""
-    s = samples(spark, sf)
     return s.select("trip", "time_s", "seq", (F.col("speed_kmh") / 3.6).alias("speed_ms"), "amb_c",
                     F.when(F.col("channel") != "view", F.col("cabin_c")).alias("cabin_c"),
                     F.when(F.col("channel") != "error", F.col("heat_w") * 2.0 - 100.0).alias("proposed"),
@@ -84,12 +87,12 @@ _SITUATION = """CASE WHEN cabin_c IS NULL THEN 'implausible cabin sensor (None)'
     WHEN speed_ms > 45 THEN 'speed ' || round_even(speed_ms, 0)::INT || ' m/s beyond identified envelope' END"""
 
 
-def _plain():
+def plain_reason():
     """Reason without the reading it quotes, whose digits differ between engines."""
     return F.trim(F.regexp_replace("reason", r"\([0-9.]+\)$", ""))
 
 
-def _situation():
+def situation():
     return [guards.sensor_valid("cabin_c"), guards.input_envelope("amb_c", "speed_ms")]
 
 
@@ -101,8 +104,8 @@ def row_guards(spark, sf):
     s = _steps(spark, sf)
     clamp = guards.actuator_clamp()(F.col("proposed"))
     out = s.select("trip", "seq", clamp["value"].alias("clamped_w"), clamp["reason"].alias("clamp_reason"),
-                   guards.first_fault(_situation()).alias("reason"))
-    return out.select("trip", "seq", "clamped_w", "clamp_reason", _plain().alias("fault"))
+                   guards.first_fault(situation()).alias("reason"))
+    return out.select("trip", "seq", "clamped_w", "clamp_reason", plain_reason().alias("fault"))
 
 
 _SUPERVISED = f"""{_STEPS}, judged AS (
@@ -121,15 +124,18 @@ _SUPERVISED = f"""{_STEPS}, judged AS (
 
 
 def _supervised(spark, sf):
-    out = guards.supervise(_steps(spark, sf), log_series(spark, sf), "proposed", "backup", _situation(), DT, ["seq"], max_rate=200.0)
-    return out.withColumn("reason", _plain())
+    out = guards.supervise(_steps(spark, sf), log_series(spark, sf), "proposed", "backup", situation(), DT, ["seq"], max_rate=MAX_RATE)
+    return out.withColumn("reason", plain_reason())
 
 
 @query("takeover_log", f"""WITH RECURSIVE {_SUPERVISED}
 SELECT trip, seq, k, round(proposed_w, 5) AS proposed_w, round(applied_w, 5) AS applied_w, fell_back, reason
 FROM supervised WHERE fell_back OR reason IS NOT NULL""")
 def takeover_log(spark, sf):
-    log = guards.takeovers(_supervised(spark, sf))
+    return log_of(guards.takeovers(_supervised(spark, sf)))
+
+
+def log_of(log):
     return log.select("trip", "seq", F.col("pos").alias("k"), F.round("proposed_w", 5).alias("proposed_w"),
                       F.round("applied_w", 5).alias("applied_w"), "fell_back", "reason")
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripflow.functions import signals as sig
-from tripflow.operators import ordered
+from tripflow.operators import guards, ordered
 from tripflow.plans import ingest
-from tripflow.plans.registry import query
+from tripflow.plans.catalog import control
+from tripflow.plans.registry import SQL, query
 from tripflow.session import scratch
 from tripflow.sources import delimited, store
-from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, samples, telemetry
+from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, samples, samples_of, telemetry, telemetry_of
 from tripflow.streaming import online
 
 # ---- files -------------------------------------------------------------------------------------
@@ -138,3 +139,18 @@ def tier_columns(spark, sf):
                                                "heat_w": "heat_power_req_w", "ac_w": "aircon_power_w"})
     kept = sig.select_tiers(s, "vehicle")
     return kept.groupBy("trip").agg(*[F.round(F.sum(c), 3).alias(c) for c in kept.columns if c != "trip"])
+
+
+@query("stream_takeovers", SQL["takeover_log"])
+def stream_takeovers(spark, sf):
+    """The takeover log from a stream of three micro-batches, each a later part of the log."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    root = scratch(spark, "parts")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    cuts = [span.a + (span.z - span.a) * k / 3 for k in (1, 2)]
+    for at in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        events.filter(at).coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    steps = control.steps_of(samples_of(telemetry_of(stream)))
+    out = online.supervise(steps, ordered.Series(tie=("seq",), block_s=WEEK_S), "proposed", "backup", control.situation(), control.DT, [], max_rate=control.MAX_RATE)
+    return control.log_of(guards.takeovers(out.withColumn("reason", control.plain_reason())))

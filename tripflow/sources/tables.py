@@ -23,16 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long log: trip, time_s, seq, channel, value, props."""
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
     clock = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{CLOCK_ZERO}', ts) / 1e6D")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("trip"), clock.alias("time_s"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("channel"), "value", "props")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide log: one row per sample; the heater channel is missing on ``error`` rows."""
+    return samples_of(telemetry(spark, sf_dir))
+
+
+def samples_of(log: DataFrame) -> DataFrame:
     k = F.expr("try_cast(regexp_extract(props, '([0-9]+)', 1) AS double)")
-    t = telemetry(spark, sf_dir).withColumn("k", k)
+    t = log.withColumn("k", k)
     return t.select(
         "trip", "time_s", "seq",
         F.when(F.col("channel") != "error", F.col("value") * 20.0).alias("heat_w"),

@@ -59,6 +59,32 @@ def for_each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int,
     return root
 
 
+def supervise(stream: DataFrame, s: Series, primary: str, fallback: str, situation: list[guards.Guard], dt_s: float, carry: list[str],
+              max_w: float = guards.MAX_W, max_rate: float = guards.MAX_RATE_W_PER_S, rows: int = 4096, name: str = "supervised") -> DataFrame:
+    """All guards of :func:`guards.supervise`, batch by batch: sensor and envelope faults, fallback, clamp, slew limit.
+
+    Carried on per key are the last command, the number of steps and the clock.  A row that is not newer than what its key
+    has already acted on comes too late to be a command and is left out.
+    """
+    keys = list(s.keys)
+
+    def work(batch: DataFrame, i: int, root: str) -> None:
+        spark = batch.sparkSession
+        state = T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()), T.StructField("_n", T.LongType()),
+                              T.StructField("_t", batch.schema[s.time].dataType)])
+        known = spark.read.schema(state).parquet(f"{root}/last/batch={i - 1}") if i > 0 else spark.createDataFrame([], state)
+        due = attach(batch, known, keys, "left").filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t")))
+        out = guards.supervise(due, s, primary, fallback, situation, dt_s, [*carry, "_n"], max_w, max_rate, rows, previous="_last")
+        out.withColumn("pos", F.col("pos") + F.coalesce("_n", F.lit(0))).drop("_n").write.mode("overwrite").parquet(f"{root}/out/batch={i}")
+        done = spark.read.parquet(f"{root}/out/batch={i}")
+        newest = done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_l"), (F.max("pos") + 1).alias("_m"), F.max(s.time).alias("_u"))
+        merged = known.join(newest, keys, "full").select(*keys, F.coalesce("_l", "_last").alias("_last"), F.coalesce("_m", "_n").alias("_n"), F.coalesce("_u", "_t").alias("_t"))
+        merged.write.mode("overwrite").parquet(f"{root}/last/batch={i}")
+
+    root = for_each_batch(stream, name, work)
+    return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
+
+
 def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, carry: list[str], max_rate: float,
                      max_w: float = guards.MAX_W, rows: int = 4096, name: str = "guarded") -> DataFrame:
     """Clamp and slew-limit commands batch by batch.
