@@ -128,6 +128,15 @@ def test_extra_field_classes(spark):
     assert got == ["trailing_empty", "unmapped", "stray", "unmapped", "unmapped", "stray"]
 
 
+def test_short_files_and_blank_records_are_left_out(folder, spark, tmp_path):
+    write(tmp_path / "TripB01.csv", "Time [s],Ambient Temperature [°C]\n" + "".join(f"{i},1\n" for i in range(5)) + ",\n , \n")
+    write(tmp_path / "TripB02.csv", "Time [s],Ambient Temperature [°C]\n1,1\n,\n,\n,\n,\n")
+    rows, _ = ingest.read_logs(spark, str(tmp_path), min_rows=3)
+    assert [(r.trip, r["count"]) for r in rows.groupBy("trip").count().collect()] == [("TripB01", 5)]
+    report = {r.file: (r.rows, r.error) for r in delimited.load_report(spark, str(tmp_path), min_rows=3).collect()}
+    assert report == {"TripB01.csv": (5, None), "TripB02.csv": (1, "too few rows")}
+
+
 def test_any_number_of_extra_fields_is_counted(spark, tmp_path):
     rows = ["1,2,3", "1,2,3,4,5,6,7,8,9,10", '1,2,3,"a,b",5,6,7,8,9,10,11']
     write(tmp_path / "TripB09.csv", "\n".join(["Time [s],Ambient Temperature [°C],Requested Heating Power [W]", *rows]) + "\n")

@@ -10,7 +10,7 @@ from tripflow.plans import ingest
 from tripflow.plans.catalog import control
 from tripflow.plans.registry import SQL, query
 from tripflow.session import scratch
-from tripflow.sources import delimited, store
+from tripflow.sources import delimited, simulation, store
 from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, samples, samples_of, telemetry, telemetry_of
 from tripflow.streaming import online
 
@@ -51,10 +51,52 @@ def extra_field_classes(spark, sf):
     return seen.groupBy("header", "kind").agg(F.sum("present").alias("present"))
 
 
-@query("load_report", """SELECT CASE WHEN event_type = 'error' THEN ',' ELSE ';' END AS sep, 'iso-8859-1' AS encoding, count(*) AS rows FROM events GROUP BY 1""")
+@query("load_report", """WITH n AS (SELECT user_id % 40 AS k, count(*) AS n, (SELECT count(*) / 40 FROM events) AS least FROM events GROUP BY 1)
+SELECT 'trip=' || k AS file, n AS rows, ',' AS sep, 'iso-8859-1' AS encoding, CASE WHEN n < floor(least) THEN 'too few rows' END AS error FROM n""")
 def load_report(spark, sf):
-    report = delimited.load_report(spark, _write_logs(spark, sf), min_rows=1)
-    return report.filter("error IS NULL").groupBy("sep", "encoding").agg(F.sum("rows").alias("rows"))
+    """One file per forty-fold of trips, all-blank records among the rows; files below the mean size are rejected."""
+    root = scratch(spark, "report")
+    s = samples(spark, sf).withColumn("k", F.col("trip") % 40)
+    raw = s.select("k", F.col("time_s").cast("string").alias("Time [s]"), F.col("cabin_c").cast("string").alias("Cabin Temperature Sensor [°C]"))
+    blank = raw.select("k").distinct().select("k", F.lit(None).cast("string").alias("Time [s]"), F.lit(None).cast("string").alias("Cabin Temperature Sensor [°C]"))
+    (raw.unionByName(blank).withColumnRenamed("k", "trip").repartition(8, "trip").sortWithinPartitions("trip").write.partitionBy("trip")
+     .option("header", "true").option("emptyValue", "").option("encoding", "ISO-8859-1").csv(root))
+    return delimited.load_report(spark, root, min_rows=s.count() // 40)
+
+
+_RUNS_SQL = SAMPLES_SQL + """, runs AS (SELECT CASE trip % 3 WHEN 0 THEN 'Neg10' WHEN 1 THEN '0' ELSE 'Pos10' END || '_' || channel || '_B' || (trip % 2) AS run,
+  CASE trip % 3 WHEN 0 THEN -10.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE 10.0::DOUBLE END AS amb_setpoint_c, channel AS strategy, 'B' || (trip % 2) AS bus,
+  seq::DOUBLE AS time_s, amb_c AS amb_temp_c, speed_kmh * 3.6::DOUBLE AS velocity_kmh, heat_w * 1000 AS heat_power_req_w FROM samples)"""
+
+
+def _runs(spark, sf) -> str:
+    """The log as simulation exports: three header lines, a doubled name, one file per run."""
+    s = samples(spark, sf)
+    code = F.when(F.col("trip") % 3 == 0, "Neg10").when(F.col("trip") % 3 == 1, "0").otherwise("Pos10")
+    run = F.concat_ws("_", code, "channel", F.concat(F.lit("B"), (F.col("trip") % 2).cast("string")))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("seq", "amb_c", "speed_kmh", "heat_w")]
+    rows = s.select(run.alias("run"), F.col("seq").alias("at"), F.concat_ws(";", *cells, F.lit("9")).alias("line"))
+    heads = ["t;T;v;p;p2", ";Environment;Vehicle;Battery;Consumption", '"Time [s]";Ambient Temperature [C];Speed [m/s];Heating Power [kW];Heating Power [kW]']
+    top = rows.select("run").distinct().select("run", F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("at", "line"))
+    root = scratch(spark, "runs")
+    (rows.unionByName(top.withColumn("at", F.col("at").cast("long") - 3)).repartition(8, "run").sortWithinPartitions("run", "at")
+     .select("run", "line").write.partitionBy("run").text(root))
+    return root
+
+
+@query("simulation_scan", f"""WITH {_RUNS_SQL}
+SELECT run, amb_setpoint_c, strategy, bus, time_s, amb_temp_c, round(velocity_kmh, 6) AS velocity_kmh, round(heat_power_req_w, 4) AS heat_power_req_w FROM runs""")
+def simulation_scan(spark, sf):
+    out = simulation.read_runs(spark, _runs(spark, sf), "*.txt")
+    return out.select("run", "amb_setpoint_c", "strategy", "bus", "time_s", "amb_temp_c", F.round("velocity_kmh", 6).alias("velocity_kmh"),
+                      F.round("heat_power_req_w", 4).alias("heat_power_req_w"))
+
+
+@query("simulation_ingest", f"WITH {_RUNS_SQL} SELECT run, count(*) AS rows, (SELECT count(DISTINCT run) FROM runs) AS runs FROM runs GROUP BY 1")
+def simulation_ingest(spark, sf):
+    out = scratch(spark, "store")
+    n = simulation.ingest_runs(spark, _runs(spark, sf), out, "*.txt")
+    return spark.read.parquet(out).groupBy(F.col("run").cast("string").alias("run")).agg(F.count(F.lit(1)).alias("rows")).withColumn("runs", F.lit(n).cast("long"))
 
 
 @query("ingest_report", f"""WITH {SAMPLES_SQL} SELECT count(*) AS rows_raw, count(*) FILTER (WHERE heat_w <= 7000) AS rows_out, max(heat_w) AS target_max,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripflow.functions import signals as sig
 from tripflow.operators import canonical, quality
-from tripflow.operators.ordered import Series
+from tripflow.operators.ordered import Series, attach
 from tripflow.operators.resample import block_mean
 from tripflow.operators.splits import sessions
 from tripflow.sources import delimited, store
@@ -20,8 +20,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, folder: str, pattern: str = "*.csv", mapping: dict[str, str] | None = None,
-              skip_unreadable: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Canonical rows of all files, and their extra fields; one scan per header variant."""
+              skip_unreadable: bool = False, min_rows: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Canonical rows of all files, and their extra fields; one scan per header variant.
+
+    All-blank records are dropped, and then files of fewer than ``min_rows`` rows are left out.
+    """
     mapping = sig.measured_map() if mapping is None else mapping
     rows, extras = [], []
     for v in delimited.variants(spark, folder, pattern, skip_unreadable=skip_unreadable):
@@ -30,7 +33,13 @@ def read_logs(spark: SparkSession, folder: str, pattern: str = "*.csv", mapping:
         known = sorted({s for n in v.names if (s := mapping.get(canonical.header_key_of(n)))})
         rows.append(part.withColumns({"n_raw_columns": F.lit(len(v.names)), "header_signals": F.array(*[F.lit(s) for s in known])}))
         extras.append(delimited.extra_fields(spark, v, mapping))
-    return _union(rows), _union(extras)
+    notes = {"trip", "n_raw_columns", "header_signals", "merged", "conflicting"}
+    every = _union(rows)
+    every = every.dropna("all", subset=[c for c in every.columns if c not in notes])
+    if min_rows:
+        enough = every.groupBy("trip").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
+        every = attach(every, enough.drop("_n"), ["trip"], "left_semi")
+    return every, _union(extras)
 
 
 def quality_report(rows: DataFrame, extras: DataFrame, target: str = sig.TARGET, block_s: float = 3600.0) -> DataFrame:

@@ -93,8 +93,14 @@ def read_fields(spark: SparkSession, v: Variant) -> DataFrame:
            .option("header", "true").option("mode", "PERMISSIVE")
            .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
            .csv(list(v.paths)))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return raw.select(stem.alias("trip"), *[f"c{i}" for i in range(width)])
+    return raw.select(trip_key().alias("trip"), *[f"c{i}" for i in range(width)])
+
+
+def trip_key() -> Column:
+    """The file stem; a part file that Spark wrote goes by the folder it is in (``name`` or ``column=name``)."""
+    name = F.col("_metadata.file_name")
+    folder = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1), "^[^=]*=", ""))
+    return F.when(name.rlike("^part-"), folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
 def further_fields(spark: SparkSession, v: Variant) -> DataFrame:
@@ -103,10 +109,9 @@ def further_fields(spark: SparkSession, v: Variant) -> DataFrame:
     schema = ", ".join([*(f"c{i} string" for i in range(width)), "_line string"])
     raw = (spark.read.schema(schema).option("sep", v.sep).option("encoding", v.encoding).option("header", "true").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_line").option("columnPruning", "false").csv(list(v.paths)))
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     # Spark refuses a scan of the whole-line column alone, so a field goes along
     whole = F.concat_ws("", "_line", F.substring(F.coalesce("c0", F.lit("")), 1, 0))
-    long = raw.filter("_line IS NOT NULL").select(stem.alias("trip"), whole.alias("_line"))
+    long = raw.filter("_line IS NOT NULL").select(trip_key().alias("trip"), whole.alias("_line"))
     # separators inside quotes do not cut a field
     parts = F.split("_line", re.escape(v.sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
     return (long.select("trip", F.posexplode(parts).alias("position", "value")).filter(F.col("position") >= width)
@@ -151,11 +156,17 @@ def extra_fields(spark: SparkSession, v: Variant, mapping: dict[str, str]) -> Da
         "kind", extra_class(is_placeholder(F.col("header")), F.col("present"), F.col("rows")))
 
 
+def _name(path: Column) -> Column:
+    """File name; a part file that Spark wrote with the folder it is in."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.when(name.rlike("^part-"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).otherwise(name)
+
+
 def load_report(spark: SparkSession, folder: str, pattern: str = "*.csv", min_rows: int = 200) -> DataFrame:
-    """Per file: separator, encoding, data rows, and why it is rejected (unreadable or too short)."""
-    heads = probe(spark, folder, pattern).withColumn("file", F.regexp_extract("path", r"([^/]+)$", 1))
+    """Per file: separator, encoding, data rows (all-blank records are none), and why it is rejected (unreadable or too short)."""
+    heads = probe(spark, folder, pattern).withColumn("file", _name(F.col("path")))
     lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(folder)
-             .filter(F.regexp_replace("value", r'[\s;,"]', "") != "").groupBy(F.col("_metadata.file_name").alias("file"))
+             .filter(F.regexp_replace("value", r'[\s;,"]', "") != "").groupBy(_name(F.col("_metadata.file_path")).alias("file"))
              .agg((F.count(F.lit(1)) - 1).alias("rows")))
     error = (F.when(F.col("sep").isNull(), F.lit("unreadable"))
              .when(F.coalesce("rows", F.lit(0)) < min_rows, F.lit("too few rows")))
