@@ -36,11 +36,15 @@ def lag_features(df: DataFrame, s: Series, value: str, lags: tuple[int, ...] = (
 
 
 def binned_quantiles(fit: DataFrame, keys: list[str], bins: str, label: str = "label", quantiles: dict[str, float] | None = None) -> DataFrame:
-    """Empirical quantiles of the label per bin, with those of the key alone as fallback columns."""
+    """Empirical quantiles of the label per bin, with those of the key alone as fallback columns; one run for both."""
     quantiles = QUANTILES if quantiles is None else quantiles
-    fine = exact_quantiles(fit, [*keys, bins], label, quantiles)
-    coarse = exact_quantiles(fit, keys, label, {f"any_{n}": q for n, q in quantiles.items()})
-    return fine.join(coarse, keys)
+    kind = fit.schema[bins].dataType
+    level = lambda fine, of: F.struct(F.lit(fine).alias("_fine"), of.alias("_bin"))
+    both = F.inline(F.array(level(True, F.coalesce(F.col(bins).cast("string"), F.lit(""))), level(False, F.lit(""))))
+    found = exact_quantiles(fit.select(*keys, label, both), [*keys, "_fine", "_bin"], label, quantiles)
+    every = Window.partitionBy(*keys)       # one row per bin and key
+    found = found.withColumns({f"any_{n}": F.max(F.when(~F.col("_fine"), F.col(n))).over(every) for n in quantiles}).filter("_fine")
+    return found.select(*keys, F.nullif("_bin", F.lit("")).cast(kind).alias(bins), *quantiles, *[f"any_{n}" for n in quantiles])
 
 
 def forecast(rows: DataFrame, table: DataFrame, keys: list[str], bins: str, names: tuple[str, ...] = tuple(QUANTILES)) -> DataFrame:

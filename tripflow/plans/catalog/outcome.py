@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tripflow.operators import forecast, ordered, outcomes, policies, resample, scoring
 from tripflow.plans import evaluation
 from tripflow.plans.registry import query
+from tripflow.session import durable
 from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
 DAY = 86_400.0
@@ -183,7 +184,7 @@ _FC_SQL = _GRID_SQL + f""", fine AS (
 
 
 def _forecast(spark, sf):
-    r = _roles(spark, sf)
+    r = durable(_roles(spark, sf), "forecast-rows")
     keys = ["fold", "horizon"]
     t = evaluation.fit_forecast(r.filter("role = 'fit'"), keys, "bin")
     return forecast.forecast(r.filter("role <> 'fit'"), t, keys, "bin")

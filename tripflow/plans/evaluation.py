@@ -22,8 +22,9 @@ def calibrated_forecast(rows: DataFrame, keys: list[str], bins: str, label: str
                         role: str = "role") -> DataFrame:
     """Test rows with raw and conformal intervals; ``role`` says fit, calibrate or test.
 
-    All folds and horizons run in the same jobs, as key columns.
+    All folds and horizons run in the same jobs, as key columns; the rows are written once and read by the three of them.
     """
+    rows = durable(rows, "forecast-rows")
     table = fit_forecast(rows.filter(F.col(role) == "fit"), keys, bins, label)
     calibration = forecast.forecast(rows.filter(F.col(role) == "calibrate"), table, keys, bins)
     test = forecast.forecast(rows.filter(F.col(role) == "test"), table, keys, bins)
