@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.operators import features, forecast, guards, outcomes, parameters, regression, scoring, splits, windows
+from tripflow.operators import features, forecast, guards, outcomes, parameters, regression, resample, scoring, splits, windows
 from tripflow.operators.ordered import Series
 
 S = Series(block_s=300.0)
@@ -164,6 +164,14 @@ def test_missing_cabin_is_no_comfort(spark):
     assert got["b"].discomfort_kmin is None and got["c"].discomfort_kmin is None and got["c"].scored_rows == 0
 
 
+def test_lag_products_by_fft_equal_the_direct_sums():
+    rng = np.random.default_rng(3)
+    for n, own, lag in ((500, 300, 200), (500, 500, 5000), (90, 10, 80), (70, 1, 69)):
+        x = rng.normal(size=n)
+        want = [sum(x[i] * x[i + k] for i in range(min(own, n - k))) for k in range(min(lag, n - 1) + 1)]
+        assert np.allclose(resample.lag_products(x, own, lag), want)
+
+
 def test_group_labels_are_checked(spark):
     trips = spark.createDataFrame([("a",), ("b",)], "trip string")
     good = spark.createDataFrame([("a", "g"), ("b", "h")], "trip string, group string")

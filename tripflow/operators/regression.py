@@ -61,36 +61,45 @@ def _sum(c: str) -> Column:
     return F.sum(F.col("n") * F.col(c))
 
 
-def pooled_ols(moments: DataFrame) -> DataFrame:
-    """y on x1, x2 and a constant over all rows of the groups, from their moments."""
+def _pooled() -> list[Column]:
     means = {k: _sum(f"m_{k}") / F.sum("n") for k in ("1", "2", "y")}
 
     def cov(within: str, a: str, b: str) -> Column:
         between = F.sum(F.col("n") * F.col(f"m_{a}") * F.col(f"m_{b}")) - F.sum("n") * means[a] * means[b]
         return _sum(within) + between
     b1, b2 = _solve(cov("s11", "1", "1"), cov("s12", "1", "2"), cov("s22", "2", "2"), cov("s1y", "1", "y"), cov("s2y", "2", "y"))
-    return moments.agg(b1.alias("b1"), b2.alias("b2"), (means["y"] - b1 * means["1"] - b2 * means["2"]).alias("b0"),
-                       F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("max_v").alias("max_v"))
+    return [b1.alias("b1"), b2.alias("b2"), (means["y"] - b1 * means["1"] - b2 * means["2"]).alias("b0"),
+            F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.max("max_v").alias("max_v")]
+
+
+def _within() -> list[Column]:
+    b1, b2 = _solve(_sum("s11"), _sum("s12"), _sum("s22"), _sum("s1y"), _sum("s2y"))
+    return [b1.alias("within_b1"), b2.alias("within_b2")]
+
+
+def _correlation() -> list[Column]:
+    varied = (F.col("sd_v") > FLAT_SD) & (F.col("sd_r") > FLAT_SD)
+    return [F.avg(F.when(varied, F.col("corr"))).alias("corr"),
+            F.coalesce(F.avg(F.when(varied, (F.col("slope") > 0).cast("int"))), F.lit(0.0)).alias("positive_share")]
+
+
+def pooled_ols(moments: DataFrame) -> DataFrame:
+    """y on x1, x2 and a constant over all rows of the groups, from their moments."""
+    return moments.agg(*_pooled())
 
 
 def within_ols(moments: DataFrame) -> DataFrame:
     """The same with one constant per group: only the spread inside groups counts."""
-    b1, b2 = _solve(_sum("s11"), _sum("s12"), _sum("s22"), _sum("s1y"), _sum("s2y"))
-    return moments.agg(b1.alias("within_b1"), b2.alias("within_b2"))
+    return moments.agg(*_within())
 
 
 def within_correlation(moments: DataFrame) -> DataFrame:
     """Mean correlation of v with y/x1 inside groups, and the share of groups with positive slope."""
-    varied = (F.col("sd_v") > FLAT_SD) & (F.col("sd_r") > FLAT_SD)
-    return moments.agg(F.avg(F.when(varied, F.col("corr"))).alias("corr"),
-                       F.coalesce(F.avg(F.when(varied, (F.col("slope") > 0).cast("int"))), F.lit(0.0)).alias("positive_share"))
+    return moments.agg(*_correlation())
 
 
 def loss_estimates(moments: DataFrame) -> DataFrame:
     """All estimators in one row, with the verdict whether loss depends on speed."""
-    one = F.lit(1).alias("_one")
-    out = pooled_ols(moments).select("*", one)
-    for part in (within_ols(moments), within_correlation(moments)):
-        out = out.join(part.select("*", one), "_one")      # one row each
+    out = moments.agg(*_pooled(), *_within(), *_correlation())
     found = (F.col("within_b2") > DETECT_SLOPE) & (F.col("corr") > DETECT_CORR) & (F.col("positive_share") > DETECT_SHARE)
-    return out.drop("_one").withColumn("detected", F.coalesce(found, F.lit(False)))
+    return out.withColumn("detected", F.coalesce(found, F.lit(False)))

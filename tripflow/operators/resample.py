@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tripflow.functions.scalars import finite
 from tripflow.operators.ordered import Series, attach, with_halo, with_position
 
+DIRECT_LAGS = 64
+
 
 def block_mean(df: DataFrame, period_s: float, values: list[str], keys: tuple[str, ...] = ("trip",),
                time: str = "time_s") -> DataFrame:
@@ -21,15 +23,19 @@ def block_mean(df: DataFrame, period_s: float, values: list[str], keys: tuple[st
             .select(*keys, (F.col("_bucket") * F.lit(float(period_s))).alias(time), *values))
 
 
+def lag_products(x: np.ndarray, own: int, max_lag: int) -> np.ndarray:
+    """Sum of x[i] * x[i + k] over the first ``own`` rows, for every lag k up to ``max_lag`` that fits; long reaches by FFT."""
+    reach = min(max_lag, len(x) - 1) + 1
+    if reach <= DIRECT_LAGS:
+        return np.array([x[:min(own, len(x) - k)] @ x[k:k + min(own, len(x) - k)] for k in range(reach)])
+    size = 1 << (len(x) + own).bit_length()
+    return np.fft.irfft(np.conj(np.fft.rfft(x[:own], size)) * np.fft.rfft(x, size), size)[:reach]
+
+
 def _lag_sums(max_lag: int):
     def sums(own: pd.Series, values: pd.Series) -> pd.Series:
         """Products with every lag of the block's own rows; the rows after them are lent."""
-        out = []
-        for n, x in zip(own, values):
-            x = np.asarray(x, float)
-            reach = range(min(max_lag, len(x) - 1) + 1)
-            out.append([float(x[:min(n, len(x) - k)] @ x[k:k + min(n, len(x) - k)]) for k in reach])
-        return pd.Series(out)
+        return pd.Series([lag_products(np.asarray(x, float), int(n), max_lag).tolist() for n, x in zip(own, values)])
     return F.pandas_udf(sums, "array<double>")
 
 
