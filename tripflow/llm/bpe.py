@@ -24,14 +24,14 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-SHORT, ROWS, MEMO_ENTRIES, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 19, 1 << 22, (1 << 31) - 1, "A"
+SHORT, ROWS, MEMO_ENTRIES, MEMO_KEPT, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 18, 1 << 17, 1 << 21, (1 << 31) - 1, "A"
 
 # Fixed values of the file format: white space of the splitting rule, the rule itself, and the letters that stand for bytes.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -197,7 +197,11 @@ class WordBpe:
             yield b"".join(ids[at:at + len(chunks)])
             at += len(chunks)
         if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+            self.forget()
+
+    def forget(self) -> None:
+        """Keep only what was met first, which is what is met most."""
+        self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
@@ -239,6 +243,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             if keep_ids:
                 cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.forget()  # the process serves other tasks
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     return docs.select(id_col, text_col).mapInArrow(run, schema)

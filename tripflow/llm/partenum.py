@@ -42,6 +42,7 @@ from tripflow.session import durable
 
 WORDS = 5
 MORE = 0.12  # of a set's size: elements beyond the first quarter that the first filter looks at
+SLICE = 1024  # texts whose sets a task holds at once
 PARTS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -152,7 +153,7 @@ def _sets(texts: DataFrame, whole: bool) -> DataFrame:
     texts = texts.select(*rest, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             sets = [shingle_set(t.as_py()) for t in batch.column(len(rest))]
             c = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             kept = sets if whole else [s[:len(s) // 4 + more(len(s))] for s in sets]
