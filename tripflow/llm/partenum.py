@@ -16,7 +16,7 @@
    the rarest quarter of their elements, as similar sets do. Pairs inside a component are redundant, so no link between
    components is lost.
 
-Elements that many documents of a batch share are counted there and sent on as one row, so frequent shingles are
+Elements that many documents of a slice of rows share are counted there and sent on as one row, so frequent shingles are
 aggregated before they are shuffled; joins on classes and signatures have a table on either side, so AQE can split them.
 
 Defined results: words are cut at ASCII white space after lower-casing A-Z; with fewer than five words the whole sequence
@@ -42,7 +42,7 @@ from tripflow.session import durable
 
 WORDS = 5
 MORE = 0.12  # of a set's size: elements beyond the first quarter that the first filter looks at
-SLICE = 1024  # texts whose sets a task holds at once
+SLICE = 2048  # rows whose sets a task holds at once
 PARTS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -141,6 +141,12 @@ def signatures(found: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
@@ -153,7 +159,7 @@ def _sets(texts: DataFrame, whole: bool) -> DataFrame:
     texts = texts.select(*rest, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(len(rest))]
             c = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             kept = sets if whole else [s[:len(s) // 4 + more(len(s))] for s in sets]
@@ -166,10 +172,10 @@ def _sets(texts: DataFrame, whole: bool) -> DataFrame:
 def shared_counts(sets: DataFrame) -> DataFrame:
     """``c`` and ``n``: how many elements of its ``set`` occur under another row too (rows of the same c may count as others).
 
-    An element that several rows of an Arrow batch hold is settled for them there; one row tells the rest of the corpus.
+    An element that several rows of a slice hold is settled for them there; one row tells the rest of the corpus.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, lists = batch.column(0).to_numpy(), batch.column(1)
             _, first = np.unique(names, return_index=True)
             lists, names = lists.take(pa.array(first)), names[first]
@@ -193,12 +199,12 @@ def shared_counts(sets: DataFrame) -> DataFrame:
 def _stars(sets: DataFrame) -> DataFrame:
     """Distinct candidate pairs (x, hub): the members of each signature's bucket with its hub, the member of least ``v``.
 
-    A bucket with several members in one Arrow batch has a hub there, and only that hub goes on to the corpus-wide bucket.
+    A bucket with several members in one slice has a hub there, and only that hub goes on to the corpus-wide bucket.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, lists = batch.column(0).to_numpy(), batch.column(1)
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()  # offsets of a slice still count from the batch's start
             signed = [np.unique(signatures(values[a:b])) for a, b in zip(ends[:-1], ends[1:])]
             v, sig = np.repeat(names, [len(s) for s in signed]), np.concatenate([*signed, np.zeros(0, np.int64)])
             order = np.lexsort((v, sig))
