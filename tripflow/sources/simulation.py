@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripflow.functions import signals as sig
 from tripflow.functions.headers import header_key_of
 from tripflow.functions.scalars import lenient_double, ms_to_kmh, run_name_parts
+from tripflow.sources import store
 from tripflow.sources.delimited import Variant, read_fields, variants
 
 HEADER_LINES = 3
@@ -44,6 +45,6 @@ def read_runs(spark: SparkSession, folder: str, pattern: str = "*.csv",
 
 
 def ingest_runs(spark: SparkSession, folder: str, out: str, pattern: str = "*.csv") -> int:
-    """Store the runs by name and return how many there are."""
-    read_runs(spark, folder, pattern).repartition("run").write.mode("overwrite").partitionBy("run").parquet(out)
+    """Store the runs like trips and return how many there are."""
+    store.write_trips(read_runs(spark, folder, pattern), out, key="run")
     return spark.read.parquet(out).select("run").distinct().count()

@@ -23,6 +23,9 @@ TRIP_ID = r"(?i)^Trip[AB]\d+$"
 WARM_NOTE = "directly after previous"
 _TEXT = {"trip", "date", "route", "weather", "fan", "note"}
 
+#: Folder column of the store.
+FOLDER = "trip_class"
+
 
 def is_trip_id(c: Column, pattern: str = TRIP_ID) -> Column:
     """Whole-value, case-insensitive match after trimming; NULL and blanks are no ids."""
@@ -55,10 +58,14 @@ def read_overview(spark: SparkSession, path: str) -> DataFrame:
     return overview_table(spark.read.option("header", "true").csv(path))
 
 
-def write_trips(df: DataFrame, path: str, key: str = "trip") -> None:
-    """Store trips by key; rows are spread over files per key so a hot trip is no single writer."""
-    (df.repartition(F.col(key), F.floor(F.col("time_s") / 3600.0))
-       .write.mode("overwrite").partitionBy(key).parquet(path))
+def write_trips(df: DataFrame, path: str, key: str = "trip", folders: int = 64, spread: int = 8) -> None:
+    """Store trips in a fixed number of folders by a hash of the key, sorted by key and clock, so that many short trips share
+    files and file statistics find a trip; a hot trip is written by up to ``spread`` tasks."""
+    clock = F.floor(F.col("time_s") / 3600.0) if "time_s" in df.columns else F.lit(0)
+    order = [c for c in (key, "time_s") if c in df.columns]
+    d = df.withColumns({FOLDER: F.pmod(F.xxhash64(key), F.lit(folders)), "_s": F.pmod(F.xxhash64(clock), F.lit(spread))})
+    (d.repartition(FOLDER, "_s").drop("_s").sortWithinPartitions(FOLDER, *order)
+     .write.mode("overwrite").partitionBy(FOLDER).parquet(path))
 
 
 def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str, ...] = ("trip",)) -> DataFrame:
@@ -69,7 +76,7 @@ def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str
 
 def load_trips(spark: SparkSession, path: str, signal: str = "cabin_temp_c") -> DataFrame:
     """Read the store, keep the usable trips, and fail where there are none."""
-    every = spark.read.parquet(path)
+    every = spark.read.parquet(path).drop(FOLDER)
     trips = usable_trips(every, signal) if signal in every.columns else every.limit(0)
     if not trips.take(1):
         raise FileNotFoundError(f"no trip with {signal} under {path}")
