@@ -20,7 +20,6 @@ import functools
 import hashlib
 import heapq
 import json
-import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -28,15 +27,15 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-SHORT, ROWS, MEMO_ENTRIES, MEMO_KEPT, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 18, 1 << 17, 1 << 21, (1 << 31) - 1, "A"
+SHORT, ROWS, MEMO_ENTRIES, MEMO_KEPT, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 19, 1 << 17, 1 << 21, (1 << 31) - 1, "A"
 
 # Fixed values of the file format: white space of the splitting rule, the rule itself, and the letters that stand for bytes.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NO_SPACE = re.compile(r"[\x1c-\x1f]")  # str.split() cuts at these, the splitting rule does not
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -152,25 +151,23 @@ class WordBpe:
                     heapq.heappush(heap, (r, x))
         return [x for x in ids if x >= 0]
 
-    def _chunks(self, text: str) -> list[str]:
-        """The keys of a text's stretches: words never cross white space. Lower-cased keys hold no capital, which marks added tokens."""
+    def _parts(self, text: str) -> list[str]:
+        """The text between added tokens, in normal form and lower case; added tokens are marked by a capital, which no such text has."""
         out = []
         for k, part in enumerate(self.cut(text) if self.cut and "<" in text else [text]):
             if k % 2:
-                self.memo[ADDED + part] = packed([self.added[part]])
                 out.append(ADDED + part)
                 continue
             part = part if part.isascii() else unicodedata.normalize("NFC", part)
             # letter by letter where the whole-string rule would look at a sigma's neighbours
-            part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-            out += self.find(part) if NO_SPACE.search(part) else part.split()
+            out.append("".join(map(str.lower, part)) if "Σ" in part else part.lower())
         return out
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers; texts are taken ``GROUP`` characters at a time."""
         group, size = [], 0
         for text in texts:
-            group.append(self._chunks(text or ""))
+            group.append(self._parts(text or ""))
             size += len(text or "")
             if size >= GROUP:
                 yield from self._encode(group)
@@ -178,25 +175,39 @@ class WordBpe:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
-        memo, chunks = self.memo, [*chain.from_iterable(group)]
-        ids = [*map(memo.get, chunks)]
-        new = [k for k, known in enumerate(ids) if known is None]
-        unknown = [*{chunks[k] for k in new}]
-        found = self.find_marked("\n".join([*unknown, ""]))
-        words, parts, at = self._learn(set(found) - {"\n"}), [], 0
+        """Words never cross white space, so each different stretch between white space is encoded once."""
+        parts = pa.array([*chain.from_iterable(group)], pa.string())
+        stretches = pc.ascii_split_whitespace(parts)
+        coded = stretches.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        memo = self.memo
+        unknown = {c for c in chunks if c not in memo}
+        plain = {c for c in unknown if c.isalpha()}  # one word of letters
+        rest = [*(unknown - plain)]
+        found = self.find_marked("\n".join([*rest, ""]))
+        words, own, at = self._learn(plain.union(found) - {"\n"}), [], 0
+        memo.update((c, words[c]) for c in plain)
         for w in found:
-            if w == "\n":
-                memo[unknown[at]] = parts[0] if len(parts) == 1 else b"".join(parts)
-                parts, at = [], at + 1
-            else:
-                parts.append(words[w])
-        for k in new:
-            ids[k] = memo[chunks[k]]
+            if w != "\n":
+                own.append(words[w])
+                continue
+            chunk = rest[at]
+            memo[chunk] = packed([self.added[chunk[1:]]]) if chunk.startswith(ADDED) else own[0] if len(own) == 1 else b"".join(own)
+            own, at = [], at + 1
+        ids = [*map(memo.__getitem__, chunks)]
+        # lay the ids of all stretches one after the other
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        order = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = sizes[order]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        flat = pool[np.repeat(first[order] - ends[:-1], n) + np.arange(ends[-1])]
+        of_part = ends[stretches.offsets.to_numpy()]
         at = 0
-        for chunks in group:
-            yield b"".join(ids[at:at + len(chunks)])
-            at += len(chunks)
-        if len(memo) > MEMO_ENTRIES:
+        for own_parts in group:
+            yield flat[of_part[at]:of_part[at + len(own_parts)]].tobytes()
+            at += len(own_parts)
+        if len(self.memo) > MEMO_ENTRIES:
             self.forget()
 
     def forget(self) -> None:
