@@ -99,8 +99,11 @@ def read_fields(spark: SparkSession, v: Variant) -> DataFrame:
 def trip_key() -> Column:
     """The file stem; a part file that Spark wrote goes by the folder it is in (``name`` or ``column=name``)."""
     name = F.col("_metadata.file_name")
-    folder = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1), "^[^=]*=", ""))
-    return F.when(name.rlike("^part-"), folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+    folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    value = F.when(folder.contains("="), F.substring(folder, F.locate("=", folder) + 1, F.length(folder))).otherwise(folder)
+    value = F.when(value.contains("%"), F.url_decode(value)).otherwise(value)
+    stem = F.when(name.contains("."), F.substring(name, F.lit(1), F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1)).otherwise(name)
+    return F.when(name.startswith("part-"), value).otherwise(stem)
 
 
 def further_fields(spark: SparkSession, v: Variant) -> DataFrame:
