@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-SHORT, ROWS, MEMO_ENTRIES, MEMO_KEPT, GROUP, NO_RANK, ADDED = 64, 4096, 1 << 19, 1 << 17, 1 << 21, (1 << 31) - 1, "A"
+SHORT, ROWS, MEMO_ENTRIES, NO_RANK, ADDED = 64, 4096, 1 << 19, (1 << 31) - 1, "A"
 
 # Fixed values of the file format: white space of the splitting rule, the rule itself, and the letters that stand for bytes.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -75,6 +75,7 @@ class WordBpe:
         self.find_marked = regex.compile(RULE.replace(r"\s", SPACE) + "|\n").findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
         self.memo: dict[str, bytes] = {}
+        self.memo_entries = MEMO_ENTRIES
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << np.uint32(16) | right
@@ -164,12 +165,12 @@ class WordBpe:
         return out
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers; texts are taken ``GROUP`` characters at a time."""
+        """Token ids of each text as little-endian unsigned 32-bit integers; texts are taken a few million characters at a time."""
         group, size = [], 0
         for text in texts:
             group.append(self._parts(text or ""))
             size += len(text or "")
-            if size >= GROUP:
+            if size >= 4 * self.memo_entries:
                 yield from self._encode(group)
                 group, size = [], 0
         yield from self._encode(group)
@@ -207,12 +208,12 @@ class WordBpe:
         for own_parts in group:
             yield flat[of_part[at]:of_part[at + len(own_parts)]].tobytes()
             at += len(own_parts)
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > self.memo_entries:
             self.forget()
 
     def forget(self) -> None:
         """Keep only what was met first, which is what is met most."""
-        self.memo = dict(islice(self.memo.items(), MEMO_KEPT))
+        self.memo = dict(islice(self.memo.items(), self.memo_entries // 4))
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))

@@ -73,8 +73,11 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int,
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY,
-           block_tokens: int = BLOCK_TOKENS, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids``."""
+           block_tokens: int = BLOCK_TOKENS, keep_ids: bool = False, memo_entries: int = bpe.MEMO_ENTRIES) -> DataFrame:
+    """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids``.
+
+    ``memo_entries`` trades a task's memory (about 200 bytes each) for time; it does not change the result.
+    """
     kind = dict(docs.dtypes)[id_col]
     end = bpe.packed([END_ID])
 
@@ -91,6 +94,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(path)
+        encoder.memo_entries = memo_entries
         first = TaskContext.get().partitionId() << LOCAL_BITS
         block, tokens, id_type = [], 0, None
         for batch in batches:
