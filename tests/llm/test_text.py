@@ -179,6 +179,20 @@ def test_differencing_deletes_template_lines(spark):
     assert html_text.extracted(d.limit(0)).collect() == []
 
 
+def test_differencing_decides_pages_with_an_article_too(spark):
+    def page(i):
+        return (f"<div>Site name</div><div><p>a long story that is told in plain blocks, number {i}</p></div><article>teaser {i}</article>"
+                f"<nav>menu {i}</nav><div>Call us on any day of the week, from nine to five</div>")
+    rows = [(i, f"http://h.org/{i:03d}", page(i)) for i in range(20)]
+    rows += [(100 + k, f"http://m.org/{k}", f"<div>a template line that is longer than all of the text</div><article>t{k}</article>") for k in range(2)]
+    rows += [(200, "http://n.org/1", "<p>long line outside of the main element<main>own</main>")]
+    rows += [(300 + k, f"http://c.org/{k}", "<p>a copy of a page<article>as</article>") for k in range(2)]
+    out = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[i] == f"a long story that is told in plain blocks, number {i}\nteaser {i}" for i in range(20))
+    assert got[100] == "t0" and got[101] == "t1" and got[200] == "own" and got[300] == got[301] == "a copy of a page\nas"
+
+
 def brute_top(rows, k):
     vec = [(i, np.floor(np.array(v, np.float64) * 1024).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = {}

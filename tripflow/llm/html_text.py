@@ -1,15 +1,14 @@
-"""Main text of web pages: structure first, nearest-URL page differencing for what structure leaves open.
+"""Main text of web pages: nearest-URL page differencing, then a check by markup.
 
-A page becomes lines (blocks) of three kinds: inside an ``article`` or ``main`` element, inside an element that is
-navigation, header, footer, aside, form, script or the like by its tag, role, class or id, and other. Of a page that has
-an article only the article's lines count. Of the rest, the other lines count, less those that differencing deletes:
-pages are paired by URL path order within their host (each page with the one before it, the first of a host with the one
-after it), their lines outside articles are aligned by a longest common subsequence of line hashes, and shared lines go.
-A page whose other lines are all shared is a copy of its neighbour; differencing cannot tell template from text there
-and deletes nothing.
+Pages are paired by URL path order within their host (each page with the one before it, the first of a host with the one
+after it), all lines (blocks) of the two are aligned by a longest common subsequence of line hashes, and shared lines go.
+A page whose lines outside boilerplate are all shared is a copy of its neighbour; differencing cannot tell template from
+text there and deletes nothing.
 
-Differencing alone gives wrong results on pages whose menus vary from page to page and on hosts that carry an article
-twice, which is why structure comes first.
+Markup then sorts the lines into three kinds: inside an ``article`` or ``main`` element, inside an element that is
+navigation, header, footer, aside, form, script or the like by its tag, role, class or id, and other. Boilerplate that
+differencing left (menus that vary from page to page) goes, shared lines of an article (passages that two texts have in
+common) come back. Where a ``main`` element or, by length, articles are at least half of what is left, they alone are the text.
 
 Only hashes and URLs are ordered (a range partition with neighbours carried over its borders, so a hot host is spread over
 tasks). Page texts are not shuffled unless the table of deleted lines is too large to broadcast.
@@ -36,7 +35,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tripflow.session import durable
 
-ARTICLE, OTHER, BOILER = 0, 1, 2
+ARTICLE, OTHER, BOILER, CENTRE = 0, 1, 2, 3  # CENTRE: inside a main element
 FIRST, INNER, LAST = 0, 1, 2  # a row's place in its task
 OFTEN = 64  # lines that repeat more often within a page are matched in order of occurrence
 
@@ -120,8 +119,8 @@ def lines(page: str | None) -> list[tuple[int, str]]:
                     open_.pop()
             inside = kind()
             if name in MAIN:
-                inside = ARTICLE
-            elif name in BOILER_TAGS and not (name == "header" and inside == ARTICLE) or name not in ("body", "html") and _marked(attributes):
+                inside = CENTRE if name == "main" or inside == CENTRE else ARTICLE
+            elif name in BOILER_TAGS and not (name == "header" and inside in (ARTICLE, CENTRE)) or name not in ("body", "html") and _marked(attributes):
                 inside = BOILER
             open_.append((name, inside, False))
     if at < len(page):
@@ -161,17 +160,19 @@ def shared(a: list[int], b: list[int]) -> list[int]:
 
 def main_text(page: str | None, gone: set[int] | None = None) -> str:
     """The text of a page; ``gone`` numbers the lines outside articles that differencing deletes."""
-    found = lines(page)
-    if any(kind == ARTICLE for kind, _ in found):
-        return "\n".join(text for kind, text in found if kind == ARTICLE)
-    return "\n".join(text for i, (kind, text) in enumerate(found) if kind == OTHER and not (gone and i in gone))
+    left = [(kind, text) for i, (kind, text) in enumerate(lines(page)) if kind != BOILER and not (kind == OTHER and gone and i in gone)]
+    own, other = (sum(len(text) for kind, text in left if (kind == OTHER) == side) for side in (False, True))
+    if own >= other or any(kind == CENTRE for kind, _ in left):
+        left = [(kind, text) for kind, text in left if kind != OTHER]
+    return "\n".join(text for _, text in left)
 
 
 def _deleted(own: list[int], kinds: list[int], neighbour: list[int]) -> list[int]:
-    common = shared(own, neighbour)
-    other = [i for i, k in enumerate(kinds) if k == OTHER]
-    gone = sorted(set(common) & set(other))
-    return [] if len(gone) == len(other) else gone
+    """The lines outside articles and boilerplate that the page shares with its neighbour; none of a copy."""
+    common = set(shared(own, neighbour))
+    if all(i in common for i, k in enumerate(kinds) if k != BOILER):
+        return []
+    return [i for i, k in enumerate(kinds) if k == OTHER and i in common]
 
 
 def _neighbours(rows: Iterator[tuple]) -> Iterator[tuple[tuple | None, tuple, tuple | None]]:
@@ -198,9 +199,8 @@ def deleted_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
             every, kinds = [], []
             for page in batch.column(3):
                 found = lines(page.as_py())
-                open_ = not any(k == ARTICLE for k, _ in found)
-                every.append([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for k, t in found if k != ARTICLE])
-                kinds.append([k for k, _ in found] if open_ else [])
+                every.append([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for _, t in found])
+                kinds.append([k for k, _ in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(every, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int32()))],
                                              names=["id", "host", "path", "lines", "kinds"])
 
