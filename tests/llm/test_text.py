@@ -162,6 +162,22 @@ def test_shared_lines_are_a_longest_common_subsequence():
         assert len(found) == best[-1][-1] and found == sorted(found) and all(a[i] in it for i in found)
 
 
+def test_shared_lines_at_any_number_of_repeats():
+    assert html_text.shared([1, 0], [0] * 65 + [1, 0]) == [0, 1]
+    rng = random.Random(5)
+    for n, kinds in ((200, 2), (300, 3), (150, 40), (400, 1)):
+        a, b = ([rng.randrange(kinds) for _ in range(n + rng.randrange(50))] for _ in range(2))
+        best = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(best[j] + 1 if x == y else max(best[j + 1], row[-1]))
+            best = row
+        found = html_text.shared(a, b)
+        it = iter(b)
+        assert len(found) == best[-1] and found == sorted(set(found)) and all(a[i] in it for i in found)
+
+
 def test_differencing_deletes_template_lines(spark):
     def page(k, body):
         return f"<body><div>Site name</div><p>{body}</p><div>Call us</div>"

@@ -23,8 +23,8 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -37,7 +37,7 @@ from tripflow.session import durable
 
 ARTICLE, OTHER, BOILER, CENTRE = 0, 1, 2, 3  # CENTRE: inside a main element
 FIRST, INNER, LAST = 0, 1, 2  # a row's place in its task
-OFTEN = 64  # lines that repeat more often within a page are matched in order of occurrence
+OFTEN = 64  # a line's places are kept as bits once there are so many; that is at most 1/OFTEN of all pairs of lines
 
 # Element names, roles and words of class or id attributes by what they mark.
 SILENT = "script style noscript template textarea title svg iframe select button object canvas math"
@@ -130,31 +130,50 @@ def lines(page: str | None) -> list[tuple[int, str]]:
 
 
 def shared(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of one longest common subsequence with ``b``."""
+    """Positions in ``a`` of one longest common subsequence with ``b``.
+
+    Bit j of row i is 0 where the subsequence of a[:i] and b grows by b[j]. Only every root-th row is kept, the rows between
+    two of them are made again on the way back, so memory is far below one bit per pair of lines, whatever repeats.
+    """
+    both = set(a) & set(b)
+    mine = [i for i, x in enumerate(a) if x in both]
     places: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    seen: dict[int, int] = {}
-    tails: list[int] = []
-    nodes: list[tuple[int, int]] = []  # position in a, node before
-    ends: list[int] = []
-    for i, x in enumerate(a):
-        js = places.get(x, ())
-        if len(js) > OFTEN:
-            k = seen[x] = seen.get(x, -1) + 1
-            js = js[k:k + 1]
-        for j in reversed(js):
-            k = bisect_left(tails, j)
-            nodes.append((i, ends[k - 1] if k else -1))
-            if k == len(tails):
-                tails.append(j)
-                ends.append(len(nodes) - 1)
-            else:
-                tails[k], ends[k] = j, len(nodes) - 1
-    found, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        i, k = nodes[k]
-        found.append(i)
+    width = 0
+    for x in b:
+        if x in both:
+            places.setdefault(x, []).append(width)
+            width += 1
+    whole, step = (1 << width) - 1, isqrt(len(mine)) + 1
+    ready: dict[int, int] = {}
+
+    def row_after(row: int, x: int) -> int:
+        m = ready.get(x)
+        if m is None:
+            bits = bytearray(width // 8 + 1)
+            for j in places[x]:
+                bits[j >> 3] |= 1 << (j & 7)
+            m = int.from_bytes(bits, "little")
+            if len(places[x]) >= OFTEN:
+                ready[x] = m
+        u = row & m
+        return ((row + u) | (row - u)) & whole
+
+    kept, row = [whole], whole
+    for k, i in enumerate(mine, 1):
+        row = row_after(row, a[i])
+        if k % step == 0:
+            kept.append(row)
+    found, j = [], width - 1
+    for start in range(step * (len(mine) // step), -1, -step):
+        rows = [kept[start // step]]
+        for i in mine[start:start + step]:
+            rows.append(row_after(rows[-1], a[i]))
+        for k in range(len(rows) - 1, 0, -1):
+            while j >= 0 and rows[k] >> j & 1:
+                j -= 1
+            if j >= 0 and rows[k - 1] >> j & 1:
+                found.append(mine[start + k - 1])
+                j -= 1
     return found[::-1]
 
 
