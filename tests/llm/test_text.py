@@ -149,6 +149,17 @@ def test_page_lines():
     assert [html_text.main_text(x) for x in (None, "", "<", "plain  text", "<p>a</p", "a < b", "<script>x")] == ["", "", "<", "plain text", "a", "a < b", ""]
 
 
+def test_articles_in_boilerplate_are_boilerplate():
+    assert html_text.main_text("<p>body<section class=comments><article class=comment>c</article></section>") == "body"
+    assert html_text.main_text("<article><h1>A</h1><p>text</article><aside><article>other <p>story</article></aside><article class='teaser card'>t</article>") == "A\ntext"
+    assert html_text.main_text("<section class=comments><article>reader</article></section>") == ""
+    assert html_text.main_text("<article>main text<section id=comments><article>a reader's long comment</article></section> ends</article>") == "main text\nends"
+    assert html_text.main_text("<div class='page has-sidebar'><article class='post tag-social'>A</article></div>") == "A"
+    assert html_text.main_text("<nav>m<div><article>A text</article></div><nav>n</nav><p>b") == "A text"
+    assert html_text.main_text("<form><div><article>A</article></div></form><aside><main>own</main></aside>") == "A\nown"
+    assert html_text.main_text("<form><div><article>A</article></div></form>") == "A"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(3)
     for _ in range(300):

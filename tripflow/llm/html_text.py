@@ -15,7 +15,8 @@ tasks). Page texts are not shuffled unless the table of deleted lines is too lar
 
 Defined results: a null or empty page has the empty text; a null or host-less URL is not paired; pages with equal URLs
 are ordered by id; repeated page ids count as separate rows, but what is deleted from one of them is deleted from all;
-broken markup is read as far as it goes, an unclosed boilerplate element ends where an article begins. White space of
+broken markup is read as far as it goes, an unclosed boilerplate element ends where an article begins; an article that is
+marked (a reader comment, a teaser) or lies in a closed boilerplate element other than a form is boilerplate. White space of
 any kind becomes one blank, ``br`` too. Extra columns pass through, ``text`` and ``n_chars`` are replaced.
 """
 
@@ -49,6 +50,7 @@ BOILER_ROLES = set("navigation banner contentinfo complementary search form menu
 BOILER_WORDS = set("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright
     disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion recommended related
     replies reply search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget widgets""".split())
+ABOUT = ("has-", "no-", "with-", "without-", "tag-", "category-")  # such names tell the layout or subject, not what the element is
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _SILENT = "|".join(SILENT.split())
@@ -62,6 +64,8 @@ def _marked(attributes: str) -> bool:
     """Do the attributes of an element say that it is not main text?"""
     for m in MARK.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id"):
+            value = " ".join(v for v in value.split() if not v.startswith(ABOUT))
         if name in ("class", "id") and not BOILER_WORDS.isdisjoint([*WORDS.findall(value), *re.sub(r"[-_]", "", value).split()]):
             return True
         if name == "role" and value in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
@@ -74,7 +78,8 @@ def _marked(attributes: str) -> bool:
 def lines(page: str | None) -> list[tuple[int, str]]:
     """The blocks of a page in order: kind and text."""
     out: list[tuple[int, str]] = []
-    open_: list[tuple[str, int, bool]] = []  # element, the kind of its inside, and whether it is cut out of its block
+    # element, the kind of its inside, whether it is cut out of its block, and the lines before it where it says itself that it is boilerplate
+    open_: list[tuple[str, int, bool, int | None]] = []
     words: list[str] = []
     at, page = 0, page or ""
 
@@ -103,11 +108,13 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             if name not in INLINE:
                 end_block()
             if any(x[0] == name for x in open_):
-                while open_.pop()[0] != name:
+                while (last := open_.pop())[0] != name:
                     pass
+                if last[3] is not None:  # closed, so the articles in it are boilerplate too
+                    out[last[3]:] = [(BOILER if k == ARTICLE else k, text) for k, text in out[last[3]:]]
         elif name in INLINE:
             if attributes and name not in VOID and _marked(attributes):
-                open_.append((name, kind(), True))
+                open_.append((name, kind(), True, None))
             elif open_ and open_[-1][2] and name == open_[-1][0]:
                 open_.append(open_[-1])
         elif name:
@@ -117,12 +124,13 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             if name in CLOSES and any(x[0] in CLOSES[name] for x in open_):
                 while open_[-1][0] in CLOSES[name] | INLINE:
                     open_.pop()
-            inside = kind()
-            if name in MAIN:
+            inside, since = kind(), None
+            if name == "main" or name in MAIN and not _marked(attributes):
                 inside = CENTRE if name == "main" or inside == CENTRE else ARTICLE
             elif name in BOILER_TAGS and not (name == "header" and inside in (ARTICLE, CENTRE)) or name not in ("body", "html") and _marked(attributes):
                 inside = BOILER
-            open_.append((name, inside, False))
+                since = len(out) if name != "form" else None  # some pages are one form as a whole
+            open_.append((name, inside, False, since))
     if at < len(page):
         say(html.unescape(page[at:]))
     end_block()
