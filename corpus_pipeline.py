@@ -7,8 +7,10 @@ one stage returns is written as Parquet and read again as the next stage's ``doc
   The model is learned from the labelled two thirds of the stage's own input; ``lang`` keeps its value.
 * ``line_dedup`` takes later occurrences of repeated three-line passages out of the texts. ``n_chars`` follows the text.
   Documents that lose all their text that way go.
-* ``near_duplicates`` keeps, of each group of documents that links of Jaccard 0.75 connect, the one with the least doc_id
-  (rows that repeat that id are one document and stay).
+* ``near_duplicates`` keeps, of each group of documents that links of Jaccard 0.75 connect, the one with the least doc_id.
+  A document is a doc_id and a text: rows that repeat both are one document and stay or go together; rows with one doc_id
+  and different texts are judged each by its own group, and of those that share a group and its least doc_id one text stays
+  (the least hash).
 * ``pack`` gives the pieces of sequences of at most 2048 tokens.
 
 A column that the input lacks stays missing; rows with a null doc_id pass the first two stages and are kept by the third
@@ -42,9 +44,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = partenum.jaccard_components(docs)
-    gone = durable(groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "near-duplicates")
-    return sieve.without(docs, gone, "doc_id").select(*docs.columns)
+    groups = partenum.jaccard_components(docs, keyed=True)
+    gone = groups.filter("id <> first.id OR key <> first.key AND id IS NOT NULL").select(F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    return sieve.without(keyed, durable(gone, "near-duplicates"), "__key").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,17 @@ def test_stages_on_edge_tables(spark, make_extra, tmp_path):
         docs.collect()
 
 
+def test_near_duplicates_go_by_id_and_text(spark, make_docs):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (7, text(1) + " more"), (7, text(2)), (7, text(2)), (8, text(3)), (8, text(3) + " end"), (9, text(3)), (None, text(1)), (None, text(4)), (2, "")]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), "").collect()]
+    eights = [r for r in got if r[0] == 8]
+    assert len(eights) == 1 and eights[0] in rows
+    assert sorted(map(str, set(got) - {*eights})) == sorted(map(str, [(1, text(1)), (7, text(2)), (None, text(1)), (None, text(4)), (2, "")]))
+    assert len(got) == 7
+
+
 def test_every_operator_has_one_query():
     names = [*queries.QUERIES]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names

@@ -285,11 +285,17 @@ def similar(sets: DataFrame) -> DataFrame:
     return components(both).select(F.col("node").alias("v"), F.col("root").alias("comp"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``component_id``."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """One row per document: ``id``, ``n_shingles``, ``component_id``.
+
+    ``keyed``: also ``key``, the hash of id and text, and ``first``, the least (id, key) of the component among rows with an
+    id; null where there is none or the text has no shingles.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     heads = durable(_sets(rows, whole=False), "jaccard-heads")
-    classes = heads.filter("c IS NOT NULL").groupBy("c").agg(F.max("size").alias("size"), F.min("key").alias("key"), F.min("id").alias("id"))
+    classes = heads.filter("c IS NOT NULL").groupBy("c").agg(F.max("size").alias("size"), F.min("key").alias("key"), F.min("id").alias("id"),
+                                                            *[F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("first")] * keyed)
+    also = ["first"] * keyed
     classes = durable(classes, "jaccard-classes")
     need = F.greatest(F.lit(1), F.floor(F.lit(MORE) * F.ceil(3 * F.col("size") / 4)))
     alive = durable(classes.join(shared_counts(heads), "c").filter(F.col("n") >= need).select("key"), "jaccard-alive")
@@ -301,10 +307,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rank = F.floor((F.col("size") - F.col("n")) * 1000 / F.col("size")).cast("long")
     sets = durable(sets.withColumn("v", F.shiftleft(rank, 53) + F.monotonically_increasing_id()), "jaccard-sets")
 
-    label = durable(similar(sets).join(sets.select("v", "c"), "v").join(classes.select("c", "id"), "c"), "jaccard-labels")
-    least = durable(label.groupBy("comp").agg(F.min("id").alias("component_id")), "jaccard-components")
-    of_class = classes.join(label.join(least, "comp").select("c", "component_id"), "c", "left")
-    of_class = durable(of_class.select("c", F.coalesce("component_id", "id").alias("component_id")), "jaccard-components")
-    linked = heads.filter("c IS NOT NULL").join(of_class, "c").select("id", F.col("size").alias("n_shingles"), "component_id")
-    empty = heads.filter("c IS NULL").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(empty)
+    label = durable(similar(sets).join(sets.select("v", "c"), "v").join(classes.select("c", "id", *also), "c"), "jaccard-labels")
+    least = durable(label.groupBy("comp").agg(F.min("id").alias("component_id"), *[F.min(c).alias(f"least_{c}") for c in also]), "jaccard-components")
+    of_class = classes.join(label.join(least, "comp").select("c", "component_id", *[f"least_{c}" for c in also]), "c", "left")
+    of_class = durable(of_class.select("c", F.coalesce("component_id", "id").alias("component_id"), *[F.coalesce(f"least_{c}", c).alias(c) for c in also]), "jaccard-components")
+    linked = heads.filter("c IS NOT NULL").join(of_class, "c").select("id", F.col("size").alias("n_shingles"), "component_id", *["key", "first"] * keyed)
+    empty = heads.filter("c IS NULL").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), *["key"] * keyed)
+    return linked.unionByName(empty, allowMissingColumns=keyed)
