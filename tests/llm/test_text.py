@@ -128,6 +128,15 @@ def test_language_held_out_accuracy(make_extra):
     assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
 
 
+def test_repeated_rows_are_learned_from_once(make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda x, langs: sorted(langs))
+    rng = random.Random(2)
+    rows = [(i, talk(rng, v, 9), v) for i in range(40) for v in ("en", "de") if zlib.crc32(str(i).encode()) % 3 != 1]
+    for often in (1, 30):
+        assert langid.learn(make_docs(rows * often), sample=20, per_language=10) == ["de"] * 10 + ["en"] * 10
+    assert langid.learn(make_docs(rows[:1] * 50 + rows[1:]), sample=1000) == sorted(r[2] for r in rows)
+
+
 def test_language_model_edges(make_docs):
     none = make_docs([(1, "abc"), (2, None)])
     assert langid.learn(none) is None and langid.learn(make_docs([])) is None

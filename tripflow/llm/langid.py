@@ -143,16 +143,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), key.alias("key"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy("lang").limit(sample)
+    # a row that repeats id and text is drawn once at most, however often it stands
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("rows")).orderBy("lang").limit(sample)
     each = max(1, min(per_language, sample // max(1, sizes.count())))
     # rows far beyond the lowest hashes never reach the ranking, so a large language is not ranked in one task
     reach = F.least(F.lit(1.0), F.lit(4.0 * each + 100) / F.col("rows"))
     near = rows.join(F.broadcast(sizes), "lang").filter((F.col("key").cast("double") + 2.0 ** 63) / 2.0 ** 64 < reach)
+    near = near.select("lang", "id", "key").distinct()
     best = Window.partitionBy("lang").orderBy("key", "id")
-    chosen = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= each).select("lang", "id", "key").distinct().limit(sample)
+    chosen = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= each).select("lang", "id", "key").limit(sample)
     texts = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     on = F.col("t.id").eqNullSafe(F.col("c.id")) & (F.col("t.key") == F.col("c.key")) & (F.col("t.lang") == F.col("c.lang"))
-    drawn = texts.alias("t").join(F.broadcast(chosen).alias("c"), on, "left_semi")  # at most ``sample`` rows
+    drawn = texts.alias("t").join(F.broadcast(chosen).alias("c"), on, "left_semi")
+    drawn = drawn.dropDuplicates(["lang", "id", "key"])  # at most ``sample`` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles()
