@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. What
 one stage returns is written as Parquet and read again as the next stage's ``docs``.
 
-* ``language_id`` drops documents without a determinable language (null text, no letter, or a score below ``MIN_SCORE``).
+* ``language_id`` drops documents without a determinable language (null text or no letter). The score
+  is no reason to drop one: it is no common measure over families of different sizes, and low where duels run in a circle.
   The model is learned from the labelled two thirds of the stage's own input; ``lang`` keeps its value.
 * ``line_dedup`` takes later occurrences of repeated three-line passages out of the texts. ``n_chars`` follows the text.
   Documents that lose all their text that way go.
@@ -25,13 +26,11 @@ from pyspark.sql import functions as F
 from tripflow.llm import langid, line_dedup, packing, partenum, sieve
 from tripflow.session import durable
 
-MIN_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs)
     said = langid.predicted(docs, model)
-    return said.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return said.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

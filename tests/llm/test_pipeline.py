@@ -1,12 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.plain import near_components, without_repeated_lines
 from tests.llm.test_text import LANGS, talk
-from tripflow.llm import bpe, queries
+from tripflow.llm import bpe, langid, queries
 
 pytest.importorskip("public_tokenizers")
 
@@ -68,6 +69,19 @@ def test_stages_on_edge_tables(spark, make_extra, tmp_path):
         docs.collect()
 
 
+def test_language_id_drops_only_what_has_no_language(spark, make_docs, monkeypatch):
+    def machine(bias):
+        return np.array([0.0] * langid.FEATURES + [bias], np.float32)
+
+    circle = langid.Model.__new__(langid.Model)
+    circle.families, circle.names, circle.rest = {"germanic": ["de", "en", "nl"]}, ["germanic"], []
+    circle.pairs = {("de", "en"): machine(1.0), ("de", "nl"): machine(-1.0), ("en", "nl"): machine(1.0)}
+    assert circle.predict(np.zeros(langid.FEATURES, np.float32))[1] < .5
+    monkeypatch.setattr(langid, "learn", lambda docs: circle)
+    docs = make_docs([(1, "clean text", "en"), (2, "12 !", "en"), (3, None, "en"), (4, "", "en")])
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
+
+
 def test_near_duplicates_go_by_id_and_text(spark, make_docs):
     def text(k):
         return " ".join(f"w{k}x{i}" for i in range(60))
