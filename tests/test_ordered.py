@@ -174,6 +174,26 @@ def ess(x, max_lag):
     return n / (1 + 2 * total)
 
 
+def test_effective_sample_size_query_follows_long_correlations(spark, monkeypatch):
+    from tripflow.plans.catalog import telemetry as catalog
+    n = 300
+    rows = [(1, float(i), float(np.sin(i / 40.0))) for i in range(n)]
+    d = spark.createDataFrame(rows, "trip long, time_s double, value double")
+    monkeypatch.setattr(catalog, "telemetry", lambda *_: d)
+    monkeypatch.setattr(catalog, "log_series", lambda *_: ordered.Series(block_s=50.0))
+    x = [r[2] for r in rows]
+    mean = sum(x) / n
+    x = [v - mean for v in x]
+    total = 0.0
+    for k in range(1, n - 1):
+        rho = sum(a * b for a, b in zip(x, x[k:])) / sum(a * a for a in x)
+        if rho <= 0:
+            break
+        total += rho
+    (got,) = catalog.effective_sample_size(spark, "").collect()
+    assert k > 16 and got.n == n and abs(got.n_eff - n / (1 + 2 * total)) < 1e-5
+
+
 def test_effective_sample_size_of_noise_and_of_a_smooth_signal(spark):
     rng = np.random.default_rng(0)
     noise, smooth = rng.normal(size=3000), np.cumsum(rng.normal(size=3000))

@@ -257,7 +257,7 @@ def exact_median(spark, sf):
   SELECT r.trip, sum(rho) AS total FROM rho r LEFT JOIN stop s USING (trip) WHERE k0 IS NULL OR k < k0 GROUP BY r.trip)
 SELECT v.trip, n, round(n / (1 + 2 * coalesce(total, 0)), 6) AS n_eff FROM v LEFT JOIN tot USING (trip)""")
 def effective_sample_size(spark, sf):
-    e = resample.effective_sample_size(telemetry(spark, sf), log_series(spark, sf), "value", max_lag=16)
+    e = resample.effective_sample_size(telemetry(spark, sf), log_series(spark, sf), "value")
     return e.withColumn("n_eff", F.round("n_eff", 6))
 
 
