@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tripflow.operators import ordered, policies, resample, scan, slew, splits
+from tripflow.operators import ordered, policies, rank, resample, scan, slew, splits
 from tripflow.operators.quantiles import exact_quantiles, order_statistics
 
 S = ordered.Series(block_s=7.0)
@@ -227,7 +227,22 @@ def test_sessions_chain_breaks_and_unknown_days(spark):
     rows = [("TripB01", "d1", False), ("TripB02", "d1", True), ("TripB03", "d1", True), ("TripB04", "d2", True),
             ("TripB05", None, True), ("TripB06", None, True), ("TripB07", "d3", False)]
     d = spark.createDataFrame(rows, "trip string, day string, warm_start boolean")
-    for block in (None, F.col("trip")):
-        got = {r.trip: r.session for r in splits.sessions(d, block=block).collect()}
+    for rows in (100_000, 1, 2):
+        got = {r.trip: r.session for r in splits.sessions(d, rows=rows).collect()}
         assert got["TripB01"] == got["TripB02"] == got["TripB03"] == "d1#TripB01"
         assert got["TripB04"] == "d2#TripB04" and got["TripB05"] != got["TripB06"]
+
+
+def test_ranks_spread_whatever_the_labels_look_like(spark):
+    rng = np.random.default_rng(5)
+    labels = [f"the same twenty chars {i:07d}" for i in rng.permutation(50_000)] + [None]
+    size = rng.integers(1, 4, len(labels))
+    d = spark.createDataFrame([(x, int(n)) for x, n in zip(labels, size)], "label string, size int").repartition(9)
+    want = {x: i for i, x in enumerate(sorted(labels, key=lambda x: x or ""))}
+    assert {r.label: r.place for r in rank.ranked(d, ["label"], "place").collect()} == want
+    got = rank.ranked(d, [F.col("label")], "place", ("size",))
+    per, want = {}, {}
+    for x, n in sorted(zip(labels, size), key=lambda r: r[0] or ""):
+        want[x] = per[n] = per.get(n, -1) + 1
+    assert {r.label: r.place for r in got.collect()} == want
+    assert rank.ranked(d.limit(0), ["label"], "place", ("size",)).collect() == []

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.operators.ordered import Series, attach, with_last_valid, with_neighbours
+from tripflow.operators.rank import ranked
 
 
 def sessions(overview: DataFrame, by: tuple[str, ...] = (), trip: str = "trip", day: str = "day",
-             warm: str = "warm_start", block: Column | None = None) -> DataFrame:
+             warm: str = "warm_start", rows: int = 100_000) -> DataFrame:
     """Driving session of each trip: a run of warm starts on one day, in trip order.
 
     A session opens on the first trip, on a change of day (an unknown day always changes) and on a
-    cold start.  Pass the vehicle columns as ``by`` to keep vehicles apart.  ``block`` is an
-    order-keeping function of the trip id that spreads the trips of one vehicle over tasks.
+    cold start.  Pass the vehicle columns as ``by`` to keep vehicles apart.  The trips of a vehicle
+    are cut into blocks of ``rows`` by their place in order, so ids of any form spread alike.
     """
-    if block is None:
-        number = overview.schema[trip].dataType.typeName() != "string"
-        block = F.floor(F.col(trip) / 100_000) if number else F.substring(trip, 1, 8)
-    s = Series(tuple(by), trip, block=block)
-    near = with_neighbours(overview.select(*by, trip, day, warm), s, [day], following=False)
+    placed = ranked(overview.select(*by, trip, day, warm), [trip], "_pos", tuple(by))
+    s = Series(tuple(by), "_pos", block=F.floor(F.col("_pos") / rows))
+    near = with_neighbours(placed, s, [day], following=False)
     opens = F.coalesce((F.col(f"prev_{day}") != F.col(day)) | ~F.col(warm), F.lit(True))
     label = F.when(opens, F.concat(F.coalesce(F.col(day), F.lit("None")), F.lit("#"), F.col(trip)))
     return with_last_valid(near.withColumn("_label", label), s, "_label", "session").select(*by, trip, day, "session")
@@ -61,28 +60,11 @@ def group_sizes(labels: DataFrame, group: str = "group") -> DataFrame:
     return labels.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def _ranked(sizes: DataFrame, group: str, prefix: int) -> DataFrame:
-    """Groups with their place ``_r`` (from 0) among the groups of their size, by label.
-
-    A place is the count of the label prefixes before it plus the place within the prefix, so only counts are ordered as a whole.
-    """
-    binned = sizes.withColumn("_p", F.substring(F.col(group).cast("string"), 1, prefix) if sizes.schema[group].dataType.typeName() == "string"
-                              else F.floor(F.col(group) / 10 ** prefix))
-    counts = binned.groupBy("size", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("size").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("size", F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    near = binned.join(base.withColumnRenamed("size", "_s"), (F.col("size") == F.col("_s")) & F.col("_p").eqNullSafe(F.col("_q")))
-    place = F.row_number().over(Window.partitionBy("size", "_p").orderBy(group)) - 1 + F.col("_base")
-    return near.withColumn("_r", place).select(group, "size", "_r")
-
-
-def deal_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
+def deal_folds(sizes: DataFrame, k: int, group: str = "group") -> DataFrame:
     """Groups dealt to ``k`` folds in a serpentine, largest first, ties by label."""
-    larger = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).select("size", F.coalesce(F.sum("_n").over(larger), F.lit(0)).alias("_base"))
-    ranked = _ranked(sizes, group, prefix).join(base, "size").withColumn("_r", F.col("_r") + F.col("_base"))
+    placed = ranked(sizes.select(group, "size"), [-F.col("size"), group], "_r")
     lap, seat = F.floor(F.col("_r") / k), F.col("_r") % k
-    return ranked.select(group, "size", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
+    return placed.select(group, "size", F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"))
 
 
 def greedy_steps(counts: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
@@ -108,7 +90,7 @@ def greedy_steps(counts: list[tuple[int, int]], k: int) -> list[tuple[int, int,
     return steps
 
 
-def balance_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int = 7) -> DataFrame:
+def balance_folds(sizes: DataFrame, k: int, group: str = "group") -> DataFrame:
     """Greedy balance: each group, largest first and by label, goes to the lightest fold (the lowest on ties).
 
     Exact for any number of groups.  Only the distinct sizes are walked one after the other (on the driver, at most about
@@ -119,7 +101,7 @@ def balance_folds(sizes: DataFrame, k: int, group: str = "group", prefix: int =
     until = F.lead("_first").over(Window.partitionBy("_s").orderBy("_first"))
     steps = steps.withColumn("_until", F.coalesce(until, F.lit(2 ** 62)))
     at = (F.col("size") == F.col("_s")) & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_until"))
-    placed = _ranked(sizes, group, prefix).join(steps, at)
+    placed = ranked(sizes.select(group, "size"), [group], "_r", ("size",)).join(steps, at)
     return placed.select(group, "size", F.get("_turn", ((F.col("_r") - F.col("_first")) % F.size("_turn")).cast("int")).alias("fold"))
 
 
@@ -140,17 +122,11 @@ def random_group_split(groups: DataFrame, seed: int = 42, test: float = 0.30, fi
                        group: str = "group") -> DataFrame:
     """Groups split into train/val/test in a seeded order; shares are rounded up, as 26/6/6 of 38.
 
-    Groups are ordered by a hash of seed and label.  Ranks come from counts per hash prefix, so
-    no task orders all groups.
+    Groups are ordered by a hash of seed and label (equal hashes by label).
     """
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")))
-    keyed = groups.select(group).distinct().select(group, h.alias("_h"), F.substring(h, 1, 3).alias("_p"))
-    per = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = per.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(everything).alias("_all"))
-    ranked = keyed.join(base, "_p").withColumn(
-        "_r", F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy("_h")) - 1)
+    placed = ranked(groups.select(group).distinct(), [h, group], "_r")
+    placed = placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias("_all"))))     # one row
     held = F.ceil(F.col("_all") * test)
     last = F.ceil(held * final)
-    return ranked.select(group, F.when(F.col("_r") < last, "test").when(F.col("_r") < held, "val").otherwise("train").alias("split"))
+    return placed.select(group, F.when(F.col("_r") < last, "test").when(F.col("_r") < held, "val").otherwise("train").alias("split"))
