@@ -95,5 +95,5 @@ def test_near_duplicates_go_by_id_and_text(spark, make_docs):
 
 def test_every_operator_has_one_query():
     names = [*queries.QUERIES]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert set(queries.SQL) <= set(names)

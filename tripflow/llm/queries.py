@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tripflow.llm import bpe, chat, exact_dedup, html_text, langid, line_dedup, packing, partenum, sharding, topk
+from tripflow.llm import bpe, chat, collocations, exact_dedup, html_text, langid, line_dedup, mixing, packing, partenum, periodic, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,6 +129,86 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+# DuckDB has no crc32: its table-free form, a step per bit, over the bytes of the decimal id.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')])),
+    lambda c, e: CASE WHEN e > 0 THEN xor(c, e) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END))"""
+
+
+@query("op11_periodic_runs", rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC32} AS h FROM documents),
+    p AS (SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d),
+    r AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p),
+    o AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN [CASE WHEN i >= a THEN w[1 + a + (i - a) % p] ELSE w[1 + i] END FOR i IN range(n)] ELSE w END AS w FROM r),
+    k AS (SELECT doc_id, i, md5(concat_ws(' ', w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5])) AS k
+          FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM o WHERE len(w) >= 6)),
+    m AS (SELECT a.doc_id, a.i, b.i - a.i AS q, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+          FROM k AS a JOIN k AS b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+    s AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS n FROM m GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+    u AS (SELECT * FROM s AS x WHERE NOT EXISTS (SELECT 1 FROM s AS y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.n >= x.s + x.n)),
+    t AS (SELECT doc_id, count(*) AS n_runs, arg_min([s, n, q], [-n::DOUBLE / q, s, q]) AS best,
+                 string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+                 list_distinct(flatten(list(range(s + q, s + n)))) AS gone FROM u GROUP BY doc_id),
+    c AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM
+          (SELECT t.doc_id, i, o.w[i + 1] AS x FROM (SELECT doc_id, unnest(range(len(w))) AS i FROM o SEMI JOIN t USING (doc_id)) AS e
+           JOIN o USING (doc_id) JOIN t USING (doc_id) ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM t) AS g USING (doc_id, i)) GROUP BY doc_id)
+    SELECT o.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+           sha256(coalesce(runs, '')) AS runs_sha256, sha256(CASE WHEN t.doc_id IS NULL THEN array_to_string(o.w, ' ') ELSE kept END) AS collapsed_sha256
+    FROM o LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.size(F.array_remove(F.split("text", "[ \t-\r]+"), ""))
+    # 10 % of the documents get a repetition in place of their words from a on
+    g = F.floor(h / 10)
+    start = (g % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    text = F.when((h % 10 == 0) & (n > 0), periodic.rewritten(F.col("text"), start, period)).otherwise(F.col("text"))
+    return periodic.periodic_runs(d.select("doc_id", text.alias("text")), keep=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_source_mix", r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                      concat_ws(':', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, ''))) AS k FROM documents),
+    h AS (SELECT *, [('0x' || substr(sha256('17:' || (i // 8) || ':' || k), 1 + 8 * (i % 8), 8))::BIGINT FOR i IN range(16)] AS draws FROM d),
+    s AS (SELECT source, sum(size)::BIGINT AS s, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::INTEGER] AS w FROM d GROUP BY source),
+    o AS (SELECT *, sum(s) OVER () AS everything, 2 * (sum(s) OVER b - s) AS before, sum(w) OVER () - (sum(w) OVER b - w) AS rest
+          FROM s WINDOW b AS (ORDER BY s * (10 // w), source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, 2 * s * 2 * rest <= (3 * everything - 2 * before) * w AS held FROM o),
+    l AS (SELECT 3 * any_value(everything) - 2 * coalesce(sum(2 * s) FILTER (held), 0) AS up, 2 * sum(w) FILTER (NOT held) AS down FROM c),
+    t AS (SELECT source, s, CASE WHEN held THEN (2 * s)::DOUBLE ELSE (up * w)::DOUBLE / down::DOUBLE END AS target FROM c, l),
+    r AS (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate FROM t),
+    x AS (SELECT h.*, r.s AS source_size, target, floor(rate)::BIGINT AS least, (rate - floor(rate)) * 4294967296 AS part FROM h JOIN r ON h.source IS NOT DISTINCT FROM r.source),
+    y AS (SELECT source, i, sum(CASE WHEN draws[i] < part THEN size ELSE 0 END) + any_value(least * source_size) AS got, any_value(target) AS target
+          FROM (SELECT *, unnest(range(1, 17)) AS i FROM x) GROUP BY source, i),
+    z AS (SELECT source, arg_min(i, [abs(got - target), i]) AS draw FROM y GROUP BY source)
+    SELECT doc_id, size, source_size, target, (size * (least + (draws[draw] < part)::BIGINT))::BIGINT AS taken
+    FROM x JOIN z ON x.source IS NOT DISTINCT FROM z.source""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op13_collocations", r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT row, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+    w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    x AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+          FROM (SELECT *, unnest(range(1, 6)) AS m FROM g) WHERE i + m - 1 <= len(w) GROUP BY lang, m, phrase),
+    n AS (SELECT lang, sum(a)::BIGINT AS n FROM x WHERE m = 1 GROUP BY lang),
+    c AS (SELECT *, string_split(phrase, ' ') AS parts FROM x WHERE m > 1 AND a >= 100),
+    k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+    s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+          FROM k JOIN x AS l ON l.lang = k.lang AND l.m = k.k AND l.phrase = array_to_string(parts[1:k.k], ' ')
+          JOIN x AS r ON r.lang = k.lang AND r.m = k.m - k.k AND r.phrase = array_to_string(parts[k.k + 1:], ' ') JOIN n ON n.lang = k.lang),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS weakest FROM s QUALIFY weakest = 1),
+    q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+          WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+    SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM q WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
