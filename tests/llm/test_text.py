@@ -68,6 +68,22 @@ def test_packing_round_trip(make_extra, reference):
     assert packing.packed(make_extra([])).collect() == []
 
 
+def test_packing_read_through_fewer_tasks(make_docs, reference):
+    rng = random.Random(9)
+    docs = dict(enumerate(" ".join(rng.choices(["alpha", "beta", "gamma's"], k=rng.randrange(0, 900))) for _ in range(120)))
+    d = make_docs(list(docs.items())).repartition(6)
+    plain_ids = {r.sequence_id for r in packing.packed(d).collect()}
+    assert len({i >> packing.LOCAL_BITS for i in plain_ids}) > 1
+    for n in (1, 3):
+        pieces = packing.packed(d, keep_ids=True).coalesce(n).collect()
+        checked_packing(pieces, docs, reference)
+        assert {p.sequence_id for p in pieces} == plain_ids
+    checked_packing(packing.packed(d, keep_ids=True).repartition(2).collect(), docs, reference)
+    both = make_docs([(k + 1000 * j, t) for j in (0, 1) for k, t in docs.items()])
+    twice = both.filter("doc_id < 1000").union(both.filter("doc_id >= 1000"))
+    checked_packing(packing.packed(twice, keep_ids=True).coalesce(1).collect(), {k + 1000 * j: t for j in (0, 1) for k, t in docs.items()}, reference)
+
+
 def test_packing_blocks_are_tight_and_balanced():
     rng = random.Random(6)
     for _ in range(200):
@@ -158,6 +174,29 @@ def test_page_lines():
     assert [html_text.main_text(x) for x in (None, "", "<", "plain  text", "<p>a</p", "a < b", "<script>x")] == ["", "", "<", "plain text", "a", "a < b", ""]
 
 
+@pytest.mark.parametrize("tag", ['title="a hidden gem"', 'data-id="menu"', 'data-class="share"', "title='class=share'", "data-role=search", "xhidden", 'alt="say &quot; id=menu"', "hidden-note=hidden"])
+def test_attribute_values_and_longer_names_mark_nothing(tag):
+    assert html_text.main_text(f"<article><p {tag}>Body</p></article>") == "Body"
+    assert html_text.main_text(f'<article><p>See <a href="/p?id=share" {tag}>Read me</a></p></article>') == "See Read me"
+
+
+def test_attributes_that_mark():
+    for tag in ('class="x share"', "id=menu", "hidden", "HIDDEN=''", 'aria-hidden="true"', "role=search", "style='color:red; display: none'", 'title="a" class=share', "data-x='y'id=menu"):
+        assert html_text.main_text(f"<article><p>A</p><div {tag}>gone</div></article>") == "A", tag
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi></math> be</p><p><object>shown</object></article>") == "Let x be\nshown"
+
+
+def test_very_long_pages_and_odd_columns(spark):
+    long = "<article>" + "".join(f"<p>line {i % 50} of a long text</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a/x", long, 1), (2, "http://a/y", long.replace("line 7", "row 7"), 2), (None, None, None, 3), (1, "http://a/x", long, 1)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, __id int").withColumn("__gone", html_text.F.lit("g"))
+    out = html_text.extracted(d)
+    assert out.columns == ["page_id", "url", "__id", "__gone", "text", "n_chars"]
+    got = sorted((r["__id"], r.n_chars, r.text.count("\n")) for r in out.collect())
+    want = [len("\n".join(f"{w} {i % 50} of a long text" if i % 50 == 7 else f"line {i % 50} of a long text" for i in range(20_000))) for w in ("line", "row")]
+    assert got == [(1, want[0], 19_999), (1, want[0], 19_999), (2, got[2][1], 19_999), (3, 0, 0)]
+
+
 def test_articles_in_boilerplate_are_boilerplate():
     assert html_text.main_text("<p>body<section class=comments><article class=comment>c</article></section>") == "body"
     assert html_text.main_text("<article><h1>A</h1><p>text</article><aside><article>other <p>story</article></aside><article class='teaser card'>t</article>") == "A\ntext"

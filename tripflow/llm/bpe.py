@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from tripflow.llm.memory import released
+
 SHORT, ROWS, MEMO_ENTRIES, NO_RANK, ADDED = 64, 4096, 1 << 19, (1 << 31) - 1, "A"
 
 # Fixed values of the file format: white space of the splitting rule, the rule itself, and the letters that stand for bytes.
@@ -258,4 +260,4 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         bpe.forget()  # the process serves other tasks
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(released(run), schema)

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripflow.llm.memory import released
 from tripflow.llm.partenum import mixed
 from tripflow.llm.sieve import PAGE
 from tripflow.session import durable
@@ -95,7 +96,7 @@ def _blocks(docs: DataFrame, lang_col: str, text_col: str, block_bytes: int) ->
             yield coded(lang_, texts)
 
     schema = "lang string, words array<string>, hashes array<bigint>, times array<bigint>, codes binary"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def _within(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -160,7 +161,7 @@ def _grown(blocks: DataFrame, m: int, frequent, before, now, shorter) -> DataFra
                 if (out := block(batch.column(0)[i].as_py(), words, hashes, codes)) is not None:
                     yield out
 
-    rows = blocks.select("lang", "words", "hashes", "codes").mapInArrow(run, "lang string, phrase string, h bigint, times bigint")
+    rows = blocks.select("lang", "words", "hashes", "codes").mapInArrow(released(run), "lang string, phrase string, h bigint, times bigint")
     return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("a"), F.first("h").alias("h"))
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tripflow.llm.memory import released
 from tripflow.session import durable
 
 ARTICLE, OTHER, BOILER, CENTRE = 0, 1, 2, 3  # CENTRE: inside a main element
@@ -41,9 +42,9 @@ FIRST, INNER, LAST = 0, 1, 2  # a row's place in its task
 OFTEN = 64  # a line's places are kept as bits once there are so many; that is at most 1/OFTEN of all pairs of lines
 
 # Element names, roles and words of class or id attributes by what they mark.
-SILENT = "script style noscript template textarea title svg iframe select button object canvas math"
+SILENT = "script style noscript template textarea title svg iframe select button canvas"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var img wbr br".split())
+INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var img wbr br object math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split())
 MAIN = {"article", "main"}
 BOILER_TAGS = set("nav header footer aside form menu dialog head".split())
 BOILER_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
@@ -56,14 +57,18 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 _SILENT = "|".join(SILENT.split())
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:{_SILENT})\b[^>]*/>|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)""", re.S | re.I | re.X)
-MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
+TELLING = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 WORDS = re.compile(r"[a-z]+")
 
 
 def _marked(attributes: str) -> bool:
     """Do the attributes of an element say that it is not main text?"""
-    for m in MARK.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for m in ATTRIBUTE.finditer(attributes):  # one after the other, so a value is never read for names
+        name = (m[1] or "").lower()
+        if name not in TELLING:
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             value = " ".join(v for v in value.split() if not v.startswith(ABOUT))
         if name in ("class", "id") and not BOILER_WORDS.isdisjoint([*WORDS.findall(value), *re.sub(r"[-_]", "", value).split()]):
@@ -233,7 +238,7 @@ def deleted_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
     schema = f"id {kind_of}, host string, path string, lines array<bigint>, kinds array<int>"
     slim = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col))
-    slim = durable(slim.mapInArrow(hashes, schema).filter("host <> ''"), "page-lines")
+    slim = durable(slim.mapInArrow(released(hashes), schema).filter("host <> ''"), "page-lines")
     order = ["host", "path", "id"]
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +274,7 @@ def deleted_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
     schema = f"task bigint, place bigint, id {kind_of}, host string, gone array<int>, lines array<bigint>, kinds array<int>"
     ranged = slim.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    found = durable(ranged.mapInArrow(differ, schema), "page-differences")
+    found = durable(ranged.mapInArrow(released(differ), schema), "page-differences")
     inner = found.filter(F.col("place") == INNER).select("id", "gone")
     # two rows per task: the row before a task's first row is the last row of the task before it
     ends = found.filter(F.col("place") != INNER)
@@ -284,7 +289,7 @@ def deleted_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.column(0).type), pa.array([r[1] for r in out], pa.list_(pa.int32()))], names=["id", "gone"])
 
     edge = ends.select("id", "gone", "lines", "kinds", "lines_before", F.col("host").eqNullSafe(F.col("host_before")).alias("same"))
-    edge = edge.mapInArrow(borders, f"id {kind_of}, gone array<int>").filter("size(gone) > 0")
+    edge = edge.mapInArrow(released(borders), f"id {kind_of}, gone array<int>").filter("size(gone) > 0")
     both = inner.unionByName(edge)
     return both.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
@@ -293,8 +298,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``pages`` without the html, with ``text`` and ``n_chars`` (code points)."""
     gone = durable(deleted_lines(pages, id_col, url_col, html_col), "page-gone").withColumnsRenamed({"id": "__id", "gone": "__gone"})
     keep = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
-    rows = pages.select(*keep, F.col(html_col).alias("__html")).join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    rows = rows.select(*keep, "__html", "__gone")
+    # the input's own columns go as one, so that no name of theirs can clash
+    rows = pages.select(F.struct(*keep).alias("__row"), F.col(id_col).alias("__page"), F.col(html_col).alias("__html"))
+    rows = rows.join(gone, F.col("__page").eqNullSafe(F.col("__id")), "left").select(*[F.col("__row")[c].alias(c) for c in keep], F.col("__html").alias("html "), F.col("__gone").alias("gone "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,5 +309,5 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([*batch.columns[:n - 2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              names=[*batch.schema.names[:n - 2], "text", "n_chars"])
 
-    fields = [f for f in rows.schema.fields if not f.name.startswith("__")]
-    return rows.mapInArrow(run, StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    fields = rows.schema.fields[:len(keep)]
+    return rows.mapInArrow(released(run), StructType([*fields, StructField("text", StringType()), StructField("n_chars", LongType())]))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tripflow.llm.memory import released
+
 FEATURES, SAMPLE, PER_LANGUAGE, ROUNDS, PENALTY, SLOPE = 1 << 12, 4000, 1000, 12, 10.0, 3.0
 UNKNOWN = "und"
 
@@ -164,7 +166,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             vectors = pa.array([v.tobytes() for _, v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in found], pa.string()), vectors], names=["lang", "v"])
 
-    fitted = drawn.select("lang", "text").mapInArrow(run, "lang string, v binary").toArrow()
+    fitted = drawn.select("lang", "text").mapInArrow(released(run), "lang string, v binary").toArrow()
     if not fitted.num_rows:
         return None
     pairs = sorted(zip(fitted.column(0).to_pylist(), fitted.column(1).to_pylist()))
@@ -187,4 +189,4 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -8,7 +8,8 @@ document), and a task that runs again over the same input split makes the same s
 
 Defined results: a null or empty text is its end token alone; every document, repeated or with a null id, is packed;
 an empty table has no pieces. Extra columns are ignored. Sequence ids carry the number of the input split in their upper
-bits, so they are unique but not gapless.
+bits, so they are unique but not gapless. The number travels with the rows: a reader that coalesces the pieces puts several
+splits into one task, which starts a new block with each.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tripflow.llm import bpe
+from tripflow.llm.memory import released
 
 CAPACITY, BLOCK_TOKENS, END_ID, LOCAL_BITS = 2048, 1 << 20, 1, 36
 
@@ -95,17 +97,18 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(path)
         encoder.memo_entries = memo_entries
-        first = TaskContext.get().partitionId() << LOCAL_BITS
-        block, tokens, id_type = [], 0, None
+        first, split, block, tokens, id_type = 0, None, [], 0, None
         for batch in batches:
             id_type = batch.column(0).type
             texts = encoder.encode_all(text.as_py() for text in batch.column(1))
-            for key, ids in zip(batch.column(0), texts):
+            for key, ids, at in zip(batch.column(0), texts, batch.column(2).to_pylist()):
                 ids += end
-                if block and tokens + len(ids) // 4 > block_tokens:
+                if block and (at != split or tokens + len(ids) // 4 > block_tokens):
                     out, first = flush(block, first, id_type)
                     yield out
                     block, tokens = [], 0
+                if at != split:
+                    split, first = at, at << LOCAL_BITS
                 block.append((key.as_py(), ids))
                 tokens += len(ids) // 4
         if block:
@@ -114,4 +117,4 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     schema = (f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
               + (", ids array<int>" if keep_ids else ""))
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, F.spark_partition_id()).mapInArrow(released(run), schema)

@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 
 from tripflow.llm import sieve
 from tripflow.llm.components import components
+from tripflow.llm.memory import released
 from tripflow.session import durable
 
 WORDS = 5
 MORE = 0.12  # of a set's size: elements beyond the first quarter that the first filter looks at
-SLICE = 2048  # rows whose sets a task holds at once
+SLICE, SLICE_BYTES = 2048, 1 << 22  # rows, and bytes of their texts or sets, that a task works on at once
 PARTS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -143,8 +144,14 @@ def signatures(found: np.ndarray) -> np.ndarray:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, SLICE):
-            yield batch.slice(k, SLICE)
+        todo = [batch]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and (part.num_rows > SLICE or part.nbytes > SLICE_BYTES):
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -166,7 +173,7 @@ def _sets(texts: DataFrame, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array([len(s) for s in sets], pa.int64()), pa.array(c, pa.int64()), _lists(kept)],
                                              names=[*rest, "size", "c", "set"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(released(run), schema)
 
 
 def shared_counts(sets: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def shared_counts(sets: DataFrame) -> DataFrame:
             n = np.concatenate([np.ones(once.sum(), np.int32), np.full(len(told), 2, np.int32), -here[own].astype(np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array(h), c, pa.array(n)], names=["h", "c", "n"])
 
-    rows = sets.filter("c IS NOT NULL").select("c", "set").mapInArrow(run, "h bigint, c bigint, n int")
+    rows = sets.filter("c IS NOT NULL").select("c", "set").mapInArrow(released(run), "h bigint, c bigint, n int")
     everywhere = F.sum(F.greatest("n", F.lit(0))).over(Window.partitionBy("h"))  # a batch's own count (below 0) is in its row
     rows = rows.withColumn("all", everywhere).filter("c IS NOT NULL AND (n < 0 OR all > 1)")
     return rows.groupBy("c").agg(F.sum(F.abs("n")).cast("bigint").alias("n"))
@@ -216,7 +223,7 @@ def _stars(sets: DataFrame) -> DataFrame:
             known = pa.array(np.concatenate([v[leads], local[:, 1]]), mask=np.arange(len(member)) < leads.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[leads], local[:, 0]])), pa.array(member), known], names=["sig", "x", "hub"])
 
-    rows = sets.select("v", "set").mapInArrow(run, "sig bigint, x bigint, hub bigint")
+    rows = sets.select("v", "set").mapInArrow(released(run), "sig bigint, x bigint, hub bigint")
     to_here = Window.partitionBy("sig", F.col("hub").isNull()).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("first", F.first("x").over(to_here))
     return rows.select("x", F.coalesce("hub", "first").alias("hub")).filter("x <> hub").distinct()

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripflow.llm.memory import released
+
 LEAST, TIMES = 6, 4
 BLOCK_WORDS = 1 << 18  # documents are done together up to so many words; a longer one on its own
 STRIDE = 64  # words compared at first when a seed is extended; doubled each time
@@ -185,4 +187,4 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = (f"id {kind}, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"
               + (", runs array<struct<start: bigint, length: bigint, period: bigint>>, collapsed string" if keep else ""))
-    return docs.select(id_col, text_col).mapInArrow(work, schema)
+    return docs.select(id_col, text_col).mapInArrow(released(work), schema)
