@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tripflow.llm.memory import released
+from tripflow.llm.memory import release, released
 
 FEATURES, SAMPLE, PER_LANGUAGE, ROUNDS, PENALTY, SLOPE = 1 << 12, 4000, 1000, 12, 10.0, 3.0
 UNKNOWN = "und"
@@ -176,17 +175,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (in place of columns of these names)."""
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the text goes to Python and only the prediction comes back; Spark holds the rows meanwhile
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def said(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         profiles = Profiles()
-        for batch in batches:
-            said = []
-            for text in batch.column(at):
-                v = profiles.counts(text.as_py()) if model else None
-                said.append((UNKNOWN, 0.0) if v is None else model.predict(v))
-            cols = [*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score"])
-
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(released(run), schema)
+        try:
+            for texts in batches:
+                out = []
+                for text in texts:
+                    v = profiles.counts(text.as_py()) if model else None
+                    out.append((UNKNOWN, 0.0) if v is None else model.predict(v))
+                yield pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["lang_pred", "score"])
+        finally:
+            release()
+
+    own = [F.col("row")[c].alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), said.asNondeterministic()(F.col(text_col)).alias("said"))
+    return rows.select(*own, F.col("said.lang_pred"), F.col("said.score"))

@@ -113,7 +113,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 tokens += len(ids) // 4
         if block:
             yield flush(block, first, id_type)[0]
-        encoder.forget()  # the process serves other tasks
+        encoder.forget()
+        bpe.load.cache_clear()  # the process serves other tasks
 
     schema = (f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
               + (", ids array<int>" if keep_ids else ""))
