@@ -27,7 +27,7 @@ result. Columns other than language and text are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import count
 
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripflow.llm.memory import released
@@ -45,7 +45,8 @@ from tripflow.session import durable
 
 LEAST, MOST_WORDS, TOP, UNKNOWN = 100, 5, 2000, "und"
 SHARES = (1 / 16, 1 / 4, 1.0)
-BLOCK_BYTES, BITS = 1 << 22, 25
+BLOCK_BYTES, BITS = 1 << 21, 25
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BIG = "decimal(38,0)"
 
 # Marks that end a piece.
@@ -165,6 +166,16 @@ def _grown(blocks: DataFrame, m: int, frequent, before, now, shorter) -> DataFra
     return rows.groupBy("lang", "phrase").agg(F.sum("times").alias("a"), F.first("h").alias("h"))
 
 
+def _few_at_once(spark: SparkSession, work: Callable[[], DataFrame], rows: int = 2) -> DataFrame:
+    """Run ``work`` with so many rows to an Arrow batch: a block is some MB, and the default would hold a whole task's blocks at once."""
+    usual = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
+    try:
+        return work()
+    finally:
+        spark.conf.set(BATCH, usual)
+
+
 def _limits(words: DataFrame, totals: DataFrame) -> DataFrame:
     """Per language its words ``n`` and the counts up to which each round expands words (``c0``, ``c1`` ...)."""
     steps = words.groupBy("lang", F.floor(4 * F.log2("a")).alias("step")).agg(F.sum("a").alias("all"), F.max("a").alias("to"))
@@ -224,10 +235,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         for m in range(2, most_words + 1):
             known = share(shorter[m - 1]) if m > 2 else None
             grown = _grown(blocks, m, frequent, before, now, known).filter(F.col("a") >= least)
-            tables.append(durable(grown, f"phrase-{m}"))
+            tables.append(_few_at_once(spark, lambda: durable(grown, f"phrase-{m}")))
+            if known:
+                known.destroy()
             shorter[m] |= _bitmap(tables[-1], bits)
             if not shorter[m].any():
                 break
+        before.destroy()
+        now.destroy()
         phrases = reduce(DataFrame.unionByName, tables)
         best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
         alive = _scored(phrases, words, open_, c).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
