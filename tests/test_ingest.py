@@ -137,6 +137,15 @@ def test_short_files_and_blank_records_are_left_out(folder, spark, tmp_path):
     assert report == {"TripB01.csv": (5, None), "TripB02.csv": (1, "too few rows")}
 
 
+def test_ingest_leaves_short_files_out_of_store_and_report(folder, spark, tmp_path):
+    every = ingest.ingest(spark, folder, str(tmp_path / "all"))
+    rows = {r.trip: r.n_rows_raw for r in every.collect()}
+    bar = max(rows.values())
+    kept = ingest.ingest(spark, folder, str(tmp_path / "kept"), min_rows=bar)
+    assert {r.trip for r in kept.collect()} == {t for t, n in rows.items() if n >= bar}
+    assert {r.trip for r in spark.read.parquet(str(tmp_path / "kept/trips")).select("trip").distinct().collect()} <= {t for t, n in rows.items() if n >= bar}
+
+
 def test_any_number_of_extra_fields_is_counted(spark, tmp_path):
     rows = ["1,2,3", "1,2,3,4,5,6,7,8,9,10", '1,2,3,"a,b",5,6,7,8,9,10,11']
     write(tmp_path / "TripB09.csv", "\n".join(["Time [s],Ambient Temperature [°C],Requested Heating Power [W]", *rows]) + "\n")

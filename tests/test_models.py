@@ -94,6 +94,26 @@ def test_long_time_constant_equals_persistence(spark):
     assert scoring.scored_horizons((60, 300, 1200), 900) == [60, 300, 900]
 
 
+def test_relaxation_grids_equal_the_rows_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"T{k % 3}", k, i, float(20 + rng.normal()), float(rng.normal(4, 3)) if rng.random() > .05 else None) for k in range(40) for i in range(30 if k % 7 else 11)]
+    w = spark.createDataFrame(rows, "trip string, window_id int, step int, y double, amb double")
+    horizons = spark.createDataFrame([(h,) for h in (1, 2, 7, 11, 12, 30, 99, 7)], "horizon int")
+    taus = spark.createDataFrame([(float(t),) for t in np.geomspace(5, 5000, 60)], "tau_s double")
+    got = {(r.tau_s, r.horizon): r.exponential for r in scoring.relaxation_rmse(w, "y", "amb", horizons, 10.0, taus).collect()}
+    assert len(got) == 60 * 7
+    pdf = pd.DataFrame(rows, columns=["trip", "w", "step", "y", "amb"])
+    pdf["y0"] = pdf.groupby(["trip", "w"]).y.transform("first")
+    for (tau, h), value in got.items():
+        p = pdf[pdf.step < h]
+        e = p.amb + (p.y0 - p.amb) * np.exp(-p.step * 10.0 / tau) - p.y
+        assert value == pytest.approx(np.sqrt((e ** 2).mean()), rel=1e-9)
+    both = {r.horizon: r for r in scoring.baseline_rmse(w, "y", "amb", [1, 30], 10.0, taus).collect()}
+    assert both[30].exponential == pytest.approx(min(v for (_, h), v in got.items() if h == 30)) and both[1].persistence == 0.0
+    plan = scoring.relaxation_rmse(w, "y", "amb", horizons, 10.0, taus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def steady(spark, slope):
     rng = np.random.default_rng(5)
     parts = []

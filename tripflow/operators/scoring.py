@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import skill
@@ -40,26 +41,54 @@ def persistence_rmse(windows: DataFrame, y: str, horizons: list[int]) -> DataFra
     return rmse_by_horizon(started, F.col("y0") - F.col(y), horizons, out="persistence")
 
 
-def relaxation_rmse(windows: DataFrame, y: str, ambient: str, horizons: list[int], dt_s: float = 1.0,
-                    taus: tuple[float, ...] = RELAXATION_TAUS) -> DataFrame:
-    """Relaxation toward ambient: error per time constant and horizon.
+def grid(spark: SparkSession, values: DataFrame | Iterable, name: str, kind: str) -> DataFrame:
+    """A table of variants to score; a plain sequence becomes one."""
+    if isinstance(values, DataFrame):
+        return values.select(F.col(name).cast(kind)).distinct()
+    return spark.createDataFrame([(v,) for v in values], f"{name} {kind}").distinct()
 
-    The time constants are a short literal list, exploded inside the partial aggregate, so no row
-    is shuffled more than once.
+
+def step_moments(windows: DataFrame, y: str, ambient: str) -> DataFrame:
+    """Per step the sums from which the relaxation error of every time constant follows.
+
+    The error of a row is a + b * d with a = ambient - y, b = start - ambient and the decay d, which depends on step and time
+    constant alone: its square is a quadratic in d with three sums per step as coefficients.
     """
-    tried = with_start_value(windows, y).withColumn("tau_s", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
-    decay = F.exp(-(F.col("step") * dt_s) / F.col("tau_s"))
-    pred = F.col(ambient) + (F.col("y0") - F.col(ambient)) * decay
-    return rmse_by_horizon(tried, pred - F.col(y), horizons, ("tau_s",), out="exponential")
+    a, b = F.col(ambient) - F.col(y), F.col("y0") - F.col(ambient)
+    whole = (a + b).isNotNull()
+    sums = {"n": F.lit(1), "aa": a * a, "ab": a * b, "bb": b * b}
+    started = with_start_value(windows, y)
+    return started.groupBy("step").agg(*[F.sum(F.when(whole, v)).alias(f"_{k}") for k, v in sums.items()])
 
 
-def baseline_rmse(windows: DataFrame, y: str, ambient: str, horizons: list[int], dt_s: float = 1.0,
-                  taus: tuple[float, ...] = RELAXATION_TAUS) -> DataFrame:
+def relaxation_rmse(windows: DataFrame, y: str, ambient: str, horizons: DataFrame | Iterable[int], dt_s: float = 1.0,
+                    taus: DataFrame | Iterable[float] = RELAXATION_TAUS) -> DataFrame:
+    """Relaxation toward ambient: error per time constant (column ``tau_s``) and horizon (column ``horizon``).
+
+    Both grids are tables of any size.  The rows of the windows are read once and aggregated per step; sums over the steps
+    before each horizon are prefix sums of a table with one row per step and time constant.
+    """
+    spark = windows.sparkSession
+    tried = step_moments(windows, y, ambient).withColumn("_one", F.lit(1))
+    tried = tried.join(grid(spark, taus, "tau_s", "double").withColumn("_one", F.lit(1)), "_one")
+    d = F.exp(-(F.col("step") * dt_s) / F.col("tau_s"))
+    by_step = Window.partitionBy("tau_s").orderBy("step")
+    upto = {"_sq": F.sum(F.col("_aa") + 2 * d * F.col("_ab") + d * d * F.col("_bb")).over(by_step), "_rows": F.sum("_n").over(by_step),
+            "_next": F.coalesce(F.lead("step").over(by_step), F.lit(2 ** 31 - 1))}
+    ends = grid(spark, horizons, "horizon", "int")
+    met = tried.withColumns(upto).join(ends, (F.col("horizon") > F.col("step")) & (F.col("horizon") <= F.col("_next")))
+    return met.select("tau_s", "horizon", F.sqrt(F.greatest(F.col("_sq"), F.lit(0.0)) / F.nullif(F.col("_rows"), F.lit(0))).alias("exponential"))
+
+
+def baseline_rmse(windows: DataFrame, y: str, ambient: str, horizons: DataFrame | Iterable[int], dt_s: float = 1.0,
+                  taus: DataFrame | Iterable[float] = RELAXATION_TAUS) -> DataFrame:
     """Both baselines in one pass: persistence is relaxation that never comes to anything."""
-    every = relaxation_rmse(windows, y, ambient, horizons, dt_s, (*taus, float("inf")))
+    spark = windows.sparkSession
+    every = grid(spark, taus, "tau_s", "double").unionByName(grid(spark, [float("inf")], "tau_s", "double"))
+    errors = relaxation_rmse(windows, y, ambient, horizons, dt_s, every)
     still = F.col("tau_s") == float("inf")
-    return every.groupBy("horizon").agg(F.max(F.when(still, F.col("exponential"))).alias("persistence"),
-                                        F.min(F.when(~still, F.col("exponential"))).alias("exponential"))
+    return errors.groupBy("horizon").agg(F.max(F.when(still, F.col("exponential"))).alias("persistence"),
+                                         F.min(F.when(~still, F.col("exponential"))).alias("exponential"))
 
 
 def best_relaxation(per_tau: DataFrame) -> DataFrame:

@@ -65,9 +65,12 @@ def quality_report(rows: DataFrame, extras: DataFrame, target: str = sig.TARGET,
 
 
 def ingest(spark: SparkSession, folder: str, out: str, period_s: float = 1.0, pattern: str = "*.csv",
-           target: str = sig.TARGET) -> DataFrame:
-    """Write ``out/trips`` (resampled store) and ``out/quality`` (nested) plus ``out/quality_csv``."""
-    rows, extras = read_logs(spark, folder, pattern)
+           target: str = sig.TARGET, min_rows: int = 0) -> DataFrame:
+    """Write ``out/trips`` (resampled store) and ``out/quality`` (nested) plus ``out/quality_csv``.
+
+    Files of fewer than ``min_rows`` rows are in neither; ``delimited.load_report`` names them.
+    """
+    rows, extras = read_logs(spark, folder, pattern, min_rows=min_rows)
     quality_report(rows, extras, target).write.mode("overwrite").parquet(f"{out}/quality")
     report = spark.read.parquet(f"{out}/quality")
     store.write_report(report, f"{out}/quality_csv")
