@@ -75,10 +75,12 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[tuple[int,
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY,
-           block_tokens: int = BLOCK_TOKENS, keep_ids: bool = False, memo_entries: int = bpe.MEMO_ENTRIES) -> DataFrame:
+           block_tokens: int = BLOCK_TOKENS, keep_ids: bool = False, memo_entries: int = bpe.MEMO_ENTRIES,
+           keep_vocabulary: bool = True) -> DataFrame:
     """One row per piece: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and, if asked for, ``ids``.
 
-    ``memo_entries`` trades a task's memory (about 200 bytes each) for time; it does not change the result.
+    ``memo_entries`` trades a task's memory (about 200 bytes each) for time, and so does ``keep_vocabulary`` (the process reads
+    it once, not once a task); neither changes the result.
     """
     kind = dict(docs.dtypes)[id_col]
     end = bpe.packed([END_ID])
@@ -113,8 +115,9 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 tokens += len(ids) // 4
         if block:
             yield flush(block, first, id_type)[0]
-        encoder.forget()
-        bpe.load.cache_clear()  # the process serves other tasks
+        encoder.forget()  # the process serves other tasks
+        if not keep_vocabulary:
+            bpe.load.cache_clear()
 
     schema = (f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
               + (", ids array<int>" if keep_ids else ""))
