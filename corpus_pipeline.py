@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, memo_entries=1 << 17).withColumnRenamed("id", "doc_id")
+    return packing.packed(docs, memo_entries=1 << 17, keep_vocabulary=False).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", drop_repeated_lines), ("near_duplicates", near_duplicates), ("packing", pack)]
