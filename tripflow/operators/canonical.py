@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripflow.functions.headers import header_key, header_key_of
-from tripflow.functions.scalars import lenient_double, missing_if_nan
+from tripflow.functions.headers import header_key
+from tripflow.functions.scalars import missing_if_nan
 from tripflow.operators.ordered import attach
 
 # Two readings agree within this absolute plus relative distance.
@@ -22,13 +22,14 @@ def disagree(a: Column, b: Column) -> Column:
     return F.coalesce(apart, F.lit(False))
 
 
-def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -> DataFrame:
+def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]], held: Callable[[str, int], Column] | None = None) -> DataFrame:
     """Merge columns that carry one signal, per key, if they agree wherever both are present.
 
     ``copies`` maps a signal to its columns in file order.  A copy that disagrees stays apart as
     ``<signal>__2``; a further one that disagrees too is only recorded.  The verdict is one row per
     key, so merging costs a map-side aggregate and a join, never a gathered trip.  NaN is missing.  Adds ``merged``
-    and ``conflicting`` (arrays of signal names, one entry per copy after the first).
+    and ``conflicting`` (arrays of signal names, one entry per copy after the first).  ``held(signal, n)`` tells which rows' key
+    has a copy number ``n`` (from 0) at all; without it every key has all of them.
     """
     df = df.withColumns({c: missing_if_nan(F.col(c)) for cols in copies.values() for c in cols})
     depth = max((len(c) for c in copies.values()), default=1)
@@ -42,11 +43,12 @@ def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -
         here = [s for s, cols in copies.items() if len(cols) > level]
         verdict = out.groupBy(*keys).agg(
             *[F.bool_or(disagree(F.col(f"_m_{s}"), F.col(copies[s][level]))).alias(f"_bad{level}_{s}")
-              for s in here])
+              for s in here],
+            *[F.bool_or(held(s, level) if held else F.lit(True)).alias(f"_has{level}_{s}") for s in here])
         out = attach(out, verdict, keys)
         bad = {s: F.col(f"_bad{level}_{s}") for s in here}
         names = lambda yes: F.array_compact(F.array(
-            *[F.when(bad[s] if yes else ~bad[s], F.lit(s)) for s in here]))
+            *[F.when(bad[s] if yes else ~bad[s] & F.col(f"_has{level}_{s}"), F.lit(s)) for s in here]))
         out = out.withColumns(
             {f"_x_{s}": F.when(bad[s] & ~spare[s], F.col(copies[s][level])).otherwise(F.col(f"_x_{s}"))
              for s in here}
@@ -62,19 +64,6 @@ def merge_copies(df: DataFrame, keys: list[str], copies: dict[str, list[str]]) -
                       *[F.col(f"_x_{s}").alias(f"{s}__2") for s in dup], "merged", "conflicting")
 
 
-def canonical_fields(fields: DataFrame, names: list[str], mapping: dict[str, str],
-                     keys: tuple[str, ...] = ("trip",)) -> DataFrame:
-    """Rename string fields ``c0..`` to signals, parse them, and settle duplicated signals."""
-    copies: dict[str, list[str]] = defaultdict(list)
-    for i, name in enumerate(names):
-        signal = mapping.get(header_key_of(name))
-        if signal:
-            copies[signal].append(f"c{i}")
-    used = [c for cols in copies.values() for c in cols]
-    parsed = fields.select(*keys, *[lenient_double(c).alias(c) for c in used])
-    return merge_copies(parsed, list(keys), dict(copies))
-
-
 def fingerprint(names: Column) -> Column:
     """Six hex digits for a set of signal names, whatever their order and repeats."""
     return F.substring(F.sha1(F.array_join(F.array_sort(F.array_distinct(names)), ";")), 1, 6)

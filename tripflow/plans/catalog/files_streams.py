@@ -17,42 +17,49 @@ from tripflow.streaming import online
 # ---- files -------------------------------------------------------------------------------------
 
 
+_FILE_SQL = "CASE WHEN channel = 'error' THEN 'comma' ELSE 'semicolon' END || (trip % 40)"
+
+
 def _write_logs(spark, sf) -> str:
-    """The log as delimited files of two dialects, with split, doubled, unknown and empty columns."""
+    """The log as delimited files of two dialects, forty each, with split, doubled, unknown and empty columns."""
     root = scratch(spark, "logs")
     s = samples(spark, sf)
+    dialect = F.when(F.col("channel") == "error", "comma").otherwise("semicolon")
     raw = s.select(
         F.col("time_s").alias("Time [s]"), F.when(F.col("channel") != "view", F.col("speed_kmh")).alias("Velocity [km/h]"),
         F.when(F.col("channel") == "view", F.col("speed_kmh")).alias("Velocity [km/h]]]"),
         F.col("heat_w").alias("Requested Heating Power [W]"), (F.col("ac_w") / 1000).alias("AirCon Power [kW]"),
         F.col("cabin_c").alias("Cabin Temperature Sensor [°C]"), F.col("volts").alias("Mystery Channel [x]"),
-        F.when(F.col("seq") == 0, F.lit(43650.0)).alias("Unnamed: 7"), F.lit(None).cast("double").alias("Unnamed: 8"), "channel")
-    for sep, part in ((";", raw.filter("channel <> 'error'")), (",", raw.filter("channel = 'error'"))):
-        (part.drop("channel").write.option("header", "true").option("sep", sep).option("encoding", "ISO-8859-1")
-         .csv(f"{root}/{'semicolon' if sep == ';' else 'comma'}"))
+        F.when(F.col("seq") == 0, F.lit(43650.0)).alias("Unnamed: 7"), F.lit(None).cast("double").alias("Unnamed: 8"),
+        F.concat(dialect, F.col("trip") % 40).alias("file"))
+    for sep, part in ((";", raw.filter("file LIKE 'semicolon%'")), (",", raw.filter("file LIKE 'comma%'"))):
+        (part.repartition(8, "file").sortWithinPartitions("file").write.partitionBy("file").option("header", "true").option("sep", sep)
+         .option("encoding", "ISO-8859-1").csv(f"{root}/{'semicolon' if sep == ';' else 'comma'}"))
     return root
 
 
 @query("delimited_scan", f"""WITH {SAMPLES_SQL}
-SELECT count(*) AS rows, count(speed_kmh) AS n_speed, round(sum(speed_kmh), 2) AS velocity_kmh, round(sum(heat_w), 2) AS heat_power_req_w,
-  round(sum(ac_w), 2) AS aircon_power_w, round(sum(cabin_c), 3) AS cabin_temp_c FROM samples""")
+SELECT {_FILE_SQL} AS trip, time_s, speed_kmh AS velocity_kmh, heat_w AS heat_power_req_w, round(ac_w, 6) AS aircon_power_w, cabin_c AS cabin_temp_c
+FROM samples""")
 def delimited_scan(spark, sf):
+    """Rows of every file under the stem of its name."""
     rows, _ = ingest.read_logs(spark, _write_logs(spark, sf))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count("velocity_kmh").alias("n_speed"), F.round(F.sum("velocity_kmh"), 2).alias("velocity_kmh"),
-                    F.round(F.sum("heat_power_req_w"), 2).alias("heat_power_req_w"), F.round(F.sum("aircon_power_w"), 2).alias("aircon_power_w"),
-                    F.round(F.sum("cabin_temp_c"), 3).alias("cabin_temp_c"))
+    return rows.select("trip", "time_s", "velocity_kmh", "heat_power_req_w", F.round("aircon_power_w", 6).alias("aircon_power_w"), "cabin_temp_c")
 
 
-@query("extra_field_classes", """SELECT 'Mystery Channel [x]' AS header, 'unmapped' AS kind, count(*) AS present FROM events
-UNION ALL SELECT 'Unnamed: 7', 'stray', 1 UNION ALL SELECT 'Unnamed: 8', 'trailing_empty', 0""")
+@query("extra_field_classes", f"""WITH {SAMPLES_SQL}, files AS (
+  SELECT {_FILE_SQL} AS trip, count(*) AS rows, count(volts) AS mystery, count(*) FILTER (WHERE seq = 0) AS stamped FROM samples GROUP BY 1),
+fields AS (SELECT trip, rows, 6 AS position, 'Mystery Channel [x]' AS header, mystery AS present FROM files
+  UNION ALL SELECT trip, rows, 7, 'Unnamed: 7', stamped FROM files UNION ALL SELECT trip, rows, 8, 'Unnamed: 8', 0 FROM files)
+SELECT trip, rows, position, header, present, CASE WHEN header NOT LIKE 'Unnamed:%' THEN 'unmapped' WHEN present = 0 THEN 'trailing_empty'
+  WHEN present <= greatest(1, floor(rows * 0.01)) THEN 'stray' ELSE 'unmapped' END AS kind FROM fields""")
 def extra_field_classes(spark, sf):
     _, extras = ingest.read_logs(spark, _write_logs(spark, sf))
-    seen = extras.filter((F.col("present") > 0) | (F.col("header") == "Unnamed: 8"))
-    return seen.groupBy("header", "kind").agg(F.sum("present").alias("present"))
+    return extras.select("trip", "rows", "position", "header", "present", "kind")
 
 
 @query("load_report", """WITH n AS (SELECT user_id % 40 AS k, count(*) AS n, (SELECT count(*) / 40 FROM events) AS least FROM events GROUP BY 1)
-SELECT 'trip=' || k AS file, n AS rows, ',' AS sep, 'iso-8859-1' AS encoding, CASE WHEN n < floor(least) THEN 'too few rows' END AS error FROM n""")
+SELECT 'trip=' || k AS file, n AS rows, ',' AS sep, 'cp1252' AS encoding, CASE WHEN n < floor(least) THEN 'too few rows' END AS error FROM n""")
 def load_report(spark, sf):
     """One file per forty-fold of trips, all-blank records among the rows; files below the mean size are rejected."""
     root = scratch(spark, "report")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,34 +10,22 @@ from tripflow.operators import canonical, quality
 from tripflow.operators.ordered import Series, attach
 from tripflow.operators.resample import block_mean
 from tripflow.operators.splits import sessions
-from tripflow.sources import delimited, store
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+from tripflow.sources import logscan, store
 
 
 def read_logs(spark: SparkSession, folder: str, pattern: str = "*.csv", mapping: dict[str, str] | None = None,
               skip_unreadable: bool = False, min_rows: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Canonical rows of all files, and their extra fields; one scan per header variant.
+    """Canonical rows of all files, and their extra fields; every byte is parsed once, whatever the headers.
 
     All-blank records are dropped, and then files of fewer than ``min_rows`` rows are left out.
     """
-    mapping = sig.measured_map() if mapping is None else mapping
-    rows, extras = [], []
-    for v in delimited.variants(spark, folder, pattern, skip_unreadable=skip_unreadable):
-        part = canonical.canonical_fields(delimited.read_fields(spark, v), v.names, mapping)
-        part = sig.apply_units(part, sig.SCALE, sig.OFFSET)
-        known = sorted({s for n in v.names if (s := mapping.get(canonical.header_key_of(n)))})
-        rows.append(part.withColumns({"n_raw_columns": F.lit(len(v.names)), "header_signals": F.array(*[F.lit(s) for s in known])}))
-        extras.append(delimited.extra_fields(spark, v, mapping))
-    notes = {"trip", "n_raw_columns", "header_signals", "merged", "conflicting"}
-    every = _union(rows)
-    every = every.dropna("all", subset=[c for c in every.columns if c not in notes])
+    logs = logscan.read(spark, folder, pattern, sig.measured_map() if mapping is None else mapping, skip_unreadable=skip_unreadable)
+    filled = logs.wide().dropna("all", subset=[c for cols in logs.copies.values() for c in cols])
+    every = sig.apply_units(canonical.merge_copies(filled, ["trip"], logs.copies, logs.held), sig.SCALE, sig.OFFSET).drop("more")
     if min_rows:
         enough = every.groupBy("trip").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_rows)
         every = attach(every, enough.drop("_n"), ["trip"], "left_semi")
-    return every, _union(extras)
+    return every, logs.extra_fields()
 
 
 def quality_report(rows: DataFrame, extras: DataFrame, target: str = sig.TARGET, block_s: float = 3600.0) -> DataFrame:

@@ -11,14 +11,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripflow.functions.headers import header_key_of
-from tripflow.functions.scalars import lenient_double
-
 # Separators in the order they are tried; a header without a name.
 SEPARATORS = (";", ",")
 PLACEHOLDER = re.compile(r"\s*(unnamed:\s*\d+)?\s*", re.IGNORECASE)
-#: Columns parsed beyond the header; a line with still more fields is kept whole and its rest is counted from the text.
-OVERFLOW = 4
 HEAD_BYTES = 1 << 18
 
 
@@ -38,10 +33,14 @@ class Variant:
         return [f or f"Unnamed: {i}" for i, f in enumerate(fields)]
 
 
-def _decode(raw: bytes) -> tuple[str, str]:
+def decode(raw: bytes) -> tuple[str, str]:
+    """Text and encoding: UTF-8 behind a byte-order mark, else cp1252, and ISO-8859-1 where a byte means nothing there."""
     if raw.startswith(b"\xef\xbb\xbf"):
         return raw[3:].decode("utf-8", "replace"), "utf-8"
-    return raw.decode("iso-8859-1"), "iso-8859-1"
+    try:
+        return raw.decode("cp1252"), "cp1252"
+    except UnicodeDecodeError:
+        return raw.decode("iso-8859-1"), "iso-8859-1"
 
 
 def _read_heads(n_lines: int):
@@ -54,7 +53,7 @@ def _read_heads(n_lines: int):
                     raw = b""
                     while raw.count(b"\n") < n_lines and (more := f.read(HEAD_BYTES)):
                         raw += more
-                text, encoding = _decode(raw)
+                text, encoding = decode(b"".join(raw.splitlines(True)[:n_lines]))
                 lines = text.splitlines()[:n_lines]
                 sep = next((s for s in SEPARATORS if lines and s in lines[-1]), None)
                 rows.append((path, sep, encoding, lines))
@@ -85,17 +84,6 @@ def variants(spark: SparkSession, folder: str, pattern: str = "*.csv", header_li
     return [Variant(*k, tuple(sorted(v))) for k, v in sorted(groups.items())]
 
 
-def read_fields(spark: SparkSession, v: Variant) -> DataFrame:
-    """All fields of a variant as strings ``c0..cN`` plus ``trip``, the file stem."""
-    width = len(v.names) + OVERFLOW
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    raw = (spark.read.schema(schema).option("sep", v.sep).option("encoding", v.encoding)
-           .option("header", "true").option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
-           .csv(list(v.paths)))
-    return raw.select(trip_key().alias("trip"), *[f"c{i}" for i in range(width)])
-
-
 def trip_key() -> Column:
     """The file stem; a part file that Spark wrote goes by the folder it is in (``name`` or ``column=name``)."""
     name = F.col("_metadata.file_name")
@@ -106,21 +94,6 @@ def trip_key() -> Column:
     return F.when(name.startswith("part-"), value).otherwise(stem)
 
 
-def further_fields(spark: SparkSession, v: Variant) -> DataFrame:
-    """Fields beyond the parsed columns of a variant, of any number: ``trip``, ``position``, ``value``."""
-    width = len(v.names) + OVERFLOW
-    schema = ", ".join([*(f"c{i} string" for i in range(width)), "_line string"])
-    raw = (spark.read.schema(schema).option("sep", v.sep).option("encoding", v.encoding).option("header", "true").option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_line").option("columnPruning", "false").csv(list(v.paths)))
-    # Spark refuses a scan of the whole-line column alone, so a field goes along
-    whole = F.concat_ws("", "_line", F.substring(F.coalesce("c0", F.lit("")), 1, 0))
-    long = raw.filter("_line IS NOT NULL").select(trip_key().alias("trip"), whole.alias("_line"))
-    # separators inside quotes do not cut a field
-    parts = F.split("_line", re.escape(v.sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return (long.select("trip", F.posexplode(parts).alias("position", "value")).filter(F.col("position") >= width)
-            .withColumn("value", F.trim("value")))
-
-
 def file_stem(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1)
 
@@ -137,28 +110,6 @@ def is_placeholder(name: Column) -> Column:
     return name.rlike(r"(?i)^\s*(unnamed:\s*\d+)?\s*$")
 
 
-def extra_fields(spark: SparkSession, v: Variant, mapping: dict[str, str]) -> DataFrame:
-    """Per file and unmapped header: how many values it holds and what that makes it."""
-    fields = read_fields(spark, v)
-    names = v.names + [f"Unnamed: {i}" for i in range(len(v.names), len(v.names) + OVERFLOW)]
-    loose = [(i, n) for i, n in enumerate(names) if header_key_of(n) not in mapping]
-    counts = fields.groupBy("trip").agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(lenient_double(f"c{i}")).alias(f"n{i}") for i, _ in loose])
-    entries = F.array(*[F.struct(F.lit(n).alias("header"), F.lit(i).alias("position"),
-                                 F.col(f"n{i}").alias("present")) for i, n in loose])
-    long = counts.select("trip", "rows", F.inline(entries)) if loose else counts.select(
-        "trip", "rows", F.lit(None).cast("string").alias("header"), F.lit(0).alias("position"),
-        F.lit(0).cast("long").alias("present")).filter("false")
-    # Overflow columns nobody wrote to are not part of the file.
-    real = (F.col("position") < len(v.names)) | (F.col("present") > 0)
-    beyond = (further_fields(spark, v).groupBy("trip", "position").agg(F.count(lenient_double("value")).alias("present")).filter("present > 0")
-              .join(counts.select("trip", "rows"), "trip"))
-    beyond = beyond.select("trip", "rows", F.concat(F.lit("Unnamed: "), "position").alias("header"), "position", "present")
-    return long.filter(real).unionByName(beyond).withColumn(
-        "kind", extra_class(is_placeholder(F.col("header")), F.col("present"), F.col("rows")))
-
-
 def _name(path: Column) -> Column:
     """File name; a part file that Spark wrote with the folder it is in."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)

@@ -2,46 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripflow.functions import signals as sig
-from tripflow.functions.headers import header_key_of
-from tripflow.functions.scalars import lenient_double, ms_to_kmh, run_name_parts
-from tripflow.sources import store
-from tripflow.sources.delimited import Variant, read_fields, variants
+from tripflow.functions.scalars import ms_to_kmh, run_name_parts
+from tripflow.sources import logscan, store
 
 HEADER_LINES = 3
 
 
-def _run(spark: SparkSession, v: Variant, mapping: dict[str, str], scale: dict[str, float]) -> DataFrame:
-    fields = read_fields(spark, v)
-    picked: dict[str, int] = {}
-    for i, name in enumerate(v.names):
-        signal = mapping.get(header_key_of(name))
-        if signal:
-            picked.setdefault(signal, i)       # the first of repeated names wins
-    text = F.concat_ws(v.sep, *[c for c in fields.columns if c != "trip"])
-    heads = [v.sep.join(p for q in h.split(v.sep) if (p := q.strip().strip('"'))) for h in v.heads]
-    body = fields.filter(~text.isin(heads))
-    out = body.select(F.col("trip").alias("run"),
-                      *[lenient_double(f"c{i}").alias(s) for s, i in picked.items()])
-    out = sig.apply_units(out, scale, {})
-    if "speed_ms" in out.columns:
-        out = out.withColumn("velocity_kmh", ms_to_kmh("speed_ms"))
-    return out.select("*", *run_name_parts("run", sig.AMBIENT_CODES))
-
-
 def read_runs(spark: SparkSession, folder: str, pattern: str = "*.csv",
               mapping: dict[str, str] | None = None, scale: dict[str, float] | None = None) -> DataFrame:
-    """All runs of a folder as one table; signals a run lacks are NULL."""
+    """All runs of a folder as one table; signals a run lacks are NULL, and of repeated names the first wins.
+
+    The header lines are the first three of a file, whatever is in them.
+    """
     mapping = sig.simulated_map() if mapping is None else mapping
-    scale = sig.SIMULATED_SCALE if scale is None else scale
-    groups = variants(spark, folder, pattern, HEADER_LINES)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                  [_run(spark, v, mapping, scale) for v in groups])
+    logs = logscan.read(spark, folder, pattern, mapping, HEADER_LINES)
+    out = logs.records.select(F.col("trip").alias("run"), *logs.depth)
+    out = sig.apply_units(out, sig.SIMULATED_SCALE if scale is None else scale, {})
+    if "speed_ms" in out.columns:
+        out = out.withColumn("velocity_kmh", ms_to_kmh("speed_ms"))
+    return out.select("*", *run_name_parts("run", sig.AMBIENT_CODES))
 
 
 def ingest_runs(spark: SparkSession, folder: str, out: str, pattern: str = "*.csv") -> int:
