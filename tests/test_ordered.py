@@ -145,6 +145,63 @@ def test_block_map_is_exact_for_any_start():
             assert abs(np.interp(x, xs, ys) - y) < 1e-6
 
 
+def _loop(requests, step):
+    out, a = [], None
+    for x in requests:
+        a = x if a is None else min(max(x, a - step), a + step)
+        out.append(a)
+    return out
+
+
+def test_a_key_whose_thousand_blocks_all_remember(spark):
+    rng = np.random.default_rng(5)
+    t = np.arange(4000)
+    x = (5000 + 4000 * np.sin(t / 300.0) + rng.normal(0, 50, len(t))).round(3)
+    d = spark.createDataFrame([("a", float(i), float(v)) for i, v in zip(t, x)], "trip string, time_s double, x double")
+    got = pdf_of(slew.slew(d, S, "x", 0.5, "a", ["time_s"], rows=4), "time_s")
+    assert np.allclose(got["a"], _loop(x, 0.5), atol=1e-7)
+
+
+def test_chains_in_two_levels(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for key in ("p", "q"):
+        x = 3000.0
+        for at in range(70):
+            r = rng.uniform(0, 6000, 3).round(2)
+            want[key, at] = x
+            xs, ys = slew.block_map(r, 40.0, 0.0, 6000.0)
+            up = [(a, b) for a, b, c in zip(xs, xs[1:], np.diff(ys)) if c > 0.5 * (b - a)]
+            rows.append((key, at, ys[0], [a for a, _ in up], [b for _, b in up], 3000.0 if at == 0 else None))
+            for q in r:
+                x = min(max(q, x - 40.0), x + 40.0)
+    d = spark.createDataFrame(rows, "k string, _at long, base double, ramp_from array<double>, ramp_to array<double>, first double")
+    for span, levels in ((4, 2), (8, 1), (100, 0)):
+        got = {(r.k, r._at): r.start for r in slew._chain(d, ["k"], span=span, levels=levels).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want), (span, levels)
+
+
+@pytest.mark.parametrize("step", [0.5, 30.0, 400.0])
+def test_composed_slew_maps_stay_small_and_exact(step):
+    rng = np.random.default_rng(7)
+
+    def ramps(requests):
+        xs, ys = slew.block_map(requests, step, 0.0, 1000.0)
+        up = [(a, b) for a, b, c in zip(xs, xs[1:], np.diff(ys)) if c > 0.5 * (b - a)]
+        return ys[0], np.array([a for a, _ in up]), np.array([b for _, b in up])
+
+    blocks = [rng.uniform(0, 1000, 5).round(2) for _ in range(200)]
+    whole = ramps(blocks[0])
+    for b in blocks[1:]:
+        whole = slew.compose(whole, ramps(b))
+    assert len(whole[1]) <= 1 + 1000 / (2 * step)
+    for x in rng.uniform(0, 1000, 20):
+        y = x
+        for q in np.concatenate(blocks):
+            y = min(max(q, y - step), y + step)
+        assert abs(whole[0] + np.sum(np.clip(x, whole[1], whole[2]) - whole[1]) - y) < 1e-6
+
+
 def test_linear_maps_compose(spark):
     d = spark.range(10).select(F.lit("a").alias("k"), F.col("id").alias("pos"))
     out = scan.scan(d, ["k"], "pos", scan.LINEAR, (F.lit(0.5), F.lit(1.0)), 0.0, "s", [], rows=3).orderBy("pos").toPandas()

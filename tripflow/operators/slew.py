@@ -3,11 +3,16 @@
 The move is monotone in the previous command, so a block of rows whose lowest and highest possible
 start states end in the same command forgets its start.  Such blocks, nearly all of them, need no
 predecessor.  A block that remembers its start is kept exactly, as the piecewise-linear map from
-start to end, and is chained to the blocks before it back to the last one that forgets.
+start to end, and is chained to the blocks before it back to the last one that forgets.  Chains are
+composed in levels: maps of up to ``SPAN`` blocks become one map, so no task holds a whole chain.
+Every step whose request lies inside the reach takes twice the step out of it, so a composed map
+has at most 1 + (hi - lo) / (2 * step) rising pieces, however many rows it stands for.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +21,9 @@ from pyspark.sql import functions as F
 from tripflow.operators.ordered import Series, attach, with_position
 
 
+SPAN, LEVELS = 512, 1
+
+
 def _move(x, request, step):
     return np.clip(request, x - step, x + step)
 
@@ -70,15 +78,50 @@ def _map_state(block: Column, x: Column) -> Column:
     return F.aggregate(ramps, block["base"], lambda acc, r: acc + F.least(F.greatest(x, r["a"]), r["b"]) - r["a"])
 
 
-def _chain(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Start states of a run of blocks: the first is known, the rest follow through the maps."""
-    members = F.sort_array(F.collect_list(F.struct("_b", "base", "ramp_from", "ramp_to")))
-    run = runs.groupBy(*keys, "_run").agg(members.alias("m"), F.max("start").alias("s"))
-    first = F.struct(F.col("s").alias("x"), F.array().cast("array<double>").alias("seen"))
-    seen = F.aggregate("m", first, lambda acc, r: F.struct(
+def compose(first: tuple, second: tuple) -> tuple[float, np.ndarray, np.ndarray]:
+    """The map that applies ``first`` and then ``second``; a map is (base, starts of its ramps, their ends)."""
+    base, a, b = first
+    at, c, d = second
+    value = lambda x: at + float(np.sum(np.clip(x, c, d) - c))
+    ends = base + np.cumsum(b - a)
+    begins = np.concatenate([[base], ends[:-1]]) if len(a) else ends
+    if not len(a) or not len(c):
+        return value(base), a[:0], b[:0]
+    marks = np.unique(np.clip(np.concatenate([begins, ends, c, d]), base, ends[-1]))
+    low, high = marks[:-1], marks[1:]
+    middle = low + (high - low) / 2
+    i = np.clip(np.searchsorted(begins, middle, "right") - 1, 0, len(a) - 1)
+    j = np.searchsorted(c, middle, "right") - 1
+    rises = (j >= 0) & (middle < d[np.maximum(j, 0)])
+    shift = (a - begins)[i]
+    return value(base), (low + shift)[rises], (high + shift)[rises]
+
+
+def _composer():
+    def composed(base: pd.Series, ramp_from: pd.Series, ramp_to: pd.Series) -> pd.DataFrame:
+        out = []
+        for bases, starts, ends in zip(base, ramp_from, ramp_to):
+            maps = [(float(z), np.asarray(a, float), np.asarray(b, float)) for z, a, b in zip(bases, starts, ends)]
+            out.append(reduce(compose, maps))
+        return pd.DataFrame({"base": [m[0] for m in out], "ramp_from": [m[1].tolist() for m in out], "ramp_to": [m[2].tolist() for m in out]})
+    return F.pandas_udf(composed, "base double, ramp_from array<double>, ramp_to array<double>")
+
+
+def _chain(maps: DataFrame, keys: list[str], at: str = "_at", span: int = SPAN, levels: int = LEVELS) -> DataFrame:
+    """State before each map of a chain: ``maps`` has the place ``at`` in the chain and ``first``, the state before place 0."""
+    member = F.struct(at, "base", "ramp_from", "ramp_to")
+    if levels == 0:
+        lists = maps.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("m"), F.max("first").alias("s"))
+    else:
+        up = f"{at}u"
+        lists = maps.groupBy(*keys, F.floor(F.col(at) / span).alias(up)).agg(F.sort_array(F.collect_list(member)).alias("m"), F.max("first").alias("first"))
+        whole = lists.select(*keys, up, "first", _composer()("m.base", "m.ramp_from", "m.ramp_to").alias("w")).select(*keys, up, "first", "w.*")
+        lists = lists.drop("first").join(_chain(whole, keys, up, span, levels - 1).withColumnRenamed("start", "s"), [*keys, up])
+    begin = F.struct(F.col("s").alias("x"), F.array().cast("array<double>").alias("seen"))
+    seen = F.aggregate("m", begin, lambda acc, r: F.struct(
         _map_state(r, acc["x"]).alias("x"), F.array_append(acc["seen"], acc["x"]).alias("seen")))["seen"]
-    return (run.select(*keys, F.explode(F.arrays_zip(F.col("m._b").alias("b"), seen.alias("s"))).alias("z"))
-            .select(*keys, F.col("z.b").alias("_b"), F.col("z.s").alias("start")))
+    return (lists.select(*keys, F.explode(F.arrays_zip(F.col("m").alias("m"), seen.alias("s"))).alias("z"))
+            .select(*keys, F.col(f"z.m.{at}").alias(at), F.col("z.s").alias("start")))
 
 
 def _runner(step: float):
@@ -113,9 +156,11 @@ def slew(df: DataFrame, s: Series, request: str, step: float, out: str, carry: l
     folded = bounded.select(*keys, "_b", anchor.alias("anchor"), _folder(step)("requests", "lo", "hi").alias("f"))
     w = Window.partitionBy(*keys).orderBy("_b")
     known = F.when(F.col("_b") == 0, F.col("anchor")).when(F.lag("f.forgets").over(w), F.lag("f.base").over(w))
-    runs = (folded.select(*keys, "_b", "f.*", known.alias("start"))
-            .withColumn("_run", F.sum(F.col("start").isNotNull().cast("int")).over(w)))
-    done = (blocks.join(_chain(runs, keys), [*keys, "_b"])
+    # A chain begins at the last block whose start is known.
+    runs = (folded.select(*keys, "_b", "f.*", known.alias("first"))
+            .withColumn("_run", F.max(F.when(F.col("first").isNotNull(), F.col("_b"))).over(w)).withColumn("_at", F.col("_b") - F.col("_run")))
+    starts = _chain(runs, [*keys, "_run"]).select(*keys, (F.col("_run") + F.col("_at")).alias("_b"), "start")
+    done = (blocks.join(starts, [*keys, "_b"])
             .select(*keys, "_rows", _runner(step)("requests", "start").alias("_applied")))
     zipped = F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_applied").alias("a"))).alias("_z")
     return done.select(*keys, zipped).select(

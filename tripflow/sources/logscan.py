@@ -357,12 +357,20 @@ class Logs:
         return self.table.filter("fields IS NULL")
 
     @cached_property
+    def _found(self) -> list:
+        """Per signal (NULL for all other fields) the most copies in a file, and the first path that could not be read."""
+        fields = self.heads.select("path", "sep", F.inline_outer("fields")).groupBy("signal", "path", "sep").agg(F.count(F.lit(1)).alias("n"))
+        return fields.groupBy("signal").agg(F.max("n").alias("n"), F.min(F.when(F.col("sep").isNull(), F.col("path"))).alias("bad")).collect()
+
+    @property
+    def unreadable(self) -> str | None:
+        return next((r.bad for r in self._found if r.bad), None)
+
+    @property
     def depth(self) -> dict[str, int]:
         """Signals that any file carries, with the greatest number of copies in a file; as large as the vocabulary."""
-        fields = self.heads.select("path", F.inline("fields")).filter("signal IS NOT NULL")
-        copies = fields.groupBy("path", "signal").agg(F.count(F.lit(1)).alias("n")).groupBy("signal").agg(F.max("n").alias("n"))
-        found = {r.signal: r.n for r in copies.collect()}
-        return {c: found[c] for c in self.table.columns if c in found}
+        found = {r.signal: r.n for r in self._found}
+        return {c: found[c] for c in self.table.columns[len(_NOTES):] if c in found}
 
     @property
     def copies(self) -> dict[str, list[str]]:
@@ -402,9 +410,8 @@ def read(spark: SparkSession, folder: str, pattern: str, mapping: dict[str, str]
     number = lambda a: F.transform(a, lambda x: x.withField("value", lenient_double(x["value"])))
     parsed = text.withColumns({s: lenient_double(s) for s in signals} | {"more": number("more"), "loose": number("loose")})
     logs = Logs(durable(parsed, "logs"))
-    unreadable = logs.heads.filter("sep IS NULL")
-    if not skip_unreadable and (bad := unreadable.select("path").first()):
-        raise ValueError(f"could not parse {bad.path}")
+    if not skip_unreadable and logs.unreadable:
+        raise ValueError(f"could not parse {logs.unreadable}")
     if not logs.depth:
         raise FileNotFoundError(f"no readable {pattern} under {folder}")
     return logs
