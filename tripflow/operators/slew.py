@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripflow.operators.ordered import Series, attach, with_position
+from tripflow.session import durable
 
 
 SPAN, LEVELS = 512, 1
@@ -159,7 +160,8 @@ def slew(df: DataFrame, s: Series, request: str, step: float, out: str, carry: l
     # A chain begins at the last block whose start is known.
     runs = (folded.select(*keys, "_b", "f.*", known.alias("first"))
             .withColumn("_run", F.max(F.when(F.col("first").isNotNull(), F.col("_b"))).over(w)).withColumn("_at", F.col("_b") - F.col("_run")))
-    starts = _chain(runs, [*keys, "_run"]).select(*keys, (F.col("_run") + F.col("_at")).alias("_b"), "start")
+    # One row per block, read by every level: written, or each level would run the rows again.
+    starts = _chain(durable(runs, "slew-maps"), [*keys, "_run"]).select(*keys, (F.col("_run") + F.col("_at")).alias("_b"), "start")
     done = (blocks.join(starts, [*keys, "_b"])
             .select(*keys, "_rows", _runner(step)("requests", "start").alias("_applied")))
     zipped = F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_applied").alias("a"))).alias("_z")
