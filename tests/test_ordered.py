@@ -1,12 +1,14 @@
 """Ordered operators against plain pandas, with blocks small enough that every trip crosses them."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tripflow.operators import ordered, policies, rank, resample, scan, slew, splits
-from tripflow.operators.quantiles import exact_quantiles, order_statistics
+from tripflow.operators.quantiles import exact_quantiles, order_statistics, place
 
 S = ordered.Series(block_s=7.0)
 
@@ -303,3 +305,48 @@ def test_ranks_spread_whatever_the_labels_look_like(spark):
         want[x] = per[n] = per.get(n, -1) + 1
     assert {r.label: r.place for r in got.collect()} == want
     assert rank.ranked(d.limit(0), ["label"], "place", ("size",)).collect() == []
+
+
+def test_places_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), rng.normal(size=500), 10.0 ** rng.uniform(-300, 300, 500)])
+    x = np.concatenate([x, -x, [0.0, np.inf, -np.inf]])
+    got = spark.createDataFrame(pd.DataFrame({"v": x})).select("v", place(F.col("v")).alias("p")).toPandas().sort_values("v")
+    assert (np.diff(got.p) >= 0).all()
+    assert got.groupby("p").v.nunique().max() <= 4
+    assert got.p.max() - got.p.min() < 2 ** 63
+    nan, inf = (spark.range(1).select(place(F.lit(float(v)))).first()[0] for v in ("nan", "inf"))
+    assert nan > inf == got.p.max()
+
+
+@pytest.mark.parametrize("most", [4, 50, 20_000])
+def test_brackets_are_narrowed_digit_by_digit(spark, most):
+    rng = np.random.default_rng(6)
+    groups = {"wide": 10.0 ** rng.uniform(-200, 200, 9000) * rng.choice([-1, 1], 9000), "flat": np.full(7000, 3.5),
+              "ties": rng.integers(0, 3, 8000).astype(float), "far": np.concatenate([rng.normal(size=6000), [np.inf, -np.inf, 1e308]]),
+              "near": 1 + rng.integers(0, 5000, 9000) * 2.0 ** -52, "one": np.array([7.0]), "two": np.array([-1.0, 5e-324])}
+    d = spark.createDataFrame(pd.DataFrame([(k, float(v)) for k, x in groups.items() for v in x], columns=["k", "v"])).repartition(5)
+    ranks = {"lo": (0.02, lambda n: (n - 1) * 0.02), "mid": (0.5, lambda n: (n - 1) * 0.5), "top": (1.0, lambda n: n - 1),
+             "none": (1.0, lambda n: n + 1)}
+    got = {r.k: r for r in order_statistics(d, ["k"], "v", ranks, most=most, also={"mean": F.count}).collect()}
+    assert got.keys() == groups.keys()
+    for k, x in groups.items():
+        x = np.sort(x)
+        for name, q in (("lo", 0.02), ("mid", 0.5)):
+            r = (len(x) - 1) * q
+            a, z = x[math.floor(r)], x[math.ceil(r)]
+            assert got[k][name] == a + (z - a) * (r - math.floor(r)), (k, name)
+        assert got[k].none is None and got[k]["mean"] == len(x)
+        assert got[k].top == x[-1] or math.isinf(x[-1])
+
+
+def test_quantiles_without_rows_and_with_brackets_too_large_to_send(spark, monkeypatch):
+    from tripflow.operators import quantiles
+    empty = spark.createDataFrame([], "k string, v double")
+    assert exact_quantiles(empty, ["k"], "v", {"m": 0.5}).count() == 0
+    monkeypatch.setattr(quantiles, "SMALL_TABLE", 0)
+    x = np.random.default_rng(8).normal(size=6000)
+    d = spark.createDataFrame(pd.DataFrame({"k": np.arange(6000) % 3, "v": x}))
+    got = {r.k: r.m for r in exact_quantiles(d, ["k"], "v", {"m": 0.3}, most=4).collect()}
+    assert got == pytest.approx({k: np.quantile(x[k::3], 0.3) for k in range(3)})

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripflow.operators.ordered import attach
+from tripflow.session import durable
+
+DIGITS = 4096                 # digits a bracket is cut into per round of selection
+SMALL_TABLE = 8 << 20         # bytes of brackets that may be sent to every task
+EXPONENTS, STEPS = 1075, 2.0 ** 50
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str, **kw) -> DataFrame:
@@ -22,20 +27,79 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     return order_statistics(df, keys, value, ranks, **kw)
 
 
+def place(v: Column) -> Column:
+    """A long that keeps the order of doubles; at most four neighbouring doubles share one.
+
+    Exponent and the upper 50 bits of the fraction, with the sign of the value.  Infinities lie outside all numbers and NaN
+    above them, as in Spark's own order; differences of two places fit a long.
+    """
+    size = F.abs(v)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1074))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    e = guess - (size < power(guess)).cast("long") + (size >= power(guess + 1)).cast("long")
+    at = (e + EXPONENTS) * F.lit(1 << 50) + F.floor((size / power(e) - 1.0) * STEPS)
+    far = F.lit((1024 + EXPONENTS) << 50)
+    whole = F.when(F.isnan(v), far + 1).when(size == float("inf"), far).when(size == 0, F.lit(0)).otherwise(at)
+    return F.when((v < 0) & ~F.isnan(v), -whole).otherwise(whole).cast("long")
+
+
+def _meet(rows: DataFrame, brackets: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Rows next to their group's brackets; a bracket table of checked size goes to every task, a larger one is salted."""
+    return rows.join(F.broadcast(brackets), keys) if small else attach(rows, brackets, keys, by=["_h"])
+
+
+def _at(cells: Column, rank: Column, field: str) -> Column:
+    """``field`` of the cell that holds the zero-based rank; cells are in order and ``c`` is their number of rows."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("cell"), F.lit(0).alias("i"))
+    hit = lambda s, c: (s["seen"] <= rank) & (rank < s["seen"] + c["c"])
+    found = F.aggregate(cells, start, lambda s, c: F.struct(
+        (s["seen"] + c["c"]).alias("seen"), F.when(hit(s, c), s["i"]).otherwise(s["cell"]).alias("cell"), (s["i"] + 1).alias("i")))
+    return F.get(cells, found["cell"])[field]
+
+
+def _narrowed(src: DataFrame, brackets: DataFrame, keys: list[str], ends: list[Callable[[Column], Column]], small: bool) -> DataFrame:
+    """One round of selection: every bracket is cut into digits by place, and only the digit that holds the rank stays.
+
+    Rows become counts per (group, bracket, digit) before the shuffle, so a group sends at most ``DIGITS`` rows a task.
+    """
+    both = F.flatten(F.transform("_s", lambda s: F.when(s["w"] % 2 == 1, F.array(s)).otherwise(F.array(
+        s, s.withField("w", s["w"] + 1)))))
+    split = F.when(F.exists("_s", lambda s: s["w"] % 2 == 1), F.col("_s")).otherwise(both)
+    cut = F.transform(split, lambda s: F.struct(s.alias("s"), place(s["lo"]).alias("p"), (F.floor(
+        (place(s["hi"]) - place(s["lo"])) / F.lit(float(DIGITS))) + 1).alias("step")))
+    met = _meet(src, brackets.select(*keys, "_n", cut.alias("_cut")), keys, small)
+    rows = met.select(*keys, "_n", "_v", F.explode(F.filter("_cut", lambda x: F.col("_v") <= x["s"]["hi"])).alias("_x"))
+    digit = F.when(F.col("_v") >= F.col("_x.s.lo"), F.floor((place(F.col("_v")) - F.col("_x.p")) / F.col("_x.step"))).otherwise(F.lit(-1))
+    counts = (rows.groupBy(*keys, F.col("_x.s.w").alias("_w"), digit.alias("_d"))
+              .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"),
+                   F.first("_n").alias("_n"), F.first("_x.s").alias("_old")))
+    folded = counts.groupBy(*keys, "_w").agg(F.sort_array(F.collect_list(F.struct("_d", "c", "lo", "hi"))).alias("_cells"),
+                                             F.first("_n").alias("_n"), F.first("_old").alias("_old"))
+    rank = F.coalesce(*[F.when(F.col("_w") == i, end(F.col("_n"))) for i, end in enumerate(ends)])
+    hit = lambda f: _at(F.col("_cells"), rank, f)
+    # A rank beyond the last row has no digit: its bracket stays as it is and counts as settled.
+    span = F.struct(F.col("_w").alias("w"), F.coalesce(hit("lo"), "_old.lo").alias("lo"), F.coalesce(hit("hi"), "_old.hi").alias("hi"),
+                    F.coalesce(hit("c"), F.lit(0)).alias("most"))
+    spans = folded.select(*keys, span.alias("_one")).groupBy(*keys).agg(F.collect_list("_one").alias("_new"))
+    return brackets.join(spans, keys).select(*keys, "_n", "_also", F.col("_new").alias("_s"))
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str,
                      ranks: dict[str, tuple[float, Callable[[Column], Column]]],
-                     margin: float = 0.001, accuracy: int = 20_000, also: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                     margin: float = 0.001, accuracy: int = 20_000, also: dict[str, Callable[[Column], Column]] | None = None,
+                     most: int = 20_000) -> DataFrame:
     """Values at the zero-based, possibly fractional ranks ``rank_of(n)`` of each group.
 
     ``ranks`` maps an output name to ``(near, rank_of)``; ``rank_of(n)`` must lie within two ranks
     of ``near * n``.  A rank beyond the last row gives NULL.  ``also`` adds plain aggregates of the
     value, taken in the sketch pass.
 
-    A mergeable sketch brackets each rank.  Rows below a bracket are only counted and just the
-    distinct values inside it are ranked, so a hot group sends a sliver of itself to the ranking.
-    A bracket always holds the wanted ranks: the sketch errs by at most n/accuracy ranks, the
-    bracket is ``margin`` of all ranks wide on both sides, and groups too small for that are
-    ranked whole.
+    A mergeable sketch brackets each rank: it errs by at most n/accuracy ranks, the bracket is ``margin`` of all ranks wide on
+    both sides, and groups too small for that are one bracket.  Brackets that may hold more than ``most`` distinct values are
+    narrowed by radix selection, a digit a round, until they hold no more (seven rounds at the very most, none for groups below
+    ``most / (2 * margin)`` rows).  Then the distinct values in a bracket and one count of the rows below it give the result,
+    so no task sees more than ``most`` values of a group at once, whatever the group's size.  The brackets, one row per group,
+    are written once.
     """
     named = bool(keys)
     if not named:
@@ -50,24 +114,42 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     sketched = src.groupBy(*keys).agg(sketch.alias("_b"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
                                       F.struct(F.lit(0), *[f(F.col("_v")).alias(a) for a, f in (also or {}).items()]).alias("_also"))
     small = F.col("_n") * (margin - 1.0 / accuracy) < 4
-    spans = F.array(*[F.struct(F.lit(i).alias("w"), F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
-                               F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi")) for i in range(len(names))])
+    held = F.when(small, F.col("_n")).otherwise(F.ceil(F.col("_n") * (2 * (margin + 1.0 / accuracy))) + 6)
+    # Bracket 2i serves both ends of a fractional rank until it is narrowed; then 2i holds the lower end and 2i + 1 the upper.
+    spans = F.array(*[F.struct(F.lit(2 * i).alias("w"), F.when(small, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+                               F.when(small, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"), held.alias("most"))
+                      for i in range(len(names))])
+    ends = [lambda n, r=r, f=f: f(r(n)) for _, r in ranks.values() for f in (F.floor, F.ceil)]
+    wide = F.exists("_s", lambda s: (s["most"] > most) & (place(s["hi"]) > place(s["lo"])))
+    weight = F.sum(F.octet_length(F.concat_ws("", *[F.col(k).cast("string") for k in keys])) + 64 + 96 * len(names))
     brackets = sketched.select(*keys, "_n", "_also", spans.alias("_s"))
-    wanted = attach(src, brackets, keys, by=["_h"]).select(*keys, "_n", "_also", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
+    while True:
+        seen = Observation()
+        brackets = durable(brackets.observe(seen, F.coalesce(weight, F.lit(0)).alias("bytes"), F.count_if(wide).alias("wide")), "brackets")
+        fits = seen.get["bytes"] <= SMALL_TABLE
+        if not seen.get["wide"]:
+            break
+        brackets = brackets.filter(~wide).unionByName(_narrowed(src, brackets.filter(wide), keys, ends, fits))
+
+    wanted = _meet(src, brackets, keys, fits).select(
+        *keys, "_n", "_also", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["hi"])).alias("_s"))
     slot = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))
     counts = (wanted.groupBy(*keys, F.col("_s.w").alias("_w"), slot.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.first("_also").alias("_also")))
-    w = Window.partitionBy(*keys, "_w").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = F.coalesce(*[F.when(F.col("_w") == i, rank_of(F.col("_n"))) for i, (_, rank_of) in enumerate(ranks.values())])
-    at = lambda i, r: F.min(F.when((F.col("_w") == i) & (F.col("_upto") > r), F.col("_v")))
-    ends = [c for i in range(len(names)) for c in (
-        at(i, F.floor(rank)).alias(f"_a{i}"), at(i, F.ceil(rank)).alias(f"_z{i}"),
-        F.max(F.when(F.col("_w") == i, rank - F.floor(rank))).alias(f"_f{i}"),
-        (at(i, F.floor(rank)).isNull() & F.max(F.when(F.col("_w") == i, F.floor(rank) < F.col("_n")))).alias(f"_m{i}"))]
-    picked = ranked.groupBy(*keys).agg(F.first("_also").alias("_also"), *ends)
+              .agg(F.count(F.lit(1)).alias("c"), F.first("_n").alias("_n"), F.first("_also").alias("_also")))
+    folded = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_w", "_v", "c"))).alias("_cells"),
+                                       F.first("_n").alias("_n"), F.first("_also").alias("_also"))
     lost = F.raise_error("a quantile bracket missed its rank").cast("double")
-    inside = lambda i: F.when(F.col(f"_m{i}"), lost).otherwise(F.col(f"_a{i}"))
+
+    def end(w: int) -> Column:
+        own = F.filter("_cells", lambda c: c["_w"] == w)
+        cells = own if w % 2 == 0 else F.when(F.size(own) > 0, own).otherwise(F.filter("_cells", lambda c: c["_w"] == w - 1))
+        rank = ends[w](F.col("_n"))
+        found = _at(cells, rank, "_v")
+        return F.when(found.isNull() & (rank < F.col("_n")), lost).otherwise(found)
+
+    parts = [c for i, (_, rank_of) in enumerate(ranks.values()) for c in (
+        end(2 * i).alias(f"_a{i}"), end(2 * i + 1).alias(f"_z{i}"), (rank_of(F.col("_n")) - F.floor(rank_of(F.col("_n")))).alias(f"_f{i}"))]
+    picked = folded.select(*keys, "_also", *parts)
     return picked.select(*(keys if named else []), *[
-        (inside(i) + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
+        (F.col(f"_a{i}") + (F.col(f"_z{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(names)],
         *[F.col(f"_also.{a}").alias(a) for a in (also or {})])
