@@ -62,3 +62,28 @@ def test_stream_resample_equals_the_batch_where_closed(two_batches):
     d = d.unionByName(d.filter("time_s = 6360"))
     want = {(r.trip, r.time_s): r.proposed for r in resample.block_mean(d, 120.0, ["proposed"]).collect()}
     assert got and all(want[k] == pytest.approx(v) for k, v in got.items())
+
+
+def arrivals(spark, folder, parts):
+    """Parts that arrive one after the other, each run through the stream as it comes."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        yield spark.readStream.schema(part.schema).parquet(folder)
+
+
+def test_late_commands_are_left_out_in_every_batch(spark, tmp_path):
+    row = lambda t, c: ("a", float(t), float(c))
+    parts = [spark.createDataFrame(r, "trip string, time_s double, proposed double") for r in (
+        [row(10, 0), row(20, 5000)], [row(15, 7000), row(20, 7000), row(30, 5000)], [row(5, 1), row(40, 9000), row(50, 100)])]
+    root = str(tmp_path / "run")
+    for stream in arrivals(spark, str(tmp_path / "in"), parts):
+        out = online.guarded_commands(stream, Series(), "proposed", 10.0, [], max_rate=100.0, root=root)
+    assert [(r.time_s, r.applied_w) for r in out.orderBy("time_s").collect()] == [(10, 0), (20, 1000), (30, 2000), (40, 3000), (50, 2000)]
+
+
+def test_late_rows_are_counted_per_batch(spark, tmp_path):
+    stamp = lambda *s: spark.createDataFrame([(x,) for x in s], "s double").select(F.timestamp_seconds("s").alias("ts")).repartition(3)
+    root, seen = str(tmp_path / "run"), []
+    for stream in arrivals(spark, str(tmp_path / "in"), [stamp(100.0, 200.0, None), stamp(50.0, 139.9, 140.0, 260.0), stamp(None, 199.0, 200.0), stamp(199.0)]):
+        seen = online.late_rows(stream, 60.0, root=root).orderBy("batch").collect()
+    assert [tuple(r) for r in seen] == [(0, 3, 0, None), (1, 4, 2, 140_000_000), (2, 3, 1, 200_000_000), (3, 1, 1, 200_000_000)]

@@ -350,3 +350,63 @@ def test_quantiles_without_rows_and_with_brackets_too_large_to_send(spark, monke
     d = spark.createDataFrame(pd.DataFrame({"k": np.arange(6000) % 3, "v": x}))
     got = {r.k: r.m for r in exact_quantiles(d, ["k"], "v", {"m": 0.3}, most=4).collect()}
     assert got == pytest.approx({k: np.quantile(x[k::3], 0.3) for k in range(3)})
+
+
+@pytest.mark.parametrize("rows,levels", [(4, 2), (7, 1), (512, 2)])
+def test_policies_with_finite_memory_equal_a_plain_loop(spark, rows, levels):
+    rng = np.random.default_rng(11)
+    t = np.where(rng.random(300) < 0.1, np.nan, 22 + np.cumsum(rng.normal(0, 0.7, 300)) % 5 - 2.5)
+    trips = np.array(["hot"] * 250 + ["b"] * 49 + ["c"])
+    d = spark.createDataFrame(pd.DataFrame({"trip": trips, "time_s": np.arange(300.0), "t": t})).repartition(4)
+    got = {r.time_s: r.hysteresis_w for r in policies.hysteresis(d, S, "t", ["time_s"], rows=rows, levels=levels).collect()}
+    # A counter of three states that a missing reading resets.
+    step = lambda i: F.when(F.col("t").isNull() | F.isnan("t"), 0).when(F.col("t") > 22, min(i + 1, 2))
+    counted = policies.finite_policy(d, S, 3, step, lambda s: s * 10, ["time_s"], "c", start=1, rows=rows, levels=levels)
+    counts = {r.time_s: r.c for r in counted.collect()}
+    on, at, last = 0, 1, None
+    for i in range(300):
+        if trips[i] != last:
+            on, at, last = 0, 1, trips[i]
+        on = 1 if t[i] < 21 else 0 if t[i] > 23 else on
+        at = 0 if np.isnan(t[i]) else min(at + 1, 2) if t[i] > 22 else at
+        assert got[float(i)] == (None if np.isnan(t[i]) else 7000.0 * on)
+        assert counts[float(i)] == 10 * at
+
+
+def test_a_series_stored_by_block_is_read_without_a_shuffle(spark, tmp_path, log):
+    from tripflow.sources import store
+    d = spark.createDataFrame(log)
+    store.write_blocks(d, "blocks_test", str(tmp_path / "b"), S, buckets=5)
+    stored, s = store.read_blocks(spark, "blocks_test", S)
+    try:
+        inside = s.with_block(stored).withColumn("r", F.row_number().over(s.inside()))
+        per_block = s.with_block(stored).groupBy(*s.block_keys).agg(F.count(F.lit(1)).alias("n"))
+        for plan in (inside, per_block):
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = ordered.with_position(stored, s).select(*log.columns, "pos").toPandas()
+        want = ordered.with_position(d, S).select(*log.columns, "pos").toPandas()
+        order = ["trip", "time_s"]
+        pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True))
+        hot = stored.filter("trip = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+        assert hot == 5
+    finally:
+        spark.sql("DROP TABLE blocks_test")
+
+
+def test_the_store_splits_a_hot_trip_over_writers(spark, tmp_path):
+    from tripflow.sources import store
+    n = 300_000
+    d = spark.range(n).select(F.when(F.col("id") < 0.9 * n, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("trip"),
+                              F.rand(3).alias("time_s"), F.rand(4).alias("x"))
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        store.write_trips(d, str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.exceptAll(d).count() == 0 and back.count() == n
+    files = back.filter("trip = 'hot'").groupBy(F.input_file_name().alias("f")).count()
+    assert files.count() > 1
+    small = back.filter("trip = 't1'").select(F.input_file_name()).distinct().count()
+    assert small == 1

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripflow.functions.scalars import clip, missing_if_nan
 from tripflow.operators.ordered import Series, with_neighbours, with_position
-from tripflow.operators.scan import CLAMPED_SUM, LINEAR, scan
+from tripflow.operators.scan import CLAMPED_SUM, LINEAR, automaton, scan
 
 # Set-point, band, heater maximum and gains of the plain controllers.
 SETPOINT_C, BAND_C, MAX_W = 22.0, 1.0, 7000.0
@@ -46,6 +48,31 @@ def pi_policy(df: DataFrame, s: Series, cabin: str, carry: list[str], dt_s: floa
     return stepped.withColumn(out, command).drop("_t", "_i", "pos")
 
 
+def finite_policy(df: DataFrame, s: Series, states: int, step: Callable[[int], Column], command: Callable[[Column], Column],
+                  carry: list[str], out: str = "command_w", start: int = 0, rows: int = 512, levels: int = 2) -> DataFrame:
+    """Any policy that remembers one of ``states`` states.
+
+    ``step(i)`` gives the state after a row that finds state ``i``, as a Column of the row (NULL keeps the state);
+    ``command(state)`` turns the state after the row into its command and may read the columns in ``carry``.  Rows become maps
+    of all states, so a trip is worked on in blocks, whatever its length.
+    """
+    following = tuple(F.coalesce(step(i).cast("double"), F.lit(float(i))) for i in range(states))
+    walked = scan(with_position(df, s), list(s.keys), "pos", automaton(states), following, float(start), "_state", carry, rows, levels)
+    return walked.withColumn(out, command(F.col("_state").cast("int"))).drop("_state", "pos")
+
+
+def hysteresis(df: DataFrame, s: Series, cabin: str, carry: list[str], out: str = "hysteresis_w", setpoint: float = SETPOINT_C,
+               band: float = BAND_C, power_w: float = MAX_W, **kw) -> DataFrame:
+    """Thermostat with a dead band: full power once the cabin is below the band until it is above it.
+
+    Off before the first reading.  A row without a cabin temperature keeps the state and has no command of its own (NULL).
+    """
+    t = missing_if_nan(F.col(cabin))
+    step = lambda i: F.when(t < setpoint - band, 1).when(t > setpoint + band, 0).otherwise(i)
+    return finite_policy(df, s, 2, step, lambda on: F.when(missing_if_nan(F.col(cabin)).isNotNull(), on * F.lit(float(power_w))),
+                         list(dict.fromkeys([*carry, cabin])), out, **kw)
+
+
 def lag_filter(df: DataFrame, s: Series, value: str, tau_s: float, dt_s: float, carry: list[str],
                gain: float = 1.0, out: str = "lagged", rows: int = 512, levels: int = 2) -> DataFrame:
     """First-order lag of ``gain * value`` on an even grid, settled on the first sample.

@@ -1,6 +1,7 @@
 """Recurrences over a trip as prefix scans.
 
-A clamped sum and a linear filter are maps of one state, and each kind is closed under composition.  So a trip is cut into blocks of rows, every block is folded to one map, the maps are
+A clamped sum, a linear filter and a step of a finite automaton are maps of one state, and each kind is closed under
+composition.  So a trip is cut into blocks of rows, every block is folded to one map, the maps are
 chained over blocks (and over blocks of blocks), and each block then runs from its own start
 state.  No task ever holds more than one block, and a long trip uses as many tasks as it has blocks.
 """
@@ -48,6 +49,13 @@ LINEAR = MapKind(("gain", "offset"), (1.0, 0.0),
                  lambda m, x: m["gain"] * x + m["offset"])
 
 
+def automaton(states: int) -> MapKind:
+    """Maps of the states 0 .. ``states`` - 1: one number per state, the state that follows it; composed by lookup."""
+    names = tuple(f"s{i}" for i in range(states))
+    at = lambda m, x: F.get(F.array(*[m[n] for n in names]), x.cast("int"))
+    return MapKind(names, tuple(float(i) for i in range(states)), lambda a, b: tuple(at(b, a[n]) for n in names), at)
+
+
 def _blocks(df: DataFrame, keys: list[str], pos: str, carry: list[str], rows: int, block: str) -> DataFrame:
     packed = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("_p"), F.col("_m"), *carry)))
     return df.groupBy(*keys, F.floor(F.col(pos) / rows).alias(block)).agg(packed.alias("_rows"))

@@ -51,6 +51,17 @@ def pi_policy(spark, sf):
     return out.select("trip", "seq", F.round("pi_w", 5).alias("pi_w"))
 
 
+@query("hysteresis_policy", f"""WITH RECURSIVE {_STEPS}, walk AS (
+  SELECT trip, seq, pos, cabin_c, CASE WHEN cabin_c < 15 THEN 1 ELSE 0 END AS hot FROM steps WHERE pos = 0
+  UNION ALL
+  SELECT s.trip, s.seq, s.pos, s.cabin_c, CASE WHEN s.cabin_c < 15 THEN 1 WHEN s.cabin_c > 35 THEN 0 ELSE w.hot END
+  FROM walk w JOIN steps s ON s.trip = w.trip AND s.pos = w.pos + 1)
+SELECT trip, seq, CASE WHEN cabin_c IS NOT NULL THEN hot * 7000.0::DOUBLE END AS hysteresis_w FROM walk""")
+def hysteresis_policy(spark, sf):
+    out = policies.hysteresis(_steps(spark, sf), log_series(spark, sf), "cabin_c", ["seq"], setpoint=25.0, band=10.0)
+    return out.select("trip", "seq", "hysteresis_w")
+
+
 @query("rate_limit", f"""WITH RECURSIVE {_STEPS}, walk AS (
   SELECT trip, seq, pos, coalesce(proposed, 0.0::DOUBLE) AS p, coalesce(proposed, 0.0::DOUBLE) AS a FROM steps WHERE pos = 0
   UNION ALL

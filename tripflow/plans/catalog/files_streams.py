@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tripflow.functions import signals as sig
@@ -11,7 +13,7 @@ from tripflow.plans.catalog import control
 from tripflow.plans.registry import SQL, query
 from tripflow.session import scratch
 from tripflow.sources import delimited, simulation, store
-from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, samples, samples_of, telemetry, telemetry_of
+from tripflow.sources.tables import SAMPLES_SQL, TELEMETRY_SQL, WEEK_S, log_series, samples, samples_of, telemetry, telemetry_of
 from tripflow.streaming import online
 
 # ---- files -------------------------------------------------------------------------------------
@@ -171,14 +173,14 @@ def stream_sessions(spark, sf):
 
 @query("stream_guarded_commands", f"""WITH RECURSIVE {TELEMETRY_SQL}, r AS (
   SELECT trip, seq, value * 40 - 100.0::DOUBLE AS p, greatest(0.0::DOUBLE, least(7000.0::DOUBLE, value * 40 - 100)) AS c,
-         row_number() OVER (PARTITION BY trip ORDER BY time_s) AS k FROM telemetry), walk AS (
+         row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) AS k FROM telemetry), walk AS (
   SELECT trip, seq, k, p, c, c AS a FROM r WHERE k = 1
   UNION ALL SELECT r.trip, r.seq, r.k, r.p, r.c, greatest(w.a - 1000, least(w.a + 1000, r.c)) FROM walk w JOIN r ON r.trip = w.trip AND r.k = w.k + 1)
 SELECT trip, seq, round(a, 5) AS applied_w, CASE WHEN p <> c THEN 'actuator limit' WHEN abs(a - c) >= 1e-6 THEN 'rate limit' END AS reason FROM walk""")
 def stream_guarded_commands(spark, sf):
     s = _stream(spark, sf).select(F.col("user_id").alias("trip"), F.col("event_id").alias("seq"), (F.unix_micros("ts") / 1e6).alias("time_s"),
                                   (F.col("value") * 40 - 100).alias("proposed"))
-    out = online.guarded_commands(s, ordered.Series(block_s=WEEK_S), "proposed", 10.0, ["seq"], max_rate=100.0)
+    out = online.guarded_commands(s, ordered.Series(tie=("seq",), block_s=WEEK_S), "proposed", 10.0, ["seq"], max_rate=100.0)
     return out.select("trip", "seq", F.round("applied_w", 5).alias("applied_w"), "reason")
 
 
@@ -190,16 +192,45 @@ def tier_columns(spark, sf):
     return kept.groupBy("trip").agg(*[F.round(F.sum(c), 3).alias(c) for c in kept.columns if c != "trip"])
 
 
+def _replayed(spark, sf, by, run):
+    """Three arrivals of the log by equal spans of a column, each written as many files and then run through the stream that
+    goes on from the one before; the last result."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    parts, root = scratch(spark, "parts"), scratch(spark, "replay")
+    span = events.agg(F.min(by).alias("a"), F.max(by).alias("z")).first()
+    cuts = [span.a + (span.z - span.a) / 3, span.a + (span.z - span.a) * 2 / 3]
+    out = None
+    for at in (F.col(by) < cuts[0], (F.col(by) >= cuts[0]) & (F.col(by) < cuts[1]), F.col(by) >= cuts[1]):
+        events.filter(at).write.mode("append").parquet(parts)
+        out = run(spark.readStream.schema(events.schema).parquet(parts), root)
+    return out
+
+
 @query("stream_takeovers", SQL["takeover_log"])
 def stream_takeovers(spark, sf):
     """The takeover log from a stream of three micro-batches, each a later part of the log."""
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    root = scratch(spark, "parts")
-    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
-    cuts = [span.a + (span.z - span.a) * k / 3 for k in (1, 2)]
-    for at in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
-        events.filter(at).coalesce(1).write.mode("append").parquet(root)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
-    steps = control.steps_of(samples_of(telemetry_of(stream)))
-    out = online.supervise(steps, ordered.Series(tie=("seq",), block_s=WEEK_S), "proposed", "backup", control.situation(), control.DT, [], max_rate=control.MAX_RATE)
-    return control.log_of(guards.takeovers(out.withColumn("reason", control.plain_reason())))
+    def run(stream, root):
+        steps = control.steps_of(samples_of(telemetry_of(stream)))
+        return online.supervise(steps, ordered.Series(tie=("seq",), block_s=WEEK_S), "proposed", "backup", control.situation(), control.DT, [],
+                                max_rate=control.MAX_RATE, root=root)
+    return control.log_of(guards.takeovers(_replayed(spark, sf, "ts", run).withColumn("reason", control.plain_reason())))
+
+
+@query("stream_late_rows", """WITH s AS (SELECT min(event_id) AS a, max(event_id) AS z FROM events), p AS (
+  SELECT ts, CASE WHEN event_id < a + (z - a)::DOUBLE / 3 THEN 0 WHEN event_id < a + (z - a)::DOUBLE * 2 / 3 THEN 1 ELSE 2 END AS batch FROM events, s), b AS (
+  SELECT batch, max(epoch_us(ts)) AS newest FROM p GROUP BY batch), m AS (
+  SELECT x.batch, max(y.newest) - 600000000 AS mark FROM b x LEFT JOIN b y ON y.batch < x.batch GROUP BY x.batch)
+SELECT p.batch, count(*) AS rows, count(*) FILTER (WHERE epoch_us(ts) < mark) AS late, any_value(mark) AS watermark_us
+FROM p JOIN m USING (batch) GROUP BY p.batch""")
+def stream_late_rows(spark, sf):
+    """Events that arrive in the order of their numbers, not of their clocks."""
+    return _replayed(spark, sf, "event_id", lambda stream, root: online.late_rows(stream, 600.0, root=root))
+
+
+@query("stored_positions", f"""WITH {TELEMETRY_SQL}
+SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) - 1 AS pos FROM telemetry""")
+def stored_positions(spark, sf):
+    """Positions from a store bucketed by trip and block."""
+    s, name = log_series(spark, sf), f"blocks_{uuid.uuid4().hex}"
+    store.write_blocks(telemetry(spark, sf), name, scratch(spark, "blocks"), s)
+    return ordered.with_position(*store.read_blocks(spark, name, s)).select("trip", "seq", "pos")

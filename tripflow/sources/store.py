@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripflow.functions.scalars import lenient_double, notes_contain, payload_kg, stamp_day
-from tripflow.operators.ordered import attach, first_per_key
+from tripflow.operators.ordered import BLOCK, Series, attach, first_per_key
 
 # Overview headers, the form of a trip id, the note of a warm start.
 OVERVIEW_COLUMNS = {
@@ -23,9 +25,6 @@ TRIP_ID = r"(?i)^Trip[AB]\d+$"
 WARM_NOTE = "directly after previous"
 _TEXT = {"trip", "date", "route", "weather", "fan", "note"}
 
-#: Folder column of the store.
-FOLDER = "trip_class"
-
 
 def is_trip_id(c: Column, pattern: str = TRIP_ID) -> Column:
     """Whole-value, case-insensitive match after trimming; NULL and blanks are no ids."""
@@ -58,14 +57,31 @@ def read_overview(spark: SparkSession, path: str) -> DataFrame:
     return overview_table(spark.read.option("header", "true").csv(path))
 
 
-def write_trips(df: DataFrame, path: str, key: str = "trip", folders: int = 64, spread: int = 8) -> None:
-    """Store trips in a fixed number of folders by a hash of the key, sorted by key and clock, so that many short trips share
-    files and file statistics find a trip; a hot trip is written by up to ``spread`` tasks."""
-    clock = F.floor(F.col("time_s") / 3600.0) if "time_s" in df.columns else F.lit(0)
+def write_trips(df: DataFrame, path: str, key: str = "trip") -> None:
+    """Store trips, rows of a trip side by side and in the order of the clock.
+
+    The number of writers follows the data: adaptive execution merges small partitions and splits the one of a hot trip, each
+    to about its advisory size.  Files are sorted, so row groups find a trip by their statistics.
+    """
     order = [c for c in (key, "time_s") if c in df.columns]
-    d = df.withColumns({FOLDER: F.pmod(F.xxhash64(key), F.lit(folders)), "_s": F.pmod(F.xxhash64(clock), F.lit(spread))})
-    (d.repartition(FOLDER, "_s").drop("_s").sortWithinPartitions(FOLDER, *order)
-     .write.mode("overwrite").partitionBy(FOLDER).parquet(path))
+    df.hint("rebalance", key).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_blocks(df: DataFrame, table: str, path: str, s: Series, buckets: int | None = None, rows: int = 4_000_000) -> None:
+    """Store a series as a table bucketed by (key, time block) at ``path``, so that later work by block needs no shuffle.
+
+    A hot trip lies in as many buckets as it has blocks.  Without ``buckets`` there is one for about ``rows`` rows, found by
+    one count.  A column called like the block column is replaced.
+    """
+    n = buckets or 1 + df.count() // rows
+    keys = s.block_keys
+    (s.with_block(df).repartition(n, *keys).write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(n, *keys).sortBy(*keys, s.time, *s.tie).saveAsTable(table))
+
+
+def read_blocks(spark: SparkSession, table: str, s: Series) -> tuple[DataFrame, Series]:
+    """The stored series, and ``s`` with the stored blocks instead of computed ones."""
+    return spark.table(table), replace(s, block=F.col(BLOCK))
 
 
 def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str, ...] = ("trip",)) -> DataFrame:
@@ -76,7 +92,7 @@ def usable_trips(trips: DataFrame, signal: str = "cabin_temp_c", keys: tuple[str
 
 def load_trips(spark: SparkSession, path: str, signal: str = "cabin_temp_c") -> DataFrame:
     """Read the store, keep the usable trips, and fail where there are none."""
-    every = spark.read.parquet(path).drop(FOLDER)
+    every = spark.read.parquet(path)
     trips = usable_trips(every, signal) if signal in every.columns else every.limit(0)
     if not trips.take(1):
         raise FileNotFoundError(f"no trip with {signal} under {path}")

@@ -50,21 +50,46 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def for_each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int, str], None]) -> str:
-    """Run ``work(batch, id, folder)`` on every micro-batch and return the folder."""
-    root = scratch(stream.sparkSession, name)
+def for_each_batch(stream: DataFrame, name: str, work: Callable[[DataFrame, int, str], None], root: str | None = None) -> str:
+    """Run ``work(batch, id, folder)`` on every micro-batch and return the folder; with the folder of an earlier run as
+    ``root`` go on where that one ended."""
+    root = root or scratch(stream.sparkSession, name)
     q = (stream.writeStream.foreachBatch(lambda df, i: work(df, i, root)).option("checkpointLocation", f"{root}/state")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return root
 
 
+def late_rows(stream: DataFrame, delay_s: float, ts: str = "ts", name: str = "late", root: str | None = None) -> DataFrame:
+    """Rows and late rows of every micro-batch: ``batch, rows, late, watermark_us``.
+
+    A row is late if its event time is below the watermark its batch starts with, the newest event time of all earlier batches
+    less the delay (NULL before any).  A row without an event time is never late.  The state is one row, kept per
+    batch id, so a repeated batch counts the same again.
+    """
+    state = "batch long, rows long, late long, watermark_us long, newest_us long"
+
+    def work(batch: DataFrame, i: int, folder: str) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(state).parquet(f"{folder}/out/part={i - 1}").first().newest_us if i > 0 else None
+        mark = None if known is None else known - int(delay_s * 1e6)
+        us = F.unix_micros(ts)
+        counted = batch.agg(F.count(F.lit(1)).alias("rows"), F.count_if(us < F.lit(mark).cast("long")).alias("late"), F.max(us).alias("_newest"))
+        (counted.select(F.lit(i).cast("long").alias("batch"), "rows", "late", F.lit(mark).cast("long").alias("watermark_us"),
+                        F.greatest("_newest", F.lit(known).cast("long")).alias("newest_us"))
+         .write.mode("overwrite").parquet(f"{folder}/out/part={i}"))
+
+    root = for_each_batch(event_time(stream, ts), name, work, root)
+    return stream.sparkSession.read.schema(state).parquet(f"{root}/out").drop("newest_us", "part")
+
+
 def supervise(stream: DataFrame, s: Series, primary: str, fallback: str, situation: list[guards.Guard], dt_s: float, carry: list[str],
-              max_w: float = guards.MAX_W, max_rate: float = guards.MAX_RATE_W_PER_S, rows: int = 4096, name: str = "supervised") -> DataFrame:
+              max_w: float = guards.MAX_W, max_rate: float = guards.MAX_RATE_W_PER_S, rows: int = 4096, name: str = "supervised",
+              root: str | None = None) -> DataFrame:
     """All guards of :func:`guards.supervise`, batch by batch: sensor and envelope faults, fallback, clamp, slew limit.
 
     Carried on per key are the last command, the number of steps and the clock.  A row that is not newer than what its key
-    has already acted on comes too late to be a command and is left out.
+    has already acted on comes too late to be a command and is left out.  ``root`` is the folder of an earlier run to go on from.
     """
     keys = list(s.keys)
 
@@ -81,38 +106,37 @@ def supervise(stream: DataFrame, s: Series, primary: str, fallback: str, situati
         merged = known.join(newest, keys, "full").select(*keys, F.coalesce("_l", "_last").alias("_last"), F.coalesce("_m", "_n").alias("_n"), F.coalesce("_u", "_t").alias("_t"))
         merged.write.mode("overwrite").parquet(f"{root}/last/batch={i}")
 
-    root = for_each_batch(stream, name, work)
+    root = for_each_batch(stream, name, work, root)
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
 
 
 def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, carry: list[str], max_rate: float,
-                     max_w: float = guards.MAX_W, rows: int = 4096, name: str = "guarded") -> DataFrame:
+                     max_w: float = guards.MAX_W, rows: int = 4096, name: str = "guarded", root: str | None = None) -> DataFrame:
     """Clamp and slew-limit commands batch by batch.
 
     A batch runs through the same skew-safe operator as a table.  What is carried on is the last
-    command per key, one row each, stored per batch id: a repeated batch reads the same
-    predecessor and overwrites the same output.
+    command and clock per key, one row each, stored per batch id: a repeated batch reads the same
+    predecessor and overwrites the same output.  A row that is not newer than what its key has already acted on
+    is left out, as in :func:`supervise`.
     """
     clamp = guards.actuator_clamp(max_w)
     keys = list(s.keys)
 
     def work(batch: DataFrame, i: int, root: str) -> None:
         spark = batch.sparkSession
-        safe = batch.withColumn("_cmd", clamp(F.col(proposed))["value"])
-        last_schema = T.StructType([batch.schema[k] for k in keys] + [T.StructField("_last", T.DoubleType())])
-        if i > 0:
-            known = spark.read.schema(last_schema).parquet(f"{root}/last/batch={i - 1}")
-        else:
-            known = spark.createDataFrame([], last_schema)
-        out = guards.rate_limit(attach(safe, known, keys, "left"), s.fitted(safe), "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, proposed, "_cmd"])),
+        state = T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()), T.StructField("_t", batch.schema[s.time].dataType)])
+        known = spark.read.schema(state).parquet(f"{root}/last/batch={i - 1}") if i > 0 else spark.createDataFrame([], state)
+        due = (attach(batch.withColumn("_cmd", clamp(F.col(proposed))["value"]), known, keys, "left")
+               .filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t"))).drop("_t"))
+        out = guards.rate_limit(due, s.fitted(due), "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, *s.tie, proposed, "_cmd"])),
                                 max_rate=max_rate, previous="_last", bounds=(0.0, max_w), rows=rows)
         reason = F.coalesce(F.when(~F.coalesce(F.col(proposed) == F.col("_cmd"), F.lit(False)), clamp(F.col(proposed))["reason"]),
                             guards.rate_reason(F.col("applied_w"), F.col("_cmd")))
         out.withColumn("reason", reason).drop("_cmd", "pos").write.mode("overwrite").parquet(f"{root}/out/batch={i}")
         done = spark.read.parquet(f"{root}/out/batch={i}")
-        newest = done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_new"))
-        (known.join(newest, keys, "full").select(*keys, F.coalesce("_new", "_last").alias("_last"))
+        newest = done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_new"), F.max(s.time).alias("_u"))
+        (known.join(newest, keys, "full").select(*keys, F.coalesce("_new", "_last").alias("_last"), F.coalesce("_u", "_t").alias("_t"))
          .write.mode("overwrite").parquet(f"{root}/last/batch={i}"))
 
-    root = for_each_batch(stream, name, work)
+    root = for_each_batch(stream, name, work, root)
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
