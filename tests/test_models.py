@@ -184,12 +184,32 @@ def test_missing_cabin_is_no_comfort(spark):
     assert got["b"].discomfort_kmin is None and got["c"].discomfort_kmin is None and got["c"].scored_rows == 0
 
 
-def test_lag_products_by_fft_equal_the_direct_sums():
-    rng = np.random.default_rng(3)
-    for n, own, lag in ((500, 300, 200), (500, 500, 5000), (90, 10, 80), (70, 1, 69)):
-        x = rng.normal(size=n)
-        want = [sum(x[i] * x[i + k] for i in range(min(own, n - k))) for k in range(min(lag, n - 1) + 1)]
-        assert np.allclose(resample.lag_products(x, own, lag), want)
+def test_lag_products_of_a_range_of_lags():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=500)
+    for own, first, until in ((500, 1, 64), (300, 64, 400), (300, 400, 900), (20, 1, 30), (500, 500, 600)):
+        want = [sum(x[i] * x[i + k] for i in range(min(own, 500 - k))) for k in range(first, min(until, 500))]
+        assert np.allclose(resample.lag_products(x, own, first, until), want)
+
+
+def test_lags_are_worked_off_in_stages(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    series = {"short": rng.normal(size=400), "long": np.cumsum(rng.normal(size=900)), "ramp": np.arange(600.0),
+              "two": np.array([1.0, 2.0]), "flat": np.ones(9)}
+    d = spark.createDataFrame(pd.DataFrame([(k, float(i), v) for k, x in series.items() for i, v in enumerate(x)], columns=["trip", "time_s", "x"]))
+    s = Series(block_s=200.0)
+    whole = {r.trip: r.n_eff for r in resample.effective_sample_size(d, s, "x", max_lag=500, block_rows=300).collect()}
+    monkeypatch.setattr(resample, "STAGES", (2, 9, 40, 333))
+    staged = {r.trip: r.n_eff for r in resample.effective_sample_size(d, s, "x", max_lag=500, block_rows=70).collect()}
+    for k, x in series.items():
+        c = x - x.mean()
+        total = 0.0
+        for lag in range(1, min(500, len(x) - 1)):
+            rho = c[:-lag] @ c[lag:] / (c @ c) if k != "flat" else 0.0
+            if rho <= 0:
+                break
+            total += rho
+        assert whole[k] == pytest.approx(len(x) / (1 + 2 * total)) and staged[k] == pytest.approx(whole[k])
 
 
 def test_group_labels_are_checked(spark):

@@ -14,7 +14,7 @@ from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
 _STEADY = SAMPLES_SQL + """, near AS (
   SELECT *, time_s - lag(time_s) OVER w AS hs, lead(time_s) OVER w - time_s AS hd, lag(cabin_c) OVER w AS f0, lead(cabin_c) OVER w AS f1
-  FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s)), rated AS (
+  FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s, seq)), rated AS (
   SELECT *, CASE WHEN hs IS NULL THEN (f1 - cabin_c) / hd WHEN hd IS NULL THEN (cabin_c - f0) / hs
     ELSE (hs * hs * f1 + (hd * hd - hs * hs) * cabin_c - hd * hd * f0) / (hs * hd * (hs + hd)) END AS rate FROM near), steady AS (
   SELECT *, coalesce(cabin_c > 5 AND abs(rate) < 0.0005 AND heat_w > 200 AND cabin_c - amb_c > 2, false) AS steady FROM rated)"""
@@ -311,7 +311,7 @@ def feature_importance(spark, sf):
 
 
 @query("thinned_rows", f"""WITH {SAMPLES_SQL}, p AS (
-  SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos, count(*) OVER (PARTITION BY trip) AS n FROM samples)
+  SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) - 1 AS pos, count(*) OVER (PARTITION BY trip) AS n FROM samples)
 SELECT trip, seq FROM p WHERE pos % (CASE WHEN n > 20 THEN n // 20 ELSE 1 END) = 0""")
 def thinned_rows(spark, sf):
     placed = ordered.with_position(samples(spark, sf).select("trip", "time_s", "seq"), log_series(spark, sf))

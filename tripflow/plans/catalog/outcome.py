@@ -138,8 +138,8 @@ def future_label(spark, sf):
 
 @query("lag_features", f"""WITH {SAMPLES_SQL}
 SELECT trip, seq, round(lag(cabin_c, 1) OVER w, 6) AS lag_1, round(lag(cabin_c, 2) OVER w, 6) AS lag_2,
-  round(avg(cabin_c) OVER (PARTITION BY trip ORDER BY time_s ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_3,
-  round(time_s - min(time_s) OVER (PARTITION BY trip), 6) AS elapsed_s FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s)""")
+  round(avg(cabin_c) OVER (PARTITION BY trip ORDER BY time_s, seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_3,
+  round(time_s - min(time_s) OVER (PARTITION BY trip), 6) AS elapsed_s FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s, seq)""")
 def lag_features(spark, sf):
     s = samples(spark, sf).select("trip", "time_s", "seq", "cabin_c")
     out = forecast.lag_features(s, log_series(spark, sf), "cabin_c")

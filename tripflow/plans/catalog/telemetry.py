@@ -24,7 +24,7 @@ _CONSTANT = "list_filter([" + ", ".join(
     f"CASE WHEN count({c}) > 0 AND count(DISTINCT {c}) FILTER (WHERE {_KEPT}) <= 1 THEN '{c}' END"
     for c in ["time_s", *SIGNALS]) + "], lambda x: x IS NOT NULL)"
 QUALITY_SQL = SAMPLES_SQL + f""", dts AS (
-  SELECT trip, time_s - lag(time_s) OVER (PARTITION BY trip ORDER BY time_s) AS dt FROM samples), ivals AS (
+  SELECT trip, time_s - lag(time_s) OVER (PARTITION BY trip ORDER BY time_s, seq) AS dt FROM samples), ivals AS (
   SELECT trip, stddev_pop(dt) AS dt_sd_s, median(dt) AS dt_median_s FROM dts WHERE dt IS NOT NULL GROUP BY trip),
 quality AS (
   SELECT s.*, i.dt_sd_s, i.dt_median_s, i.dt_sd_s > 1e-6 AS dt_irregular FROM (
@@ -214,7 +214,7 @@ def unit_change(spark, sf):
 
 
 @query("sample_interval", f"""WITH {TELEMETRY_SQL}, d AS (
-  SELECT trip, time_s - lag(time_s) OVER (PARTITION BY trip ORDER BY time_s) AS dt FROM telemetry)
+  SELECT trip, time_s - lag(time_s) OVER (PARTITION BY trip ORDER BY time_s, seq) AS dt FROM telemetry)
 SELECT trip, round(stddev_pop(dt), 3) AS dt_sd_s, round(median(dt), 7) AS dt_median_s,
        stddev_pop(dt) > 1e-6 AS dt_irregular FROM d WHERE dt IS NOT NULL GROUP BY trip""")
 def sample_interval(spark, sf):
@@ -224,14 +224,14 @@ def sample_interval(spark, sf):
 
 
 @query("row_position", f"""WITH {TELEMETRY_SQL}
-SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos FROM telemetry""")
+SELECT trip, seq, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) - 1 AS pos FROM telemetry""")
 def row_position(spark, sf):
     return ordered.with_position(telemetry(spark, sf), log_series(spark, sf)).select("trip", "seq", "pos")
 
 
 @query("signal_gradient", f"""WITH {SAMPLES_SQL}, n AS (
   SELECT trip, seq, cabin_c AS f, time_s - lag(time_s) OVER w AS hs, lead(time_s) OVER w - time_s AS hd,
-         lag(cabin_c) OVER w AS f0, lead(cabin_c) OVER w AS f1 FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s))
+         lag(cabin_c) OVER w AS f0, lead(cabin_c) OVER w AS f1 FROM samples WINDOW w AS (PARTITION BY trip ORDER BY time_s, seq))
 SELECT trip, seq, round(1e6 * CASE WHEN hs IS NULL THEN (f1 - f) / hd WHEN hd IS NULL THEN (f - f0) / hs
   ELSE (hs * hs * f1 + (hd * hd - hs * hs) * f - hd * hd * f0) / (hs * hd * (hs + hd)) END, 4) AS micro_rate FROM n""")
 def signal_gradient(spark, sf):
@@ -247,12 +247,12 @@ def exact_median(spark, sf):
 
 
 @query("effective_sample_size", f"""WITH {TELEMETRY_SQL}, p AS (
-  SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY time_s) AS r, count(*) OVER (PARTITION BY trip) AS n,
+  SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) AS r, count(*) OVER (PARTITION BY trip) AS n,
          value - avg(value) OVER (PARTITION BY trip) AS x FROM telemetry), v AS (
   SELECT trip, any_value(n) AS n, sum(x * x) AS var FROM p GROUP BY trip), lags AS (
-  SELECT a.trip, b.r - a.r AS k, sum(a.x * b.x) AS prod FROM p a JOIN p b ON a.trip = b.trip AND b.r - a.r BETWEEN 1 AND 15
+  SELECT a.trip, b.r - a.r AS k, sum(a.x * b.x) AS prod FROM p a JOIN p b ON a.trip = b.trip AND b.r - a.r BETWEEN 1 AND 4999
   GROUP BY 1, 2), rho AS (
-  SELECT l.trip, k, prod / var AS rho FROM lags l JOIN v USING (trip) WHERE k < least(16, n - 1)), stop AS (
+  SELECT l.trip, k, prod / var AS rho FROM lags l JOIN v USING (trip) WHERE k < least(5000, n - 1)), stop AS (
   SELECT trip, min(k) AS k0 FROM rho WHERE rho <= 0 GROUP BY trip), tot AS (
   SELECT r.trip, sum(rho) AS total FROM rho r LEFT JOIN stop s USING (trip) WHERE k0 IS NULL OR k < k0 GROUP BY r.trip)
 SELECT v.trip, n, round(n / (1 + 2 * coalesce(total, 0)), 6) AS n_eff FROM v LEFT JOIN tot USING (trip)""")

@@ -31,7 +31,7 @@ def _filled(spark, sf):
 def _cut_sql(length: int, newest: str = "pos // 4") -> str:
     return SAMPLES_SQL + f""", placed AS (
   SELECT trip, time_s, cabin_c AS y, heat_w AS p_heat_w, ac_w AS p_ac_w, amb_c AS amb_temp_c, speed_kmh / 3.6::DOUBLE AS speed_ms,
-         heat_w IS NULL AS bad, row_number() OVER (PARTITION BY trip ORDER BY time_s) - 1 AS pos FROM samples), cells AS (
+         heat_w IS NULL AS bad, row_number() OVER (PARTITION BY trip ORDER BY time_s, seq) - 1 AS pos FROM samples), cells AS (
   SELECT *, unnest(range(greatest(0, floor((pos - {length}) / 4.0)::BIGINT + 1), {newest} + 1)) AS window_id FROM placed), stepped AS (
   SELECT *, (pos - window_id * 4)::INT AS step FROM cells), good AS (
   SELECT trip, window_id, min(time_s) AS start_s FROM stepped GROUP BY 1, 2
