@@ -87,3 +87,46 @@ def test_late_rows_are_counted_per_batch(spark, tmp_path):
     for stream in arrivals(spark, str(tmp_path / "in"), [stamp(100.0, 200.0, None), stamp(50.0, 139.9, 140.0, 260.0), stamp(None, 199.0, 200.0), stamp(199.0)]):
         seen = online.late_rows(stream, 60.0, root=root).orderBy("batch").collect()
     assert [tuple(r) for r in seen] == [(0, 3, 0, None), (1, 4, 2, 140_000_000), (2, 3, 1, 200_000_000), (3, 1, 1, 200_000_000)]
+
+
+def _commands(batches):
+    """A plain walk over batches: slew-limited commands; rows not newer than their key's last one are left out."""
+    last, seen = {}, []
+    for batch in batches:
+        before = dict(last)
+        for k, t, c in sorted(batch, key=lambda r: r[1]):
+            if k in before and t <= before[k][1]:
+                continue
+            a = max(last[k][0] - 1000, min(last[k][0] + 1000, c)) if k in last else c
+            last[k] = (a, t)
+            seen.append((k, t, a))
+    return sorted(seen)
+
+
+BATCHES = [[("a", 10.0, 0.0), ("b", 10.0, 3000.0), ("a", 20.0, 4000.0)], [("a", 30.0, 4000.0)], [("b", 15.0, 0.0), ("a", 25.0, 0.0), ("c", 40.0, 500.0)],
+           [("c", 50.0, 7000.0), ("a", 55.0, 0.0)], [("b", 60.0, 7000.0), ("c", 61.0, 0.0)]]
+
+
+@pytest.mark.parametrize("every", [1, 2, 3, 16])
+def test_stream_state_is_written_for_touched_keys_only(spark, tmp_path, every):
+    parts = [spark.createDataFrame(r, "trip string, time_s double, proposed double") for r in BATCHES]
+    root = str(tmp_path / "run")
+    for stream in arrivals(spark, str(tmp_path / "in"), parts):
+        out = online.guarded_commands(stream, Series(), "proposed", 10.0, [], max_rate=100.0, root=root, every=every)
+    assert sorted((r.trip, r.time_s, r.applied_w) for r in out.collect()) == _commands(BATCHES)
+    touched = [{r.trip for r in spark.read.parquet(f"{root}/state/changes/batch={i}").collect()} for i in range(5)]
+    assert touched == [{"a", "b"}, {"a"}, {"b", "c"}, {"a", "c"}, {"b", "c"}]
+    state = online.KeyedState(root, ("trip",), spark.read.parquet(f"{root}/state/changes/batch=0").schema, "_t", every)
+    assert {r.trip: r._t for r in state.before(spark, 5).collect()} == {"a": 55.0, "b": 60.0, "c": 61.0}
+
+
+@pytest.mark.parametrize("every", [2, 16])
+def test_idle_keys_are_forgotten_alike_whenever_tables_are_made_whole(spark, tmp_path, every):
+    parts = [spark.createDataFrame(r, "trip string, time_s double, proposed double") for r in BATCHES]
+    root = str(tmp_path / "run")
+    for stream in arrivals(spark, str(tmp_path / "in"), parts):
+        out = online.guarded_commands(stream, Series(), "proposed", 10.0, [], max_rate=100.0, root=root, every=every, forget_s=18.0)
+    got = sorted((r.trip, r.time_s, r.applied_w) for r in out.collect())
+    # The watermarks are none, 2, 12, 22 and 37: b is forgotten before its rows at 15 and 60, which start anew; a and c never are.
+    assert got == [("a", 10.0, 0.0), ("a", 20.0, 1000.0), ("a", 30.0, 2000.0), ("a", 55.0, 1000.0), ("b", 10.0, 3000.0), ("b", 15.0, 0.0),
+                   ("b", 60.0, 7000.0), ("c", 40.0, 500.0), ("c", 50.0, 1500.0), ("c", 61.0, 500.0)]

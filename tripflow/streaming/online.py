@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tripflow.operators import guards
 from tripflow.operators.ordered import Series, attach
 from tripflow.session import scratch
+from tripflow.streaming.keyed import KeyedState
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -85,48 +86,49 @@ def late_rows(stream: DataFrame, delay_s: float, ts: str = "ts", name: str = "la
 
 def supervise(stream: DataFrame, s: Series, primary: str, fallback: str, situation: list[guards.Guard], dt_s: float, carry: list[str],
               max_w: float = guards.MAX_W, max_rate: float = guards.MAX_RATE_W_PER_S, rows: int = 4096, name: str = "supervised",
-              root: str | None = None) -> DataFrame:
+              root: str | None = None, every: int = 16, forget_s: float | None = None) -> DataFrame:
     """All guards of :func:`guards.supervise`, batch by batch: sensor and envelope faults, fallback, clamp, slew limit.
 
-    Carried on per key are the last command, the number of steps and the clock.  A row that is not newer than what its key
+    Carried on per key are the last command, the number of steps and the clock, written for the keys a batch touches
+    (:class:`KeyedState` says what ``every`` and ``forget_s`` do).  A row that is not newer than what its key
     has already acted on comes too late to be a command and is left out.  ``root`` is the folder of an earlier run to go on from.
     """
     keys = list(s.keys)
 
     def work(batch: DataFrame, i: int, root: str) -> None:
         spark = batch.sparkSession
-        state = T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()), T.StructField("_n", T.LongType()),
-                              T.StructField("_t", batch.schema[s.time].dataType)])
-        known = spark.read.schema(state).parquet(f"{root}/last/batch={i - 1}") if i > 0 else spark.createDataFrame([], state)
-        due = attach(batch, known, keys, "left").filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t")))
+        state = KeyedState(root, s.keys, T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()),
+                           T.StructField("_n", T.LongType()), T.StructField("_t", batch.schema[s.time].dataType)]), "_t", every, forget_s)
+        due = (attach(state.on_time(batch, i, s.time), state.before(spark, i), keys, "left")
+               .filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t"))))
         out = guards.supervise(due, s, primary, fallback, situation, dt_s, [*carry, "_n"], max_w, max_rate, rows, previous="_last")
         out.withColumn("pos", F.col("pos") + F.coalesce("_n", F.lit(0))).drop("_n").write.mode("overwrite").parquet(f"{root}/out/batch={i}")
         done = spark.read.parquet(f"{root}/out/batch={i}")
-        newest = done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_l"), (F.max("pos") + 1).alias("_m"), F.max(s.time).alias("_u"))
-        merged = known.join(newest, keys, "full").select(*keys, F.coalesce("_l", "_last").alias("_last"), F.coalesce("_m", "_n").alias("_n"), F.coalesce("_u", "_t").alias("_t"))
-        merged.write.mode("overwrite").parquet(f"{root}/last/batch={i}")
+        state.write(done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_last"), (F.max("pos") + 1).alias("_n"),
+                                            F.max(s.time).alias("_t")), i)
 
     root = for_each_batch(stream, name, work, root)
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
 
 
 def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, carry: list[str], max_rate: float,
-                     max_w: float = guards.MAX_W, rows: int = 4096, name: str = "guarded", root: str | None = None) -> DataFrame:
+                     max_w: float = guards.MAX_W, rows: int = 4096, name: str = "guarded", root: str | None = None,
+                     every: int = 16, forget_s: float | None = None) -> DataFrame:
     """Clamp and slew-limit commands batch by batch.
 
     A batch runs through the same skew-safe operator as a table.  What is carried on is the last
-    command and clock per key, one row each, stored per batch id: a repeated batch reads the same
-    predecessor and overwrites the same output.  A row that is not newer than what its key has already acted on
-    is left out, as in :func:`supervise`.
+    command and clock per key, one row each, written for the keys a batch touches (:class:`KeyedState`).
+    A row that is not newer than what its key has already acted on is left out, as in :func:`supervise`.
     """
     clamp = guards.actuator_clamp(max_w)
     keys = list(s.keys)
 
     def work(batch: DataFrame, i: int, root: str) -> None:
         spark = batch.sparkSession
-        state = T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()), T.StructField("_t", batch.schema[s.time].dataType)])
-        known = spark.read.schema(state).parquet(f"{root}/last/batch={i - 1}") if i > 0 else spark.createDataFrame([], state)
-        due = (attach(batch.withColumn("_cmd", clamp(F.col(proposed))["value"]), known, keys, "left")
+        state = KeyedState(root, s.keys, T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()),
+                           T.StructField("_t", batch.schema[s.time].dataType)]), "_t", every, forget_s)
+        safe = state.on_time(batch, i, s.time).withColumn("_cmd", clamp(F.col(proposed))["value"])
+        due = (attach(safe, state.before(spark, i), keys, "left")
                .filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t"))).drop("_t"))
         out = guards.rate_limit(due, s.fitted(due), "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, *s.tie, proposed, "_cmd"])),
                                 max_rate=max_rate, previous="_last", bounds=(0.0, max_w), rows=rows)
@@ -134,9 +136,7 @@ def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, c
                             guards.rate_reason(F.col("applied_w"), F.col("_cmd")))
         out.withColumn("reason", reason).drop("_cmd", "pos").write.mode("overwrite").parquet(f"{root}/out/batch={i}")
         done = spark.read.parquet(f"{root}/out/batch={i}")
-        newest = done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_new"), F.max(s.time).alias("_u"))
-        (known.join(newest, keys, "full").select(*keys, F.coalesce("_new", "_last").alias("_last"), F.coalesce("_u", "_t").alias("_t"))
-         .write.mode("overwrite").parquet(f"{root}/last/batch={i}"))
+        state.write(done.groupBy(*keys).agg(F.max_by("applied_w", s.rank_by()).alias("_last"), F.max(s.time).alias("_t")), i)
 
     root = for_each_batch(stream, name, work, root)
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
