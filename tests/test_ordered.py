@@ -352,6 +352,32 @@ def test_quantiles_without_rows_and_with_brackets_too_large_to_send(spark, monke
     assert got == pytest.approx({k: np.quantile(x[k::3], 0.3) for k in range(3)})
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 500])
+def test_brackets_of_many_groups_are_shuffled_and_only_hot_groups_repeated(spark, monkeypatch, hot):
+    from tripflow.operators import quantiles
+    for name, n in (("SMALL_TABLE", 0), ("HOT", hot), ("TASK_ROWS", 300)):
+        monkeypatch.setattr(quantiles, name, n, raising=False)
+    x = np.random.default_rng(12).normal(size=4000)
+    k = np.where(np.arange(4000) < 3000, 0, np.arange(4000) % 200)
+    d = spark.createDataFrame(pd.DataFrame({"k": k, "v": x, "t": np.arange(4000)}))
+    out = exact_quantiles(d, ["k"], "v", {"m": 0.5}, most=50)
+    assert {r.k: r.m for r in out.collect()} == {int(i): np.median(x[k == i]) for i in np.unique(k)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("explode(" in plan.replace("explode(filter(", "")) == (hot == 500)
+    sent = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert len(sent) == (hot == 500)
+
+
+@pytest.mark.parametrize("kept", [4_000_000, 1000])
+def test_small_brackets_go_to_the_rows_only_where_few_rows_stay(spark, monkeypatch, kept):
+    from tripflow.operators import quantiles
+    monkeypatch.setattr(quantiles, "KEPT", kept, raising=False)
+    d = spark.range(2000).select((F.col("id") % 40).alias("k"), F.col("id").cast("double").alias("v"))
+    out = exact_quantiles(d, ["k"], "v", {"m": 0.5})
+    assert {r.k: r.m for r in out.collect()} == {i: 980.0 + i for i in range(40)}
+    assert ("BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()) == (kept > 2000)
+
+
 @pytest.mark.parametrize("rows,levels", [(4, 2), (7, 1), (512, 2)])
 def test_policies_with_finite_memory_equal_a_plain_loop(spark, rows, levels):
     rng = np.random.default_rng(11)
