@@ -368,6 +368,22 @@ def test_brackets_of_many_groups_are_shuffled_and_only_hot_groups_repeated(spark
     assert len(sent) == (hot == 500)
 
 
+@pytest.mark.parametrize("name", ["sample_interval", "trip_quality", "corpus_totals"])
+def test_quantiles_of_intervals_do_not_open_the_windows_again(spark, name):
+    import __spark_entry__ as entry
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan
+
+
+def test_group_statistics_of_many_groups_keep_their_brackets_off_the_tasks(spark, monkeypatch):
+    from tripflow.operators import features, quantiles
+    monkeypatch.setattr(quantiles, "SMALL_TABLE", 0)
+    d = spark.range(900).select((F.col("id") % 90).alias("k"), F.col("id").cast("double").alias("v"))
+    out = features.group_statistics(d, "k", "v", "p")
+    assert {r.k: (r.p_median, r.p_mean) for r in out.collect()} == {i: (405.0 + i, 405.0 + i) for i in range(90)}
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
 @pytest.mark.parametrize("kept", [4_000_000, 1000])
 def test_small_brackets_go_to_the_rows_only_where_few_rows_stay(spark, monkeypatch, kept):
     from tripflow.operators import quantiles
