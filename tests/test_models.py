@@ -305,6 +305,12 @@ def test_two_stage_model_learns_a_step(spark):
     assert features.importances(models, ["x"], spark).first().classifier == pytest.approx(1.0)
 
 
+def test_two_stage_metrics_read_written_predictions(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["two_stage_model"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF(" not in plan and "lineitem" not in plan and "l_partkey" not in plan
+
+
 def test_labels_skip_gaps_and_intervals_cover(spark):
     d = spark.createDataFrame([("a", t, float(t)) for t in (0, 1, 2, 5)], "trip string, tick long, v double")
     assert {(r.tick, r.horizon, r.label) for r in forecast.with_future(d, "tick", "v", [1, 3]).collect()} == {(0, 1, 1.0), (1, 1, 2.0), (2, 3, 5.0)}

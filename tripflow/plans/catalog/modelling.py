@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tripflow.functions.scalars import round_to_step, state_label
 from tripflow.operators import features, ordered, regression, scoring
 from tripflow.plans.registry import query
+from tripflow.session import durable
 from tripflow.sources.tables import SAMPLES_SQL, log_series, samples, table
 
 
@@ -284,6 +285,8 @@ def hurdle_prediction(spark, sf):
 def _two_stage(spark, sf):
     df = features.clean_target(_feat(spark, sf).withColumn("target_w", F.col("qty") * 150 - 800))
     cols = ["qty", "disc", "tax", "size", "list"]
+    # Every tree reads the rows again: written, or each would join them anew.
+    df = durable(df.select("target_w", *cols, "split"), "two-stage-rows")
     models = features.fit_two_stage(df.filter("split <> 'R'").withColumn("stop", F.col("split") == "A"), cols, rounds=5, depth=4, validation="stop")
     return df, cols, models
 
@@ -293,7 +296,7 @@ SELECT split, count(*) AS rows, sum(on_)::BIGINT AS active_rows, true AS on_grid
 def two_stage_model(spark, sf):
     """Facts that SQL can state of a fitted model: rows, active rows, predictions on their grid, errors below the mean's."""
     df, _, models = _two_stage(spark, sf)
-    p = features.predict_two_stage(models, df)
+    p = durable(features.predict_two_stage(models, df).select("split", "target_w", "predicted_w"), "two-stage-predictions")
     grid = F.bool_and(p.predicted_w.between(0, 7000) & (F.abs(p.predicted_w - F.round(p.predicted_w / 40) * 40) < 1e-6) | (p.predicted_w == 7000))
     m = scoring.regression_metrics(p, ["split"], "target_w", "predicted_w").select("split", "rows", "active_rows", "mae")
     means = p.groupBy("split").agg(F.avg("target_w").alias("mean"), grid.alias("on_grid"))
