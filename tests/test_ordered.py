@@ -62,6 +62,16 @@ def test_attach_keeps_every_join_type(spark):
     assert [r.k for r in ordered.attach(d, t, ["k"], "left_anti").collect()] == ["c"]
 
 
+@pytest.mark.parametrize("most", [1000, 7])
+def test_attach_repeats_only_rows_of_counted_hot_keys(spark, most):
+    d = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int")
+    t = spark.createDataFrame([("a", 7), ("b", 8)], "k string, w int")
+    join = lambda how: ordered.attach_counted(d, t, ["k"], how, most)
+    assert join("inner").count() == 51 and join("left").count() == 53 and join("left_semi").count() == 51
+    assert sorted((r.k or "", r.w) for r in join("left").filter("k IS NULL OR k <> 'a'").collect()) == [("", None), ("b", 8), ("c", None)]
+    assert ("explode(" in join("left")._jdf.queryExecution().optimizedPlan().toString()) == (most == 7)
+
+
 def test_neighbours_keep_missing_values_missing(df, log):
     got = pdf_of(ordered.with_neighbours(df, S, ["x"]), "trip", "time_s")
     ref = log.sort_values(["trip", "time_s"]).groupby("trip")["x"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripflow.operators import guards
-from tripflow.operators.ordered import Series, attach
+from tripflow.operators.ordered import Series, attach_counted
 from tripflow.session import scratch
 from tripflow.streaming.keyed import KeyedState
 
@@ -99,7 +99,7 @@ def supervise(stream: DataFrame, s: Series, primary: str, fallback: str, situati
         spark = batch.sparkSession
         state = KeyedState(root, s.keys, T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()),
                            T.StructField("_n", T.LongType()), T.StructField("_t", batch.schema[s.time].dataType)]), "_t", every, forget_s)
-        due = (attach(state.on_time(batch, i, s.time), state.before(spark, i), keys, "left")
+        due = (attach_counted(state.on_time(batch, i, s.time), state.before(spark, i), keys, "left")
                .filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t"))))
         out = guards.supervise(due, s, primary, fallback, situation, dt_s, [*carry, "_n"], max_w, max_rate, rows, previous="_last")
         out.withColumn("pos", F.col("pos") + F.coalesce("_n", F.lit(0))).drop("_n").write.mode("overwrite").parquet(f"{root}/out/batch={i}")
@@ -128,7 +128,7 @@ def guarded_commands(stream: DataFrame, s: Series, proposed: str, dt_s: float, c
         state = KeyedState(root, s.keys, T.StructType([*(batch.schema[k] for k in keys), T.StructField("_last", T.DoubleType()),
                            T.StructField("_t", batch.schema[s.time].dataType)]), "_t", every, forget_s)
         safe = state.on_time(batch, i, s.time).withColumn("_cmd", clamp(F.col(proposed))["value"])
-        due = (attach(safe, state.before(spark, i), keys, "left")
+        due = (attach_counted(safe, state.before(spark, i), keys, "left")
                .filter(F.col("_t").isNull() | (F.col(s.time) > F.col("_t"))).drop("_t"))
         out = guards.rate_limit(due, s.fitted(due), "_cmd", dt_s, list(dict.fromkeys([*carry, s.time, *s.tie, proposed, "_cmd"])),
                                 max_rate=max_rate, previous="_last", bounds=(0.0, max_w), rows=rows)
