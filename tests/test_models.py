@@ -276,6 +276,15 @@ def test_frontier(spark):
     assert outcomes.frontier_energy(one, t, ["trip"]).filter("reachable").count() == 1
 
 
+def test_frontier_points_without_discomfort_are_none(spark):
+    nan = float("nan")
+    f = spark.createDataFrame([("a", 1.0, 100.0), ("a", 3.0, 60.0), ("a", nan, 50.0), ("a", None, 40.0)], "trip string, discomfort_kmin double, energy_wh double")
+    t = spark.createDataFrame([("a",)], "trip string")
+    at = lambda x: outcomes.frontier_energy(f, t.withColumn("target", F.lit(x)), ["trip"]).first()
+    assert at(2.0).energy_at_target == 80.0 and at(3.0).energy_at_target == 60.0
+    assert not at(4.0).reachable and not at(nan).reachable and at(nan).energy_at_target is None
+
+
 def test_metrics_edge_cases(spark):
     d = spark.createDataFrame([("x", 0.0, 0.0), ("x", 0.0, 0.0), ("y", 500.0, 480.0)], "split string, a double, p double")
     m = {r.split: r for r in scoring.regression_metrics(d, ["split"], "a", "p").collect()}

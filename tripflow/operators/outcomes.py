@@ -47,8 +47,10 @@ def frontier_energy(frontier: DataFrame, targets: DataFrame, keys: list[str]) ->
     """Energy a frontier needs at a target discomfort, on the line between neighbouring points.
 
     NULL (``reachable`` false) where the target lies outside the swept points.  Points of equal
-    discomfort follow each other by energy; a frontier has one point per swept weight.
+    discomfort follow each other by energy; a frontier has one point per swept weight.  A point without a
+    discomfort (NULL, NaN) is none.
     """
+    frontier = frontier.filter(missing_if_nan(F.col("discomfort_kmin")).isNotNull())
     w = Window.partitionBy(*keys).orderBy("discomfort_kmin", "energy_wh")
     pieces = frontier.select(*keys, F.col("discomfort_kmin").alias("d0"), F.col("energy_wh").alias("e0"),
                              F.lead("discomfort_kmin").over(w).alias("d1"), F.lead("energy_wh").over(w).alias("e1"))
