@@ -212,3 +212,9 @@ def test_quality_of_a_single_row_trip(spark):
     d = spark.createDataFrame([("t", 0.0, 1.0, None)], "trip string, time_s double, p double, q double")
     r = quality.quality_record(d, Series(), "p", ["p", "q"]).first()
     assert r.n_rows_out == 1 and r.dt_median_s is None and r.target_constant and r.constant_columns == ["time_s", "p"]
+
+
+def test_an_endless_reading_beside_a_gap_is_no_conflict(spark):
+    d = spark.createDataFrame([("t", None, float("inf")), ("t", 2.0, 2.0)], "trip string, a double, b double")
+    out = canonical.merge_copies(d, ["trip"], {"x": ["a", "b"]}).collect()
+    assert sorted(r.x for r in out) == [2.0, float("inf")] and {tuple(r.merged) for r in out} == {("x",)} and {len(r.conflicting) for r in out} == {0}
